@@ -63,12 +63,29 @@ def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * _GOLD)
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of non-space bytes, and for each text the number of its first word (with an end)."""
+def grams(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of data[i : i + k] for every i."""
+    n = len(prefix) - k
+    _, down = powers(n)
+    out = prefix[k:] - prefix[:-k]
+    out *= down
+    out ^= out >> U64(32)
+    out *= _GOLD
+    out ^= out >> U64(29)
+    return out
+
+
+#: Bytes that are no letter and no digit; bytes of characters beyond ASCII count as letters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[48:58] = NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
+
+
+def words(data: np.ndarray, starts: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that aren't space, and for each text the number of its first word (with an end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     begins = np.empty(n, bool)
     begins[0] = True
     np.logical_not(inside[:-1], out=begins[1:])

@@ -58,80 +58,104 @@ def allocation(low: int, high: int, sets: int, num: int, den: int) -> tuple[int,
     return best[1]
 
 
-def _signatures(s: np.ndarray, plan: list[tuple[int, tuple[int, int, int]]]) -> np.ndarray:
-    """Signatures of one sorted shingle set under the plans (band, allocation) that its size takes part in."""
-    spread = mix(s ^ U64(0xA24BAED4963EE407))
-    total = np.zeros(len(s) + 1, U64)
-    np.cumsum(spread, out=total[1:])
-    out = []
-    for band, (exact, neighbours, spare) in plan:
-        m = exact + neighbours
-        seg = ((s >> U64(32)) * U64(m)) >> U64(32)
-        cut = np.searchsorted(seg, np.arange(m + 1, dtype=U64))
-        size = np.diff(cut)
-        whole = total[cut[1:]] - total[cut[:-1]]
-        tag = (np.arange(m, dtype=U64) << U64(40)) + U64(band + 1)
-        wanted = np.ones(m, bool)
-        hollow = size[:exact] == 0
-        if hollow.sum() <= spare:
-            wanted[:exact] = ~hollow
-        out.append(mix(mix(whole ^ tag) + size.astype(U64))[wanted])
-        if neighbours:
-            own = np.arange(cut[exact], cut[-1])
-            at = seg[own].astype(np.int64)
-            out.append(mix(mix((whole[at] - spread[own]) ^ tag[at]) + (size[at] - 1).astype(U64)))
-    return np.concatenate(out)
-
-
-def _set_id(s: np.ndarray) -> int:
-    return int(mix(np.array([(int(mix(s).sum(dtype=U64)) + len(s) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF], U64)).view(np.int64)[0]) if len(s) else 0
+class _Plan:
+    """What one band's allocation needs for every set: where segments begin, and their tags."""
+
+    def __init__(self, band: int, allocation: tuple[int, int, int]):
+        self.exact, self.neighbours, self.spare = allocation
+        m = self.exact + self.neighbours
+        self.bounds = np.array([min(-(-(j << 32) // m) << 32, (1 << 64) - 1) for j in range(m + 1)], U64)
+        self.tag = (np.arange(m, dtype=U64) << U64(40)) + U64(band + 1)
+
+    def cut(self, s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(s, self.bounds)
+        at[-1] = len(s)
+        return at
+
+
+def _raw_signatures(plan: _Plan, cut: np.ndarray, spread: np.ndarray, total: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(content, size) of the segments of one set, and of its neighbour segments less one shingle."""
+    size = cut[1:] - cut[:-1]
+    t = total[cut]
+    whole = (t[1:] - t[:-1]) ^ plan.tag
+    hollow = size[: plan.exact] == 0
+    empty = int(hollow.sum())
+    if empty and empty <= plan.spare:
+        wanted = np.ones(len(size), bool)
+        wanted[: plan.exact] = ~hollow
+        out = [(whole[wanted], size[wanted])]
+    else:
+        out = [(whole, size)]
+    if plan.neighbours:
+        own = np.arange(cut[plan.exact], cut[-1])
+        at = np.repeat(np.arange(plan.exact, len(size)), size[plan.exact :])
+        out.append((((t[1:] - t[:-1])[at] - spread[own]) ^ plan.tag[at], size[at] - 1))
+    return out
+
+
+def _set_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets end to end, where each begins (with an end), and a hash of each as a whole (0: empty)."""
+    size = np.array([len(x) for x in sets], np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+    total = np.zeros(len(flat) + 1, U64)
+    np.cumsum(mix(flat), out=total[1:])
+    ids = mix(total[at[1:]] - total[at[:-1]] + size.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+    return flat, at, np.where(size > 0, ids, 0)
 
 
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, starts = utf8(b.column("text"))
-            sets = shingle_sets(*word_hashes(data, starts), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+            _, at, ids = _set_ids(shingle_sets(*word_hashes(data, starts), k))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(ids)], names=["doc_id", "n_shingles", "set_id"])
 
     return run
 
 
-def _emit(k: int, bands: list[tuple[int, int]], plans: list[tuple[int, int, int]], buckets: int):
+def _emit(k: int, bands: list[tuple[int, int]], allocations: list[tuple[int, int, int]], buckets: int):
     lows = np.array([x for x, _ in bands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig: list[np.ndarray] = []
-        node: list[np.ndarray] = []
-        held = 0
+        plans = [_Plan(i, x) for i, x in enumerate(allocations)]
+        held: list[np.ndarray] = []
+        seen: set[int] = set()  # sets that this task has sent; sending one again would only cost time
 
         def flush() -> pa.RecordBatch:
-            nonlocal sig, node, held
-            pair = np.empty((held, 2), np.int64)
-            pair[:, 0], pair[:, 1] = np.concatenate(sig).view(np.int64), np.concatenate(node)
-            bucket = (pair[:, 0].view(U64) >> U64(20)) % U64(buckets)
+            pair = np.concatenate(held)
+            held.clear()
+            bucket = ((pair[:, 0].view(U64) >> U64(20)) % U64(buckets)).astype(np.uint32 if buckets > 65535 else np.uint16)
             order = np.argsort(bucket, kind="stable")
             pair, bucket = pair[order], bucket[order]
             cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             blobs = [pair[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            sig, node, held = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-        seen: set[int] = set()
         for b in slices(batches):
             data, starts = utf8(b.column("text"))
-            for s in shingle_sets(*word_hashes(data, starts), k):
-                if not len(s) or (own := _set_id(s)) in seen:
+            flat, at, ids = _set_ids(shingle_sets(*word_hashes(data, starts), k))
+            size = np.diff(at)
+            band = np.searchsorted(lows, size, side="right") - 1
+            spread = mix(flat ^ U64(0xA24BAED4963EE407))
+            total = np.zeros(len(flat) + 1, U64)
+            np.cumsum(spread, out=total[1:])
+            raw, owner = [], []
+            for i, own, j in zip(range(len(size)), ids.tolist(), band.tolist(), strict=True):
+                if not size[i] or own in seen:
                     continue
                 if len(seen) < 200_000:
                     seen.add(own)
-                band = int(np.searchsorted(lows, len(s), side="right")) - 1
-                x = _signatures(s, [(j, plans[j]) for j in (band - 1, band) if j >= 0])
-                sig.append(x)
-                node.append(np.full(len(x), own))
-                held += len(x)
-                if held > 500_000:
-                    yield flush()
+                s = flat[at[i] : at[i + 1]]
+                for plan in plans[max(0, j - 1) : j + 1]:
+                    found = _raw_signatures(plan, plan.cut(s) + at[i], spread, total)
+                    raw += found
+                    owner.append((own, sum(len(x) for x, _ in found)))
+            if raw:
+                sig = mix(mix(np.concatenate([x for x, _ in raw])) + np.concatenate([n for _, n in raw]).astype(U64))
+                held.append(np.column_stack([sig.view(np.int64), np.repeat(np.array([x for x, _ in owner]), np.array([n for _, n in owner]))]))
+            if sum(map(len, held)) > 500_000:
+                yield flush()
         if held:
             yield flush()
 

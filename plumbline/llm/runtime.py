@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one pass of the numpy kernels takes at once; a longer document is a pass of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import U64, prefix_hash, spans
+from .kernels import U64, grams, prefix_hash, spans
 from .runtime import keep, partitions, ship, slices, utf8
 
 GRAM = 32
@@ -47,8 +47,7 @@ def _strings(length: int, gram: int):
             if len(data) < length:
                 continue
             prefix = prefix_hash(data)
-            i = np.arange(len(data) - gram + 1)
-            kh = spans(prefix, i, i + gram)
+            kh = grams(prefix, gram)
             low = sliding_min(kh, w)
             size = np.diff(at)
             has = np.maximum(size - length + 1, 0)
