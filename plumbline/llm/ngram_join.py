@@ -34,35 +34,44 @@ def band_edges(num: int, den: int, top: int) -> list[tuple[int, int]]:
     return out
 
 
-def allocation(low: int, high: int, sets: int, num: int, den: int) -> tuple[int, int, int]:
-    """(exact segments, neighbour segments, empty exact segments a set may leave out) for one band, by estimated cost.
+#: Cost of checking a candidate pair, in signatures; share of a random set's shingles that another one has.
+PAIR_COST, COMMON = 20.0, 0.02
 
-    Cost: signatures written, plus the pairs that random sets would share. More sets in a band make
-    larger, neighbour segments pay.
+
+def allocation(low: int, high: int, sets: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """(exact segments, neighbour segments, spare, small) for one band, by estimated cost.
+
+    A set may leave out its exact segments of at most `small` shingles, as long as they are no more than `spare`;
+    exact - spare + 2 * neighbours exceeds the differences H that a linked pair can have, so some segment that
+    both sent still agrees. Cost: signatures written, plus pairs that random sets share. The more sets a band has,
+    the more it pays to leave out small segments, and to use fewer, larger neighbour segments.
     """
     h = (den - num) * (high + high * den // num) // (den + num)
     best = None
-    for neighbours in range(0, h // 2 + 2):
-        exact, spare = max(0, h + 1 - 2 * neighbours), 0
-        for _ in range(6):
-            m = exact + spare + neighbours
-            empty = (exact + spare) * math.exp(-low / max(1, m))
-            spare = math.ceil(empty + 2 * math.sqrt(empty)) if h and exact else 0
-        exact += spare
-        m = exact + neighbours
-        size = (low + high) / 2 / m
-        chance = math.exp(-1.5 * size)
-        cost = sets * (exact + neighbours * (1 + size)) + 20 * sets * sets / 2 * (exact * chance + neighbours * chance * (1 + size) ** 2 * 0.05)
-        if best is None or cost < best[0]:
-            best = (cost, (exact, neighbours, spare))
+    for small in (0, 1, 2) if h else (0,):
+        for neighbours in sorted({0, *(h * i // 16 for i in range(1, 9)), h // 2 + 1}):
+            need = max(0, h + 1 - 2 * neighbours)
+            spare = 0
+            for _ in range(8):
+                m = need + spare + neighbours
+                size = low / m
+                left = (need + spare) * sum(math.exp(-size) * size**i / math.factorial(i) for i in range(small + 1))
+                spare = math.ceil(left + 2 * math.sqrt(left)) if h and need else 0
+            exact = need + spare
+            size = (low + high) / 2 / (exact + neighbours)
+            chance = math.exp(-2 * size) * (COMMON * size) ** (small + 1) / math.factorial(small + 1)
+            near = math.exp(-2 * size) * (COMMON * size) * (1 + size) ** 2 * 0.01
+            cost = sets * (exact - spare / 2 + neighbours * (1 + size)) + PAIR_COST * sets * sets / 2 * (exact * chance + neighbours * near)
+            if best is None or cost < best[0]:
+                best = (cost, (exact, neighbours, spare, small))
     return best[1]
 
 
 class _Plan:
     """What one band's allocation needs for every set: where segments begin, and their tags."""
 
-    def __init__(self, band: int, allocation: tuple[int, int, int]):
-        self.exact, self.neighbours, self.spare = allocation
+    def __init__(self, band: int, allocation: tuple[int, int, int, int]):
+        self.exact, self.neighbours, self.spare, self.small = allocation
         m = self.exact + self.neighbours
         self.bounds = np.array([min(-(-(j << 32) // m) << 32, (1 << 64) - 1) for j in range(m + 1)], U64)
         self.tag = (np.arange(m, dtype=U64) << U64(40)) + U64(band + 1)
@@ -78,7 +87,7 @@ def _raw_signatures(plan: _Plan, cut: np.ndarray, spread: np.ndarray, total: np.
     size = cut[1:] - cut[:-1]
     t = total[cut]
     whole = (t[1:] - t[:-1]) ^ plan.tag
-    hollow = size[: plan.exact] == 0
+    hollow = size[: plan.exact] <= plan.small
     empty = int(hollow.sum())
     if empty and empty <= plan.spare:
         wanted = np.ones(len(size), bool)
@@ -114,7 +123,7 @@ def _describe(k: int):
     return run
 
 
-def _emit(k: int, bands: list[tuple[int, int]], allocations: list[tuple[int, int, int]], buckets: int):
+def _emit(k: int, bands: list[tuple[int, int]], allocations: list[tuple[int, int, int, int]], buckets: int):
     lows = np.array([x for x, _ in bands])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +229,36 @@ def _texts_to_sets(k: int):
         for b in slices(batches):
             data, starts = utf8(b.column("text"))
             sets = shingle_sets(*word_hashes(data, starts), k)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
+            parity = []
+            for s in sets:
+                bits = 1 << max(6, (4 * len(s) - 1).bit_length())
+                parity.append(np.packbits((np.bincount((s % U64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(parity, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "parity", "items"])
+
+    return run
+
+
+def _screen(num: int, den: int):
+    """Bit i of a set's parity tells whether an odd number of its shingles hash to i, so two parities differ in no
+    more bits than their sets differ in shingles. That bounds a pair's similarity from above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least, may = [], []
+            for p, q, x, y in zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("parity_a").to_pylist(), b.column("parity_b").to_pylist(), strict=True):
+                u, v = int.from_bytes(x), int.from_bytes(y)
+                i, j = 8 * len(x), 8 * len(y)
+                while i != j:
+                    if i > j:
+                        i //= 2
+                        u = (u >> i) ^ (u & ((1 << i) - 1))
+                    else:
+                        j //= 2
+                        v = (v >> j) ^ (v & ((1 << j) - 1))
+                both = min((p + q - (u ^ v).bit_count()) // 2, p, q)
+                least.append(1 - both / (p + q - both))
+                may.append(den * both >= num * (p + q - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(least, pa.float64()), pa.array(may, pa.bool_())], names=["a", "b", "least", "may"])
 
     return run
 
@@ -228,12 +266,8 @@ def _texts_to_sets(k: int):
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         inter, union = [], []
-        last, x = None, None
         for p, q in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
-            raw = p.as_buffer()
-            if last is None or not raw.equals(last):
-                last, x = raw, np.frombuffer(raw, U64)
-            y = np.frombuffer(q.as_buffer(), U64)
+            x, y = np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64)
             u, v = (x, y) if len(x) <= len(y) else (y, x)
             at = np.searchsorted(v, u)
             n = int((v[np.minimum(at, len(v) - 1)] == u).sum())
@@ -242,12 +276,19 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "inter", "union_size"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact intersection and union sizes of each pair (a, b)."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
-    return full.mapInArrow(_overlap, "a long, b long, inter long, union_size long")
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs(a, b) -> (a, b, linked, lo, hi): exact verdicts, and bounds on the pair's Jaccard distance."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    thin = pairs.join(side("a", "n", "parity"), "a").join(side("b", "n", "parity"), "b")
+    screened = keep(thin.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(_screen(num, den), "a long, b long, least double, may boolean"), "screened")
+    full = screened.where("may").select("a", "b").join(side("a", "items"), "a").join(side("b", "items"), "b").select("a", "b", "items_a", "items_b")
+    exact = full.mapInArrow(_overlap, "a long, b long, inter long, union_size long")
+    d = 1 - F.col("inter") / F.col("union_size")
+    sure = exact.select("a", "b", F.expr(f"{den} * inter >= {num} * union_size").alias("linked"), d.alias("lo"), d.alias("hi"))
+    return sure.unionAll(screened.where("not may").select("a", "b", F.lit(False), "least", F.lit(1.0)))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -275,15 +316,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     pairs = keep(met.where("sig is null or a <> b").select("a", "b").distinct(), "pairs")
     used = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
     reps = nodes.join(used, "set_id", "left_semi").select(F.col("rep").alias("doc_id"), F.col("set_id").alias("node"))
-    sets = keep(rows.join(reps, "doc_id").select("node", "text").mapInArrow(_texts_to_sets(shingle), "node long, items binary").dropDuplicates(["node"]), "items")
-    checked = keep(_verify(pairs, sets), "checked")
-    linked = F.expr(f"{den} * inter >= {num} * union_size")
-    links = checked.where(linked).select("a", "b")
+    sets = keep(rows.join(reps, "doc_id").select("node", "text").mapInArrow(_texts_to_sets(shingle), "node long, n long, parity binary, items binary").dropDuplicates(["node"]), "items")
+    checked = keep(_verify(pairs, sets, num, den), "checked")
+    links = checked.where("linked").select("a", "b")
     comp = components(links)
     groups = met.where("sig is not null")
     if groups.limit(1).count():
-        more = keep(_verify(_rest(groups, checked, comp, num, den), sets), "checked2")
-        links = links.unionAll(more.where(linked).select("a", "b")).distinct()
+        more = keep(_verify(_rest(groups, checked, comp, num, den), sets, num, den), "checked2")
+        links = links.unionAll(more.where("linked").select("a", "b")).distinct()
         comp = components(links)
     rep_of = nodes.select(F.col("set_id").alias("component"), F.col("rep"))
     lead = comp.join(rep_of, F.col("node") == rep_of["component"]).groupBy(comp["component"]).agg(F.min("rep").alias("lead"))
@@ -303,15 +343,14 @@ def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, num: int, den:
     Jaccard distance is a metric, so a pair whose distances to their pivot differ by more than 1 - num/den
     cannot link. Members of the group's largest component need no pairing with each other.
     """
-    dist = checked.select("a", "b", (1 - F.col("inter") / F.col("union_size")).alias("d"))
-    member = groups.select("sig", "a", "b").join(dist, ["a", "b"], "left").select("sig", F.col("b").alias("node"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    member = keep(member.join(comp, "node", "left").select("sig", "node", "d", F.coalesce("component", "node").alias("c")), "members")
+    member = groups.select("sig", "a", "b").join(checked.select("a", "b", "lo", "hi"), ["a", "b"], "left").select("sig", F.col("b").alias("node"), F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
+    member = keep(member.join(comp, "node", "left").select("sig", "node", "lo", "hi", F.coalesce("component", "node").alias("c")), "members")
     size = member.groupBy("sig", "c").agg(F.count("*").alias("k"))
     main = size.groupBy("sig").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("m.c").alias("main"))
     open_ = member.join(main, "sig")
-    u = open_.where("c <> main").select("sig", F.col("node").alias("x"), F.col("d").alias("dx"), F.col("c").alias("cx"))
-    v = open_.select("sig", F.col("node").alias("y"), F.col("d").alias("dy"), F.col("c").alias("cy"), "main")
+    u = open_.where("c <> main").select("sig", F.col("node").alias("x"), F.col("lo").alias("lx"), F.col("hi").alias("hx"), F.col("c").alias("cx"))
+    v = open_.select("sig", F.col("node").alias("y"), F.col("lo").alias("ly"), F.col("hi").alias("hy"), F.col("c").alias("cy"), "main")
     reach = 1 - num / den + 1e-9
-    found = u.join(v, "sig").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.abs(F.col("dx") - F.col("dy")) <= reach))
+    found = u.join(v, "sig").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.col("lx") - F.col("hy") <= reach) & (F.col("ly") - F.col("hx") <= reach))
     fresh = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return keep(fresh.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
