@@ -21,14 +21,31 @@ from .runtime import keep, partitions, ship, slices, utf8
 
 WINDOW = 2048
 END = 1
-#: Words that a Python worker remembers before it starts afresh.
-MEMORY = 400_000
+#: Runs that a Python worker remembers before it starts afresh.
+MEMORY = 700_000
+
+#: Texts are tokenized in slices of so many bytes.
+SLICE = 1_000_000
 
 _encoders: dict[str, WordEncoder] = {}
 
+# What a byte is to the tokenizer's splitter: 0 white space, 1 letter, 2 digit, 3 mark; 4: its word is encoded whole.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[33:127] = 3
+_KIND[[32, 9, 10, 11, 12, 13]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[39] = 4  # contractions
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 
 class WordEncoder:
-    """Ids of white-space-separated words, remembered by their hash, in one growing pool; word 0 is the end id."""
+    """Ids of the runs that the tokenizer's splitter makes, remembered by hash, in one growing pool; run 0 is the end id.
+
+    Runs of ASCII and Latin-1 letters, single digits and runs of marks are told apart here, in lower case. A word
+    with any other character, an apostrophe or a special token's beginning goes to the tokenizer as it is.
+    """
 
     def __init__(self, path: str, end: int):
         import os
@@ -37,6 +54,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -48,32 +68,79 @@ class WordEncoder:
         self.size[0] = 1
         self.n = 1
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = e.ids
-            while self.filled + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            if self.n == len(self.at):
-                self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
-            self.pool[self.filled : self.filled + len(ids)] = ids
-            self.at[self.n], self.size[self.n] = self.filled, len(ids)
-            self.known[h] = self.n
-            self.filled += len(ids)
-            self.n += 1
+    def _add(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while self.n + len(hashes) > len(self.at):
+            self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.at[self.n : self.n + len(hashes)] = self.filled + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(hashes)] = sizes
+        self.known.update(zip(hashes, range(self.n, self.n + len(hashes)), strict=True))
+        self.filled += len(ids)
+        self.n += len(hashes)
+
+    def _learn(self, hashes: list[int], texts: list[str], plain: bool) -> None:
+        """plain runs are encoded many at a time: only a run's last id is one that closes a word."""
+        if plain:
+            for i in range(0, len(texts), 2000):
+                ids = np.array(self.tokenizer.encode(" ".join(texts[i : i + 2000]), add_special_tokens=False).ids, np.uint32)
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) != len(texts[i : i + 2000]):
+                    raise ValueError("the tokenizer splits otherwise than word_bpe_49k.json")
+                self._add(hashes[i : i + 2000], ids, np.diff(ends, prepend=0))
+        elif texts:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._add(hashes, np.array([x for ids in found for x in ids], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _runs(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lowered bytes, starts and ends of the runs, and which are whole words."""
+        ws, we, _ = words(data, starts)
+        kind = _KIND[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        letter = (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+        kind[lead[letter]] = kind[lead[letter] + 1] = 1
+        kind[:-1][(data[:-1] == 60) & (data[1:] == 124)] = 4
+        odd = np.concatenate(([0], np.cumsum(kind == 4)))
+        whole = odd[we] > odd[ws]
+        step = np.zeros(len(data) + 1, np.int8)
+        step[ws[whole]] += 1
+        step[we[whole]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        low = _LOWER[data]
+        upper = lead[letter & (after <= 0x9E)] + 1
+        low[upper] += 32
+        low[inside] = data[inside]
+        new = (kind == 2) | np.concatenate(([True], kind[1:] != kind[:-1]))
+        new &= (kind != 0) & ~inside
+        new[ws] = True
+        ps = np.flatnonzero(new)
+        own = np.searchsorted(ws, ps, side="right") - 1
+        return low, ps, np.minimum(np.append(ps[1:], len(data)), we[own]), whole[own]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by the end id, and where each text's begin (with an end)."""
-        ws, we, first = words(data, starts)
-        values, where, which = np.unique(spans(prefix_hash(data), ws, we), return_index=True, return_inverse=True)
+        if len(data):
+            low, ps, pe, whole = self._runs(data, starts)
+        else:
+            low, ps, pe, whole = data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        first = np.searchsorted(ps, starts)
+        h = spans(prefix_hash(low), ps, pe)
+        h[whole] ^= U64(0x9E3779B97F4A7C15)
+        values, where, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > MEMORY:
             self.clear()
         known = self.known
         listed = values.tolist()
-        new = [i for i, h in enumerate(listed) if h not in known]
-        if new:
-            raw = data.tobytes()
-            self._learn([listed[i] for i in new], [raw[ws[j] : we[j]].decode("utf-8", "replace") for j in where[new].tolist()])
-        index = np.array([known[h] for h in listed], np.int64)[which] if len(ws) else np.zeros(0, np.int64)
+        new = np.array([i for i, x in enumerate(listed) if x not in known], np.int64)
+        if len(new):
+            raw, j = low.tobytes(), where[new]
+            for plain in (True, False):
+                pick = whole[j] != plain
+                at = j[pick]
+                self._learn([listed[i] for i in new[pick].tolist()], [raw[x:y].decode("utf-8", "replace") for x, y in zip(ps[at].tolist(), pe[at].tolist(), strict=True)], plain)
+        index = np.array([known[x] for x in listed], np.int64)[which] if len(ps) else np.zeros(0, np.int64)
         index = np.insert(index, first[1:], 0)
         size = self.size[index]
         ends = np.cumsum(size)
@@ -92,7 +159,7 @@ def encoder(path: str, end: int) -> WordEncoder:
 def _pieces(path: str, end: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end)
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             ids, at = encode(*utf8(b.column("text")))
             raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             rows: list[tuple[int, int, int, int]] = []
