@@ -22,6 +22,8 @@ from .runtime import keep, partitions, ship, slices, utf8
 
 #: A signature's members up to so many are paired with each other; larger groups go through a pivot first.
 SMALL_GROUP = 24
+#: Members of a block when a larger group is compared by parities.
+BLOCK = 2000
 
 
 def band_edges(num: int, den: int, top: int) -> list[tuple[int, int]]:
@@ -244,7 +246,7 @@ def _screen(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least, may = [], []
+            may = []
             for p, q, x, y in zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("parity_a").to_pylist(), b.column("parity_b").to_pylist(), strict=True):
                 u, v = int.from_bytes(x), int.from_bytes(y)
                 i, j = 8 * len(x), 8 * len(y)
@@ -256,9 +258,8 @@ def _screen(num: int, den: int):
                         j //= 2
                         v = (v >> j) ^ (v & ((1 << j) - 1))
                 both = min((p + q - (u ^ v).bit_count()) // 2, p, q)
-                least.append(1 - both / (p + q - both))
                 may.append(den * both >= num * (p + q - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(least, pa.float64()), pa.array(may, pa.bool_())], names=["a", "b", "least", "may"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(may, pa.bool_())], names=["a", "b", "may"])
 
     return run
 
@@ -277,18 +278,16 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs(a, b) -> (a, b, linked, lo, hi): exact verdicts, and bounds on the pair's Jaccard distance."""
+    """pairs(a, b) -> (a, b, linked), exactly."""
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
     thin = pairs.join(side("a", "n", "parity"), "a").join(side("b", "n", "parity"), "b")
-    screened = keep(thin.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(_screen(num, den), "a long, b long, least double, may boolean"), "screened")
+    screened = keep(thin.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(_screen(num, den), "a long, b long, may boolean"), "screened")
     full = screened.where("may").select("a", "b").join(side("a", "items"), "a").join(side("b", "items"), "b").select("a", "b", "items_a", "items_b")
     exact = full.mapInArrow(_overlap, "a long, b long, inter long, union_size long")
-    d = 1 - F.col("inter") / F.col("union_size")
-    sure = exact.select("a", "b", F.expr(f"{den} * inter >= {num} * union_size").alias("linked"), d.alias("lo"), d.alias("hi"))
-    return sure.unionAll(screened.where("not may").select("a", "b", F.lit(False), "least", F.lit(1.0)))
+    return exact.select("a", "b", F.expr(f"{den} * inter >= {num} * union_size").alias("linked")).unionAll(screened.where("not may").select("a", "b", F.lit(False)))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -322,7 +321,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     comp = components(links)
     groups = met.where("sig is not null")
     if groups.limit(1).count():
-        more = keep(_verify(_rest(groups, checked, comp, num, den), sets, num, den), "checked2")
+        more = keep(_verify(_rest(groups, checked, comp, sets, num, den), sets, num, den), "checked2")
         links = links.unionAll(more.where("linked").select("a", "b")).distinct()
         comp = components(links)
     rep_of = nodes.select(F.col("set_id").alias("component"), F.col("rep"))
@@ -337,20 +336,65 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     )
 
 
-def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+def _within(num: int, den: int):
+    """Rows of a block pair of one group, together -> pairs of different components that their parities allow to link."""
+
+    def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        width = min(len(r[7]) for r in rows)
+        par = np.empty((len(rows), width // 8), U64)
+        for i, r in enumerate(rows):
+            x = np.frombuffer(r[7], U64)
+            while len(x) > width // 8:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            par[i] = x
+        node, n = np.array([r[3] for r in rows]), np.array([r[6] for r in rows])
+        block, comp = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        mine, theirs, aside = block == rows[0][1], block == rows[0][2], np.array([r[8] for r in rows])
+        a, b = [], []
+        for i in np.flatnonzero(aside).tolist():
+            other = (comp != comp[i]) & (theirs if mine[i] else mine) & (~aside | (node > node[i]))
+            if rows[0][1] == rows[0][2]:
+                other &= mine
+            j = np.flatnonzero(other)
+            if len(j):
+                differ = np.bitwise_count(par[j] ^ par[i]).sum(axis=1, dtype=np.int64)
+                both = np.minimum((n[j] + n[i] - differ) // 2, np.minimum(n[j], n[i]))
+                j = j[den * both >= num * (n[j] + n[i] - both)]
+                a.append(np.full(len(j), node[i]))
+                b.append(node[j])
+        if not a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        x, y = np.concatenate(a), np.concatenate(b)
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        names = ("sig", "left", "right", "node", "block", "c", "n", "parity", "aside")
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if group and group[-1][:3] != row[:3]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(group)], names=["a", "b"])
+                    group = []
+                group.append(row)
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(group)], names=["a", "b"])
+
+    return run
+
+
+def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of large groups that may link and are not yet connected.
 
-    Jaccard distance is a metric, so a pair whose distances to their pivot differ by more than 1 - num/den
-    cannot link. Members of the group's largest component need no pairing with each other.
+    Members of a group's largest component need no pairing with each other. The others are held against the rest
+    by their parities, in blocks of at most about BLOCK members, a pair of blocks to a task; only pairs that can
+    reach the threshold leave it.
     """
-    member = groups.select("sig", "a", "b").join(checked.select("a", "b", "lo", "hi"), ["a", "b"], "left").select("sig", F.col("b").alias("node"), F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
-    member = keep(member.join(comp, "node", "left").select("sig", "node", "lo", "hi", F.coalesce("component", "node").alias("c")), "members")
+    member = groups.select("sig", F.col("b").alias("node")).join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    member = keep(member, "members")
     size = member.groupBy("sig", "c").agg(F.count("*").alias("k"))
-    main = size.groupBy("sig").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("sig", F.col("m.c").alias("main"))
-    open_ = member.join(main, "sig")
-    u = open_.where("c <> main").select("sig", F.col("node").alias("x"), F.col("lo").alias("lx"), F.col("hi").alias("hx"), F.col("c").alias("cx"))
-    v = open_.select("sig", F.col("node").alias("y"), F.col("lo").alias("ly"), F.col("hi").alias("hy"), F.col("c").alias("cy"), "main")
-    reach = 1 - num / den + 1e-9
-    found = u.join(v, "sig").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.col("lx") - F.col("hy") <= reach) & (F.col("ly") - F.col("hx") <= reach))
-    fresh = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    main = size.groupBy("sig").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"), F.sum("k").alias("g")).where("parts > 1").select("sig", F.col("m.c").alias("main"), F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    rows = member.join(main, "sig").join(sets.select("node", "n", "parity"), "node").withColumn("aside", F.col("c") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    dealt = rows.select("sig", "left", "right", "node", "block", "c", "n", "parity", "aside").repartition(partitions(groups.sparkSession), "sig", "left", "right").sortWithinPartitions("sig", "left", "right")
+    fresh = dealt.mapInArrow(_within(num, den), "a long, b long").distinct()
     return keep(fresh.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")

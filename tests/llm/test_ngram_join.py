@@ -4,6 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from plumbline.llm import ngram_join
 from plumbline.llm.ngram_join import allocation, band_edges, jaccard_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -59,8 +60,9 @@ def test_matches_brute_force(spark):
     assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
 
 
-def test_large_group_of_near_copies(spark):
+def test_large_group_of_near_copies(spark, monkeypatch):
     rows = corpus(5, 2, 90)
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
     assert run(spark, rows, 5, 80, 100) == brute(rows, 5, 80, 100)
 
 
