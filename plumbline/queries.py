@@ -91,6 +91,8 @@ program("bin_into_quartiles", "events", [NUM, _EV, "bin_into_quartiles"], "selec
 for _n, _f in TEMPLATES.items():
     QUERIES[f"tpl_{_n}"] = lambda spark, d, f=_f: f(line(spark, d))
 
+QUERIES["tpl_correlation_change_analysis"] = lambda spark, d: TEMPLATES["correlation_change_analysis"](table(spark, d, "lineitem").select(*LINE))
+
 _UN = "(unpivot (select l_quantity, l_extendedprice, l_discount, l_tax from line) on columns(*) into name name value v)"
 _PAIRS = "(select unnest([{'c': 'l_extendedprice,l_quantity', 'r': corr(l_quantity, l_extendedprice)}, {'c': 'l_discount,l_quantity', 'r': corr(l_quantity, l_discount)}, {'c': 'l_quantity,l_tax', 'r': corr(l_quantity, l_tax)}, {'c': 'l_discount,l_extendedprice', 'r': corr(l_extendedprice, l_discount)}, {'c': 'l_extendedprice,l_tax', 'r': corr(l_extendedprice, l_tax)}, {'c': 'l_discount,l_tax', 'r': corr(l_discount, l_tax)}]) as p from line)"
 _TOP = f"(select name from {_UN} group by 1 order by var_samp(v) desc limit 1)"
