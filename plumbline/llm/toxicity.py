@@ -56,14 +56,19 @@ def sentences(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _fit(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     entry_f, entry_s, sent_doc, ys = [], [], [], []
     docs = sents = 0
+    df, df1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b in slices(iter(batches)):
         data, starts = utf8(b.column("text"))
         f, s, d, _ = sentences(data, starts)
         key = np.unique(np.repeat(s, f.shape[1]) * BUCKETS + f.ravel())  # a feature counts once a sentence
-        entry_f.append(key % BUCKETS)
-        entry_s.append(key // BUCKETS + sents)
+        entry_f.append((key % BUCKETS).astype(np.int32))
+        entry_s.append((key // BUCKETS + sents).astype(np.int32))
+        y = np.asarray(b.column("y"))
+        once = np.unique(d[key // BUCKETS] * BUCKETS + key % BUCKETS)
+        np.add.at(df, once % BUCKETS, 1.0)
+        np.add.at(df1, once % BUCKETS, y[once // BUCKETS])
         sent_doc.append(d + docs)
-        ys.append(np.asarray(b.column("y")))
+        ys.append(y)
         docs += b.num_rows
         sents += len(d)
     w, bias = np.zeros(BUCKETS, np.float32), np.array([-6.0])
@@ -71,9 +76,6 @@ def _fit(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
         f, s, d, y = (np.concatenate(x) for x in (entry_f, entry_s, sent_doc, ys))
         n1 = y.sum()
         if 0 < n1 < docs:
-            pair = np.unique(f * docs + d[s])
-            df = np.bincount(pair // docs, minlength=BUCKETS)
-            df1 = np.bincount(pair // docs, weights=y[pair % docs], minlength=BUCKETS)
             rate = (df1 + 0.5) / (n1 + 1) / ((df - df1 + 0.5) / (docs - n1 + 1))
             used = np.flatnonzero((df1 >= 4) & (rate > 2))
             code = np.full(BUCKETS, -1)
