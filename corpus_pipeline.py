@@ -29,9 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of PASSAGE_BYTES or more that stand earlier in the corpus; whole characters only; n_chars follows."""
-    out = suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, keep_first=True)
-    text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", ""))
-    return out.withColumn("text", text).select("doc_id", "text", "row.*").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, keep_first=True, whole_chars=True)
+    rows = out.select("doc_id", F.col("kept").cast("string").alias("text"), "row.*")
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,29 +264,39 @@ def _merged(found: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(whole_chars: bool):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for b in batches:
-        cut, kept = [], []
-        for text, found in zip(b.column("text"), b.column("found").to_pylist(), strict=True):
-            raw, at, parts = memoryview(text.as_buffer()), 0, []
-            merged = _merged(found or [])
-            for x, y in merged:
-                parts.append(raw[at:x])
-                at = y
-            parts.append(raw[at:])
-            cut.append([{"start": x, "end": y} for x, y in merged])
-            kept.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([t.as_buffer().size for t in b.column("text")], pa.int64()), pa.array(cut, kind), pa.array(kept, pa.binary())], names=["doc_id", "row", "n_bytes", "spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut, kept = [], []
+            for text, found in zip(b.column("text"), b.column("found").to_pylist(), strict=True):
+                raw, at, parts, spans_ = memoryview(text.as_buffer()), 0, [], []
+                for x, y in _merged(found or []):
+                    while whole_chars and x < y and raw[x] & 0xC0 == 0x80:
+                        x += 1
+                    while whole_chars and x < y < len(raw) and raw[y] & 0xC0 == 0x80:
+                        y -= 1
+                    if x < y:
+                        parts.append(raw[at:x])
+                        spans_.append({"start": x, "end": y})
+                        at = y
+                parts.append(raw[at:])
+                cut.append(spans_)
+                kept.append(b"".join(parts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([t.as_buffer().size for t in b.column("text")], pa.int64()), pa.array(cut, kind), pa.array(kept, pa.binary())], names=["doc_id", "row", "n_bytes", "spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, whole_chars: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, row, n_bytes, spans array<struct<start, end>>, kept binary).
 
     A window is any `length` bytes of one text as UTF-8. With keep_first, bytes covered by a window that also
     starts earlier (by doc_id, then place in the text) are removed; otherwise bytes covered by a window that
     starts anywhere else. Windows are judged on the input and never cross texts; spans are the maximal removed
-    runs of bytes, kept the other bytes. `row` carries the other columns of docs as a struct. A null text is
+    runs of bytes, kept the other bytes; with whole_chars a span gives up bytes of characters that it would split,
+    so that kept is UTF-8 again. `row` carries the other columns of docs as a struct. A null text is
     empty; texts under `length` bytes lose nothing. Rows that repeat both doc_id and text are decided alike:
     among them keep_first counts one as the first. An empty table gives an empty table.
     """
@@ -321,4 +331,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True)
     found = found.unionAll(copies.select("doc_id", "text_id", "start", (F.col("start") + F.col("run") + length - 1).alias("end")))
     by_doc = found.groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     kind = dict(rows.dtypes)["row"]
-    return rows.join(by_doc, ["doc_id", "text_id"], "left").select("doc_id", "row", "text", "found").mapInArrow(_remove, f"doc_id long, row {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return rows.join(by_doc, ["doc_id", "text_id"], "left").select("doc_id", "row", "text", "found").mapInArrow(_remove(whole_chars), f"doc_id long, row {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
