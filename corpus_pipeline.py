@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, ngram_join, packing, suffix_dedup, toxicity
 from plumbline.llm.queries import table, tokenizer
-from plumbline.llm.runtime import keep
+from plumbline.llm.runtime import keep, without
 
 #: Bytes of a repeated passage; no passage of over 50 words is shorter in practice.
 PASSAGE_BYTES = 200
@@ -17,14 +17,13 @@ PASSAGE_BYTES = 200
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose chance of being toxic is 0.5 or more; learns from the labels of these documents."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.score(docs, model).where("score >= 0.5").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, toxicity.score(docs, model).where("score >= 0.5").select("doc_id"), "toxic")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group linked at 0.8 over five-word shingles."""
-    lead = ngram_join.jaccard_components(docs, 5, 80, 100).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(lead, "doc_id", "left_semi").select(*docs.columns)
+    groups = ngram_join.jaccard_components(docs, 5, 80, 100)
+    return without(docs, groups.where("doc_id <> component_id").select("doc_id"), "copies")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +35,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, as it is or with other numbers, names or units."""
-    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

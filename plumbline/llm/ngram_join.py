@@ -21,7 +21,9 @@ from .kernels import U64, mix, shingle_sets, word_hashes
 from .runtime import keep, partitions, ship, slices, utf8
 
 #: A signature's members up to so many are paired with each other; larger groups go through a pivot first.
-SMALL_GROUP = 24
+SMALL_GROUP = 8
+#: In large groups, how many candidates a set gets in each other component, round by round; the last round has no limit.
+ROUNDS = (2, 16, None)
 #: Members of a block when a larger group is compared by parities.
 BLOCK = 2000
 
@@ -69,6 +71,11 @@ def allocation(low: int, high: int, sets: int, num: int, den: int) -> tuple[int,
     return best[1]
 
 
+_PAIR = np.dtype([("sig", "<u8"), ("node", "<i8")])
+#: What travels: the bucket and 32 more bits tell signatures apart; a chance meeting is only a candidate that fails.
+_SENT = np.dtype([("sig", "<u4"), ("node", "<i8")])
+
+
 class _Plan:
     """What one band's allocation needs for every set: where segments begin, and their tags."""
 
@@ -136,11 +143,13 @@ def _emit(k: int, bands: list[tuple[int, int]], allocations: list[tuple[int, int
         def flush() -> pa.RecordBatch:
             pair = np.concatenate(held)
             held.clear()
-            bucket = ((pair[:, 0].view(U64) >> U64(20)) % U64(buckets)).astype(np.uint32 if buckets > 65535 else np.uint16)
+            bucket = (pair["sig"] % U64(buckets)).astype(np.uint32 if buckets > 65535 else np.uint16)
             order = np.argsort(bucket, kind="stable")
             pair, bucket = pair[order], bucket[order]
             cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            blobs = [pair[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            sent = np.empty(len(pair), _SENT)
+            sent["sig"], sent["node"] = pair["sig"] >> U64(32), pair["node"]
+            blobs = [sent[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for b in slices(batches):
@@ -164,7 +173,9 @@ def _emit(k: int, bands: list[tuple[int, int]], allocations: list[tuple[int, int
                     owner.append((own, sum(len(x) for x, _ in found)))
             if raw:
                 sig = mix(mix(np.concatenate([x for x, _ in raw])) + np.concatenate([n for _, n in raw]).astype(U64))
-                held.append(np.column_stack([sig.view(np.int64), np.repeat(np.array([x for x, _ in owner]), np.array([n for _, n in owner]))]))
+                pair = np.empty(len(sig), _PAIR)
+                pair["sig"], pair["node"] = sig, np.repeat(np.array([x for x, _ in owner]), np.array([n for _, n in owner]))
+                held.append(pair)
             if sum(map(len, held)) > 500_000:
                 yield flush()
         if held:
@@ -177,14 +188,15 @@ def _meet(small: int):
     """Per partition: signatures that two or more sets share, as candidate pairs and as members of large groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for b in batches for x in b.column("blob")]
+        parts = [(k, np.frombuffer(x.as_buffer(), _SENT)) for b in batches for k, x in zip(b.column("bucket").to_pylist(), b.column("blob"), strict=True)]
         if not parts:
             return
-        pair = np.concatenate(parts)
+        sig = np.concatenate([(x["sig"].astype(np.int64) << 24) + k for k, x in parts])
+        node = np.concatenate([x["node"] for _, x in parts])
         del parts
-        order = np.argsort(pair[:, 0], kind="stable")
-        sig, node = pair[order, 0], pair[order, 1]
-        del pair, order
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        del order
         alone = np.ones(len(sig), bool)
         same = sig[1:] == sig[:-1]
         alone[1:] &= ~same
@@ -319,11 +331,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     checked = keep(_verify(pairs, sets, num, den), "checked")
     links = checked.where("linked").select("a", "b")
     comp = components(links)
-    groups = met.where("sig is not null")
-    if groups.limit(1).count():
-        more = keep(_verify(_rest(groups, checked, comp, sets, num, den), sets, num, den), "checked2")
-        links = links.unionAll(more.where("linked").select("a", "b")).distinct()
-        comp = components(links)
+    groups = met.where("sig is not null").select("sig", F.col("b").alias("node"))
+    for limit in ROUNDS if groups.limit(1).count() else ():
+        fresh = _rest(groups, checked, comp, sets, num, den, limit)
+        if not fresh.limit(1).count():
+            continue
+        more = keep(_verify(fresh, sets, num, den), "checked")
+        checked = checked.unionAll(more)
+        if more.where("linked").limit(1).count():
+            links = links.unionAll(more.where("linked").select("a", "b"))
+            comp = components(links)
     rep_of = nodes.select(F.col("set_id").alias("component"), F.col("rep"))
     lead = comp.join(rep_of, F.col("node") == rep_of["component"]).groupBy(comp["component"]).agg(F.min("rep").alias("lead"))
     by_node = comp.join(lead, "component").select(F.col("node").alias("set_id"), "lead")
@@ -336,8 +353,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     )
 
 
-def _within(num: int, den: int):
-    """Rows of a block pair of one group, together -> pairs of different components that their parities allow to link."""
+def _within(num: int, den: int, limit: int | None):
+    """Rows of a block pair of one group, together -> pairs of different components that their parities allow to link;
+    of a set's candidates in one other component the `limit` likeliest."""
 
     def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         width = min(len(r[7]) for r in rows)
@@ -359,7 +377,14 @@ def _within(num: int, den: int):
             if len(j):
                 differ = np.bitwise_count(par[j] ^ par[i]).sum(axis=1, dtype=np.int64)
                 both = np.minimum((n[j] + n[i] - differ) // 2, np.minimum(n[j], n[i]))
-                j = j[den * both >= num * (n[j] + n[i] - both)]
+                ok = den * both >= num * (n[j] + n[i] - both)
+                j, both = j[ok], both[ok]
+                if limit is not None and len(j) > limit:
+                    order = np.lexsort((node[j], n[j] - both, comp[j]))
+                    c = comp[j][order]
+                    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+                    place = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+                    j = j[order[place < limit]]
                 a.append(np.full(len(j), node[i]))
                 b.append(node[j])
         if not a:
@@ -382,19 +407,19 @@ def _within(num: int, den: int):
     return run
 
 
-def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of large groups that may link and are not yet connected.
+def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int, limit: int | None) -> DataFrame:
+    """Pairs of large groups that may link, are not yet connected and not yet checked.
 
     Members of a group's largest component need no pairing with each other. The others are held against the rest
     by their parities, in blocks of at most about BLOCK members, a pair of blocks to a task; only pairs that can
     reach the threshold leave it.
     """
-    member = groups.select("sig", F.col("b").alias("node")).join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    member = groups.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     member = keep(member, "members")
     size = member.groupBy("sig", "c").agg(F.count("*").alias("k"))
     main = size.groupBy("sig").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"), F.sum("k").alias("g")).where("parts > 1").select("sig", F.col("m.c").alias("main"), F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     rows = member.join(main, "sig").join(sets.select("node", "n", "parity"), "node").withColumn("aside", F.col("c") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
     dealt = rows.select("sig", "left", "right", "node", "block", "c", "n", "parity", "aside").repartition(partitions(groups.sparkSession), "sig", "left", "right").sortWithinPartitions("sig", "left", "right")
-    fresh = dealt.mapInArrow(_within(num, den), "a long, b long").distinct()
+    fresh = dealt.mapInArrow(_within(num, den, limit), "a long, b long").distinct()
     return keep(fresh.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")

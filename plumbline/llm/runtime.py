@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one pass of the numpy kernels takes at once; a longer document is a pass of its own.
 SLICE_BYTES = 400_000
@@ -53,6 +54,16 @@ def ship(spark: SparkSession) -> None:
     sc._plumbline_shipped = True
 
 
+#: Ids that a join may broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """docs whose doc_id is not in ids(doc_id)."""
+    ids = keep(ids.distinct(), name)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
