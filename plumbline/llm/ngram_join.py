@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, mix, shingle_sets, word_hashes
-from .runtime import keep, partitions, ship, slices, utf8
+from .runtime import BROADCAST_IDS, keep, partitions, ship, slices, utf8
 
 #: A signature's members up to so many are paired with each other; larger groups go through a pivot first.
 SMALL_GROUP = 8
@@ -327,6 +327,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     pairs = keep(met.where("sig is null or a <> b").select("a", "b").distinct(), "pairs")
     used = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
     reps = nodes.join(used, "set_id", "left_semi").select(F.col("rep").alias("doc_id"), F.col("set_id").alias("node"))
+    reps = keep(reps, "reps")
+    reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps  # saves a shuffle of all texts
     sets = keep(rows.join(reps, "doc_id").select("node", "text").mapInArrow(_texts_to_sets(shingle), "node long, n long, parity binary, items binary").dropDuplicates(["node"]), "items")
     checked = keep(_verify(pairs, sets, num, den), "checked")
     links = checked.where("linked").select("a", "b")
