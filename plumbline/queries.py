@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalog
+from .operators.profile import column_profile
 from .plans.templates import TEMPLATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,11 @@ for _n, _s in {
     "identifier_like_columns": "select (count(*) filter (where u >= 0.98 * n))::bigint as count, coalesce(string_agg(c, ',' order by c) filter (where u >= 0.98 * n), '') as columns from (" + " union all ".join(f"select '{c}' as c, count(distinct {c}) + max(({c} is null)::int) as u, count(*) as n from line" for c in LINE) + ")",
 }.items():
     ORACLE_SQL[f"tpl_{_n}"] = WITH + _s
+
+QUERIES["profile_columns"] = lambda spark, d: column_profile(line(spark, d))
+ORACLE_SQL["profile_columns"] = WITH + " union all ".join(
+    f"select '{c}' as \"column\", 'numeric' as kind, count(*) - count({c}) as missing_count, round(avg(({c} is null)::int) * 100, 2) as missing_pct, count(distinct {c}) as unique_count, round(avg({c}), 3) as mean, round(stddev_samp({c}), 3) as std, round(min({c}), 3) as min, round(quantile_cont({c}, 0.25), 3) as q25, round(median({c}), 3) as median, round(quantile_cont({c}, 0.75), 3) as q75, round(max({c}), 3) as max, round(skewness({c}), 3) as skew from line"
+    if i < 4
+    else f"select '{c}', 'categorical', count(*) - count({c}), round(avg(({c} is null)::int) * 100, 2), count(distinct {c}), null, null, null, null, null, null, null, null from line"
+    for i, c in enumerate(LINE)
+)
