@@ -243,6 +243,9 @@ def _texts_to_sets(k: int):
         for b in slices(batches):
             data, starts = utf8(b.column("text"))
             sets = shingle_sets(*word_hashes(data, starts), k)
+            mine = _set_ids(sets)[2] == np.asarray(b.column("node"))  # other rows of a repeated doc_id may hold other texts
+            b = b.filter(pa.array(mine))
+            sets = [x for x, own in zip(sets, mine.tolist(), strict=True) if own]
             parity = []
             for s in sets:
                 bits = 1 << max(6, (4 * len(s) - 1).bit_length())
@@ -292,12 +295,15 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """pairs(a, b) -> (a, b, linked), exactly."""
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+    def side(name: str, *columns: str, of: DataFrame = sets) -> DataFrame:
+        return of.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
     thin = pairs.join(side("a", "n", "parity"), "a").join(side("b", "n", "parity"), "b")
     screened = keep(thin.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(_screen(num, den), "a long, b long, may boolean"), "screened")
-    full = screened.where("may").select("a", "b").join(side("a", "items"), "a").join(side("b", "items"), "b").select("a", "b", "items_a", "items_b")
+    near = screened.where("may").select("a", "b")
+    used = keep(near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct(), "used")
+    items = sets.join(F.broadcast(used), "node", "left_semi") if used.count() <= BROADCAST_IDS else sets  # only these travel
+    full = near.join(side("a", "items", of=items), "a").join(side("b", "items", of=items), "b").select("a", "b", "items_a", "items_b")
     exact = full.mapInArrow(_overlap, "a long, b long, inter long, union_size long")
     return exact.select("a", "b", F.expr(f"{den} * inter >= {num} * union_size").alias("linked")).unionAll(screened.where("not may").select("a", "b", F.lit(False)))
 
@@ -329,7 +335,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     reps = nodes.join(used, "set_id", "left_semi").select(F.col("rep").alias("doc_id"), F.col("set_id").alias("node"))
     reps = keep(reps, "reps")
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps  # saves a shuffle of all texts
-    sets = keep(rows.join(reps, "doc_id").select("node", "text").mapInArrow(_texts_to_sets(shingle), "node long, n long, parity binary, items binary").dropDuplicates(["node"]), "items")
+    sets = keep(rows.join(reps, "doc_id").select("node", "text").mapInArrow(_texts_to_sets(shingle), "node long, n long, parity binary, items binary"), "items")
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():  # only where rows repeat with their doc_id
+        sets = keep(sets.dropDuplicates(["node"]), "items")
     checked = keep(_verify(pairs, sets, num, den), "checked")
     links = checked.where("linked").select("a", "b")
     comp = components(links)
@@ -356,26 +364,22 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
 
 
 def _within(num: int, den: int, limit: int | None):
-    """Rows of a block pair of one group, together -> pairs of different components that their parities allow to link;
-    of a set's candidates in one other component the `limit` likeliest."""
+    """Rows of one (group, block of queries, block of members) together -> pairs of different components that their
+    parities allow to link; of a query's candidates in one other component the `limit` likeliest."""
 
     def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        width = min(len(r[7]) for r in rows)
+        width = min(len(r[6]) for r in rows)
         par = np.empty((len(rows), width // 8), U64)
         for i, r in enumerate(rows):
-            x = np.frombuffer(r[7], U64)
+            x = np.frombuffer(r[6], U64)
             while len(x) > width // 8:
                 x = x[: len(x) // 2] ^ x[len(x) // 2 :]
             par[i] = x
-        node, n = np.array([r[3] for r in rows]), np.array([r[6] for r in rows])
-        block, comp = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        mine, theirs, aside = block == rows[0][1], block == rows[0][2], np.array([r[8] for r in rows])
+        node, comp, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
+        query, aside = np.array([r[7] for r in rows]), np.array([r[8] for r in rows])
         a, b = [], []
-        for i in np.flatnonzero(aside).tolist():
-            other = (comp != comp[i]) & (theirs if mine[i] else mine) & (~aside | (node > node[i]))
-            if rows[0][1] == rows[0][2]:
-                other &= mine
-            j = np.flatnonzero(other)
+        for i in np.flatnonzero(query).tolist():
+            j = np.flatnonzero(~query & (comp != comp[i]) & (~aside | (node > node[i])))
             if len(j):
                 differ = np.bitwise_count(par[j] ^ par[i]).sum(axis=1, dtype=np.int64)
                 both = np.minimum((n[j] + n[i] - differ) // 2, np.minimum(n[j], n[i]))
@@ -396,7 +400,7 @@ def _within(num: int, den: int, limit: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        names = ("sig", "left", "right", "node", "block", "c", "n", "parity", "aside")
+        names = ("sig", "left", "right", "node", "c", "n", "parity", "query", "aside")
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if group and group[-1][:3] != row[:3]:
@@ -412,16 +416,19 @@ def _within(num: int, den: int, limit: int | None):
 def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int, limit: int | None) -> DataFrame:
     """Pairs of large groups that may link, are not yet connected and not yet checked.
 
-    Members of a group's largest component need no pairing with each other. The others are held against the rest
-    by their parities, in blocks of at most about BLOCK members, a pair of blocks to a task; only pairs that can
-    reach the threshold leave it.
+    Members of a group's largest component need no pairing with each other. The others are queries: in blocks of
+    about BLOCK they are held against the group's members, also in blocks, by their parities; only pairs that can
+    reach the threshold leave a task. A member travels once a block of queries, a query once a block of members.
     """
     member = groups.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     member = keep(member, "members")
     size = member.groupBy("sig", "c").agg(F.count("*").alias("k"))
-    main = size.groupBy("sig").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"), F.sum("k").alias("g")).where("parts > 1").select("sig", F.col("m.c").alias("main"), F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
-    rows = member.join(main, "sig").join(sets.select("node", "n", "parity"), "node").withColumn("aside", F.col("c") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    dealt = rows.select("sig", "left", "right", "node", "block", "c", "n", "parity", "aside").repartition(partitions(groups.sparkSession), "sig", "left", "right").sortWithinPartitions("sig", "left", "right")
+    main = size.groupBy("sig").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"), F.sum("k").alias("g")).where("parts > 1")
+    main = main.select("sig", F.col("m.c").alias("main"), F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("g") - F.col("m.k")) / BLOCK).cast("int").alias("query_blocks"))
+    rows = member.join(main, "sig").join(sets.select("node", "n", "parity"), "node").withColumn("aside", F.col("c") != F.col("main")).withColumn("h", F.xxhash64("node"))
+    members = rows.withColumns({"query": F.lit(False), "left": F.explode(F.expr("sequence(0, query_blocks - 1)")), "right": F.expr("cast(pmod(h, blocks) as int)")})
+    queries = rows.where("aside").withColumns({"query": F.lit(True), "left": F.expr("cast(pmod(h, query_blocks) as int)"), "right": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    columns = ("sig", "left", "right", "node", "c", "n", "parity", "query", "aside")
+    dealt = members.select(*columns).unionAll(queries.select(*columns)).repartition(partitions(groups.sparkSession), "sig", "left", "right").sortWithinPartitions("sig", "left", "right")
     fresh = dealt.mapInArrow(_within(num, den, limit), "a long, b long").distinct()
     return keep(fresh.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
