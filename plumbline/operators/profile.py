@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import NUMERIC, adjusted_skew
@@ -32,3 +32,26 @@ def column_profile(df: DataFrame) -> DataFrame:
             ).alias(f"c{i}")
         )
     return df.agg(*fields).select(F.explode(F.array(*[f"c{i}" for i in range(len(fields))])).alias("p")).select("p.*")
+
+
+def top_values(df: DataFrame, k: int = 5) -> DataFrame:
+    """(column, value, count, place): the k most frequent values of each text column, nulls left out; ties go by value."""
+    names = [c for c, t in df.dtypes if t == "string"]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, value string, count long, place int")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names])
+    counts = df.select(F.explode(cells).alias("x")).select("x.*").where("value is not null").groupBy("column", "value").count()
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
+    return counts.withColumn("place", place).where(F.col("place") <= k)
+
+
+def strongest_correlations(df: DataFrame, k: int = 5) -> DataFrame:
+    """(col1, col2, correlation): the k pairs of numeric columns with the largest absolute Pearson correlation, from one
+    aggregate over the table. A pair counts the rows where both are present; undefined correlations are left out."""
+    names = [c for c, t in df.dtypes if t in NUMERIC]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "col1 string, col2 string, correlation double")
+    cells = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.abs(F.corr(a, b)).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    rows = df.agg(*cells).select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
+    return rows.where("r is not null and not isnan(r)").orderBy(F.desc("r"), "col1", "col2").limit(k).select("col1", "col2", F.round("r", 3).alias("correlation"))

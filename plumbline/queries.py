@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalog
-from .operators.profile import column_profile
+from .operators.profile import column_profile, strongest_correlations, top_values
 from .plans.templates import TEMPLATES
+from .records.context import prune_context
+from .records.splits import stratified_split
+from .records.summaries import pass_rates, timings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,3 +130,23 @@ ORACLE_SQL["profile_columns"] = WITH + " union all ".join(
     else f"select '{c}', 'categorical', count(*) - count({c}), round(avg(({c} is null)::int) * 100, 2), count(distinct {c}), null, null, null, null, null, null, null, null from line"
     for i, c in enumerate(LINE)
 )
+
+QUERIES["profile_top_values"] = lambda spark, d: top_values(line(spark, d))
+ORACLE_SQL["profile_top_values"] = WITH + 'select name as "column", v as value, n as count, place from (select *, row_number() over (partition by name order by n desc, v) as place from (select name, v, count(*) as n from (unpivot (select l_returnflag, l_linestatus from line) on columns(*) into name name value v) group by 1, 2)) where place <= 5'
+QUERIES["profile_correlations"] = lambda spark, d: strongest_correlations(line(spark, d))
+ORACLE_SQL["profile_correlations"] = WITH + " union all ".join(f"select * from (select '{a}' as col1, '{b}' as col2, round(abs(corr({a}, {b})), 3) as correlation, abs(corr({a}, {b})) as r from line)" for i, a in enumerate(LINE[:4]) for b in LINE[i + 1 : 4])
+ORACLE_SQL["profile_correlations"] = WITH + "select col1, col2, correlation from (" + ORACLE_SQL["profile_correlations"].removeprefix(WITH) + ") order by r desc, col1, col2 limit 5"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+
+
+QUERIES["rec_pass_rates"] = lambda spark, d: pass_rates(labelled(spark, d), "lang", "quality")
+ORACLE_SQL["rec_pass_rates"] = "with r as (select coalesce(lang, '(null)') as grp, coalesce(quality = 1, false) as ok from documents join labels using (doc_id)) select coalesce(grp, '(all)') as grp, count(*) as total, count(*) filter (where ok) as passed, count(*) filter (where not ok) as failed, round(avg(ok::int), 4) as pass_rate from r group by grouping sets ((grp), ()) having count(*) > 0"
+QUERIES["rec_timings"] = lambda spark, d: timings(table(spark, d, "events"), "event_type", "value")
+ORACLE_SQL["rec_timings"] = "with r as (select coalesce(event_type, '(null)') as grp, list_sort(list(value)) as l, count(*) as n, avg(value) as m from events where value is not null group by 1), q as (select *, l[n // 2 + 1] as p50 from r) select grp, n, round(m, 3) as mean, round(p50, 3) as p50, round(case when n > 20 then l[floor(n * 0.95::double)::bigint + 1] else l[n] end, 3) as p95, round(l[n], 3) as max, len(list_filter(l, lambda x: x > 3 * p50)) as n_outliers from q"
+QUERIES["rec_stratified_split"] = lambda spark, d: stratified_split(labelled(spark, d), "doc_id", "lang")
+ORACLE_SQL["rec_stratified_split"] = "with r as (select doc_id, coalesce(lang, 'UNKNOWN') as lang from documents join labels using (doc_id)), p as (select *, row_number() over (partition by lang order by substr(md5(doc_id::varchar), 1, 12), doc_id) - 1 as k, count(*) over (partition by lang) as n from r) select doc_id, lang, case when n <= 2 or k < greatest(1, floor(n * 0.8::double)) then 'train' when k < greatest(1, floor(n * 0.8::double)) + floor(n * 0.1::double) then 'val' else 'test' end as split from p"
+QUERIES["rec_prune_context"] = lambda spark, d: prune_context(table(spark, d, "conversations"), 1000, 4).select("conv_id", "turn", "role", "tokens", "kept")
+ORACLE_SQL["rec_prune_context"] = "with r as (select *, coalesce(length(text), 0) // 4 as tokens, coalesce(role = 'system', false) as s from conversations), p as (select *, sum(case when s then 0 else 1 end) over w as k, sum(case when s then 0 else tokens end) over w as t, sum(case when s then tokens else 0 end) over (partition by conv_id) as st from r window w as (partition by conv_id order by turn desc, role, text rows unbounded preceding)) select conv_id, turn, role, tokens, s or (k <= 4 and (k <= 2 or st + t <= 1000)) as kept from p"
