@@ -38,11 +38,11 @@ def top_values(df: DataFrame, k: int = 5) -> DataFrame:
     """(column, value, count, place): the k most frequent values of each text column, nulls left out; ties go by value."""
     names = [c for c, t in df.dtypes if t == "string"]
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, value string, count long, place int")
+        return df.sparkSession.createDataFrame([], "column string, value string, count long, place long")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names])
     counts = df.select(F.explode(cells).alias("x")).select("x.*").where("value is not null").groupBy("column", "value").count()
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
-    return counts.withColumn("place", place).where(F.col("place") <= k)
+    return counts.withColumn("place", place.cast("long")).where(F.col("place") <= k)
 
 
 def strongest_correlations(df: DataFrame, k: int = 5) -> DataFrame:
