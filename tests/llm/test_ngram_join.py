@@ -80,3 +80,11 @@ def test_allocation_leaves_a_whole_segment(size, sets, t):
     exact, neighbours, spare, _ = allocation(low, high, sets, *t)
     most = max((t[1] - t[0]) * (x + y) // (t[1] + t[0]) for x in (low, high) for y in (x, x * t[1] // t[0]))
     assert exact - spare + 2 * neighbours > most
+
+
+def test_repeated_ids_and_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (None, a + " x z"), (4, "c d e")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect())
+    assert [x for x in got if x[0]] == [(1, 56, 1), (1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (3, 57, 1), (4, 1, 4)]
+    assert len(got) == len(rows)
