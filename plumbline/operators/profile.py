@@ -55,3 +55,17 @@ def strongest_correlations(df: DataFrame, k: int = 5) -> DataFrame:
     cells = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.abs(F.corr(a, b)).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
     rows = df.agg(*cells).select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
     return rows.where("r is not null and not isnan(r)").orderBy(F.desc("r"), "col1", "col2").limit(k).select("col1", "col2", F.round("r", 3).alias("correlation"))
+
+
+def quality_issues(df: DataFrame) -> DataFrame:
+    """(issue, column, n): 'duplicate_rows' with the rows that repeat an earlier one, 'empty_column' with its nulls,
+    'unique_text' for text columns whose values all differ, with their number. Issues that don't occur have no row."""
+    whole = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n")).select(F.lit("duplicate_rows").alias("issue"), F.lit(None).cast("string").alias("column"), "n")
+    cells = []
+    for i, (c, t) in enumerate(df.dtypes):
+        unique = F.count_distinct(c) if t == "string" else F.lit(-1).cast("long")
+        cells.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count(c).alias("present"), unique.alias("distinct")).alias(f"c{i}"))
+    told = df.agg(*cells).select(F.explode(F.array(*[f"c{i}" for i in range(len(cells))])).alias("x")).select("x.*").where("rows > 0")
+    empty = told.where("present = 0").select(F.lit("empty_column").alias("issue"), "column", F.col("rows").alias("n"))
+    unique = told.where("distinct = rows").select(F.lit("unique_text").alias("issue"), "column", F.col("rows").alias("n"))
+    return whole.where("n > 0").unionAll(empty).unionAll(unique)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalog
-from .operators.profile import column_profile, strongest_correlations, top_values
+from .operators.profile import column_profile, quality_issues, strongest_correlations, top_values
 from .plans.templates import TEMPLATES
 from .records.context import prune_context
 from .records.splits import stratified_split
@@ -150,3 +150,5 @@ QUERIES["rec_stratified_split"] = lambda spark, d: stratified_split(labelled(spa
 ORACLE_SQL["rec_stratified_split"] = "with r as (select doc_id, coalesce(lang, 'UNKNOWN') as lang from documents join labels using (doc_id)), p as (select *, row_number() over (partition by lang order by substr(md5(doc_id::varchar), 1, 12), doc_id) - 1 as k, count(*) over (partition by lang) as n from r) select doc_id, lang, case when n <= 2 or k < greatest(1, floor(n * 0.8::double)) then 'train' when k < greatest(1, floor(n * 0.8::double)) + floor(n * 0.1::double) then 'val' else 'test' end as split from p"
 QUERIES["rec_prune_context"] = lambda spark, d: prune_context(table(spark, d, "conversations"), 1000, 4).select("conv_id", "turn", "role", "tokens", "kept")
 ORACLE_SQL["rec_prune_context"] = "with r as (select *, coalesce(length(text), 0) // 4 as tokens, coalesce(role = 'system', false) as s from conversations), p as (select *, sum(case when s then 0 else 1 end) over w as k, sum(case when s then 0 else tokens end) over w as t, sum(case when s then tokens else 0 end) over (partition by conv_id) as st from r window w as (partition by conv_id order by turn desc, role, text rows unbounded preceding)) select conv_id, turn, role, tokens, s or (k <= 4 and (k <= 2 or st + t <= 1000)) as kept from p"
+QUERIES["profile_quality_issues"] = lambda spark, d: quality_issues(table(spark, d, "customer").select("c_name", "c_nationkey", "c_mktsegment"))
+ORACLE_SQL["profile_quality_issues"] = "select * from (select 'duplicate_rows' as issue, null::varchar as \"column\", coalesce(sum(n - 1), 0)::bigint as n from (select count(*) as n from customer group by c_name, c_nationkey, c_mktsegment) union all select 'unique_text', 'c_name', case when count(distinct c_name) = count(*) then count(*) else 0 end from customer union all select 'unique_text', 'c_mktsegment', case when count(distinct c_mktsegment) = count(*) then count(*) else 0 end from customer) where n > 0"

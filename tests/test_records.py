@@ -2,18 +2,19 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from plumbline.operators.profile import quality_issues
 from plumbline.records.context import prune_context
 from plumbline.records.splits import stratified_split
 from plumbline.records.summaries import pass_rates, timings
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["profile_top_values", "profile_correlations", "rec_pass_rates", "rec_timings", "rec_stratified_split", "rec_prune_context"]
+NAMES = ["profile_top_values", "profile_quality_issues", "profile_correlations", "rec_pass_rates", "rec_timings", "rec_stratified_split", "rec_prune_context"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events", "documents", "labels", "conversations"):
+    for t in ("lineitem", "events", "customer", "documents", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     rel = con.execute(entry.oracle_sql()[name])
@@ -32,3 +33,10 @@ def test_small_cases(spark):
     assert kept == {(1, 0): True, (1, 1): False, (1, 2): True, (1, 3): True, (None, 0): True}
     empty = spark.createDataFrame([], "g string, v double, ok int")
     assert pass_rates(empty, "g", "ok").count() == 0 and timings(empty, "g", "v").count() == 0
+
+
+def test_quality_issues(spark):
+    df = spark.createDataFrame([("x", None, 1), ("y", None, 2)], "a string, b string, c int")
+    assert {tuple(r) for r in quality_issues(df).collect()} == {("empty_column", "b", 2), ("unique_text", "a", 2)}
+    assert {tuple(r) for r in quality_issues(df.select("b")).collect()} == {("duplicate_rows", None, 1), ("empty_column", "b", 2)}
+    assert quality_issues(df.limit(0)).count() == 0
