@@ -246,11 +246,13 @@ def _texts_to_sets(k: int):
             mine = _set_ids(sets)[2] == np.asarray(b.column("node"))  # other rows of a repeated doc_id may hold other texts
             b = b.filter(pa.array(mine))
             sets = [x for x, own in zip(sets, mine.tolist(), strict=True) if own]
-            parity = []
+            parity, coarse = [], []
             for s in sets:
-                bits = 1 << max(6, (4 * len(s) - 1).bit_length())
-                parity.append(np.packbits((np.bincount((s % U64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(parity, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "parity", "items"])
+                few, bits = (1 << max(6, (k * len(s) - 1).bit_length()) for k in (1, 4))
+                odd = (np.bincount((s % U64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+                parity.append(np.packbits(odd).tobytes())
+                coarse.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, few))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(parity, pa.binary()), pa.array(coarse, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "parity", "coarse", "items"])
 
     return run
 
@@ -335,7 +337,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     reps = nodes.join(used, "set_id", "left_semi").select(F.col("rep").alias("doc_id"), F.col("set_id").alias("node"))
     reps = keep(reps, "reps")
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps  # saves a shuffle of all texts
-    sets = keep(rows.join(reps, "doc_id").select("node", "text").mapInArrow(_texts_to_sets(shingle), "node long, n long, parity binary, items binary"), "items")
+    sets = keep(rows.join(reps, "doc_id").select("node", "text").mapInArrow(_texts_to_sets(shingle), "node long, n long, parity binary, coarse binary, items binary"), "items")
     if sets.groupBy("node").count().where("count > 1").limit(1).count():  # only where rows repeat with their doc_id
         sets = keep(sets.dropDuplicates(["node"]), "items")
     checked = keep(_verify(pairs, sets, num, den), "checked")
@@ -417,15 +419,16 @@ def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, sets: DataFram
     """Pairs of large groups that may link, are not yet connected and not yet checked.
 
     Members of a group's largest component need no pairing with each other. The others are queries: in blocks of
-    about BLOCK they are held against the group's members, also in blocks, by their parities; only pairs that can
-    reach the threshold leave a task. A member travels once a block of queries, a query once a block of members.
+    about BLOCK they are held against the group's members, also in blocks, by their coarse parities (a bit or two a
+    shingle, since a member travels with every group); only pairs that can reach the threshold leave a task. A member
+    travels once a block of queries, a query once a block of members.
     """
     member = groups.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     member = keep(member, "members")
     size = member.groupBy("sig", "c").agg(F.count("*").alias("k"))
     main = size.groupBy("sig").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"), F.sum("k").alias("g")).where("parts > 1")
     main = main.select("sig", F.col("m.c").alias("main"), F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("g") - F.col("m.k")) / BLOCK).cast("int").alias("query_blocks"))
-    rows = member.join(main, "sig").join(sets.select("node", "n", "parity"), "node").withColumn("aside", F.col("c") != F.col("main")).withColumn("h", F.xxhash64("node"))
+    rows = member.join(main, "sig").join(sets.select("node", "n", F.col("coarse").alias("parity")), "node").withColumn("aside", F.col("c") != F.col("main")).withColumn("h", F.xxhash64("node"))
     members = rows.withColumns({"query": F.lit(False), "left": F.explode(F.expr("sequence(0, query_blocks - 1)")), "right": F.expr("cast(pmod(h, blocks) as int)")})
     queries = rows.where("aside").withColumns({"query": F.lit(True), "left": F.expr("cast(pmod(h, query_blocks) as int)"), "right": F.explode(F.expr("sequence(0, blocks - 1)"))})
     columns = ("sig", "left", "right", "node", "c", "n", "parity", "query", "aside")
