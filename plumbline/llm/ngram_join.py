@@ -344,8 +344,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     links = checked.where("linked").select("a", "b")
     comp = components(links)
     groups = met.where("sig is not null").select("sig", F.col("b").alias("node"))
-    for limit in ROUNDS if groups.limit(1).count() else ():
-        fresh = _rest(groups, checked, comp, sets, num, den, limit)
+    for limit in ROUNDS:
+        if not groups.limit(1).count():
+            break
+        fresh, groups = _rest(groups, checked, comp, sets, num, den, limit)
         if not fresh.limit(1).count():
             continue
         more = keep(_verify(fresh, sets, num, den), "checked")
@@ -367,9 +369,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
 
 def _within(num: int, den: int, limit: int | None):
     """Rows of one (group, block of queries, block of members) together -> pairs of different components that their
-    parities allow to link; of a query's candidates in one other component the `limit` likeliest."""
+    parities allow to link; of a query's candidates in one other component the `limit` likeliest. A row with `more`
+    names a group that has others."""
 
-    def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
         width = min(len(r[6]) for r in rows)
         par = np.empty((len(rows), width // 8), U64)
         for i, r in enumerate(rows):
@@ -379,7 +382,7 @@ def _within(num: int, den: int, limit: int | None):
             par[i] = x
         node, comp, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
         query, aside = np.array([r[7] for r in rows]), np.array([r[8] for r in rows])
-        a, b = [], []
+        a, b, more = [], [], []
         for i in np.flatnonzero(query).tolist():
             j = np.flatnonzero(~query & (comp != comp[i]) & (~aside | (node > node[i])))
             if len(j):
@@ -392,13 +395,15 @@ def _within(num: int, den: int, limit: int | None):
                     c = comp[j][order]
                     first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
                     place = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+                    if place.max() >= limit:
+                        more = [rows[0][0]]
                     j = j[order[place < limit]]
                 a.append(np.full(len(j), node[i]))
                 b.append(node[j])
-        if not a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        x, y = np.concatenate(a), np.concatenate(b)
-        return np.minimum(x, y), np.maximum(x, y)
+        x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (a, b))
+        none = pa.nulls(len(more), pa.int64())
+        columns = [pa.concat_arrays([pa.array(z(x, y)), none]) for z in (np.minimum, np.maximum)]
+        return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(more, pa.int64())])], names=["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -406,17 +411,17 @@ def _within(num: int, den: int, limit: int | None):
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if group and group[-1][:3] != row[:3]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(group)], names=["a", "b"])
+                    yield solve(group)
                     group = []
                 group.append(row)
         if group:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(group)], names=["a", "b"])
+            yield solve(group)
 
     return run
 
 
-def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int, limit: int | None) -> DataFrame:
-    """Pairs of large groups that may link, are not yet connected and not yet checked.
+def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of large groups that may link, are not yet connected and not yet checked; and the groups that have more.
 
     Members of a group's largest component need no pairing with each other. The others are queries: in blocks of
     about BLOCK they are held against the group's members, also in blocks, by their coarse parities (a bit or two a
@@ -433,5 +438,6 @@ def _rest(groups: DataFrame, checked: DataFrame, comp: DataFrame, sets: DataFram
     queries = rows.where("aside").withColumns({"query": F.lit(True), "left": F.expr("cast(pmod(h, query_blocks) as int)"), "right": F.explode(F.expr("sequence(0, blocks - 1)"))})
     columns = ("sig", "left", "right", "node", "c", "n", "parity", "query", "aside")
     dealt = members.select(*columns).unionAll(queries.select(*columns)).repartition(partitions(groups.sparkSession), "sig", "left", "right").sortWithinPartitions("sig", "left", "right")
-    fresh = dealt.mapInArrow(_within(num, den, limit), "a long, b long").distinct()
-    return keep(fresh.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    found = keep(dealt.mapInArrow(_within(num, den, limit), "a long, b long, more long").distinct(), "found")
+    fresh = found.where("more is null").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    return keep(fresh, "rest"), groups.join(found.select(F.col("more").alias("sig")).distinct(), "sig", "left_semi")
