@@ -54,7 +54,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return token_counts.merge_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

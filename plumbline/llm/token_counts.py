@@ -1,6 +1,8 @@
-"""Token counts under a unigram vocabulary: count-only Viterbi over Aho-Corasick matches.
+"""Token counts: of a BPE model by its own merges, or under a unigram vocabulary by count-only Viterbi.
 
-The automaton lists the vocabulary's pieces that end at each character, longest first; dynamic programming carries
+A BPE model's scores are merge ranks, no log probabilities, so its counts come from merging (merge_counts).
+
+For a unigram vocabulary (token_counts) Aho-Corasick matches feed a Viterbi that counts only. The automaton lists the vocabulary's pieces that end at each character, longest first; dynamic programming carries
 the best score and how many pieces it took. As in public unigram tokenizers, a later candidate replaces the best
 one only if its score is strictly larger, candidates come in the order of where they begin, a character without
 a piece of its own costs the least score less 10, and its bytes then count one by one.
@@ -87,15 +89,31 @@ class Counter:
         return np.diff(first), per[:, 0].astype(np.int64), per[:, 1]
 
 
-_counters: dict[str, Counter] = {}
+class MergeCounter:
+    """Piece counts and scores of texts by the sentencepiece model itself, whatever its kind."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.scores = np.array([self.model.get_score(i) for i in range(self.model.vocab_size())])
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its words, pieces and their scores."""
+        raw, at = data.tobytes(), starts.tolist()
+        ids = [self.model.encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(at, at[1:])]
+        return np.diff(words(data, starts)[2]), np.array([len(x) for x in ids], np.int64), np.array([self.scores[x].sum() if x else 0.0 for x in ids])
+
+
+_counters: dict[tuple[str, bool], Counter | MergeCounter] = {}
 
 
-def _count(path: str):
+def _count(path: str, merges: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(vocabulary(path))
+        if (path, merges) not in _counters:
+            _counters[path, merges] = MergeCounter(path) if merges else Counter(vocabulary(path))
         for b in slices(batches):
-            n_words, n_tokens, score = _counters[path](*utf8(b.column("text")))
+            n_words, n_tokens, score = _counters[path, merges](*utf8(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words), pa.array(n_tokens), pa.array(score)], names=["doc_id", "n_words", "n_tokens", "score"])
 
     return run
@@ -111,3 +129,15 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(_count(model_path), "doc_id long, n_words long, n_tokens long, score double")
+
+
+def merge_counts(docs: DataFrame, model_path: str) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, n_words, n_tokens, score), a row a document.
+
+    n_tokens is how many pieces the sentencepiece BPE model makes of the text, white space included; score sums
+    the file's scores of these pieces, which are merge ranks and no log probabilities. Words are as in token_counts.
+    A null or empty text has 0 of each. Repeated rows count alike; other columns are ignored.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(_count(model_path, merges=True), "doc_id long, n_words long, n_tokens long, score double")

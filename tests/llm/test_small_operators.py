@@ -4,7 +4,7 @@ import public_tokenizers
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from plumbline.llm import language_id, media, quality, revisits, toxicity
-from plumbline.llm.token_counts import META, Counter, token_counts, vocabulary
+from plumbline.llm.token_counts import META, Counter, merge_counts, token_counts, vocabulary
 
 TEXTS = ["Hello the world", "naïve 日本語 ﷽ 🙂🙂 x", "a\tb\nc  d", "", None, " ", "xxxxxxxxxxxxxxxxxx in-ter.national!", "aaaa" * 30, "\x00\x01 é"]
 
@@ -21,6 +21,21 @@ def test_token_counts_match_the_tokenizer(spark):
         assert got[i] == len(t.encode(x or "").ids), x
 
 
+def test_merge_counts_are_the_tokenizers_own(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [*TEXTS, "hello", "  two  spaces \n\n new;\r\n\tx  ", "a▁ b ▁c▁▁ d", "\n", "   ", "<s> </s> <0x0A>", "ﬁ ①　x\u00a0y"]
+    df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(texts)], "doc_id long, text string, score int")
+    got = {r.doc_id: r for r in merge_counts(df, path).collect()}
+    for i, x in enumerate(texts):
+        ids = m.encode(x or "")
+        assert got[i].n_tokens == len(ids), x
+        assert abs(got[i].score - sum(m.get_score(k) for k in ids)) < 1e-3 * max(1, len(ids)), x
+        assert got[i].n_words == len((x or "").encode().split()), x
+
+
 def test_ties_keep_the_earlier_beginning():
     c = Counter([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("bc", -1.0), ("c", -1.0), ("abc", -3.0)])
     assert c.word("abc") == (2, -2.0)
