@@ -94,30 +94,34 @@ def normal_quantile(p: float) -> float:
 
 
 def shapiro_wilk(values: list[float]) -> tuple[float | None, float | None]:
-    """W and p for 3 to 5000 values, by Royston's 1995 approximation."""
+    """W and p of at least 3 values, by Royston's 1995 approximation."""
     x = sorted(values)
     n = len(x)
-    if n < 3 or x[0] == x[-1]:
+    if n < 3:
         return None, None
     m = [normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
-    ss, u = sum(v * v for v in m), 1 / math.sqrt(n)
+    mean = sum(x) / n
+    return shapiro_sums(n, sum(v * v for v in m), sum(p * (q - mean) for p, q in zip(m, x, strict=True)), sum((v - mean) ** 2 for v in x), x[0], x[1], x[-2], x[-1])
+
+
+def shapiro_sums(n: int, mm: float, mx: float, xx: float, low: float, low2: float, high2: float, high: float) -> tuple[float | None, float | None]:
+    """W and p of n values from sums over their ranks i: of m_i squared, m_i times the i-th value less the mean, and
+    that squared, where m_i is the normal quantile of (i - 3/8) / (n + 1/4); and the two values at each end."""
+    if not n or n < 3 or low == high:
+        return None, None
     poly = lambda c, v: sum(k * v**i for i, k in enumerate(c))
-    a = [v / math.sqrt(ss) for v in m]
+    u, ends, inner = 1 / math.sqrt(n), high - low, high2 - low2
+    m1, m2 = normal_quantile((n - 0.375) / (n + 0.25)), normal_quantile((n - 1.375) / (n + 0.25))
+    last = poly((m1 / math.sqrt(mm), 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), u)
     if n == 3:
-        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+        ax = math.sqrt(0.5) * ends
+    elif n <= 5:
+        ax = (mx - m1 * ends) / math.sqrt((mm - 2 * m1**2) / (1 - 2 * last**2)) + last * ends
     else:
-        last = poly((a[-1], 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), u)
-        if n > 5:
-            second = poly((a[-2], 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u)
-            phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a = [v / math.sqrt(phi) for v in m]
-            a[-2], a[1] = second, -second
-        else:
-            phi = (ss - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a = [v / math.sqrt(phi) for v in m]
-        a[-1], a[0] = last, -last
-    mean = sum(x) / n
-    w = min(1.0, sum(p * q for p, q in zip(a, x, strict=True)) ** 2 / sum((v - mean) ** 2 for v in x))
+        second = poly((m2 / math.sqrt(mm), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u)
+        phi = (mm - 2 * m1**2 - 2 * m2**2) / (1 - 2 * last**2 - 2 * second**2)
+        ax = (mx - m1 * ends - m2 * inner) / math.sqrt(phi) + last * ends + second * inner
+    w = min(1.0, ax**2 / xx)
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     y, ln = math.log(max(1e-300, 1 - w)), math.log(n)

@@ -7,9 +7,11 @@ driver from the schema or from one row of statistics.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from statistics import NormalDist
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,15 +220,48 @@ def groupby_values(s: State) -> State:
     return replace(s, per_group=g, result=out)
 
 
-#: Rows that a normality test looks at, the first by a hash of the value and its order.
-SHAPIRO_ROWS = 5000
+#: Ranks whose quantiles one row sums.
+RANKS = 1 << 16
+
+
+def _quantile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    quantile = NormalDist().inv_cdf
+    for b in batches:
+        total, squares = [], []
+        for first, last, n in zip(*(b.column(c).to_pylist() for c in ("first", "last", "n")), strict=True):
+            m = [quantile((i - 0.375) / (n + 0.25)) for i in range(first, last + 1)]
+            total.append(sum(m))
+            squares.append(sum(v * v for v in m))
+        yield pa.RecordBatch.from_arrays([b.column("x"), pa.array(total, pa.float64()), pa.array(squares, pa.float64())], names=["x", "m", "mm"])
 
 
 def shapiro_frame(values: DataFrame, column: str) -> DataFrame:
-    """(w, p) of Shapiro-Wilk over the non-null values, or over SHAPIRO_ROWS of them, smallest hash first."""
-    x = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
-    some = x.orderBy(F.xxhash64("x"), "x").limit(SHAPIRO_ROWS).agg(F.collect_list("x").alias("xs"))
-    return some.select(F.udf(lambda xs: tails.shapiro_wilk(list(xs)), "w double, p double")("xs").alias("r")).select("r.*")
+    """(w, p) of Shapiro-Wilk over all values that are not null, from distinct values and their ranks."""
+    x = values.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    stats = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("v"))
+    ranks = ordered.average_ranks(x, "x").withColumnRenamed("n", "k").crossJoin(F.broadcast(stats.select("n")))
+    first, last = F.col("below") + 1, F.col("below") + F.col("k")
+    blocks = ranks.select("x", "n", last.alias("end"), F.explode(F.sequence(first, last, F.lit(RANKS).cast("long"))).alias("first"))
+    sums = blocks.select("x", "n", "first", F.least(F.col("first") + RANKS - 1, "end").alias("last")).mapInArrow(_quantile_sums, "x double, m double, mm double")
+    sums = sums.crossJoin(F.broadcast(stats.select("mean"))).agg(F.sum("mm").alias("mm"), F.sum(F.col("m") * (F.col("x") - F.col("mean"))).alias("mx"))
+    low = [F.max(F.when(F.col("below") < i, F.col("x"))) for i in (1, 2)]
+    high = [F.min(F.when(last > F.col("n") - i, F.col("x"))) for i in (1, 2)]
+    ends = ranks.agg(low[0].alias("l1"), low[1].alias("l2"), high[1].alias("h2"), high[0].alias("h1"))
+    one = stats.crossJoin(sums).crossJoin(ends)  # one row each
+    return one.select(F.udf(tails.shapiro_sums, "w double, p double")("n", "mm", "mx", F.col("v") * F.col("n"), "l1", "l2", "h2", "h1").alias("r")).select("r.*")
+
+
+#: Rows of the sample that two templates test, as the analyses they stand for do.
+SHAPIRO_ROWS = 5000
+
+
+def sampled(values: DataFrame, column: str, rows: int = SHAPIRO_ROWS) -> DataFrame:
+    """(column) of all non-null values, or of a sample of so many rows: the smallest by a hash of the value and the
+    number of the row among those with the value, so that every row has the same chance."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("k"))
+    blocks = counts.select(column, "k", F.explode(F.sequence(F.lit(1).cast("long"), "k", F.lit(RANKS).cast("long"))).alias("i"))
+    each = blocks.select(column, F.explode(F.sequence("i", F.least(F.col("i") + RANKS - 1, "k"))).alias("i"))
+    return each.orderBy(F.xxhash64(column, "i"), column, "i").limit(rows).select(column)
 
 
 @operator("shapiro_p", "NumCol", "NormalityP")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered, tails
-from ..operators.catalog import ID_NAME, NUMERIC, adjusted_skew, anova_frame, levene_frame, mwu_frame, r3, shapiro_frame, ttest_frame
+from ..operators.catalog import ID_NAME, NUMERIC, adjusted_skew, anova_frame, levene_frame, mwu_frame, r3, sampled, shapiro_frame, ttest_frame
 
 TEMPLATES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -105,7 +105,7 @@ TEMPLATES["weakest_correlation"] = _correlation(False)
 def conditional_normality(df: DataFrame) -> DataFrame:
     c = top_variance(df)
     q = df.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.percentile(c, [0.25, 0.5, 0.75]).alias("q"))
-    both = q.crossJoin(shapiro_frame(df, c))  # one row each
+    both = q.crossJoin(shapiro_frame(sampled(df, c), c))  # one row each
     normal = F.col("p") > 0.05
     return both.select(F.when(normal, "normal").otherwise("skewed").alias("distribution"), r3(F.when(normal, F.col("mean")).otherwise(F.col("q")[1])).alias("center"), r3(F.when(normal, F.col("std")).otherwise(F.col("q")[2] - F.col("q")[0])).alias("spread"))
 
@@ -352,7 +352,7 @@ def adaptive_two_sample_test(df: DataFrame) -> DataFrame:
     c, by = ranked(df, lambda x: F.abs(adjusted_skew(x)), False)[0], binary_column(df)
     g = groups_of(df, by, c)
     names = [r[0] for r in g.select("group").distinct().orderBy("group").collect()]  # two values
-    normal = reduce(DataFrame.crossJoin, [shapiro_frame(g.where(F.col("group") == n), "value").select(F.col("p").alias(f"p{i}")) for i, n in enumerate(names)])
+    normal = reduce(DataFrame.crossJoin, [shapiro_frame(sampled(g.where(F.col("group") == n), "value"), "value").select(F.col("p").alias(f"p{i}")) for i, n in enumerate(names)])
     equal = levene_frame(g).select(F.udf(tails.f_sf, "double")("w", "d1", "d2").alias("pl"))
     t = ttest_frame(g).select("t", "df", F.udf(tails.t_two_sided, "double")("t", "df").alias("pt"))
     m = mwu_frame(g).select("u", "n1", "n2", F.udf(tails.normal_two_sided, "double")("z").alias("pu"))

@@ -44,6 +44,16 @@ def test_shapiro_tells_normal_from_skewed():
     assert tails.shapiro_wilk([math.exp(v) for v in q])[1] < 1e-6
 
 
+def test_shapiro_looks_at_all_rows(spark):
+    values = [float(min(i % 50, i % 7 + 20)) for i in range(12000)]
+    for x in (values, values[:40], [3.0, 1.0, 2.5], [1.0, 2.0, 2.0, 9.0], [4.0] * 9, [None, 1.0]):
+        r = catalog.shapiro_frame(spark.createDataFrame([(v,) for v in x], "v double"), "v").first()
+        want = tails.shapiro_wilk([v for v in x if v is not None])
+        assert (r.w, r.p) == (None, None) if want[0] is None else np.allclose((r.w, r.p), want, rtol=1e-6, atol=1e-12)
+    some = [r.v for r in catalog.sampled(spark.createDataFrame([(v,) for v in [1.0] * 90000 + [2.0] * 30000], "v double"), "v").collect()]
+    assert len(some) == 5000 and abs(some.count(2.0) - 1250) < 150
+
+
 def test_searched_programs_are_typed_and_live():
     found = list(programs.search(6, 3000))
     assert found
