@@ -312,7 +312,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     classes = keep(hits.groupBy("mini", "string_id", "run").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_id", "start")).alias("first"), F.max("twice").alias("twice")), "classes")
     spread = classes.groupBy("mini").agg(F.count("*").alias("k"), F.max("twice").alias("t"), F.sum(F.col("run").cast("long") + length - 1).alias("size")).where("k > 1 or t").select("mini", "size")
     lists = classes.join(spread, "mini").select("first.*", "mini", "run", "size").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("mini", "start", "run")).alias("parts"))
-    cut = texts.join(lists, ["doc_id", "text_id"]).mapInArrow(_cut(length), "mini long, doc_id long, text_id long, start int, run int, bytes binary")
+    # One of the rows that repeat both: else the second would match the first, and the span is of both.
+    cut = texts.join(lists, ["doc_id", "text_id"]).dropDuplicates(["doc_id", "text_id"]).mapInArrow(_cut(length), "mini long, doc_id long, text_id long, start int, run int, bytes binary")
     heavy = spread.where(F.col("size") > GROUP_BYTES).select("mini")
     some_heavy = heavy.limit(1).count() > 0
     if some_heavy:

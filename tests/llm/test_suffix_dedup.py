@@ -60,6 +60,15 @@ def test_counted_windows_for_large_groups(spark, monkeypatch):
         assert got(spark, rows, 80, keep_first) == brute(rows, 80, keep_first)
 
 
+def test_repeated_rows_count_as_one_first(spark):
+    rows = corpus(5)
+    again = [r for r in rows if r[0] in (2, 3, 7, 11, 20, 33)]
+    df = spark.createDataFrame(rows + again, "doc_id long, text string")
+    out = [(r.doc_id, bytes(r.kept)) for r in remove_repeats(df, 100).collect()]
+    want = {d: k for d, k, _ in brute(rows, 100, True)}
+    assert sorted(out) == sorted((d, want[d]) for d, _ in rows + again)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
