@@ -184,7 +184,7 @@ def ttest_discovered_groups(df: DataFrame) -> DataFrame:
 
 
 @template
-def bootstrap_ci_discovered(df: DataFrame, resamples: int = 200) -> DataFrame:
+def bootstrap_ci_discovered(df: DataFrame, resamples: int = 1000) -> DataFrame:
     """Poisson bootstrap: every row gets a Poisson(1) weight a resample, out of a hash, so it runs in one pass."""
     c = ranked(df, lambda x: F.abs(adjusted_skew(x)))[0]
     x = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"), F.monotonically_increasing_id().alias("i"))
@@ -192,7 +192,9 @@ def bootstrap_ci_discovered(df: DataFrame, resamples: int = 200) -> DataFrame:
     u = (F.pmod(F.xxhash64("x", "i", "b"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     w = reduce(lambda a, b: a + b, [(u > k).cast("int") for k in cuts])
     each = x.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", w).groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    return each.agg(F.lit(c).alias("column"), F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"), F.stddev_pop("m").alias("std_error"), F.count("*").alias("n_iterations"))
+    whole = df.agg(F.round(F.abs(adjusted_skew(c)), 2).alias("skewness"), F.round(F.avg(c), 2).alias("mean"))
+    ends = each.agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"), F.stddev_pop("m").alias("std_error"), F.count("*").alias("n_iterations"))
+    return whole.crossJoin(ends).select(F.lit(c).alias("column"), "skewness", "mean", "ci_lower", "ci_upper", "std_error", "n_iterations")  # one row each
 
 
 @template

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import ordered, tails
 from plumbline.operators import catalog
 from plumbline.plans import programs
+from plumbline.plans.templates import TEMPLATES
 
 
 @pytest.fixture
@@ -54,6 +55,15 @@ def test_shapiro_looks_at_all_rows(spark):
     assert len(some) == 5000 and abs(some.count(2.0) - 1250) < 150
 
 
+def test_bootstrap_draws_a_thousand_resamples(spark):
+    rnd = np.random.default_rng(1)
+    pdf = pd.DataFrame({"x": rnd.exponential(10, 3000), "y": rnd.normal(5, 1, 3000)})
+    r = TEMPLATES["bootstrap_ci_discovered"](spark.createDataFrame(pdf)).first()
+    assert (r.column, r.n_iterations, r["mean"], r.skewness) == ("x", 1000, round(pdf.x.mean(), 2), round(pdf.x.skew(), 2))
+    assert r.ci_lower < pdf.x.mean() < r.ci_upper
+    assert abs(r.std_error / (pdf.x.std() / 3000**0.5) - 1) < 0.1
+
+
 def test_searched_programs_are_typed_and_live():
     found = list(programs.search(6, 3000))
     assert found
