@@ -1,8 +1,9 @@
 """Benchmark items inside documents, also with other numbers, names or units: template windows.
 
-Numbers, names and units become typed placeholders; windows of the resulting template meet the benchmark's
-windows by hash. Along each alignment of document and item, a placeholder that stands for one value in the item
-must stand for one value in the document; alignments that break this do not count.
+Windows of three templates meet the benchmark's windows by hash: the tokens as they are (verbatim copies, however
+few words they hold), numbers, names and units as typed placeholders, and the same with capital words that open a
+sentence as names too. Along each alignment of document and item, placeholders that stand for one value in the
+item must stand for one value in the document; windows across placeholders that break this do not count.
 """
 
 from __future__ import annotations
@@ -43,15 +44,23 @@ _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63, 58, 34]] = True  # newline ! . ? : "
 
 
-def templates(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Templates: tokens as they are, placeholders, placeholders with sentence-opening capital words as names.
+RAW, TYPED, OPENED = 0, 1, 2
+
+
+def templates(data: np.ndarray, starts: np.ndarray, kind: int = TYPED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template hash of each token, whether it is a placeholder, the hash of its own value, first token of each text.
 
     A token is a run of letters and digits. It is a number if it begins with a digit, a unit if it is in UNITS
-    after a number, a name if it begins with a capital and no sentence begins there.
+    after a number, a name if it begins with a capital and no sentence begins there (or, in OPENED, anywhere).
+    In RAW nothing is a placeholder.
     """
     ws, we, first = words(data, starts, NO_LETTER)
     if not len(ws):
         return np.zeros(0, U64), np.zeros(0, bool), np.zeros(0, U64), first
+    if kind == RAW:  # in their own case
+        own = spans(prefix_hash(data), ws, we)
+        return own, np.zeros(len(ws), bool), own, first
     own = spans(prefix_hash(data, LOWER_BYTES), ws, we)
     head = data[ws]
     number = (head >= 48) & (head <= 57)
@@ -66,10 +75,10 @@ def templates(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     stops = np.concatenate(([0], np.cumsum(_STOP[data])))
     begins = opens.copy()
     begins[1:] |= stops[ws[1:]] > stops[we[:-1]]
-    name = capital & ~begins & ~unit
+    name = capital & ~unit if kind == OPENED else capital & ~begins & ~unit
     out = own.copy()
-    for kind, where in (("number", number), ("name", name), ("unit", unit)):
-        out[where] = _SLOT[kind]
+    for slot, where in (("number", number), ("name", name), ("unit", unit)):
+        out[where] = _SLOT[slot]
     return out, number | name | unit, own, first
 
 
@@ -77,31 +86,38 @@ def _windows(size: int, literals: int, wanted: np.ndarray | None, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data, starts = utf8(b.column("text"))
-            t, slot, own, first = templates(data, starts)
-            n = len(t) - size + 1
-            if n <= 0:
-                continue
-            h = t[:n].copy()
-            for j in range(1, size):
-                h *= U64(0xC2B2AE3D27D4EB4F)
-                h += t[j : n + j]
-            h = mix(h)
-            doc = np.repeat(np.arange(b.num_rows), np.diff(first))
-            used = np.concatenate(([0], np.cumsum(~slot)))
-            ok = (doc[:n] == doc[size - 1 :]) & (used[size:] - used[:-size] >= literals)
-            if wanted is not None:
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                ok &= wanted[at] == h
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            values = np.where(slot, own, U64(0)).view(np.int64)
-            grid = values[at[:, None] + np.arange(size)]
-            d = doc[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at].view(np.int64)), b.column(key).take(pa.array(d)), pa.array(at - first[:-1][d]), pa.ListArray.from_arrays(pa.array(np.arange(0, grid.size + 1, size, dtype=np.int32)), pa.array(grid.ravel()))],
-                names=["window", key, "at", "slots"],
-            )
+            typed = templates(data, starts)[1]
+            for kind in (RAW, TYPED, OPENED):
+                t, slot, own, first = templates(data, starts, kind)
+                n = len(t) - size + 1
+                if n <= 0:
+                    break
+                h = t[:n].copy()
+                for j in range(1, size):
+                    h *= U64(0xC2B2AE3D27D4EB4F)
+                    h += t[j : n + j]
+                h = mix(h + U64(kind))
+                doc = np.repeat(np.arange(b.num_rows), np.diff(first))
+                used = np.concatenate(([0], np.cumsum(~slot)))
+                ok = doc[:n] == doc[size - 1 :]
+                if kind != RAW:
+                    ok &= used[size:] - used[:-size] >= literals
+                if kind == OPENED:  # only windows that TYPED has otherwise
+                    more = np.concatenate(([0], np.cumsum(slot & ~typed)))
+                    ok &= more[size:] > more[:-size]
+                if wanted is not None:
+                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                    ok &= wanted[at] == h
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                values = np.where(slot, own, U64(0)).view(np.int64)
+                grid = values[at[:, None] + np.arange(size)]
+                d = doc[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[at].view(np.int64)), b.column(key).take(pa.array(d)), pa.array(at - first[:-1][d]), pa.array(np.full(len(at), kind, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, grid.size + 1, size, dtype=np.int32)), pa.array(grid.ravel()))],
+                    names=["window", key, "at", "kind", "slots"],
+                )
 
     return run
 
@@ -112,6 +128,34 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(np.diff(first))], names=["item_id", "n_tokens"])
 
 
+def consistent(windows: list[dict]) -> tuple[list[int], int]:
+    """Item places that an alignment covers by windows without a conflicting slot, and how many values it changed.
+
+    Slots conflict if they stand for one value in the item and for several in the document. Names that only OPENED
+    sees are held against its own windows alone.
+    """
+    places: set[int] = set()
+    changed: set[int] = set()
+    for kinds in ((RAW, TYPED), (RAW, TYPED, OPENED)):
+        pairs = {w["at"] + j: (x, y) for w in windows if w["kind"] in kinds for j, (x, y) in enumerate(zip(w["slots"], w["doc_slots"], strict=True)) if x}
+        values: dict[int, set[int]] = {}
+        for x, y in pairs.values():
+            values.setdefault(x, set()).add(y)
+        wrong = {p for p, (x, _) in pairs.items() if len(values[x]) > 1}
+        for w in windows:
+            reach = range(w["at"], w["at"] + w["size"])
+            if w["kind"] in kinds and wrong.isdisjoint(reach):
+                places.update(reach)
+                changed.update(pairs[p][0] for p in reach if p in pairs and pairs[p][0] != pairs[p][1])
+    return sorted(places), len(changed)
+
+
+def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [consistent(w.as_py()) for w in b.column("windows")]
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "item_id", "shift")] + [pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.int64())], names=["doc_id", "item_id", "shift", "places", "changed"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> (doc_id, item_id, n_tokens, n_covered, coverage, n_changed).
 
@@ -130,22 +174,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     for size in [r[0] for r in sizes.select(F.least("n_tokens", F.lit(window)).alias("s")).distinct().orderBy("s").collect()]:
         need = max(1, literals * size // window)
         mine = items.join(sizes.where(F.least("n_tokens", F.lit(window)) == size), "item_id", "left_semi")
-        theirs = keep(mine.mapInArrow(_windows(size, need, None, "item_id"), "window long, item_id long, at long, slots array<long>"), "windows")
+        theirs = keep(mine.mapInArrow(_windows(size, need, None, "item_id"), "window long, item_id long, at long, kind int, slots array<long>"), "windows")
         wanted = None
         if theirs.count() <= HELD_WINDOWS:
             wanted = np.unique(np.array([r[0] for r in theirs.select("window").distinct().collect()], np.int64).view(U64))
             if not len(wanted):
                 continue
-        ours = texts.mapInArrow(_windows(size, need, wanted, "doc_id"), "window long, doc_id long, at long, slots array<long>")
-        met = ours.withColumnsRenamed({"at": "doc_at", "slots": "doc_slots"}).join(theirs, "window").withColumn("size", F.lit(size))
+        ours = texts.mapInArrow(_windows(size, need, wanted, "doc_id"), "window long, doc_id long, at long, kind int, slots array<long>")
+        met = ours.withColumnsRenamed({"at": "doc_at", "slots": "doc_slots"}).join(theirs, ["window", "kind"]).withColumn("size", F.lit(size))
         found = met if found is None else found.unionAll(met)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, n_tokens long, n_covered long, coverage double, n_changed long")
     line = ["doc_id", "item_id", "shift"]
-    tokens = found.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"), "at", F.posexplode(F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc"))).alias("j", "x"))
-    tokens = tokens.select(*line, (F.col("at") + F.col("j")).alias("place"), F.col("x.item").alias("item"), F.col("x.doc").alias("doc")).distinct()
-    values = tokens.groupBy(*line, "item").agg(F.collect_set("doc").alias("docs"), F.collect_set("place").alias("places"))
-    lines = values.groupBy(*line).agg(F.max(F.size("docs")).alias("most"), F.flatten(F.collect_list("places")).alias("places"), F.count_if((F.col("item") != 0) & ~F.array_contains("docs", F.col("item"))).alias("changed"))
-    pairs = lines.where("most = 1").groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_covered"), F.max("changed").cast("long").alias("n_changed"))
+    met = found.withColumn("shift", F.col("doc_at") - F.col("at")).groupBy(*line, "at", "kind", "size").agg(F.max(F.struct("slots", "doc_slots")).alias("s")).select(*line, "at", "kind", "size", "s.*")
+    lines = met.groupBy(*line).agg(F.collect_list(F.struct("at", "kind", "size", "slots", "doc_slots")).alias("windows"))
+    good = lines.mapInArrow(_consistent, "doc_id long, item_id long, shift long, places array<long>, changed long")
+    pairs = good.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_covered"), F.max("changed").alias("n_changed"))
     out = pairs.join(sizes, "item_id").withColumn("coverage", F.col("n_covered") / F.col("n_tokens"))
     return out.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_tokens", "n_covered", "coverage", "n_changed")

@@ -43,3 +43,20 @@ def test_matches_plain_search(spark):
         docs.append((d, t, None))
     want = {(d, i) for d, t, _ in docs for i, x in items if x in t}
     assert set(run(spark, docs, items)) == want
+
+
+def test_dense_opened_and_conflicting_items(spark):
+    rnd = random.Random(7)
+    dense = "Compute 12 + 45 - 7 * 3 + 88 - 16 exactly"
+    apples = "Tom has 5 red apples. Jerry has 3 green apples. Who has more apples?"
+    pears = "On the way home from the old market she put 2 apples and 2 pears into a basket made of straw and ran"
+    docs = [
+        (1, f"{words(rnd, 9)}. {dense}. {words(rnd, 9)}"),
+        (2, f"{words(rnd, 9)}. {apples.replace('Tom', 'Ann').replace('Jerry', 'Bill')} {words(rnd, 9)}"),
+        (3, pears.replace("2 apples and 2", "3 apples and 4")),
+        (4, pears.replace("2 pears", "5 pears")),
+        (5, words(rnd, 40)),
+    ]
+    got = run(spark, [(d, t, None) for d, t in docs], [(1, dense), (2, apples), (3, pears)])
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 3)}
+    assert got[1, 1].coverage == 1 and got[1, 1].n_changed == 0
