@@ -9,28 +9,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Rows of a bucket, about, and the most buckets.
+BUCKET_ROWS, BUCKETS = 200_000, 4096
 BLOCK = 1 << 16
 
 
-def bucketed(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
-    """df with _bucket, ascending in column (nulls first). The cut points are `buckets` numbers at most."""
-    kind = dict(df.dtypes)[column]
-    value = F.unix_micros(column) if kind == "timestamp" else F.col(column).cast("double")
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+def _number(df: DataFrame, column: str) -> Column:
+    return F.unix_micros(column) if dict(df.dtypes)[column] == "timestamp" else F.col(column).cast("double")
+
+
+def _cuts(df: DataFrame, value: Column, keys: list[str] | None = None) -> list[tuple[list, list]]:
+    """(key values, cut points) of the rows, or of each key's: as many quantiles as the rows need, repeated where a value is frequent."""
+    rows = (df.groupBy(*keys) if keys else df).agg(F.count(value).alias("n"), F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("q")).collect()
+    out = []
+    for r in rows:  # one row, or one for each of a few keys
+        n = min(BUCKETS, -(-r["n"] // BUCKET_ROWS))
+        out.append(([r[k] for k in keys or ()], [r["q"][i * BUCKETS // n - 1] for i in range(1, n)] if r["q"] else []))
+    return out
+
+
+def _place(value: Column, cuts: list) -> Column:
+    """How many of the different cut points are smaller, looked up in two steps of about their root; null for null."""
+    cuts = sorted(set(cuts))
     if not cuts:
-        return df.withColumn("_bucket", F.lit(0))
-    listed = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    return df.withColumn("_v", value).withColumn("_bucket", F.coalesce(F.size(F.filter(listed, lambda c: c < F.col("_v"))), F.lit(-1))).drop("_v")
+        return F.when(value.isNotNull(), F.lit(0))
+    step = max(1, int(len(cuts) ** 0.5))
+    count = lambda listed: F.size(F.filter(listed, lambda c: c < value))
+    parts = F.array(*(F.array(*map(F.lit, cuts[i : i + step])) for i in range(0, len(cuts), step)))
+    part = F.greatest(count(F.array(*map(F.lit, cuts[::step]))) - 1, F.lit(0))
+    return F.when(value.isNotNull(), part * step + count(F.element_at(parts, part + 1)))
+
+
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """df with _bucket, ascending in column (nulls first, -1): about one for BUCKET_ROWS rows, and one for equal values."""
+    value = _number(df, column)
+    ((_, cuts),) = _cuts(df, value)
+    return df.withColumn("_v", value).withColumn("_bucket", F.coalesce(_place(F.col("_v"), cuts), F.lit(-1)).cast("long")).drop("_v")
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with _idx, 0-based along the order columns (which should be a total order)."""
-    b = bucketed(df, order[0])
+    """df with _idx, 0-based along the order columns (which should be a total order).
+
+    A value of the first column that fills buckets alone is cut by the next column.
+    """
+    value = _number(df, order[0])
+    ((_, cuts),) = _cuts(df, value)
+    frequent = sorted({c for i, c in enumerate(cuts) if c in cuts[:i]})
+    b = df.withColumn("_v", value).withColumn("_bucket", F.coalesce(_place(F.col("_v"), cuts), F.lit(-1)).cast("long") * (BUCKETS + 1))
+    if frequent and len(order) > 1:
+        tied = b.where(F.col("_v").isin(*frequent))
+        inner = F.lit(0)
+        for (v,), own in _cuts(tied, _number(df, order[1]), ["_v"]):
+            inner = F.when(F.col("_v") == v, F.coalesce(_place(_number(df, order[1]), own), F.lit(-1)) + 1).otherwise(inner)
+        # rows below a frequent value share its bucket: they come before it
+        b = b.withColumn("_bucket", F.col("_bucket") + F.when(F.col("_v").isin(*frequent), inner + 1).otherwise(0))
+    b = b.drop("_v")
     sizes = b.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))  # a row a bucket
     inner = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return b.withColumn("_inner", inner).join(F.broadcast(before), "_bucket").withColumn("_idx", F.col("_before") + F.col("_inner")).drop("_bucket", "_inner", "_before")
+    return b.withColumn("_inner", inner).join(before, "_bucket").withColumn("_idx", F.col("_before") + F.col("_inner")).drop("_bucket", "_inner", "_before")
 
 
 def running_sum(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -60,3 +97,24 @@ def average_ranks(df: DataFrame, column: str, by: str | None = None) -> DataFram
     carry = totals.select(*keys, "_bucket", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_t")).alias("_c"))
     w = Window.partitionBy(*keys, "_bucket").orderBy(column)
     return counts.join(carry, [*keys, "_bucket"]).withColumn("below", F.col("_c") + F.sum("n").over(w) - F.col("n")).select(*keys, column, "n", "below")
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float], by: str | None = None) -> DataFrame:
+    """(by, q array<double>) of a group's exact quantiles, interpolated between neighbours; nulls are left out. Works on distinct
+    values with counts and ranks, so no task holds a column. Without `by` always one row (q null if there are no values)."""
+    x = df.select(*([by] if by else []), F.col(column).cast("double").alias("_x")).where(~F.isnan("_x"))
+    ranks = average_ranks(x, "_x", by)
+    keys = [by] if by else []
+    total = ranks.groupBy(*keys).agg(F.sum("n").alias("_n")) if by else ranks.agg(F.sum("n").alias("_n"))
+    rows = ranks.join(total, by) if by else ranks.crossJoin(F.broadcast(total))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), F.col("_x")))
+
+    cells = []
+    for p in shares:
+        place = (F.col("_n") - 1) * F.lit(float(p))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        cells.append((low + (high - low) * F.max(place - F.floor(place))))
+    found = F.array(*cells)
+    return rows.groupBy(*keys).agg(found.alias("q")) if by else rows.agg(F.when(F.count("*") > 0, found).alias("q"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered, tails
+from ..shipping import ship
 
 # Column names that identify rows rather than measure them.
 ID_NAME = re.compile(r"^(id|index|idx|row_?id|unnamed.*|.*_id)$", re.I)
@@ -154,18 +155,27 @@ def absolute(s: State) -> State:
 
 
 # What a group or a column is measured by: the answer's name, and the aggregate.
-MEASURES: dict[str, tuple[str, Callable[[str], Column]]] = {
+MEASURES: dict[str, tuple[str, Callable[[str], Column] | None]] = {
     "mean": ("mean", F.avg),
     "var": ("variance", F.var_samp),
-    "median": ("median", F.median),
+    "median": ("median", None),
     "std": ("std", F.stddev_samp),
     "count": ("count", lambda c: F.count("*")),
 }
 
 
+def group_medians(groups: DataFrame) -> DataFrame:
+    """(group, med) of groups(group, value), by ranks."""
+    return ordered.quantiles(groups, "value", [0.5], "group").select("group", F.col("q")[0].alias("med"))
+
+
 def _group(kind: str):
     def run(s: State) -> State:
-        g = s.df.where(F.col(s.cat).isNotNull()).groupBy(F.col(s.cat).alias("group")).agg(MEASURES[kind][1](s.num).alias("value"))
+        rows = s.df.where(F.col(s.cat).isNotNull())
+        if kind == "median":  # a group without values has a null median
+            g = rows.select(F.col(s.cat).alias("group")).distinct().join(group_medians(rows.select(F.col(s.cat).alias("group"), F.col(s.num).alias("value"))), "group", "left").select("group", F.col("med").alias("value"))
+        else:
+            g = rows.groupBy(F.col(s.cat).alias("group")).agg(MEASURES[kind][1](s.num).alias("value"))
         return replace(s, per_group=g, result=g.select("group", "value" if kind == "count" else r3(F.col("value")).alias("value")))
 
     return run
@@ -196,7 +206,12 @@ def _scalar(measure: Callable[[str], Column], name: str, bound: str = "num"):
     return run
 
 
-for _name, _f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("variance", F.var_samp), ("sum", lambda c: F.coalesce(F.sum(c), F.lit(0)))):
+@operator("median", "NumCol", "Answer")
+def median(s: State) -> State:
+    return replace(s, result=ordered.quantiles(s.df, s.num, [0.5]).select(F.lit(s.num).alias("column"), r3(F.col("q")[0]).alias("median")))
+
+
+for _name, _f in (("mean", F.avg), ("std", F.stddev_samp), ("variance", F.var_samp), ("sum", lambda c: F.coalesce(F.sum(c), F.lit(0)))):
     operator(_name, "NumCol", "Answer")(_scalar(_f, _name))
 operator("min", "NumCol1", "Answer")(_scalar(F.min, "min", "num1"))
 operator("max", "NumCol1", "Answer")(_scalar(F.max, "max", "num1"))
@@ -209,7 +224,13 @@ def _of_series(name: str, measure: Callable[[Column], Column]):
     return run
 
 
-for _name, _f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("max", F.max), ("min", F.min)):
+@operator("median_series", "NumSeries", "Answer")
+def median_series(s: State) -> State:
+    middle = ordered.quantiles(s.df.select(s.series.alias("_s")), "_s", [0.5])
+    return replace(s, result=middle.select(F.lit("median").alias("metric"), r3(F.col("q")[0]).alias("value")))
+
+
+for _name, _f in (("mean", F.avg), ("std", F.stddev_samp), ("max", F.max), ("min", F.min)):
     operator(f"{_name}_series", "NumSeries", "Answer")(_of_series(_name, _f))
 
 
@@ -272,8 +293,7 @@ def shapiro_p(s: State) -> State:
 
 def levene_frame(groups: DataFrame) -> DataFrame:
     """(w, d1, d2) of the median-centred Levene test of groups(group, value)."""
-    med = groups.groupBy("group").agg(F.median("value").alias("med"))
-    return anova_frame(groups.join(med, "group").select("group", F.abs(F.col("value") - F.col("med")).alias("value"))).select(F.col("f").alias("w"), "d1", "d2")
+    return anova_frame(groups.join(group_medians(groups), "group").select("group", F.abs(F.col("value") - F.col("med")).alias("value"))).select(F.col("f").alias("w"), "d1", "d2")
 
 
 def anova_frame(groups: DataFrame) -> DataFrame:
@@ -397,7 +417,7 @@ def percentile_rank(s: State) -> State:
 @operator("bin_into_quartiles", "Table NumCol", "Table")
 def quartiles(s: State) -> State:
     name = f"{s.num}_quartile"
-    cuts = s.df.agg(F.percentile(s.num, [0.25, 0.5, 0.75]).alias("_q"))
+    cuts = ordered.quantiles(s.df, s.num, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
     q = F.when(F.col(s.num) <= F.col("_q")[0], "Q1").when(F.col(s.num) <= F.col("_q")[1], "Q2").when(F.col(s.num) <= F.col("_q")[2], "Q3").when(F.col(s.num).isNotNull(), "Q4")
     df = s.df.crossJoin(F.broadcast(cuts)).withColumn(name, q).drop("_q")  # one row of cuts
     return replace(s, df=df, result=df.groupBy(name).agg(F.count("*").alias("n")))
@@ -405,6 +425,7 @@ def quartiles(s: State) -> State:
 
 def run(df: DataFrame, chain: list[tuple[str, dict]], order: tuple[str, ...] = ()) -> DataFrame:
     """Fold a chain of (operator, parameters) over df; the last operator's result."""
+    ship(df.sparkSession)
     s = State(df, order)
     for name, params in chain:
         s = CATALOG[name].run(s, **params)

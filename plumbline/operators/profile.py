@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import NUMERIC, adjusted_skew
+from ..functions.ordered import quantiles
+from .catalog import ID_NAME, NUMERIC, adjusted_skew
+
+
+#: How many values a column must have more than to be an index by its sequence.
+INDEX_ROWS = 10
+
+
+def _kind(t: str) -> str:
+    return "numeric" if t in NUMERIC else "datetime" if t in ("timestamp", "timestamp_ntz", "date") else "categorical"
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -16,22 +25,84 @@ def column_profile(df: DataFrame) -> DataFrame:
     fields = []
     for i, (c, t) in enumerate(df.dtypes):
         number = t in NUMERIC
-        x = F.col(c).cast("double") if number else F.lit(None).cast("double")
-        q = F.percentile(x, [0.25, 0.5, 0.75])
-        skew = F.round(adjusted_skew(c), 3) if number else F.lit(None).cast("double")
-        stats = {"mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "q25": q[0], "median": q[1], "q75": q[2], "max": F.max(x)}
+        x = F.col(f"`{c}`").cast("double") if number else F.lit(None).cast("double")
+        skew = F.round(adjusted_skew(f"`{c}`"), 3) if number else F.lit(None).cast("double")
+        stats = {"mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+        missing = F.col(f"`{c}`").isNull()
         fields.append(
             F.struct(
                 F.lit(c).alias("column"),
-                F.lit("numeric" if number else "datetime" if t in ("timestamp", "date") else "categorical").alias("kind"),
-                F.count_if(F.col(c).isNull()).alias("missing_count"),
-                F.round(F.avg(F.col(c).isNull().cast("int")) * 100, 2).alias("missing_pct"),
-                F.count_distinct(c).alias("unique_count"),
+                F.lit(_kind(t)).alias("kind"),
+                F.count_if(missing).alias("missing_count"),
+                F.round(F.avg(missing.cast("int")) * 100, 2).alias("missing_pct"),
+                F.count_distinct(F.col(f"`{c}`")).alias("unique_count"),
                 *[F.round(f, 3).alias(k) for k, f in stats.items()],
                 skew.alias("skew"),
             ).alias(f"c{i}")
         )
-    return df.agg(*fields).select(F.explode(F.array(*[f"c{i}" for i in range(len(fields))])).alias("p")).select("p.*")
+    told = df.agg(*fields).select(F.explode(F.array(*[f"c{i}" for i in range(len(fields))])).alias("p")).select("p.*")
+    numbers = [c for c, t in df.dtypes if t in NUMERIC]
+    names = ("column", "kind", "missing_count", "missing_pct", "unique_count", "mean", "std", "min", "q25", "median", "q75", "max", "skew")
+    if not numbers:
+        return told.select(*names[:8], *(F.lit(None).cast("double").alias(k) for k in ("q25", "median", "q75")), "max", "skew")
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in numbers))
+    q = quantiles(df.select(F.explode(cells).alias("x")).select("x.*"), "v", [0.25, 0.5, 0.75], "column")
+    quarters = q.select(F.col("column").alias("_c"), *(F.round(F.col("q")[i], 3).alias(k) for i, k in enumerate(("q25", "median", "q75"))))
+    return told.join(F.broadcast(quarters), F.col("column") == F.col("_c"), "left").select(*names)  # a row a column
+
+
+def index_columns(df: DataFrame) -> DataFrame:
+    """(column, index_like, why): by name ('name'), or as whole numbers 0 or 1 to n, each once, over more than INDEX_ROWS rows
+    ('sequence'); why is null for the others."""
+    cells = []
+    for i, (c, t) in enumerate(df.dtypes):
+        x = F.col(f"`{c}`")
+        whole = t in NUMERIC
+        steps = F.coalesce((F.count("*") > INDEX_ROWS) & (F.count(x) == F.count("*")) & F.min(x).isin(0, 1) & (F.max(x) - F.min(x) + 1 == F.count(x)) & (F.count_distinct(x) == F.count(x)), F.lit(False)) if whole else F.lit(False)
+        why = F.when(F.lit(bool(ID_NAME.match(c))), "name").when(steps, "sequence")
+        cells.append(F.struct(F.lit(c).alias("column"), why.isNotNull().alias("index_like"), why.alias("why")).alias(f"c{i}"))
+    return df.agg(*cells).select(F.explode(F.array(*[f"c{i}" for i in range(len(cells))])).alias("p")).select("p.*")
+
+
+def time_ranges(df: DataFrame) -> DataFrame:
+    """(column, first, last, range_days) of timestamp and date columns; whole days, null without values."""
+    names = [c for c, t in df.dtypes if _kind(t) == "datetime"]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, first timestamp, last timestamp, range_days long")
+    cells = [F.struct(F.lit(c).alias("column"), F.min(F.col(f"`{c}`").cast("timestamp")).alias("first"), F.max(F.col(f"`{c}`").cast("timestamp")).alias("last")).alias(f"c{i}") for i, c in enumerate(names)]
+    rows = df.agg(*cells).select(F.explode(F.array(*[f"c{i}" for i in range(len(names))])).alias("p")).select("p.*")
+    return rows.withColumn("range_days", F.floor((F.unix_micros("last") - F.unix_micros("first")) / 86_400_000_000))
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """One row: n_rows, n_columns."""
+    return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns"))
+
+
+def head(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:
+    """The first n rows by `order` as JSON: (place, row)."""
+    rows = df.orderBy(*order).limit(n)
+    return rows.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), F.to_json(F.struct(*df.columns)).alias("row"))  # n rows
+
+
+def value_summary(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """One row that says what a table holds without holding it: n_rows, columns ('name: type'), the first n rows as JSON, and
+    mean, min and max of its first five numeric columns as JSON."""
+    numbers = [c for c, t in df.dtypes if t in NUMERIC][:5]
+    stats = F.to_json(F.struct(*(F.struct(F.round(F.avg(c), 3).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in numbers))) if numbers else F.lit("{}")
+    one = df.agg(F.count("*").alias("n_rows"), stats.alias("numbers"))
+    first = head(df, order, n).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "row"))), lambda x: x["row"]).alias("head"))
+    return one.crossJoin(first).select("n_rows", F.lit("; ".join(f"{c}: {t}" for c, t in df.dtypes)).alias("columns"), "head", "numbers")  # one row each
+
+
+def overview(df: DataFrame, order: list[str]) -> str:
+    """A table in words: shape, types, first rows, statistics, missing values, frequent values. As long as it has columns."""
+    s, sums = value_summary(df, order).first(), column_profile(df).collect()
+    lines = [f"{s['n_rows']} rows, {len(df.columns)} columns", *(f"  {c}" for c in s["columns"].split("; ")), "First rows:", *(f"  {r}" for r in s["head"]), "Numbers:"]
+    lines += [f"  {r['column']}: mean {r['mean']}, std {r['std']}, min {r['min']}, quarters {r['q25']} {r['median']} {r['q75']}, max {r['max']}" for r in sums if r["kind"] == "numeric"]
+    lines += ["Missing:", *(f"  {r['column']}: {r['missing_count']} ({r['missing_pct']} %)" for r in sums if r["missing_count"])]
+    lines += ["Frequent values:", *(f"  {r['column']}: {r['value']} ({r['count']})" for r in top_values(df, 10).orderBy("column", "place").collect())]
+    return "\n".join(lines)
 
 
 def top_values(df: DataFrame, k: int = 5) -> DataFrame:

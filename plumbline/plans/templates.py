@@ -4,21 +4,56 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered, tails
-from ..operators.catalog import ID_NAME, NUMERIC, adjusted_skew, anova_frame, levene_frame, mwu_frame, r3, sampled, shapiro_frame, ttest_frame
+from ..operators.catalog import ID_NAME, NUMERIC, adjusted_skew, anova_frame, group_medians, levene_frame, mwu_frame, r3, sampled, shapiro_frame, ttest_frame
+from ..shipping import ship
 
 TEMPLATES: dict[str, Callable[..., DataFrame]] = {}
 
 
+class NotApplicable(ValueError):
+    """A table without the columns that an analysis needs."""
+
+
 def template(f):
-    TEMPLATES[f.__name__] = f
-    return f
+    """Register f. On a table without the columns it needs, an empty one too, the result is one row with why in `error`."""
+
+    @wraps(f)
+    def run(df: DataFrame, **params) -> DataFrame:
+        ship(df.sparkSession)
+        try:
+            return f(df, **params)
+        except NotApplicable as e:
+            return df.sparkSession.createDataFrame([(str(e),)], "error string")
+
+    TEMPLATES[f.__name__] = run
+    return run
+
+
+def facts(df: DataFrame) -> dict:
+    """n, and of every numeric and text column what choices look at (kind, count, distinct; of numbers mean, std, var, min,
+    max, skew), from one aggregate. A DataFrame remembers its facts, so that one analysis asks once."""
+    if (known := getattr(df, "_plumbline_facts", None)) is not None:
+        return known
+    kinds = {c: t for c, t in df.dtypes if (t in NUMERIC or t == "string") and not ID_NAME.match(c)}
+    cells, wanted = [F.count("*").alias("n")], []
+    for i, (c, t) in enumerate(kinds.items()):
+        stats = {"count": F.count(c), "distinct": F.count_distinct(c)}
+        if t in NUMERIC:
+            x = F.col(c).cast("double")
+            stats |= {"mean": F.avg(x), "std": F.stddev_samp(x), "var": F.var_samp(x), "min": F.min(x), "max": F.max(x), "skew": adjusted_skew(c)}
+        cells += [v.alias(f"{k}_{i}") for k, v in stats.items()]
+        wanted.append((i, c, t, list(stats)))
+    row = df.agg(*cells).first()
+    out = {"n": row["n"], "columns": {c: {"kind": t} | {k: row[f"{k}_{i}"] for k in keys} for i, c, t, keys in wanted}}
+    df._plumbline_facts = out
+    return out
 
 
 def analysis_columns(df: DataFrame) -> list[str]:
@@ -26,46 +61,88 @@ def analysis_columns(df: DataFrame) -> list[str]:
 
     Nearly unique whole numbers identify rows; nearly unique measurements do not.
     """
-    kinds = dict(df.dtypes)
-    names = [c for c, t in kinds.items() if t in NUMERIC and not ID_NAME.match(c)]
-    if not names:
-        return []
-    row = df.agg(F.count("*").alias("_n"), *[F.count_distinct(c).alias(f"u_{c}") for c in names], *[F.count(c).alias(f"c_{c}") for c in names]).first()
-    n = row["_n"]
-    return [c for c in names if row[f"u_{c}"] > 1 and (kinds[c] in ("float", "double") or row[f"u_{c}"] < max(2, int(0.98 * n))) and row[f"c_{c}"] > 0.05 * n]
-
-
-def text_column(df: DataFrame, low: int, high: int, skip: int = 0) -> str:
-    """The first (or a later) text column with so many values."""
-    names = [c for c, t in df.dtypes if t == "string" and not ID_NAME.match(c)]
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in names]).first()
-    return [c for c in names if low <= row[c] <= high][skip]
+    all_ = facts(df)
+    n = all_["n"]
+    ok = lambda f: f["kind"] in NUMERIC and f["distinct"] > 1 and (f["kind"] in ("float", "double") or f["distinct"] < max(2, int(0.98 * n))) and f["count"] > 0.05 * n
+    return [c for c, f in all_["columns"].items() if ok(f)]
 
 
-def ranked(df: DataFrame, stat: Callable[[str], Column], largest: bool = True, columns: list[str] | None = None) -> list[str]:
-    """Columns by a statistic, best first; columns without it are left out."""
-    columns = columns or analysis_columns(df)
-    row = df.agg(*[stat(c).alias(c) for c in columns]).first()
-    known = [c for c in columns if row[c] is not None]
-    return sorted(known, key=lambda c: (-row[c] if largest else row[c], columns.index(c)))
+def text_columns_between(df: DataFrame, low: int, high: int) -> list[str]:
+    """Text columns with so many values, in the table's order."""
+    return [c for c, f in facts(df)["columns"].items() if f["kind"] == "string" and low <= f["distinct"] <= high]
 
 
-def cv(c: str) -> Column:
-    return F.stddev_samp(c) / F.nullif(F.abs(F.avg(c)), F.lit(0.0))
+def text_column(df: DataFrame, low: int, high: int, skip: int = 0) -> str:
+    """The first (or a later) text column with so many values."""
+    found = text_columns_between(df, low, high)
+    if len(found) <= skip:
+        raise NotApplicable(f"no {'further ' * bool(skip)}text column with {low} to {high} values")
+    return found[skip]
+
+
+# What columns are ranked by.
+VARIANCE, MEAN, DEVIATION = (lambda f: f["var"]), (lambda f: f["mean"]), (lambda f: f["std"])
+CV = lambda f: f["std"] / abs(f["mean"]) if f["mean"] and f["std"] is not None else None
+SKEW = lambda f: abs(f["skew"]) if f["skew"] is not None and f["skew"] == f["skew"] else None
+RANGE = lambda f: f["max"] - f["min"] if f["max"] is not None else None
+
+
+def ranked(df: DataFrame, stat: Callable[[dict], float | None], largest: bool = True, columns: list[str] | None = None, without: tuple[str, ...] = ()) -> list[str]:
+    """Columns by a statistic, best first, ties in the order of the table; columns without it are left out."""
+    of = facts(df)["columns"]
+    known = [(stat(of[c]), c) for c in (columns if columns is not None else analysis_columns(df)) if c not in without]
+    known = [(v, c) for v, c in known if v is not None]
+    if not known:
+        raise NotApplicable("no numeric column with the statistic")
+    return [c for _, c in sorted(known, key=lambda x: -x[0] if largest else x[0])]
+
+
+def pick(df: DataFrame, strategy: str = "max_variance", without: tuple[str, ...] = ()) -> str:
+    """The numeric column of a strategy: max_variance, max_std, max_cv, max_skew, min_skew, max_missing or min_missing."""
+    n = facts(df)["n"]
+    missing = lambda f: n - f["count"]
+    stat = {"variance": VARIANCE, "std": DEVIATION, "cv": CV, "skew": SKEW, "missing": missing}
+    way, _, name = strategy.partition("_")
+    if way not in ("max", "min") or name not in stat:
+        raise ValueError(f"unknown strategy {strategy}")
+    return ranked(df, stat[name], way == "max", without=without)[0]
+
+
+def pick_category(df: DataFrame, strategy: str = "moderate", target: int = 10) -> str:
+    """The text column with most values ('high'), fewest ('low') or about `target` ('moderate'), of two values or more and
+    under 0.8 of the rows; ties in the order of the table."""
+    all_ = facts(df)
+    sizes = {c: f["distinct"] for c, f in all_["columns"].items() if f["kind"] == "string" and 2 <= f["distinct"] < 0.8 * all_["n"]}
+    if not sizes:
+        raise NotApplicable("no text column with few values")
+    score = {"moderate": lambda c: abs(sizes[c] - target), "high": lambda c: -sizes[c], "low": lambda c: sizes[c]}[strategy]
+    return min(sizes, key=score)
 
 
 def top_variance(df: DataFrame) -> str:
-    return ranked(df, F.var_samp)[0]
+    return ranked(df, VARIANCE)[0]
 
 
 def pairs_by_correlation(df: DataFrame, largest: bool = True, columns: list[str] | None = None) -> list[tuple[str, str]]:
-    pairs = list(combinations(columns or analysis_columns(df), 2))
+    pairs = list(combinations(analysis_columns(df) if columns is None else columns, 2))
+    if not pairs:
+        raise NotApplicable("fewer than two numeric columns")
     both = lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
     row = df.agg(*[F.abs(both(a, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
     known = [i for i in range(len(pairs)) if row[i] is not None and row[i] == row[i]]
+    if not known:
+        raise NotApplicable("no defined correlation")
     return [pairs[i] for i in sorted(known, key=lambda i: (-row[i] if largest else row[i], i))]
 
 
+def predictors(df: DataFrame, y: str) -> list[str]:
+    """The other numeric columns by correlation with y."""
+    found = [a if b == y else b for a, b in pairs_by_correlation(df) if y in (a, b)]
+    if not found:
+        raise NotApplicable("no predictor")
+    return found
+
+
 def named(a: str, b: str) -> Column:
     return F.lit(",".join(sorted((a, b)))).alias("columns")
 
@@ -75,39 +152,49 @@ def groups_of(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 @template
-def max_variance_mean(df: DataFrame) -> DataFrame:
-    return df.agg(r3(F.avg(top_variance(df))).alias("answer"))
+def max_variance_mean(df: DataFrame, strategy: str = "max_variance", without_top: bool = False) -> DataFrame:
+    """Mean of the column that varies most; by another strategy, or once the column of the largest variance is left out."""
+    c = pick(df, strategy, without=(top_variance(df),) if without_top else ())
+    return df.agg(r3(F.avg(c)).alias("answer"))
 
 
 @template
 def max_cv_mean(df: DataFrame) -> DataFrame:
-    return df.agg(r3(F.avg(ranked(df, cv)[0])).alias("answer"))
+    return df.agg(r3(F.avg(pick(df, "max_cv"))).alias("answer"))
 
 
 @template
-def min_mean_column_std(df: DataFrame) -> DataFrame:
-    return df.agg(r3(F.stddev_samp(ranked(df, F.avg, False)[0])).alias("answer"))
+def min_mean_column_std(df: DataFrame, leave_out: str = "") -> DataFrame:
+    """Deviation of the column with the least mean; leave_out 'top_variance' or 'first' drops that column before."""
+    without = {"": (), "top_variance": (top_variance(df),), "first": tuple(analysis_columns(df)[:1])}[leave_out]
+    return df.agg(r3(F.stddev_samp(ranked(df, MEAN, False, without=without)[0])).alias("answer"))
 
 
-def _correlation(largest: bool):
-    def f(df: DataFrame) -> DataFrame:
-        a, b = pairs_by_correlation(df, largest)[0]
+def _correlation(name: str, largest: bool):
+    def f(df: DataFrame, without_top: bool = False) -> DataFrame:
+        columns = [c for c in analysis_columns(df) if not (without_top and c == top_variance(df))]
+        a, b = pairs_by_correlation(df, largest, columns)[0]
         return df.agg(named(a, b), F.round(F.abs(F.corr(a, b)), 2).alias("association_score"))
 
-    return f
+    f.__name__ = name
+    return template(f)
 
 
-TEMPLATES["strongest_correlation"] = _correlation(True)
-TEMPLATES["weakest_correlation"] = _correlation(False)
+_correlation("strongest_correlation", True)
+_correlation("weakest_correlation", False)
 
 
 @template
 def conditional_normality(df: DataFrame) -> DataFrame:
-    c = top_variance(df)
-    q = df.agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.percentile(c, [0.25, 0.5, 0.75]).alias("q"))
-    both = q.crossJoin(shapiro_frame(sampled(df, c), c))  # one row each
-    normal = F.col("p") > 0.05
-    return both.select(F.when(normal, "normal").otherwise("skewed").alias("distribution"), r3(F.when(normal, F.col("mean")).otherwise(F.col("q")[1])).alias("center"), r3(F.when(normal, F.col("std")).otherwise(F.col("q")[2] - F.col("q")[0])).alias("spread"))
+    """A row for each column of the largest variance: mean and std if normal, else median and iqr; the other two are null."""
+    best = facts(df)["columns"][top_variance(df)]["var"]
+    out = []
+    for c in (c for c in analysis_columns(df) if facts(df)["columns"][c]["var"] == best):
+        whole = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).crossJoin(ordered.quantiles(df, c, [0.25, 0.5, 0.75])).crossJoin(shapiro_frame(sampled(df, c), c))  # one row each
+        normal = F.coalesce(F.col("p") > 0.05, F.lit(False))
+        when = lambda ok, x: F.when(ok, r3(x))
+        out.append(whole.select(F.lit(c).alias("column"), F.when(normal, "normal").otherwise("non-normal").alias("distribution"), when(normal, F.col("m")).alias("mean"), when(normal, F.col("s")).alias("std"), when(~normal, F.col("q")[1]).alias("median"), when(~normal, F.col("q")[2] - F.col("q")[0]).alias("iqr")))
+    return reduce(DataFrame.unionAll, out)
 
 
 @template
@@ -132,10 +219,25 @@ def identifier_like_columns(df: DataFrame) -> DataFrame:
 
 
 @template
-def count_outlier_columns(df: DataFrame, z: float = 3.0) -> DataFrame:
+def count_outlier_columns(df: DataFrame, z: float = 3.0, rule: str = "beyond") -> DataFrame:
+    """Values far from their column's mean by z deviations: 'beyond', 'reaching' (>=), 'population' (deviation of the whole), or
+    'quartiles' (outside 1.5 interquartile ranges)."""
     cols = analysis_columns(df)
-    stats = df.agg(*[f(c).alias(f"{k}_{c}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp))])
-    far = df.crossJoin(F.broadcast(stats)).agg(*[F.count_if((F.col(f"s_{c}") > 0) & (F.abs(F.col(c) - F.col(f"m_{c}")) > z * F.col(f"s_{c}"))).alias(c) for c in cols])
+    if not cols:
+        raise NotApplicable("no numeric column")
+    if rule == "quartiles":
+        cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols))
+        long = df.select(F.explode(cells).alias("x")).select("x.*")
+        q = ordered.quantiles(long, "v", [0.25, 0.75], "column")
+        iqr = F.col("q")[1] - F.col("q")[0]
+        far = F.count_if((F.col("v") < F.col("q")[0] - 1.5 * iqr) | (F.col("v") > F.col("q")[1] + 1.5 * iqr))
+        per = long.join(F.broadcast(q), "column").groupBy("column").agg(far.alias("k"))  # a row a column
+        return per.agg(F.count_if(F.col("k") > 0).alias("columns_with_outliers"), F.sum("k").alias("total_outliers"))
+    spread = F.stddev_pop if rule == "population" else F.stddev_samp
+    stats = df.agg(*[f(c).alias(f"{k}_{c}") for c in cols for k, f in (("m", F.avg), ("s", spread))])
+    off = lambda c: F.abs(F.col(c) - F.col(f"m_{c}"))
+    out = lambda c: off(c) >= z * F.col(f"s_{c}") if rule == "reaching" else off(c) > z * F.col(f"s_{c}")
+    far = df.crossJoin(F.broadcast(stats)).agg(*[F.count_if((F.col(f"s_{c}") > 0) & out(c)).alias(c) for c in cols])
     return far.select(reduce(lambda a, b: a + b, [(F.col(c) > 0).cast("long") for c in cols]).alias("columns_with_outliers"), reduce(lambda a, b: a + b, [F.col(c) for c in cols]).alias("total_outliers"))
 
 
@@ -155,38 +257,45 @@ def correlation_after_outlier_removal(df: DataFrame) -> DataFrame:
 
 
 @template
-def regression_most_predictive(df: DataFrame) -> DataFrame:
-    y = top_variance(df)
-    x = next(p for p in pairs_by_correlation(df) if y in p)
-    x = x[0] if x[1] == y else x[1]
+def regression_most_predictive(df: DataFrame, strategy: str = "max_variance") -> DataFrame:
+    y = pick(df, strategy)
+    x = predictors(df, y)[0]
     t = df.agg(F.abs(F.corr(x, y)).alias("r"), F.regr_r2(F.col(y), F.col(x)).alias("r2"), F.regr_slope(F.col(y), F.col(x)).alias("b"), F.regr_count(F.col(y), F.col(x)).alias("n"))
     p = F.udf(tails.t_two_sided, "double")(F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r2"))), F.col("n") - 2)
     return t.select(F.lit(y).alias("target"), F.lit(x).alias("best_predictor"), r3(F.col("r")).alias("association_score"), r3(F.col("r2")).alias("fit_score"), r3(F.col("b")).alias("coefficient"), F.round(p, 4).alias("significance_score"))
 
 
-def binary_column(df: DataFrame) -> str:
-    names = sorted(c for c, t in df.dtypes if t == "string" and not ID_NAME.match(c))
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in names]).first()
-    return next(c for c in names if row[c] == 2)
+def with_two_groups(df: DataFrame, target: str, alphabetical: bool = True) -> tuple[DataFrame, str]:
+    """df and a column of two values in it: a text column (the first by name, or in the table's order), else a numeric one
+    other than target, else `_binary_group`, low or high by the target's median."""
+    of = facts(df)["columns"]
+    names = [c for c, f in of.items() if f["kind"] == "string" and f["distinct"] == 2]
+    names = sorted(names) if alphabetical else names
+    numbers = [c for c, f in of.items() if f["kind"] in NUMERIC and f["distinct"] == 2 and c != target]
+    if names or numbers:
+        return df, (names or numbers)[0]
+    middle = ordered.quantiles(df, target, [0.5]).select(F.col("q")[0].alias("_middle"))
+    return df.crossJoin(F.broadcast(middle)).withColumn("_binary_group", F.when(F.col(target) > F.col("_middle"), "high").when(F.col(target).isNotNull(), "low")).drop("_middle"), "_binary_group"  # one row of median
 
 
-def two_groups(g: DataFrame, stat: Callable[[str], Column], name: str) -> DataFrame:
-    per = g.groupBy("group").agg(stat("value").alias("v"))
+def two_groups(per: DataFrame, name: str) -> DataFrame:
+    """per(group, v) of two groups as one row."""
     return per.agg(F.min("group").alias("group1"), F.max("group").alias("group2"), r3(F.min_by("v", "group")).alias(f"{name}1"), r3(F.max_by("v", "group")).alias(f"{name}2"))
 
 
 @template
-def ttest_discovered_groups(df: DataFrame) -> DataFrame:
-    c, by = top_variance(df), binary_column(df)
+def ttest_discovered_groups(df: DataFrame, strategy: str = "max_variance", alphabetical: bool = True) -> DataFrame:
+    c = pick(df, strategy)
+    df, by = with_two_groups(df, c, alphabetical)
     g = groups_of(df, by, c)
     t = ttest_frame(g).withColumn("p", F.udf(tails.t_two_sided, "double")("t", "df"))
-    return t.crossJoin(two_groups(g, F.avg, "mean")).select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), "group1", "group2", "mean1", "mean2", r3(F.col("t")).alias("test_statistic"), F.round("p", 4).alias("significance_score"), (F.col("p") < 0.05).alias("significant"))
+    return t.crossJoin(two_groups(g.groupBy("group").agg(F.avg("value").alias("v")), "mean")).select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), "group1", "group2", "mean1", "mean2", r3(F.col("t")).alias("test_statistic"), F.round("p", 4).alias("significance_score"), (F.col("p") < 0.05).alias("significant"))
 
 
 @template
 def bootstrap_ci_discovered(df: DataFrame, resamples: int = 1000) -> DataFrame:
     """Poisson bootstrap: every row gets a Poisson(1) weight a resample, out of a hash, so it runs in one pass."""
-    c = ranked(df, lambda x: F.abs(adjusted_skew(x)))[0]
+    c = ranked(df, SKEW)[0]
     x = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"), F.monotonically_increasing_id().alias("i"))
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]  # Poisson(1) up to 5
     u = (F.pmod(F.xxhash64("x", "i", "b"), F.lit(1 << 30)) + 0.5) / (1 << 30)
@@ -213,7 +322,7 @@ def multiple_regression_top_predictors(df: DataFrame) -> DataFrame:
     import numpy as np
 
     y = top_variance(df)
-    xs = [a if b == y else b for a, b in pairs_by_correlation(df) if y in (a, b)][:3]
+    xs = predictors(df, y)[:3]
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in (*xs, y)]).dropna()
     cols = [*xs, y]
     row = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]).first()
@@ -244,10 +353,11 @@ def chi_squared_independence(df: DataFrame) -> DataFrame:
 
 @template
 def mann_whitney_u_test(df: DataFrame) -> DataFrame:
-    c, by = ranked(df, lambda x: F.abs(adjusted_skew(x)))[0], binary_column(df)
+    c = ranked(df, SKEW)[0]
+    df, by = with_two_groups(df, c)
     g = groups_of(df, by, c)
     t = mwu_frame(g).withColumn("p", F.udf(tails.normal_two_sided, "double")("z"))
-    return t.crossJoin(two_groups(g, F.median, "median")).select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), "group1", "group2", "median1", "median2", r3(F.col("u")).alias("test_statistic"), F.round("p", 4).alias("significance_score"))
+    return t.crossJoin(two_groups(group_medians(g).withColumnRenamed("med", "v"), "median")).select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), "group1", "group2", "median1", "median2", r3(F.col("u")).alias("test_statistic"), F.round("p", 4).alias("significance_score"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -264,7 +374,10 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 @template
 def spearman_rank_correlation(df: DataFrame) -> DataFrame:
-    every = reduce(DataFrame.unionAll, [spearman(df, a, b) for a, b in combinations(analysis_columns(df), 2)])
+    pairs = list(combinations(analysis_columns(df), 2))
+    if not pairs:
+        raise NotApplicable("fewer than two numeric columns")
+    every = reduce(DataFrame.unionAll, [spearman(df, a, b) for a, b in pairs])
     best = every.orderBy(F.abs("rho").desc(), "a", "b").limit(1)
     p = F.udf(tails.t_two_sided, "double")(F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("rho") ** 2)), F.col("n") - 2)
     size = F.abs("rho")
@@ -273,36 +386,39 @@ def spearman_rank_correlation(df: DataFrame) -> DataFrame:
 
 @template
 def coefficient_of_variation(df: DataFrame) -> DataFrame:
-    c = ranked(df, cv)[0]
-    return df.agg(F.lit(c).alias("column"), r3(cv(c) * 100).alias("cv"), r3(F.avg(c)).alias("mean"), r3(F.stddev_samp(c)).alias("std"))
+    c = ranked(df, CV)[0]
+    share = F.stddev_samp(c) / F.nullif(F.abs(F.avg(c)), F.lit(0.0))
+    return df.agg(F.lit(c).alias("column"), r3(share * 100).alias("cv"), r3(F.avg(c)).alias("mean"), r3(F.stddev_samp(c)).alias("std"))
 
 
 def fences(df: DataFrame, c: str) -> DataFrame:
-    q = df.agg(F.percentile(c, [0.25, 0.75]).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = ordered.quantiles(df, c, [0.25, 0.75]).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     return q.select("q1", "q3", (F.col("q1") - 1.5 * iqr).alias("low"), (F.col("q3") + 1.5 * iqr).alias("high"))
 
 
 @template
-def iqr_outlier_analysis(df: DataFrame) -> DataFrame:
-    c = top_variance(df)
+def iqr_outlier_analysis(df: DataFrame, strategy: str = "max_variance") -> DataFrame:
+    c = pick(df, strategy)
     t = df.crossJoin(F.broadcast(fences(df, c))).groupBy("q1", "q3", "low", "high").agg(F.count_if((F.col(c) < F.col("low")) | (F.col(c) > F.col("high"))).alias("n_outliers"))
     return t.select(F.lit(c).alias("column"), r3(F.col("q1")).alias("q1"), r3(F.col("q3")).alias("q3"), r3(F.col("q3") - F.col("q1")).alias("iqr"), r3(F.col("low")).alias("lower_fence"), r3(F.col("high")).alias("upper_fence"), "n_outliers")
 
 
 @template
 def percentile_ranking(df: DataFrame) -> DataFrame:
-    c = ranked(df, lambda x: F.max(x) - F.min(x))[0]
-    q = df.agg(F.percentile(c, [0.1, 0.25, 0.5, 0.75, 0.9]).alias("q"))
+    c = ranked(df, RANGE)[0]
+    q = ordered.quantiles(df, c, [0.1, 0.25, 0.5, 0.75, 0.9])
     return q.select(F.lit(c).alias("column"), *[r3(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))])
 
 
 @template
-def descriptive_summary(df: DataFrame) -> DataFrame:
-    c = top_variance(df)
+def descriptive_summary(df: DataFrame, strategy: str = "max_variance") -> DataFrame:
+    c = pick(df, strategy)
     n = F.count(c)
     kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6)
-    return df.agg(F.lit(c).alias("column"), n.alias("count"), *[r3(f).alias(k) for k, f in (("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c)), ("max", F.max(c)), ("median", F.median(c)), ("skewness", adjusted_skew(c)), ("kurtosis", kurt))])
+    one = df.agg(F.lit(c).alias("column"), n.alias("count"), *[r3(f).alias(k) for k, f in (("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("min", F.min(c)), ("max", F.max(c)), ("skewness", adjusted_skew(c)), ("kurtosis", kurt))])
+    middle = ordered.quantiles(df, c, [0.5]).select(r3(F.col("q")[0]).alias("median"))
+    return one.crossJoin(middle)  # one row each
 
 
 @template
@@ -314,21 +430,33 @@ def levene_variance_test(df: DataFrame) -> DataFrame:
     return t.crossJoin(per).select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), "n_groups", r3(F.col("w")).alias("test_statistic"), F.round("p", 4).alias("significance_score"), (F.col("p") > 0.05).alias("variances_equal"), "group_variances")
 
 
+#: A rational approximation of the normal distribution's tail, to 1.5e-7.
+_TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def normal_cdf(z: Column) -> Column:
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    tail = F.exp(-z * z / 2) / F.sqrt(F.lit(2) * F.pi()) * reduce(lambda acc, k: (acc + k) * t, reversed(_TAIL), F.lit(0.0))
+    return F.when(z >= 0, 1 - tail).otherwise(tail)
+
+
 @template
 def ks_normality_test(df: DataFrame) -> DataFrame:
-    c = ranked(df, lambda x: F.abs(adjusted_skew(x)), False)[0]
+    c = ranked(df, SKEW, False)[0]
     stats = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"), F.count(c).alias("all"))
     r = ordered.average_ranks(df, c).crossJoin(F.broadcast(stats))
-    cdf = F.udf(lambda z: 1 - tails.normal_two_sided(z) / 2 if z > 0 else tails.normal_two_sided(z) / 2, "double")((F.col(c) - F.col("m")) / F.col("s"))
+    cdf = normal_cdf((F.col(c) - F.col("m")) / F.col("s"))
     t = r.withColumn("f", cdf).groupBy("m", "s", "all").agg(F.max(F.greatest((F.col("below") + F.col("n")) / F.col("all") - F.col("f"), F.col("f") - F.col("below") / F.col("all"))).alias("d"))
-    return t.withColumn("p", F.udf(tails.kolmogorov_sf, "double")("d", "all")).select(F.lit(c).alias("column"), F.round("d", 4).alias("test_statistic"), F.round("p", 4).alias("significance_score"), (F.col("p") > 0.05).alias("is_normal"), r3(F.col("m")).alias("sample_mean"), r3(F.col("s")).alias("sample_std"))
+    return t.withColumn("p", F.udf(tails.kolmogorov_sf, "double")("d", "all")).select(F.lit(c).alias("column"), F.round("d", 2).alias("test_statistic"), F.round("p", 4).alias("significance_score"), (F.col("p") >= 0.05).alias("is_normal"), F.round("m", 2).alias("sample_mean"), F.round("s", 2).alias("sample_std"))
 
 
 @template
 def correlation_change_analysis(df: DataFrame) -> DataFrame:
-    cols = analysis_columns(df)
-    row = df.agg(*[((F.min(c) > 0) & (F.count(c) == F.count("*"))).alias(c) for c in cols]).first()
-    a, b = ranked(df, lambda x: F.abs(adjusted_skew(x)), True, [c for c in cols if row[c]])[:2]
+    of, n = facts(df)["columns"], facts(df)["n"]
+    cols = [c for c in analysis_columns(df) if of[c]["min"] > 0 and of[c]["count"] == n]
+    if len(cols) < 2:
+        raise NotApplicable("fewer than two complete positive columns")
+    a, b = ranked(df, SKEW, True, cols)[:2]
     low = df.agg(F.min(a).alias("la"), F.min(b).alias("lb"))
     t = df.crossJoin(F.broadcast(low)).agg(F.corr(a, b).alias("o"), F.corr(F.log1p(F.col(a) - F.col("la") + 1), F.log1p(F.col(b) - F.col("lb") + 1)).alias("l"))
     return t.select(named(a, b), r3(F.col("o")).alias("original_association"), r3(F.col("l")).alias("log_association"), r3(F.abs("l") - F.abs("o")).alias("improvement"), (F.abs("l") > F.abs("o")).alias("transformation_helpful"))
@@ -336,8 +464,8 @@ def correlation_change_analysis(df: DataFrame) -> DataFrame:
 
 @template
 def audit_missing_imputation_effect(df: DataFrame) -> DataFrame:
-    c = ranked(df, lambda x: F.avg(F.col(x).isNull().cast("int")))[0]
-    med = df.agg(F.median(c).alias("med"))
+    c = ranked(df, lambda f: -f["count"])[0]
+    med = ordered.quantiles(df, c, [0.5]).select(F.col("q")[0].alias("med"))
     t = df.crossJoin(F.broadcast(med)).agg(F.avg(F.col(c).isNull().cast("int")).alias("miss"), F.count_if(F.col(c).isNull()).alias("k"), F.avg(c).alias("o"), F.avg(F.coalesce(F.col(c), F.col("med"))).alias("i"))
     return t.select(F.lit(c).alias("column"), r3(F.col("miss") * 100).alias("missing_pct"), F.col("k").alias("imputed_count"), r3(F.col("o")).alias("original_mean"), r3(F.col("i")).alias("imputed_mean"), r3(F.col("i") - F.col("o")).alias("mean_shift"))
 
@@ -351,50 +479,58 @@ def rank_categories_by_target_mean(df: DataFrame, min_n: int = 10, top_k: int =
 
 @template
 def adaptive_two_sample_test(df: DataFrame) -> DataFrame:
-    c, by = ranked(df, lambda x: F.abs(adjusted_skew(x)), False)[0], binary_column(df)
+    c, by = ranked(df, SKEW, False)[0], text_column(df, 2, 2)
     g = groups_of(df, by, c)
     names = [r[0] for r in g.select("group").distinct().orderBy("group").collect()]  # two values
     normal = reduce(DataFrame.crossJoin, [shapiro_frame(sampled(g.where(F.col("group") == n), "value"), "value").select(F.col("p").alias(f"p{i}")) for i, n in enumerate(names)])
     equal = levene_frame(g).select(F.udf(tails.f_sf, "double")("w", "d1", "d2").alias("pl"))
     t = ttest_frame(g).select("t", "df", F.udf(tails.t_two_sided, "double")("t", "df").alias("pt"))
     m = mwu_frame(g).select("u", "n1", "n2", F.udf(tails.normal_two_sided, "double")("z").alias("pu"))
-    ok = (F.col("p0") > 0.05) & (F.col("p1") > 0.05) & (F.col("pl") > 0.05)
+    ok = F.coalesce((F.col("p0") >= 0.05) & (F.col("p1") >= 0.05) & (F.col("pl") >= 0.05), F.lit(False))
     d = F.col("t") * F.sqrt(1 / F.col("n1") + 1 / F.col("n2"))
     out = normal.crossJoin(equal).crossJoin(t).crossJoin(m)  # one row each
     p = F.when(ok, F.col("pt")).otherwise(F.col("pu"))
-    return out.select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), F.lit(names[0]).alias("group1"), F.lit(names[1]).alias("group2"), F.when(ok, "ttest").otherwise("mannwhitney").alias("method_choice"), F.round(p, 4).alias("significance_score"), F.when(ok, "cohens_d").otherwise("rank_biserial").alias("effect_size_kind"), r3(F.when(ok, d).otherwise(1 - 2 * F.col("u") / (F.col("n1") * F.col("n2")))).alias("effect_size"), (p < 0.05).alias("significant"), F.coalesce(ok, F.lit(False)).alias("assumptions_passed"))
+    return out.select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), F.lit(names[0]).alias("group1"), F.lit(names[1]).alias("group2"), F.when(ok, "parametric").otherwise("rank_based").alias("method_choice"), F.round(p, 4).alias("significance_score"), F.when(ok, "standardized_diff").otherwise("rank_based").alias("effect_size_kind"), F.round(F.when(ok, d).otherwise(1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))), 2).alias("effect_size"), (p < 0.05).alias("significant"), ok.alias("assumptions_passed"))
 
 
 @template
 def quantile_bin_best_mean(df: DataFrame, n_bins: int = 4) -> DataFrame:
-    b = ranked(df, lambda x: F.abs(adjusted_skew(x)))[0]
-    c = next(x for x in ranked(df, F.var_samp) if x != b)
-    edges = df.agg(F.array_distinct(F.percentile(b, [i / n_bins for i in range(n_bins + 1)])).alias("e"))
+    """The bin of the most skewed column with the best mean of another one. Bins are (a, b] between exact quantiles, edges to
+    three digits; the first begins a thousandth lower, so that it holds the minimum. bin_means is 'bin: mean' in order."""
+    of = facts(df)["columns"]
+    top = max((SKEW(of[c]) or -1.0 for c in analysis_columns(df)), default=-1.0)
+    b = min((c for c in analysis_columns(df) if (SKEW(of[c]) or -1.0) == top), default=None)
+    if b is None:
+        raise NotApplicable("no numeric column with the statistic")
+    c = ranked(df, VARIANCE, without=(b,))[0]
+    edges = ordered.quantiles(df, b, [i / n_bins for i in range(n_bins + 1)]).select(F.array_distinct("q").alias("e"))
     place = F.greatest(F.size(F.filter("e", lambda x: x < F.col(b))), F.lit(1))
     rows = df.where(F.col(b).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bin", place)
-    return rows.groupBy("bin").agg(r3(F.avg(c)).alias("mean"), F.count("*").alias("n")).select(F.lit(b).alias("binning_column"), F.lit(c).alias("target_column"), F.col("bin").cast("long").alias("bin"), "mean", "n")
+    shown = lambda x: F.regexp_replace(F.format_string("%.3f", x), r"0{1,2}$", "")
+    low = F.get("e", F.col("bin") - 1) - F.when(F.col("bin") == 1, 0.001).otherwise(0.0)
+    per = rows.groupBy("bin", "e").agg(F.avg(c).alias("m")).where("m is not null").withColumn("name", F.concat(F.lit("("), shown(low), F.lit(", "), shown(F.get("e", F.col("bin"))), F.lit("]")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("bin", "name", F.round("m", 2).alias("m")))), lambda x: F.concat(x["name"], F.lit(": "), x["m"].cast("string")))
+    return per.agg(F.lit(b).alias("binning_column"), F.lit(c).alias("target_column"), F.max_by("name", F.struct("m", -F.col("bin"))).alias("best_bin"), F.round(F.max("m"), 2).alias("best_bin_mean"), F.array_join(listed, "; ").alias("bin_means"))
 
 
 @template
-def iterative_outlier_removal(df: DataFrame, rounds: int = 10) -> DataFrame:
-    """Each round keeps an interval, so rounds add up to one filter and no lineage grows."""
-    c = ranked(df, cv)[0]
-    low, high, used, before = float("-inf"), float("inf"), 0, None
-    first = df.agg(F.avg(c).alias("m"), F.count(c).alias("n")).first()
-    n, mean = first["n"], first["m"]
-    for _ in range(rounds):
-        inside = df.where((F.col(c) >= low) & (F.col(c) <= high))
-        r = inside.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).first()
-        if not r["s"]:
-            break
-        low, high = max(low, r["m"] - 3 * r["s"]), min(high, r["m"] + 3 * r["s"])
-        k = df.where((F.col(c) >= low) & (F.col(c) <= high)).agg(F.count(c).alias("n"), F.avg(c).alias("m")).first()
-        if k["n"] == n:
-            break
-        used, before, mean, n = used + 1, mean, k["m"], k["n"]
-        if abs(mean - before) < 0.001:
+def iterative_outlier_removal(df: DataFrame, z: float = 3.0, rounds: int = 10, eps: float = 0.001) -> DataFrame:
+    """Each round keeps an interval, so rounds add up to one filter and no lineage grows; the round that removes nothing counts."""
+    columns = analysis_columns(df)
+    best = max((CV(facts(df)["columns"][c]) or -1.0 for c in columns), default=-1.0)
+    c = min((c for c in columns if (CV(facts(df)["columns"][c]) or -1.0) == best), default=None)
+    if c is None or best < 0:
+        raise NotApplicable("no numeric column with the statistic")
+    low, high, used = float("-inf"), float("inf"), 0
+    stats = lambda a, b: df.where((F.col(c) >= a) & (F.col(c) <= b)).agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).first()
+    first = now = df.agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).first()
+    while used < rounds and now["s"]:
+        low, high, used = max(low, now["m"] - z * now["s"]), min(high, now["m"] + z * now["s"]), used + 1
+        before, now = now, stats(low, high)
+        if now["n"] == before["n"] or abs(now["m"] - before["m"]) < eps:
             break
-    return df.sparkSession.createDataFrame([(c, used, first["n"] - n, round(first["m"], 3), round(mean, 3))], "column string, iterations_used long, total_removed long, initial_mean double, final_mean double")
+    half = lambda x: F.round(F.lit(x), 2)
+    return df.sparkSession.range(1).select(F.lit(c).alias("column"), F.lit(used).cast("long").alias("iterations_used"), F.lit(first["n"] - now["n"]).cast("long").alias("total_removed"), half(first["m"]).alias("initial_mean"), half(now["m"]).alias("final_mean"))
 
 
 @template
@@ -405,3 +541,59 @@ def segment_then_analyze_outliers(df: DataFrame) -> DataFrame:
     far = F.count_if((F.col(c) < F.col("low")) | (F.col(c) > F.col("high")))
     t = seg.crossJoin(F.broadcast(fences(seg, c))).groupBy("best_category").agg(F.count("*").alias("segment_size"), r3(F.avg(c)).alias("segment_mean"), far.alias("segment_outliers"), F.round(far / F.count("*"), 4).alias("outlier_rate"))
     return t.select(F.lit(by).alias("category_column"), F.lit(c).alias("target_column"), "best_category", "segment_size", "segment_mean", "segment_outliers", "outlier_rate")
+
+
+#: What each analysis needs: numeric columns, ranges of values of text columns, and how many steps it takes.
+NEEDS: dict[str, tuple[int, tuple[tuple[int, int], ...], int]] = {
+    "max_variance_mean": (1, (), 3),
+    "max_cv_mean": (1, (), 3),
+    "min_mean_column_std": (1, (), 3),
+    "strongest_correlation": (2, (), 4),
+    "weakest_correlation": (2, (), 4),
+    "conditional_normality": (1, (), 5),
+    "count_high_missing_columns": (0, (), 3),
+    "duplicate_rows_summary": (0, (), 3),
+    "identifier_like_columns": (0, (), 3),
+    "count_outlier_columns": (1, (), 4),
+    "category_highest_target_mean": (1, ((2, 20),), 5),
+    "correlation_after_outlier_removal": (2, (), 5),
+    "regression_most_predictive": (2, (), 8),
+    "ttest_discovered_groups": (2, (), 8),
+    "bootstrap_ci_discovered": (1, (), 9),
+    "anova_discovered_groups": (1, ((3, 10),), 9),
+    "multiple_regression_top_predictors": (2, (), 9),
+    "chi_squared_independence": (0, ((2, 10), (2, 10)), 6),
+    "mann_whitney_u_test": (1, (), 6),
+    "spearman_rank_correlation": (2, (), 6),
+    "coefficient_of_variation": (1, (), 4),
+    "iqr_outlier_analysis": (1, (), 5),
+    "percentile_ranking": (1, (), 3),
+    "descriptive_summary": (1, (), 3),
+    "levene_variance_test": (1, ((2, 6),), 7),
+    "ks_normality_test": (1, (), 7),
+    "correlation_change_analysis": (2, (), 6),
+    "audit_missing_imputation_effect": (1, (), 6),
+    "rank_categories_by_target_mean": (1, ((3, 20),), 6),
+    "adaptive_two_sample_test": (1, ((2, 2),), 9),
+    "quantile_bin_best_mean": (2, (), 7),
+    "iterative_outlier_removal": (1, (), 9),
+    "segment_then_analyze_outliers": (1, ((3, 15),), 7),
+}
+
+
+def applicable(df: DataFrame) -> DataFrame:
+    """(place, template, n_steps) of the analyses that the table has the columns for, the longest first; from its facts alone."""
+    numbers = len(analysis_columns(df))
+
+    def fits(name: str) -> bool:
+        least, texts, _ = NEEDS[name]
+        free = [f["distinct"] for f in facts(df)["columns"].values() if f["kind"] == "string"]
+        for low, high in texts:
+            hit = next((d for d in free if low <= d <= high), None)
+            if hit is None:
+                return False
+            free.remove(hit)
+        return numbers >= least and facts(df)["n"] > 0
+
+    order = sorted((n for n in TEMPLATES if fits(n)), key=lambda n: (-NEEDS[n][2], n))
+    return df.sparkSession.createDataFrame([(i, n, NEEDS[n][2]) for i, n in enumerate(order)], "place long, template string, n_steps long")

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import record_queries, statistic_queries
 from .operators import catalog
-from .operators.profile import column_profile, quality_issues, strongest_correlations, top_values
-from .plans.templates import TEMPLATES
+from .operators.profile import column_profile, head, index_columns, quality_issues, shape, strongest_correlations, time_ranges, top_values, value_summary
+from .plans.templates import TEMPLATES, applicable
 from .records.context import prune_context
 from .records.splits import stratified_split
 from .records.summaries import pass_rates, timings
@@ -95,6 +96,28 @@ program("bin_into_quartiles", "events", [NUM, _EV, "bin_into_quartiles"], "selec
 for _n, _f in TEMPLATES.items():
     QUERIES[f"tpl_{_n}"] = lambda spark, d, f=_f: f(line(spark, d))
 
+# Other ways to read a question: the same analysis with other parameters.
+ALTERNATES: dict[str, tuple[str, dict]] = {
+    "max_std_mean": ("max_variance_mean", {"strategy": "max_std"}),
+    "max_variance_mean_without_top": ("max_variance_mean", {"without_top": True}),
+    "min_mean_std_without_top": ("min_mean_column_std", {"leave_out": "top_variance"}),
+    "min_mean_std_without_first": ("min_mean_column_std", {"leave_out": "first"}),
+    "strongest_correlation_without_top": ("strongest_correlation", {"without_top": True}),
+    "weakest_correlation_without_top": ("weakest_correlation", {"without_top": True}),
+    "outlier_columns_z2": ("count_outlier_columns", {"z": 1.5}),
+    "outlier_columns_reaching": ("count_outlier_columns", {"z": 1.5, "rule": "reaching"}),
+    "outlier_columns_population": ("count_outlier_columns", {"z": 1.5, "rule": "population"}),
+    "outlier_columns_quartiles": ("count_outlier_columns", {"rule": "quartiles"}),
+    "high_missing_columns_ten": ("count_high_missing_columns", {"threshold": 1.0}),
+    "iqr_outliers_by_cv": ("iqr_outlier_analysis", {"strategy": "max_cv"}),
+    "summary_by_cv": ("descriptive_summary", {"strategy": "max_cv"}),
+    "regression_by_cv": ("regression_most_predictive", {"strategy": "max_cv"}),
+    "ttest_by_cv": ("ttest_discovered_groups", {"strategy": "max_cv"}),
+    "ttest_in_table_order": ("ttest_discovered_groups", {"alphabetical": False}),
+}
+for _n, (_f, _p) in ALTERNATES.items():
+    QUERIES[f"tpl_{_n}"] = lambda spark, d, f=_f, p=_p: TEMPLATES[f](line(spark, d), **p)
+
 QUERIES["tpl_correlation_change_analysis"] = lambda spark, d: TEMPLATES["correlation_change_analysis"](table(spark, d, "lineitem").select(*LINE))
 
 _UN = "(unpivot (select l_quantity, l_extendedprice, l_discount, l_tax from line) on columns(*) into name name value v)"
@@ -152,3 +175,27 @@ QUERIES["rec_prune_context"] = lambda spark, d: prune_context(table(spark, d, "c
 ORACLE_SQL["rec_prune_context"] = "with r as (select *, coalesce(length(text), 0) // 4 as tokens, coalesce(role = 'system', false) as s from conversations), p as (select *, sum(case when s then 0 else 1 end) over w as k, sum(case when s then 0 else tokens end) over w as t, sum(case when s then tokens else 0 end) over (partition by conv_id) as st from r window w as (partition by conv_id order by turn desc, role, text rows unbounded preceding)) select conv_id, turn, role, tokens, s or (k <= 4 and (k <= 2 or st + t <= 1000)) as kept from p"
 QUERIES["profile_quality_issues"] = lambda spark, d: quality_issues(table(spark, d, "customer").select("c_name", "c_nationkey", "c_mktsegment"))
 ORACLE_SQL["profile_quality_issues"] = "select * from (select 'duplicate_rows' as issue, null::varchar as \"column\", coalesce(sum(n - 1), 0)::bigint as n from (select count(*) as n from customer group by c_name, c_nationkey, c_mktsegment) union all select 'unique_text', 'c_name', case when count(distinct c_name) = count(*) then count(*) else 0 end from customer union all select 'unique_text', 'c_mktsegment', case when count(distinct c_mktsegment) = count(*) then count(*) else 0 end from customer) where n > 0"
+
+for _n, _s in statistic_queries.SQL.items():
+    QUERIES[f"stat_{_n}"] = statistic_queries.without_tails(QUERIES[f"tpl_{_n}"])
+    ORACLE_SQL[f"stat_{_n}"] = WITH + _s
+QUERIES["stat_bootstrap_ci_discovered"] = lambda spark, d: QUERIES["tpl_bootstrap_ci_discovered"](spark, d).drop("ci_lower", "ci_upper", "std_error")
+for _n, _s in statistic_queries.WHOLE_SQL.items():
+    ORACLE_SQL[f"tpl_{_n}"] = WITH + _s
+
+QUERIES["tpl_applicable"] = lambda spark, d: applicable(line(spark, d))
+QUERIES["profile_index_columns"] = lambda spark, d: index_columns(table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("user_id").alias("my_id")))
+ORACLE_SQL["profile_index_columns"] = """select unnest(['event_id', 'user_id', 'event_type', 'my_id']) as "column", unnest([true, true, false, true]) as index_like, unnest(['name', 'name', null, 'name']) as why"""
+QUERIES["profile_index_sequence"] = lambda spark, d: index_columns(table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("n"), "c_name"))
+ORACLE_SQL["profile_index_sequence"] = """select unnest(['c', 'n', 'c_name']) as "column", unnest([q, false, false]) as index_like, unnest([case when q then 'sequence' end, null, null]) as why from (select min(c_custkey) in (0, 1) and max(c_custkey) - min(c_custkey) + 1 = count(*) and count(distinct c_custkey) = count(*) as q from customer)"""
+QUERIES["profile_time_ranges"] = lambda spark, d: time_ranges(table(spark, d, "orders"))
+ORACLE_SQL["profile_time_ranges"] = """select 'o_orderdate' as "column", min(o_orderdate)::timestamp as first, max(o_orderdate)::timestamp as last, date_diff('microsecond', min(o_orderdate), max(o_orderdate)) // 86400000000 as range_days from orders"""
+QUERIES["profile_shape"] = lambda spark, d: shape(table(spark, d, "lineitem"))
+ORACLE_SQL["profile_shape"] = "select count(*) as n_rows, 11::bigint as n_columns from lineitem"
+QUERIES["profile_head"] = lambda spark, d: head(table(spark, d, "nation"), ["n_nationkey"])
+ORACLE_SQL["profile_head"] = """select row_number() over (order by n_nationkey) as place, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' as row from nation order by n_nationkey limit 3"""
+QUERIES["profile_value_summary"] = lambda spark, d: value_summary(table(spark, d, "nation"), ["n_nationkey"]).select("n_rows", "columns", F.size("head").cast("long").alias("n_head"))
+ORACLE_SQL["profile_value_summary"] = "select count(*) as n_rows, 'n_nationkey: int; n_name: string; n_regionkey: int' as columns, 5::bigint as n_head from nation"
+
+QUERIES |= record_queries.QUERIES
+ORACLE_SQL |= record_queries.ORACLE_SQL

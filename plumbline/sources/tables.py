@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 MISSING = ("", "?", "NA", "N/A", "na", "n/a", "nan", "NaN", "null", "NULL", "None")
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV with header; MISSING becomes null, and text columns are coerced."""
-    return coerce(spark.read.option("header", True).option("encoding", encoding).csv(path))
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A CSV with header; MISSING becomes null, and text columns are coerced.
+
+    Fields may hold quotes (doubled), commas and line breaks inside quotes. Without a given encoding it is UTF-8, or
+    Latin-1 if some line is no valid UTF-8.
+    """
+    if encoding is None:
+        broken = spark.read.text(path).select(F.lit(1)).where(F.contains("value", F.lit("\ufffd"))).limit(1)
+        encoding = "ISO-8859-1" if broken.count() else "UTF-8"
+    options = {"header": True, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False}
+    return coerce(spark.read.options(**options).csv(path))
 
 
 def coerce(df: DataFrame) -> DataFrame:
