@@ -40,10 +40,23 @@ def _place(value: Column, cuts: list) -> Column:
     return F.when(value.isNotNull(), part * step + count(F.element_at(parts, part + 1)))
 
 
-def bucketed(df: DataFrame, column: str) -> DataFrame:
-    """df with _bucket, ascending in column (nulls first, -1): about one for BUCKET_ROWS rows, and one for equal values."""
+def cut_points(df: DataFrame, columns: list[str]) -> dict[str, list]:
+    """Cut points for bucketed, of several columns by one aggregate."""
+    q = [F.percentile_approx(_number(df, c), [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias(f"q{i}") for i, c in enumerate(columns)]
+    row = df.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(columns)), *q).first()
+    out = {}
+    for i, c in enumerate(columns):
+        n = min(BUCKETS, -(-row[f"n{i}"] // BUCKET_ROWS))
+        out[c] = [row[f"q{i}"][k * BUCKETS // n - 1] for k in range(1, n)] if row[f"q{i}"] else []
+    return out
+
+
+def bucketed(df: DataFrame, column: str, cuts: list | None = None) -> DataFrame:
+    """df with _bucket, ascending in column (nulls first, -1): about one for BUCKET_ROWS rows, and one for equal values; or
+    between given cut points."""
     value = _number(df, column)
-    ((_, cuts),) = _cuts(df, value)
+    if cuts is None:
+        ((_, cuts),) = _cuts(df, value)
     return df.withColumn("_v", value).withColumn("_bucket", F.coalesce(_place(F.col("_v"), cuts), F.lit(-1)).cast("long")).drop("_v")
 
 
@@ -89,10 +102,10 @@ def trailing(df: DataFrame, width: int, make, name: str) -> DataFrame:
     return rows.withColumn(name, make(w)).where("_block = _own").drop("_block", "_own")
 
 
-def average_ranks(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, by: str | None = None, cuts: list | None = None) -> DataFrame:
     """(by, column, n, below) a distinct value: how often it stands, how many values are smaller. Nulls are left out."""
     keys = [by] if by else []
-    counts = bucketed(df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n")), column)
+    counts = bucketed(df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n")), column, cuts)
     totals = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_t"))
     carry = totals.select(*keys, "_bucket", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_t")).alias("_c"))
     w = Window.partitionBy(*keys, "_bucket").orderBy(column)

@@ -360,10 +360,10 @@ def mann_whitney_u_test(df: DataFrame) -> DataFrame:
     return t.crossJoin(two_groups(group_medians(g).withColumnRenamed("med", "v"), "median")).select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), "group1", "group2", "median1", "median2", r3(F.col("u")).alias("test_statistic"), F.round("p", 4).alias("significance_score"))
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, cuts: dict[str, list]) -> DataFrame:
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("w"))
-    ra = ordered.average_ranks(df.where(F.col(b).isNotNull()), a).select(a, (F.col("below") + (F.col("n") + 1) / 2).alias("x"))
-    rb = ordered.average_ranks(df.where(F.col(a).isNotNull()), b).select(b, (F.col("below") + (F.col("n") + 1) / 2).alias("y"))
+    ra = ordered.average_ranks(df.where(F.col(b).isNotNull()), a, None, cuts[a]).select(a, (F.col("below") + (F.col("n") + 1) / 2).alias("x"))
+    rb = ordered.average_ranks(df.where(F.col(a).isNotNull()), b, None, cuts[b]).select(b, (F.col("below") + (F.col("n") + 1) / 2).alias("y"))
     s = lambda e: F.sum(F.col("w") * e)
     x, y = F.col("x"), F.col("y")
     t = rows.join(ra, a).join(rb, b).agg(F.sum("w").alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * y).alias("xy"), s(x * x).alias("xx"), s(y * y).alias("yy"))
@@ -377,7 +377,8 @@ def spearman_rank_correlation(df: DataFrame) -> DataFrame:
     pairs = list(combinations(analysis_columns(df), 2))
     if not pairs:
         raise NotApplicable("fewer than two numeric columns")
-    every = reduce(DataFrame.unionAll, [spearman(df, a, b) for a, b in pairs])
+    cuts = ordered.cut_points(df, analysis_columns(df))
+    every = reduce(DataFrame.unionAll, [spearman(df, a, b, cuts) for a, b in pairs])
     best = every.orderBy(F.abs("rho").desc(), "a", "b").limit(1)
     p = F.udf(tails.t_two_sided, "double")(F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("rho") ** 2)), F.col("n") - 2)
     size = F.abs("rho")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from .plans.templates import TEMPLATES, applicable
 from .records.context import prune_context
 from .records.splits import stratified_split
 from .records.summaries import pass_rates, timings
+from .scratch import shared_dir
+from .streaming import rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -197,5 +200,19 @@ ORACLE_SQL["profile_head"] = """select row_number() over (order by n_nationkey)
 QUERIES["profile_value_summary"] = lambda spark, d: value_summary(table(spark, d, "nation"), ["n_nationkey"]).select("n_rows", "columns", F.size("head").cast("long").alias("n_head"))
 ORACLE_SQL["profile_value_summary"] = "select count(*) as n_rows, 'n_nationkey: int; n_name: string; n_regionkey: int' as columns, 5::bigint as n_head from nation"
 
+
+
+def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream into Parquet: the days that the watermark has closed."""
+    folder = f"{shared_dir(spark)}/rates-{uuid.uuid4().hex}"
+    stream = rates.read_stream(spark, f"{sf_dir}/events.parquet").withColumn("success", F.col("event_type") != "error")
+    rates.write_until_now(rates.windowed_rates(stream, "ts", "event_type"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+QUERIES["strm_event_rates"] = event_rates
+ORACLE_SQL["strm_event_rates"] = """select date_trunc('day', ts)::timestamp as start, event_type as kind, count(*) as n, count(*) filter (where event_type = 'error') as errors, round(avg(value), 3) as mean from events
+group by 1, 2 having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events)"""
+
 QUERIES |= record_queries.QUERIES
 ORACLE_SQL |= record_queries.ORACLE_SQL

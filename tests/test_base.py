@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import ordered, tails
 from plumbline.operators import catalog
 from plumbline.plans import programs
-from plumbline.plans.templates import TEMPLATES
+from plumbline.plans.templates import TEMPLATES, applicable, pick, pick_category
 
 
 @pytest.fixture
@@ -28,7 +28,7 @@ def test_ordered_operations_match_pandas(small):
     got = ordered.trailing(n, 5, lambda w: F.avg("x").over(w), "r").orderBy("k").toPandas()
     assert len(got) == 200
     assert np.allclose(got.r, pdf.x.rolling(5, min_periods=1).mean(), equal_nan=True)
-    out = catalog.run(df.withColumnRenamed("x", "v"), ["a"][:0] + [("select_numeric_cols", {}), ("bind_numeric_col", {"column": "v"}), ("percentile_rank", {})], ("k",)).orderBy("k").toPandas()
+    out = catalog.run(df.withColumnRenamed("x", "v"), [("select_numeric_cols", {}), ("bind_numeric_col", {"column": "v"}), ("percentile_rank", {})], ("k",)).orderBy("k").toPandas()
     assert np.allclose(out.v_percentile, pdf.x.rank(pct=True).round(6), equal_nan=True)
 
 
@@ -64,6 +64,85 @@ def test_bootstrap_draws_a_thousand_resamples(spark):
     assert abs(r.std_error / (pdf.x.std() / 3000**0.5) - 1) < 0.1
 
 
+def test_quantiles_and_tied_orders(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 20)
+    rnd = np.random.default_rng(6)
+    pdf = pd.DataFrame({"k": np.arange(900), "v": np.where(rnd.random(900) < 0.7, 5.0, rnd.integers(0, 30, 900)), "g": rnd.integers(0, 3, 900).astype(str)})
+    pdf.loc[::11, "v"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    assert np.allclose(ordered.quantiles(df, "v", shares).first().q, pdf.v.quantile(shares))
+    for r in ordered.quantiles(df, "v", shares, "g").collect():
+        assert np.allclose(r.q, pdf[pdf.g == r.g].v.quantile(shares))
+    assert ordered.quantiles(df.where("false"), "v", [0.5]).first().q is None
+    got = ordered.numbered(df, "v", "k").orderBy("_idx").toPandas()
+    want = pdf.sort_values(["v", "k"], na_position="first")
+    assert got._idx.tolist() == list(range(900)) and got.k.tolist() == want.k.tolist()
+    assert ordered.bucketed(df, "k").select("_bucket").distinct().count() > 20
+
+
+def test_outlier_rounds_one_by_one(spark):
+    rnd = np.random.default_rng(9)
+    x = np.concatenate([rnd.normal(10, 3, 400), rnd.normal(60, 5, 12), [400.0, 2000.0]])
+    r = TEMPLATES["iterative_outlier_removal"](spark.createDataFrame(pd.DataFrame({"x": x}))).first()
+    data, before, used = x, x.mean(), 0
+    for i in range(10):
+        keep = np.abs(data - data.mean()) <= 3 * data.std(ddof=1)
+        used = i + 1
+        if keep.all():
+            break
+        data = data[keep]
+        if abs(data.mean() - before) < 0.001:
+            break
+        before = data.mean()
+    assert (r.iterations_used, r.total_removed, r.final_mean) == (used, len(x) - len(data), round(data.mean(), 2))
+
+
+def test_regression_on_three_predictors(spark):
+    rnd = np.random.default_rng(10)
+    a = rnd.normal(0, 1, (500, 4))
+    pdf = pd.DataFrame(a, columns=["a", "b", "c", "d"])
+    pdf["y"] = 30 * pdf.a + 10 * pdf.b + 3 * pdf.c + rnd.normal(0, 5, 500)
+    r = TEMPLATES["multiple_regression_top_predictors"](spark.createDataFrame(pdf)).first()
+    assert (r.target, r.predictors) == ("y", "a,b,c")
+    m = np.column_stack([np.ones(500), pdf[["a", "b", "c"]]])
+    left = pdf.y - m @ np.linalg.lstsq(m, pdf.y, rcond=None)[0]
+    assert abs(r.fit_score - (1 - (left**2).sum() / ((pdf.y - pdf.y.mean()) ** 2).sum())) < 1e-3 and r.n_influential == 3
+
+
+def test_every_analysis_on_tables_without_its_columns(spark):
+    tables = [
+        spark.createDataFrame([], "a double, b double, c string, d string"),
+        spark.createDataFrame([(None, None, None, None)] * 3, "a double, b double, c string, d string"),
+        spark.createDataFrame([("x",), ("y",)], "c string"),
+        spark.createDataFrame([(1.0, "x")] * 20, "a double, c string"),
+    ]
+    for df in tables:
+        for name, f in TEMPLATES.items():
+            rows = f(df).collect()
+            assert len(rows) <= 3, name
+    assert TEMPLATES["max_variance_mean"](tables[0]).columns == ["error"]
+    assert applicable(tables[0]).count() == 0
+
+
+def test_two_groups_are_found_in_numbers_or_made(spark):
+    rnd = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": rnd.normal(0, 9, 200), "y": rnd.normal(0, 1, 200)})
+    assert TEMPLATES["ttest_discovered_groups"](spark.createDataFrame(pdf)).first().grouping_column == "_binary_group"
+    pdf["z"] = (pdf.x > 1).astype(float)
+    r = TEMPLATES["ttest_discovered_groups"](spark.createDataFrame(pdf)).first()
+    assert r.grouping_column == "z" and abs(r.mean2 - pdf[pdf.z == 1].x.mean()) < 0.01
+
+
+def test_picks(spark):
+    pdf = pd.DataFrame({"a": [1.0, 2, 3, 4, 50], "b": [100.0, 101, 102, None, 104], "c": list("xxyyz"), "d": list("ppppq")})
+    df = spark.createDataFrame(pdf).withColumn("b", F.nanvl("b", F.lit(None).cast("double")))
+    assert [pick(df, s) for s in ("max_variance", "max_cv", "max_skew", "min_skew", "max_missing", "min_missing")] == ["a", "a", "a", "b", "b", "a"]
+    assert [pick_category(df, s, 3) for s in ("moderate", "high", "low")] == ["c", "c", "d"]
+    with pytest.raises(ValueError):
+        pick(df, "best")
+
+
 def test_searched_programs_are_typed_and_live():
     found = list(programs.search(6, 3000))
     assert found

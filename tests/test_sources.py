@@ -6,3 +6,13 @@ def test_csv_markers_and_coercion(spark, tmp_path):
     df = read_csv(spark, f"file://{tmp_path}/a.csv")
     assert [t for _, t in df.dtypes] == ["bigint", "double", "string", "timestamp"]
     assert [r.b for r in df.collect()] == [1200.5, None, 3.0]
+
+
+def test_quotes_line_breaks_and_latin_text(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('a,b\n1,"x ""y"" z"\n2,"two\nlines, one field"\n')
+    rows = read_csv(spark, f"file://{tmp_path}/b.csv").collect()
+    assert [tuple(r) for r in rows] == [(1, 'x "y" z'), (2, "two\nlines, one field")]
+    (tmp_path / "c.csv").write_bytes("a,b\n1,café\n".encode("latin-1"))
+    assert read_csv(spark, f"file://{tmp_path}/c.csv").first().b == "café"
+    (tmp_path / "d.csv").write_bytes("a,b\n1,café\n".encode())
+    assert read_csv(spark, f"file://{tmp_path}/d.csv").first().b == "café"
