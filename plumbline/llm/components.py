@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import keep
+from .runtime import forget, keep
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,11 +25,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours are tied to the smallest of them
         low2 = large.groupBy("u").agg(F.min("m").alias("r"))
         e2 = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("r").alias("a"), F.col("u").alias("b")), F.struct(F.col("r").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a < b").distinct()
-        e = keep(e2, "edges")
+        last, e = e, keep(e2, "edges")
+        forget(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("h"), F.count_if(F.col("a") != F.col("b")).alias("k")).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(e.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
+    out = keep(e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(e.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct(), "components")
+    forget(e)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -20,59 +21,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _table(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * _GOLD + U64(seed))
-
-
-RAW_BYTES = _table(1)
-#: As RAW_BYTES, with A-Z counting as a-z.
+#: What a byte counts as when words are hashed: itself, or a-z for A-Z.
+RAW_BYTES = np.arange(256, dtype=np.uint8)
 LOWER_BYTES = RAW_BYTES.copy()
-LOWER_BYTES[65:91] = RAW_BYTES[97:123]
+LOWER_BYTES[65:91] += 32
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_BASE = 0xD6E8FEB86659FD93
-_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64, for i < n."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _INV)):
-            p = np.full(size, U64(base))
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def prefix_hash(data: np.ndarray, table: np.ndarray = RAW_BYTES) -> np.ndarray:
-    """Running sums of table[byte] * base^position; spans() reads the hash of any part from them."""
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(table[data] * up, out=out[1:])
+#: Spans of more bytes than this are hashed one by one.
+LONG = 512
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place (zeros beyond the end) as one number, and one more of zeros."""
+    padded = np.concatenate((data, np.zeros(9, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], mixed eight bytes at a time: no algebra makes different bytes meet, only chance."""
+    start, left = np.asarray(start, np.int64), np.asarray(end, np.int64) - np.asarray(start, np.int64)
+    out = mix(left.astype(U64) * _GOLD)
+    view, todo, step = eights(data), np.flatnonzero((left > 0) & (left <= LONG)), 0
+    while len(todo):
+        rest = left[todo] - step
+        out[todo] = mix(out[todo] * _GOLD + (view[start[todo] + step] & _MASK[np.minimum(rest, 8)]))
+        step += 8
+        todo = todo[rest > 8]
+    if (long := np.flatnonzero(left > LONG)).size:
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a : a + n]) for a, n in zip(start[long].tolist(), left[long].tolist(), strict=True)]
     return out
 
 
-def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end]; equal bytes have equal hashes wherever they stand."""
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * _GOLD)
-
-
-def grams(prefix: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of data[i : i + k] for every i."""
-    n = len(prefix) - k
-    _, down = powers(n)
-    out = prefix[k:] - prefix[:-k]
-    out *= down
-    out ^= out >> U64(32)
-    out *= _GOLD
-    out ^= out >> U64(29)
-    return out
+def fixed_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of data[i : i + k] for every i, by doubling: each step mixes two neighbours of half the size."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    have = min(k, 8)
+    h = mix((eights(data)[: len(data) - have + 1] & _MASK[have]) + U64(k))
+    while have < k:
+        step = min(have, k - have)
+        h = mix(h[:-step] * _GOLD + h[step:])
+        have += step
+    return h
 
 
 #: Bytes that are no letter and no digit; bytes of characters beyond ASCII count as letters.
@@ -99,11 +94,11 @@ def words(data: np.ndarray, starts: np.ndarray, space: np.ndarray = SPACE) -> tu
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, table: np.ndarray = LOWER_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """One hash for each word, and for each text the number of its first word."""
+    """One hash for each word, A-Z lowered, and for each text the number of its first word."""
     ws, we, first = words(data, starts)
     if not len(ws):
         return np.zeros(0, U64), first
-    return spans(prefix_hash(data, table), ws, we), first
+    return span_hashes(table[data], ws, we), first
 
 
 def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import lean
+
 
 def fold(parts: int) -> Column:
     """crc32 of doc_id as text, modulo parts."""
@@ -30,13 +32,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column, m
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[list[pa.RecordBatch]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Run fit over the bounded sample in one task, in an order that does not hang on partitions; bring back its arrays."""
+    """Run fit over the bounded sample in one task (only the sample meets there, the scan stays parallel), in an order that does not hang on partitions; bring back its arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, x in fit(list(batches)).items():
             yield pa.RecordBatch.from_pylist([{"name": name, "kind": x.dtype.str, "shape": list(x.shape), "raw": x.tobytes()}], schema=pa.schema([("name", pa.string()), ("kind", pa.string()), ("shape", pa.list_(pa.int64())), ("raw", pa.binary())]))
 
-    rows = sample.coalesce(1).sortWithinPartitions(F.xxhash64("text"), "y").mapInArrow(run, "name string, kind string, shape array<long>, raw binary").collect()
+    rows = sample.repartition(1).sortWithinPartitions(F.xxhash64("text"), "y").mapInArrow(lean(run), "name string, kind string, shape array<long>, raw binary").collect()
     return {r["name"]: np.frombuffer(bytes(r["raw"]), r["kind"]).reshape(r["shape"]) for r in rows}
 
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, prefix_hash, spans, words
-from .runtime import keep, partitions, ship, slices, utf8
+from .kernels import U64, span_hashes, words
+from .runtime import keep, lean, partitions, ship, slices, utf8
 
 WINDOW = 2048
 END = 1
@@ -126,7 +126,7 @@ class WordEncoder:
         else:
             low, ps, pe, whole = data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         first = np.searchsorted(ps, starts)
-        h = spans(prefix_hash(low), ps, pe)
+        h = span_hashes(low, ps, pe)
         h[whole] ^= U64(0x9E3779B97F4A7C15)
         values, where, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > MEMORY:
@@ -253,11 +253,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int =
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pieces = keep(rows.mapInArrow(_pieces(tokenizer_path, end, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    pieces = keep(rows.mapInArrow(lean(_pieces(tokenizer_path, end, window)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(8 * partitions(spark))))
     counted = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
     before = counted.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
     numbered = pieces.withColumn("inner", inner).join(before, ["length", "bucket"]).withColumn("number", F.col("inner") + F.col("before"))
-    return numbered.mapInArrow(_place(_slots(patterns(histogram, window))), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return numbered.mapInArrow(lean(_place(_slots(patterns(histogram, window)))), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER_BYTES, U64, prefix_hash, spans, words
+from .kernels import LOWER_BYTES, U64, span_hashes, words
 from .learning import Adam, fit_in_task, fold, sigmoid, training_rows
-from .runtime import ship, slices, utf8
+from .runtime import lean, ship, slices, utf8
 
 #: Words of a passage.
 PASSAGE = 48
@@ -55,8 +55,7 @@ def passages(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         size = x[:, :CLASSES].sum(1, keepdims=True)
         count = np.bincount(own, minlength=total)
         x[:, :CLASSES] = np.sqrt(x[:, :CLASSES] / np.maximum(1, size))
-        prefix = prefix_hash(data, LOWER_BYTES)
-        h = spans(prefix, ws, we)
+        h = span_hashes(LOWER_BYTES[data], ws, we)
         tf = np.bincount(own * WORD_BUCKETS + (h % U64(WORD_BUCKETS)).astype(np.int64), minlength=total * WORD_BUCKETS).reshape(total, WORD_BUCKETS)
         x[:, CLASSES : CLASSES + WORD_BUCKETS] = np.sqrt(tf / np.maximum(1, count)[:, None])
         order = np.lexsort((h, word_doc))
@@ -161,7 +160,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, n_passages long, score double, top_passage long, top_weight double")
+    return rows.mapInArrow(lean(_score(model)), "doc_id long, n_passages long, score double, top_passage long, top_weight double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

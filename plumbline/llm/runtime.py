@@ -2,66 +2,103 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import contextlib
+import ctypes
 import uuid
-import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir
+from ..shipping import ship  # noqa: F401  the operators take it from here
+
 #: Bytes of text that one pass of the numpy kernels takes at once; a longer document is a pass of its own.
 SLICE_BYTES = 400_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    own = getattr(spark.sparkContext, "_plumbline_dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext._plumbline_dir = own
-    return own
+#: Rows of an Arrow batch while a kept table is made: rows here are whole texts or sets, and a task holds a batch twice.
+BATCH_ROWS = 2000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it again: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that tasks import it wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_plumbline_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="plumbline-"), "plumbline_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(root):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    sc._plumbline_shipped = True
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what keep() wrote for these tables, which nothing that is still to run reads."""
+    for df in tables:
+        if (path := getattr(df, "_plumbline_path", None) if df is not None else None) is not None:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 #: Ids that a join may broadcast; beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs whose doc_id is not in ids(doc_id)."""
-    ids = keep(ids.distinct(), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def free_name(docs: DataFrame) -> str:
+    """A column name that docs does not have."""
+    return "_" * (1 + max(map(len, docs.columns), default=0))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A row's own number, out of its doc_id and text: rows that repeat both have one, null ids and texts have theirs."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs with the row's own number for doc_id, so that an operator's decisions are about rows."""
+    return docs.select(row_key(docs).alias("doc_id"), "text")
+
+
+def without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of docs whose row_key is not among keys(doc_id)."""
+    own = free_name(docs)
+    keys = keep(keys.select(F.col("doc_id").alias(own)).distinct(), name)
+    rows = docs.withColumn(own, row_key(docs))
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, own, "left_anti").select(*docs.columns)
+
+
+def once(docs: DataFrame, name: str) -> DataFrame:
+    """docs with one of the rows that repeat doc_id and text: the smallest by the other columns. Only such rows are shuffled;
+    without any it is docs itself, otherwise a kept table."""
+    own = free_name(docs)
+    rows = docs.withColumn(own, row_key(docs))
+    twice = keep(rows.groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own), name)
+    n = twice.count()
+    if not n:
+        return docs
+    some = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+    first = rows.join(some, own, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return keep(rows.join(some, own, "left_anti").select(*docs.columns).unionAll(first), name)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, handing back to the system what it freed: Python workers outlive their tasks, and their memory counts."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return f
 
 
 def partitions(spark: SparkSession) -> int:

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER_BYTES, NO_LETTER, U64, prefix_hash, spans, words
+from .kernels import LOWER_BYTES, NO_LETTER, U64, span_hashes, words
 from .learning import Adam, fit_in_task, fold, sigmoid, training_rows
-from .runtime import ship, slices, utf8
+from .runtime import lean, ship, slices, utf8
 
 BUCKETS = 1 << 20
 #: Word beginnings of so many bytes count besides whole words.
@@ -36,10 +36,10 @@ def sentences(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     ws, we, first = words(data, starts, NO_LETTER)
     if not len(ws):
         return np.zeros((0, 1 + len(BEGINNINGS)), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    prefix = prefix_hash(data, LOWER_BYTES)
-    cols = [spans(prefix, ws, we)]
+    low = LOWER_BYTES[data]
+    cols = [span_hashes(low, ws, we)]
     for k in BEGINNINGS:
-        cols.append(spans(prefix, ws, np.minimum(we, ws + k)) ^ U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        cols.append(span_hashes(low, ws, np.minimum(we, ws + k)) ^ U64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     feats = (np.column_stack(cols) % U64(BUCKETS)).astype(np.int64)
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(first))
     stops = np.cumsum(STOP[data])
@@ -54,34 +54,36 @@ def sentences(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _fit(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    entry_f, entry_s, sent_doc, ys = [], [], [], []
+    def entries() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each slice: features (once a sentence), their sentences, the sentences' documents, the labels."""
+        for b in slices(iter(batches)):
+            f, s, d, _ = sentences(*utf8(b.column("text")))
+            key = np.unique(np.repeat(s, f.shape[1]) * BUCKETS + f.ravel())
+            yield key % BUCKETS, key // BUCKETS, d, np.asarray(b.column("y"))
+
     docs = sents = 0
     df, df1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b in slices(iter(batches)):
-        data, starts = utf8(b.column("text"))
-        f, s, d, _ = sentences(data, starts)
-        key = np.unique(np.repeat(s, f.shape[1]) * BUCKETS + f.ravel())  # a feature counts once a sentence
-        entry_f.append((key % BUCKETS).astype(np.int32))
-        entry_s.append((key // BUCKETS + sents).astype(np.int32))
-        y = np.asarray(b.column("y"))
-        once = np.unique(d[key // BUCKETS] * BUCKETS + key % BUCKETS)
+    for f, s, d, y in entries():
+        once = np.unique(d[s] * BUCKETS + f)
         np.add.at(df, once % BUCKETS, 1.0)
         np.add.at(df1, once % BUCKETS, y[once // BUCKETS])
-        sent_doc.append(d + docs)
-        ys.append(y)
-        docs += b.num_rows
+        docs += len(y)
         sents += len(d)
     w, bias = np.zeros(BUCKETS, np.float32), np.array([-6.0])
     if docs:
-        f, s, d, y = (np.concatenate(x) for x in (entry_f, entry_s, sent_doc, ys))
+        y = np.concatenate([np.asarray(b.column("y")) for b in batches])
         n1 = y.sum()
         if 0 < n1 < docs:
             rate = (df1 + 0.5) / (n1 + 1) / ((df - df1 + 0.5) / (docs - n1 + 1))
             used = np.flatnonzero((df1 >= 4) & (rate > 2))
             code = np.full(BUCKETS, -1)
             code[used] = np.arange(len(used))
-            inside = code[f] >= 0
-            f, s = code[f[inside]], s[inside]
+            parts, n_docs, n_sents = [], 0, 0
+            for f, s, d, own in entries():  # a second look, so that only used features are ever held
+                inside = code[f] >= 0
+                parts.append((code[f[inside]], s[inside] + n_sents, d + n_docs))
+                n_docs, n_sents = n_docs + len(own), n_sents + len(d)
+            f, s, d = (np.concatenate(x) for x in zip(*parts, strict=True))
             params = {"w": np.zeros(len(used)), "b": np.array([-np.log(max(2.0, sents / docs)) - 3.0])}
             adam = Adam(params, 0.15)
             for _ in range(200):
@@ -140,7 +142,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], cut: float = 0.5) -> Da
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_score(model, cut), "doc_id long, n_sentences long, score double, offending array<struct<start:long,end:long,score:double>>")
+    return rows.mapInArrow(lean(_score(model, cut)), "doc_id long, n_sentences long, score double, offending array<struct<start:long,end:long,score:double>>")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

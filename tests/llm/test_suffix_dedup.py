@@ -60,6 +60,60 @@ def test_counted_windows_for_large_groups(spark, monkeypatch):
         assert got(spark, rows, 80, keep_first) == brute(rows, 80, keep_first)
 
 
+def covered(rows, length, later):
+    places = defaultdict(list)
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        raw = (t or "").encode()
+        for i in range(len(raw) - length + 1):
+            places[raw[i : i + length]].append((d, i))
+    out = defaultdict(set)
+    for at in places.values():
+        if len(at) > 1:
+            for d, i in at[1:] if later else at:
+                out[d].update(range(i, i + length))
+    return {d: sorted(out[d]) for d, _ in rows}
+
+
+def test_shorter_passages_from_the_same_arrays(spark, monkeypatch):
+    rows = corpus(6)
+    for group_bytes in (8_000_000, 300):
+        monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group_bytes)
+        for keep_first in (True, False):
+            out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 120, keep_first, passage=50).collect()
+            assert {(r.doc_id, bytes(r.kept), sum(x.end - x.start for x in r.spans)) for r in out} == brute(rows, 120, keep_first)
+            for name, later in (("repeated", False), ("later", True)):
+                assert {r.doc_id: [i for x in r[name] for i in range(x.start, x.end)] for r in out} == covered(rows, 50, later)
+
+
+def test_passages_of_few_words_do_not_count(spark):
+    rows = [(1, "a b c d e f g h i j k l m n o p # " + "x" * 40), (2, "a b c d e f g h i j k l m n o p"), (3, "y " + "x" * 40)]
+    out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100, False, passage=20, passage_words=5).collect()
+    assert {r.doc_id: [(x.start, x.end) for x in r.repeated] for r in out} == {1: [(0, 31)], 2: [(0, 31)], 3: []}
+
+
+def thue_morse(n):
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+
+
+def test_thue_morse_words_are_told_apart(spark):
+    rows = list(enumerate(thue_morse(1024)))
+    assert got(spark, rows, 1000, False) == brute(rows, 1000, False) == {(d, t.encode(), 0) for d, t in rows}
+
+
+def test_long_runs_null_ids_and_clashing_names(spark):
+    rnd = random.Random(8)
+    long = "".join(rnd.choice("abcd ") for _ in range(9000))
+    rows = [(None, "p" + long, 1, "a"), (4, long + "q", 2, "b"), (4, "z" * 9000, 3, "c"), (None, None, 4, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int, found string")
+    for keep_first, want in ((True, {"a": 0, "b": 9000, "c": 8999, "d": 0}), (False, {"a": 9000, "b": 9000, "c": 9000, "d": 0})):
+        out = remove_repeats(df, 100, keep_first).collect()
+        assert {r.row.found: r.n_bytes - len(r.kept) for r in out} == want
+        assert sorted((r.row.kept, r.doc_id) for r in out) == [(1, None), (2, 4), (3, 4), (4, None)]
+
+
 def test_repeated_rows_count_as_one_first(spark):
     rows = corpus(5)
     again = [r for r in rows if r[0] in (2, 3, 7, 11, 20, 33)]
