@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import decontaminate, language_id, media, ngram_join, packing, quality, revisits, suffix_dedup, token_counts, toxicity
 
 
+#: Passages that op5 reports besides: repeated runs of so many bytes and words at least.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,8 +41,18 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400, keep_first=False)
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400, keep_first=False, passage=PASSAGE_BYTES, passage_words=PASSAGE_WORDS)
+    span_bytes = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("repeated").cast("long").alias("n_passages"),
+        span_bytes("repeated").alias("n_passage_bytes"),
+        span_bytes("later").alias("n_later_bytes"),
+    )
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +68,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.merge_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return token_counts.bpe_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

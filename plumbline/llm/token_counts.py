@@ -1,11 +1,13 @@
-"""Token counts: of a BPE model by its own merges, or under a unigram vocabulary by count-only Viterbi.
+"""Token counts without tokens: Aho-Corasick matches feed dynamic programming that carries score and piece count only.
 
-A BPE model's scores are merge ranks, no log probabilities, so its counts come from merging (merge_counts).
+The automaton lists the vocabulary's pieces that end at each character, longest first. For a unigram vocabulary
+(token_counts) the best score decides: as in public unigram tokenizers, a later candidate replaces the best one only
+if its score is strictly larger, candidates come in the order of where they begin, a character without a piece of its
+own costs the least score less 10, and its bytes then count one by one.
 
-For a unigram vocabulary (token_counts) Aho-Corasick matches feed a Viterbi that counts only. The automaton lists the vocabulary's pieces that end at each character, longest first; dynamic programming carries
-the best score and how many pieces it took. As in public unigram tokenizers, a later candidate replaces the best
-one only if its score is strictly larger, candidates come in the order of where they begin, a character without
-a piece of its own costs the least score less 10, and its bytes then count one by one.
+A BPE model's scores are merge ranks and no log probabilities, so there (bpe_counts) the merges decide: the encoding
+of every prefix is unique, and it is that of a shorter prefix followed by the one piece that merging leaves alone next
+to that prefix's last piece. The programme finds that piece among the matches and adds one to the shorter count.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import prefix_hash, spans, words
-from .runtime import ship, slices, utf8
+from .kernels import span_hashes, words
+from .runtime import lean, ship, slices, utf8
 
 META = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -74,7 +76,7 @@ class Counter:
         if not len(ws):
             zero = np.zeros(len(starts) - 1)
             return zero.astype(np.int64), zero.astype(np.int64), zero
-        values, where, which = np.unique(spans(prefix_hash(data), ws, we), return_index=True, return_inverse=True)
+        values, where, which = np.unique(span_hashes(data, ws, we), return_index=True, return_inverse=True)
         if len(self.known) > MEMORY:
             self.known.clear()
         known, raw, listed = self.known, None, values.tolist()
@@ -89,29 +91,101 @@ class Counter:
         return np.diff(first), per[:, 0].astype(np.int64), per[:, 1]
 
 
-class MergeCounter:
-    """Piece counts and scores of texts by the sentencepiece model itself, whatever its kind."""
+class PrefixCounter:
+    """Piece counts and scores under a sentencepiece BPE model, by its own normalization and tie rule."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.scores = np.array([self.model.get_score(i) for i in range(self.model.vocab_size())])
+        self.scores = dict(vocabulary(path))
+        self.byte_score = {b: self.model.get_score(i) for i in range(self.model.vocab_size()) if self.model.is_byte(i) for b in [int(self.model.id_to_piece(i)[3:5], 16)]}
+        self.automaton = ahocorasick.Automaton()
+        for text in self.scores:
+            if META in text.lstrip(META):
+                raise ValueError("a piece goes on into the next word")
+            self.automaton.add_word(text, text)
+        self.automaton.make_automaton()
+        self.valid: dict[tuple[str, str], bool] = {}
+        self.known: dict[int, tuple[int, float]] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """text by merging, best score first, the leftmost of equals: for the few characters of two pieces."""
+        parts = list(text)
+        while True:
+            best = max(((self.scores[p + q], -i) for i, (p, q) in enumerate(zip(parts, parts[1:])) if p + q in self.scores), default=None)
+            if best is None:
+                return parts
+            i = -best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    def _apart(self, before: str, piece: str) -> bool:
+        """Whether merging leaves these two pieces side by side; '' before the first."""
+        found = self.valid.get((before, piece))
+        if found is None:
+            if len(self.valid) > 4 * MEMORY:
+                self.valid.clear()
+            found = self.valid[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return found
+
+    def word(self, text: str) -> tuple[int, float]:
+        n = len(text)
+        ends: list[list[str]] = [[] for _ in range(n)]
+        for end, piece in self.automaton.iter(text):
+            ends[end].append(piece)
+        last, count, score = [""] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
+        for e in range(n):
+            for piece in (*ends[e], text[e]):  # a character may have no piece of its own: then its bytes count
+                at = e + 1 - len(piece)
+                if self._apart(last[at], piece):
+                    break
+            else:
+                raise ValueError(f"no encoding of {text!r}")
+            last[e + 1] = piece
+            own = self.scores.get(piece)
+            count[e + 1] = count[at] + (1 if own is not None else len(piece.encode()))
+            score[e + 1] = score[at] + (own if own is not None else sum(self.byte_score.get(b, 0.0) for b in piece.encode()))
+        return count[n], score[n]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text its words, pieces and their scores."""
         raw, at = data.tobytes(), starts.tolist()
-        ids = [self.model.encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(at, at[1:])]
-        return np.diff(words(data, starts)[2]), np.array([len(x) for x in ids], np.int64), np.array([self.scores[x].sum() if x else 0.0 for x in ids])
+        texts = [self.model.normalize(raw[a:b].decode("utf-8", "replace")).encode() for a, b in zip(at, at[1:])]
+        joined = b"".join(texts)
+        norm, first = np.frombuffer(joined, np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        n_words = np.diff(words(data, starts)[2])
+        if not len(norm):
+            return n_words, np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        # a unit begins with a text, or with a word mark that follows something else: no piece goes across
+        mark = np.zeros(len(norm), bool)
+        mark[: max(0, len(norm) - 2)] = (norm[:-2] == 0xE2) & (norm[1:-1] == 0x96) & (norm[2:] == 0x81)
+        begins = mark.copy()
+        begins[3:] &= ~mark[:-3]
+        begins[first[:-1][first[:-1] < len(norm)]] = True
+        us = np.flatnonzero(begins)
+        ue = np.append(us[1:], len(norm))
+        values, where, which = np.unique(span_hashes(norm, us, ue), return_index=True, return_inverse=True)
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        listed = values.tolist()
+        for h, j in zip(listed, where.tolist(), strict=True):
+            if h not in self.known:
+                self.known[h] = self.word(joined[us[j] : ue[j]].decode())
+        found = np.array([self.known[h] for h in listed])[which]
+        total = np.concatenate((np.zeros((1, 2)), np.cumsum(found, axis=0)))
+        bound = np.searchsorted(us, first)
+        per = total[bound[1:]] - total[bound[:-1]]
+        return n_words, np.rint(per[:, 0]).astype(np.int64), per[:, 1]
 
 
-_counters: dict[tuple[str, bool], Counter | MergeCounter] = {}
+_counters: dict[tuple[str, bool], Counter | PrefixCounter] = {}
 
 
 def _count(path: str, merges: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, merges) not in _counters:
-            _counters[path, merges] = MergeCounter(path) if merges else Counter(vocabulary(path))
+            _counters[path, merges] = PrefixCounter(path) if merges else Counter(vocabulary(path))
         for b in slices(batches):
             n_words, n_tokens, score = _counters[path, merges](*utf8(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words), pa.array(n_tokens), pa.array(score)], names=["doc_id", "n_words", "n_tokens", "score"])
@@ -123,21 +197,23 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_words, n_tokens, score), a row a document.
 
     Words are runs of bytes other than ASCII white space. n_tokens is how many pieces the best segmentation has,
-    score its sum of piece scores over the words. A null, empty or blank text has 0 of each. Repeated rows count
-    alike; columns other than doc_id and text are ignored.
+    score its sum of piece scores over the words; ties go to the candidate that begins first. A null, empty or blank
+    text has 0 of each; texts and words of any length are taken whole, an empty table gives an empty one. Repeated rows
+    count alike; columns other than doc_id and text are ignored.
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_count(model_path), "doc_id long, n_words long, n_tokens long, score double")
+    return rows.mapInArrow(lean(_count(model_path)), "doc_id long, n_words long, n_tokens long, score double")
 
 
-def merge_counts(docs: DataFrame, model_path: str) -> DataFrame:
+def bpe_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_words, n_tokens, score), a row a document.
 
-    n_tokens is how many pieces the sentencepiece BPE model makes of the text, white space included; score sums
-    the file's scores of these pieces, which are merge ranks and no log probabilities. Words are as in token_counts.
-    A null or empty text has 0 of each. Repeated rows count alike; other columns are ignored.
+    n_tokens is how many pieces the sentencepiece BPE model makes of the text, its normalization, byte pieces and ties
+    included; score sums the file's scores of these pieces, which are merge ranks and no log probabilities. Words are
+    as in token_counts. A null or empty text has 0 of each; texts of any length are taken whole, an empty table gives
+    an empty one. Repeated rows count alike, null ids stay; other columns are ignored.
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_count(model_path, merges=True), "doc_id long, n_words long, n_tokens long, score double")
+    return rows.mapInArrow(lean(_count(model_path, merges=True)), "doc_id long, n_words long, n_tokens long, score double")

@@ -1,10 +1,14 @@
+import functools
 import zlib
 
+import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from plumbline.llm import language_id, media, quality, revisits, toxicity
-from plumbline.llm.token_counts import META, Counter, merge_counts, token_counts, vocabulary
+from plumbline.llm.token_counts import META, Counter, PrefixCounter, bpe_counts, token_counts, vocabulary
 
 TEXTS = ["Hello the world", "naïve 日本語 ﷽ 🙂🙂 x", "a\tb\nc  d", "", None, " ", "xxxxxxxxxxxxxxxxxx in-ter.national!", "aaaa" * 30, "\x00\x01 é"]
 
@@ -21,14 +25,14 @@ def test_token_counts_match_the_tokenizer(spark):
         assert got[i] == len(t.encode(x or "").ids), x
 
 
-def test_merge_counts_are_the_tokenizers_own(spark):
+def test_bpe_counts_are_the_tokenizers_own(spark):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [*TEXTS, "hello", "  two  spaces \n\n new;\r\n\tx  ", "a▁ b ▁c▁▁ d", "\n", "   ", "<s> </s> <0x0A>", "ﬁ ①　x\u00a0y"]
     df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(texts)], "doc_id long, text string, score int")
-    got = {r.doc_id: r for r in merge_counts(df, path).collect()}
+    got = {r.doc_id: r for r in bpe_counts(df, path).collect()}
     for i, x in enumerate(texts):
         ids = m.encode(x or "")
         assert got[i].n_tokens == len(ids), x
@@ -36,6 +40,19 @@ def test_merge_counts_are_the_tokenizers_own(spark):
         assert got[i].n_words == len((x or "").encode().split()), x
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aaabtheer sS▁.,!é日🙂0\n"), max_size=40))
+def test_any_text_has_the_tokenizers_count(text):
+    c = _counter()
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert c(data, np.array([0, len(data)]))[1].tolist() == [len(c.model.encode(text))]
+
+
+@functools.cache
+def _counter():
+    return PrefixCounter(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def test_ties_keep_the_earlier_beginning():
     c = Counter([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("bc", -1.0), ("c", -1.0), ("abc", -3.0)])
     assert c.word("abc") == (2, -2.0)
@@ -56,8 +73,8 @@ def test_media_round_trip_and_carving(spark):
         found = media.outermost(media.locate(b"junk BM \x89PNG\r\n\x1a\n" + blob + b"tail"))
         assert [(x, y, k) for x, y, k in found if k == kind] == [(16, 16 + len(blob), kind)]
         assert not [x for x in media.locate(blob[:-1]) if x[2] == kind and x[0] == 0]
-    out = media.sniff(spark.createDataFrame([(None, "a/b", 1), (bytearray(), "a/b", 2), (bytearray(b"??" + files["audio/wav"]), "image/png", 3)], "media binary, declared string, found int").drop("found")).collect()
-    assert [r.sniffed for r in out] == [None] * 3 and [len(r.found) for r in out] == [0, 0, 1]
+    out = media.sniff(spark.createDataFrame([(None, "a/b", 1), (bytearray(), "a/b", 2), (bytearray(b"??" + files["audio/wav"]), "image/png", 3)], "media binary, declared string, found int").selectExpr("*", "found as corrected", "found as `a.b`")).collect()
+    assert [r.sniffed for r in out] == [None] * 3 and [len(r.found) for r in out] == [0, 0, 1] and [r["a.b"] for r in out] == [1, 2, 3]
 
 
 def test_classifiers_on_odd_and_empty_rows(spark):
