@@ -1,5 +1,6 @@
 import random
 
+from plumbline.llm import decontaminate
 from plumbline.llm.decontaminate import contaminated
 
 ITEM = "Then Alice Miller bought 12 kg of rice and 3 liters of milk for Bob, so Alice Miller paid 40 dollars in total"
@@ -26,6 +27,37 @@ def test_plain_and_reparameterised(spark):
     assert got[3, 1].n_changed >= 4
 
 
+def test_values_of_other_lengths(spark):
+    rnd = random.Random(3)
+    changes = [("Alice Miller", "Carol"), ("12 kg", "7.5 kg"), ("12 kg", "1,295.50 lbs"), ("3 liters", "seven liters"), ("40 dollars", "twenty-five euros"), ("Bob", "Jean Luc Godard")]
+    docs = []
+    for d in range(1 << len(changes)):
+        t = ITEM
+        for k, (a, b) in enumerate(changes):
+            if d >> k & 1:
+                t = t.replace(a, b)
+        docs.append((d, f"{words(rnd, 9)}. {t}. {words(rnd, 9)}", None))
+    got = run(spark, docs, [(1, ITEM)])
+    assert {k[0] for k in got} == {d for d, *_ in docs}
+
+
+def test_items_of_one_template_are_a_class(spark, monkeypatch):
+    rnd = random.Random(4)
+    make = lambda a, b, n: f"Then {a} bought {n} kg of rice and 3 liters of milk for {b}, so {a} paid 40 dollars in total"
+    items = [(i, make(f"Xa{i}", f"Yb{i}", i + 100)) for i in range(30)] + [(99, make("Same", "Same", 5))]
+    docs = [(d, f"{words(rnd, 5)}. {make(f'Zc{d}', f'Wd{d}', 200 + d)}. {words(rnd, 5)}", None) for d in range(20)] + [(50, items[7][1], None)]
+    for held in (2_000_000, 3):
+        monkeypatch.setattr(decontaminate, "HELD_WINDOWS", held)
+        got = run(spark, docs, items)
+        assert {k: r.n_items for k, r in got.items() if k[1] == 0} == {(d, 0): 30 for d, *_ in docs}
+        assert got[50, 0].n_changed == 0 and got[3, 0].n_changed >= 3
+
+
+def test_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, ITEM), (None, "x"), (1, ITEM), (1, "y")], "doc_id long, text string")
+    assert {r.doc_id for r in contaminated(rows, spark.createDataFrame([(1, ITEM), (1, ITEM)], "item_id long, text string")).collect()} == {None, 1}
+
+
 def test_short_items_and_empty_tables(spark):
     assert set(run(spark, [(1, "so much for all of this", None)], [(9, "much for all of")])) == {(1, 9)}
     assert not run(spark, [], [(1, ITEM)])
