@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .learning import fold
-from .runtime import ship, slices, utf8
+from .runtime import lean, ship, slices, utf8
 
-#: Bytes of raw content in a language's dictionary, documents it is drawn from at most, and bytes of each.
-DICT_BYTES, DICT_DOCS, DOC_BYTES = 112_640, 96, 4096
+#: Pieces of a language's dictionary at most, each from a document of its own, and characters of a piece.
+PIECES, PIECE_CHARS = 96, 1024
 #: Bytes that are compressed at once, so that a long text's own history doesn't outweigh the dictionary.
 CHUNK = 4096
 LEVEL = 3
@@ -22,19 +22,23 @@ MARGIN = 0.01
 
 
 def train(docs: DataFrame, use: Column | None = None) -> dict[str, bytes]:
-    """lang -> raw content, from up to DICT_DOCS documents of each language, chosen by a hash of doc_id and text.
+    """lang -> raw content, of up to PIECES pieces of a language's documents.
 
-    Rows with null lang or text, with text that has no letter, or that `use` leaves out teach nothing. Ties in the hash break
-    by text. A language's share of the rows does not matter.
+    A document is cut into pieces of PIECE_CHARS characters, all of its text; a hash of document and piece draws one of
+    them, and the documents with the smallest draws give theirs. Rows with null lang or text, with text that has no
+    letter, or that `use` leaves out teach nothing. Ties in the hash break by the piece. A language's share of the rows
+    does not matter.
     """
     ok = F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.lit(True) if use is None else use)
-    rows = docs.where(ok).select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, DOC_BYTES).alias("part"))
+    rows = docs.where(ok).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"), F.floor((F.length("text") - 1) / PIECE_CHARS).cast("int").alias("last"))
+    drawn = F.array_min(F.transform(F.sequence(F.lit(0), "last"), lambda i: F.struct(F.xxhash64("h", i).alias("h"), i.alias("i"))))
+    parts = rows.select("lang", "text", drawn.alias("d")).select("lang", F.col("d.h").alias("h"), F.substring("text", F.col("d.i") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("part"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
-    picked = rows.withColumn("rank", rank).where(F.col("rank") <= DICT_DOCS).collect()  # DICT_DOCS rows a language
+    picked = parts.withColumn("rank", rank).where(F.col("rank") <= PIECES).collect()  # PIECES rows a language
     out: dict[str, bytearray] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], -r["rank"])):
-        out.setdefault(r["lang"], bytearray()).extend(r["part"].encode()[:DOC_BYTES] + b"\n")
-    return {k: bytes(v[-DICT_BYTES:]) for k, v in out.items()}
+        out.setdefault(r["lang"], bytearray()).extend(r["part"].encode() + b"\n")
+    return {k: bytes(v) for k, v in out.items()}
 
 
 def _classify(model: dict[str, bytes]):
@@ -77,7 +81,7 @@ def classify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("has_letter", F.col("text").rlike(r"\p{L}"))
-    out = rows.mapInArrow(_classify(model), "doc_id long, has_letter boolean, lang string, score double, narrow boolean")
+    out = rows.mapInArrow(lean(_classify(model)), "doc_id long, has_letter boolean, lang string, score double, narrow boolean")
     known = F.col("has_letter") & (F.col("lang") != "und") if not model else F.col("has_letter")
     return out.select("doc_id", F.when(known, F.col("lang")).otherwise("und").alias("lang_pred"), F.when(known, F.col("score")).otherwise(0.0).alias("score"), (~known | F.col("narrow")).alias("rejected"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import ship
+from .runtime import lean, ship
 
 #: Payloads are padded with PAD to a positive multiple of so many bytes; also the width of stored images.
 WIDTH, PAD = 576, 255
@@ -194,19 +194,24 @@ def _sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "media", "declared")), pa.array(kinds, pa.string()), pa.array(lists, pa.list_(part))], names=["row", "media", "declared", "sniffed", "found"])
 
 
+#: The columns that sniff adds; the input's own of these names give way to them.
+FOUND = ("sniffed", "corrected", "found")
+
+
 def sniff(media: DataFrame) -> DataFrame:
     """media(media binary, declared string, ...) -> those columns, and sniffed, corrected, found.
 
     sniffed: the format that holds from the first byte, null if none does; corrected: sniffed, or
     'application/octet-stream'; found array<struct<start, end, type, depth>>: every whole medium at any place, by
-    place, depth 0 for those in no other. Null or empty media have none. Repeated rows are kept.
+    place, depth 0 for those in no other. Null or empty media have none. Repeated rows are kept. Media of any length are
+    read whole, one at a time; an empty table gives an empty one. Columns named as the new ones are replaced by them.
     """
     ship(media.sparkSession)
-    others = [F.col(f"`{c}`") for c in media.columns if c not in ("media", "declared")]
-    rows = media.select(F.struct(*others, F.lit(True).alias("__any")).alias("row"), "media", "declared")
+    others = [c for c in media.columns if c not in ("media", "declared", *FOUND)]
+    rows = media.select(F.struct(F.lit(True), *(F.col(f"`{c}`") for c in others)).alias("row"), "media", "declared")
     kind = dict(rows.dtypes)["row"]
-    out = rows.mapInArrow(_sniff, f"row {kind}, media binary, declared string, sniffed string, found array<struct<start:long,end:long,type:string,depth:long>>")
-    return out.select("row.*", "media", "declared", "sniffed", F.coalesce("sniffed", F.lit("application/octet-stream")).alias("corrected"), "found").drop("__any")
+    out = rows.mapInArrow(lean(_sniff), f"row {kind}, media binary, declared string, sniffed string, found array<struct<start:long,end:long,type:string,depth:long>>")
+    return out.select(*(F.col("row")[c].alias(c) for c in others), "media", "declared", "sniffed", F.coalesce("sniffed", F.lit("application/octet-stream")).alias("corrected"), "found")
 
 
 def store(payload: bytes, kind: str) -> bytes:
@@ -277,7 +282,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary, declared string")
+    return rows.mapInArrow(lean(_store), "doc_id long, n_bytes long, media binary, declared string")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,4 +304,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(docs: DataFrame) -> DataFrame:
     """Texts stored as media, sniffed, carved and read back: sizes, digests and what was found."""
-    return sniff(text_media(docs)).mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return sniff(text_media(docs)).mapInArrow(lean(_read), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

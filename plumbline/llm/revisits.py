@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Quantile buckets of time.
-TIME_BUCKETS = 64
+from ..functions import ordered
+from .runtime import keep
 
 # Header fields that a 304 may not replace, since they describe one message or one connection.
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
@@ -41,7 +41,7 @@ def parse_headers(block: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
 
 
-def resolve(records: DataFrame, time_buckets: int = TIME_BUCKETS) -> DataFrame:
+def resolve(records: DataFrame, time_buckets: int | None = None) -> DataFrame:
     """records(record_id, url, ts, record_type, status, http_headers, ...) ->
     (record_id, page, ts, outcome, response_id, age_s, headers), a row a revisit.
 
@@ -51,17 +51,20 @@ def resolve(records: DataFrame, time_buckets: int = TIME_BUCKETS) -> DataFrame:
     Last-Modified agrees; 'unchecked' if no validator is on both; 'changed' if they disagree; 'no_response'
     without an earlier response; 'incomplete' for a null url, id or time. headers are the response's, updated by
     the revisit's permitted fields, as sorted 'name: value' lines; null unless resolved or unchecked. Null header
-    blocks are empty. Repeated records are rows of their own; an empty table gives no rows.
+    blocks are empty. Repeated records are rows of their own; an empty table gives no rows. Header blocks and urls of
+    any length are read whole; other columns are ignored. There are as many time buckets as the rows need, or
+    time_buckets.
     """
     full = (F.col("record_type") == "response") & (F.col("status") == 200)
     revisit = (F.col("record_type") == "revisit") | (F.col("status") == 304)
     slim = records.select("record_id", canonical_url(F.col("url")).alias("page"), "ts", F.coalesce(full, F.lit(False)).alias("full"), F.coalesce(revisit, F.lit(False)).alias("revisit"), parse_headers(F.coalesce("http_headers", F.lit(""))).alias("h")).where("full or revisit")
     whole = F.col("page").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
+    slim = keep(slim, "records")  # headers are parsed once
     known = slim.where(whole)
-    micros = F.unix_micros("ts")
-    cuts = known.agg(F.percentile_approx(micros, [i / time_buckets for i in range(1, time_buckets)], 1000)).first()[0] or []
-    bucket = F.expr(f"size(filter(array({','.join(f'{c}L' for c in sorted(set(cuts)))}), c -> c <= unix_micros(ts)))") if cuts else F.lit(0)
-    known = known.withColumn("bucket", bucket)
+    cuts = None
+    if time_buckets is not None:
+        cuts = known.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / time_buckets for i in range(1, time_buckets)] or [1.0], 10 * time_buckets)).first()[0] or []
+    known = ordered.bucketed(known.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))), "_at", cuts).drop("_at").withColumnRenamed("_bucket", "bucket")
     answer = F.when(F.col("full") & ~F.col("revisit"), F.struct("record_id", "ts", "h"))
     last = known.groupBy("page", "bucket").agg(F.max_by(answer, F.when(F.col("full") & ~F.col("revisit"), F.struct("ts", "record_id"))).alias("own"))
     carried = last.select("page", "bucket", F.last("own", ignorenulls=True).over(Window.partitionBy("page").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))

@@ -38,3 +38,34 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert all(t[1] == texts[t[0]].text for t in docs if t[0] in texts and t[0] < 410 and t[1])
     assert set(left["decontamination"]) == everything - bad - {400, 401, 402}
     assert {r.doc_id for r in left["packing"]} == set(left["decontamination"])
+
+
+def test_decisions_are_about_rows(spark, tmp_path):
+    rnd = random.Random(12)
+    clean = [words(rnd, 40) for _ in range(120)]
+    foul = lambda t: f"{t}. {words(rnd, 4)} zorgle."
+    rows = [(i, foul(t) if i % 4 == 1 else t) for i, t in enumerate(clean)]
+    rows += [(200, words(rnd, 40)), (200, foul(words(rnd, 40))), (None, words(rnd, 40)), (None, foul(words(rnd, 40)))]
+    twin, item, passage = words(rnd, 50), words(rnd, 25), words(rnd, 60)
+    rows += [(300, twin), (300, twin), (300, twin + " more"), (None, twin + " else"), (None, None), (None, ""), (301, None)]
+    rows += [(400, f"{words(rnd, 30)} {passage}"), (400, f"{words(rnd, 30)} {passage}"), (None, f"{words(rnd, 20)}. {item}."), (402, words(rnd, 30))]
+    rows += [rows[-4]] * 2
+    spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kind = "doc_id long, text string, lang string, _row int, n_chars long"
+    start = at = spark.createDataFrame([(d, t, "en", 7, 0) for d, t in rows], kind)
+    got = []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        at = corpus_pipeline.keep(stage(spark, at, str(tmp_path)), name)
+        assert at.dtypes == start.dtypes
+        got.append([(r.doc_id, r.text) for r in at.collect()])
+    first = [r for r in rows if "zorgle" not in (r[1] or "")]
+    assert sorted(map(str, got[0])) == sorted(map(str, first))
+    second = [r for r in dict.fromkeys(first) if r[1] not in (twin + " more", twin + " else")]
+    assert sorted(map(str, got[1])) == sorted(map(str, second))
+    assert sum(passage in (t or "") for _, t in got[2]) == 1 and len(got[2]) == len(second)
+    assert len(got[3]) == len(second) - 1 and not any(item in (t or "") for _, t in got[3])
+    empty = start.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
