@@ -1,5 +1,10 @@
 """A corpus made fit for training: toxic documents go, one of each near-duplicate group stays, repeated passages
-are cut to their first copy, documents with benchmark items go, and the rest is packed into windows."""
+are cut to their first copy, documents with benchmark items go, and the rest is packed into windows.
+
+Every stage decides about rows, by doc_id and text together: a doc_id may stand on several texts or be null. Rows
+that repeat both count as one document. Null texts are empty ones and stay, as far as no stage has a reason against
+them; texts of any length are taken whole; an empty table goes through every stage. Extra columns are carried along.
+"""
 
 from __future__ import annotations
 
@@ -8,26 +13,32 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, ngram_join, packing, suffix_dedup, toxicity
 from plumbline.llm.queries import table, tokenizer
-from plumbline.llm.runtime import keep, without
+from plumbline.llm.runtime import keep, keyed, once, row_key, without
 
-#: Bytes of a repeated passage; no passage of over 50 words is shorter in practice.
+#: Bytes of a repeated passage. Passages of over 50 words are longer unless their words are very short (see README).
 PASSAGE_BYTES = 200
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose chance of being toxic is 0.5 or more; learns from the labels of these documents."""
+    """Drop documents whose chance of being toxic is 0.5 or more; learns from the labels of these documents. Without labels
+    of both kinds nothing is dropped; repeated rows fare alike."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return without(docs, toxicity.score(docs, model).where("score >= 0.5").select("doc_id"), "toxic")
+    return without(docs, toxicity.score(keyed(docs), model).where("score >= 0.5"), "toxic")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group linked at 0.8 over five-word shingles."""
-    groups = ngram_join.jaccard_components(docs, 5, 80, 100)
-    return without(docs, groups.where("doc_id <> component_id").select("doc_id"), "copies")
+    """Keep the document with the smallest doc_id (null last, then by text) of each group linked at 0.8 over five-word
+    shingles; of rows that repeat doc_id and text one. Texts without words are in no group."""
+    single = once(docs, "single")
+    groups = ngram_join.jaccard_components(keyed(single), 5, 80, 100).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    member = groups.join(single.select(row_key(single).alias("_row"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).alias("place")), "_row")
+    best = member.groupBy("component_id").agg(F.min_by("_row", "place").alias("_best"))
+    return without(single, member.join(best, "component_id").where("_row <> _best").select(F.col("_row").alias("doc_id")), "copies")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of PASSAGE_BYTES or more that stand earlier in the corpus; whole characters only; n_chars follows."""
+    """Cut passages of PASSAGE_BYTES or more that stand earlier in the corpus; whole characters only; n_chars follows. A text
+    that is cut away whole stays as an empty one, a null text becomes one."""
     out = suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, keep_first=True, whole_chars=True)
     rows = out.select("doc_id", F.col("kept").cast("string").alias("text"), "row.*")
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -35,11 +46,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, as it is or with other numbers, names or units."""
-    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
+    return without(docs, decontaminate.contaminated(keyed(docs), table(spark, sf_dir, "benchmark")), "leaks")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows."""
+    """Pieces of token windows; empty texts are their end id alone."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
