@@ -332,7 +332,8 @@ def multiple_regression_top_predictors(df: DataFrame) -> DataFrame:
     r2 = float(beta @ cov[:k, k] / cov[k, k])
     s2 = n * cov[k, k] * (1 - r2) / (n - k - 1)
     t = beta / np.sqrt(s2 * np.diag(np.linalg.inv(cov[:k, :k])) / n)
-    good = sum((tails.t_two_sided(float(v), n - k - 1) or 1) < 0.05 for v in t)
+    tested = [tails.t_two_sided(float(v), n - k - 1) for v in t]
+    good = sum(v is not None and v < 0.05 for v in tested)
     out = [(y, ",".join(xs), round(r2, 3), round(1 - (1 - r2) * (n - 1) / (n - k - 1), 3), good)]
     return df.sparkSession.createDataFrame(out, "target string, predictors string, fit_score double, fit_score_adj double, n_influential long")
 

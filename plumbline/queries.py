@@ -205,14 +205,14 @@ ORACLE_SQL["profile_value_summary"] = "select count(*) as n_rows, 'n_nationkey:
 def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream into Parquet: the days that the watermark has closed."""
     folder = f"{shared_dir(spark)}/rates-{uuid.uuid4().hex}"
-    stream = rates.read_stream(spark, f"{sf_dir}/events.parquet").withColumn("success", F.col("event_type") != "error")
+    stream = rates.read_stream(spark, f"{sf_dir}/events.parquet*").withColumn("success", F.col("event_type") != "error")
     rates.write_until_now(rates.windowed_rates(stream, "ts", "event_type"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
 
 
 QUERIES["strm_event_rates"] = event_rates
-ORACLE_SQL["strm_event_rates"] = """select date_trunc('day', ts)::timestamp as start, event_type as kind, count(*) as n, count(*) filter (where event_type = 'error') as errors, round(avg(value), 3) as mean from events
-group by 1, 2 having date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events)"""
+ORACLE_SQL["strm_event_rates"] = """select d::timestamp as start, event_type as kind, count(*) as n, count(*) filter (where event_type = 'error') as errors, round(avg(value), 3) as mean
+from (select date_trunc('day', ts) as d, * from events) where d + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2"""
 
 QUERIES |= record_queries.QUERIES
 ORACLE_SQL |= record_queries.ORACLE_SQL

@@ -16,7 +16,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     Latin-1 if some line is no valid UTF-8.
     """
     if encoding is None:
-        broken = spark.read.text(path).select(F.lit(1)).where(F.contains("value", F.lit("\ufffd"))).limit(1)
+        broken = spark.read.text(path).select(F.lit(1)).where(~F.is_valid_utf8("value")).limit(1)
         encoding = "ISO-8859-1" if broken.count() else "UTF-8"
     options = {"header": True, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False}
     return coerce(spark.read.options(**options).csv(path))
