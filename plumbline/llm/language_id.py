@@ -78,6 +78,7 @@ def classify(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     lang_pred is the language whose dictionary compresses the text best (the first by name among equals), 'und'
     for a null text, a text without a letter, or an empty model. score (0 to 1) grows with the margin over the
     second best; rejected marks a margin under MARGIN and every 'und'. Every byte is compressed, in chunks.
+    Repeated rows fare alike, null ids stay, an empty table gives an empty one; other columns are ignored.
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("has_letter", F.col("text").rlike(r"\p{L}"))

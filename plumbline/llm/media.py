@@ -278,7 +278,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_media(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_bytes, media, declared): texts stored as images and sounds.
 
-    Format and declared type follow from the padded text's crc32; four of five declared types are wrong.
+    Format and declared type follow from the padded text's crc32; four of five declared types are wrong. A null text is
+    empty; texts of any length are stored whole, repeated rows and null ids stay, an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

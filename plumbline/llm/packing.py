@@ -247,7 +247,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int =
 
     A document's ids are those of the tokenizer file without special tokens, then `end`; a null or empty text is
     `end` alone. ids_crc32 is over the piece's ids as little-endian unsigned 32-bit numbers. Pieces of one
-    sequence_id stand gapless from offset 0 and never exceed `window`. Repeated rows are pieces of their own.
+    sequence_id stand gapless from offset 0 and never exceed `window`. Repeated rows are pieces of their own, null ids
+    stay; texts of any length are taken whole, an empty table gives an empty one, other columns are ignored.
     The tokenizer must drop white space and never join words across it, as word_bpe_49k.json does.
     """
     spark = docs.sparkSession

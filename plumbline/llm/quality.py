@@ -134,7 +134,11 @@ def _fit(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, label: str = "quality", max_docs: int = MAX_TRAINING_DOCS) -> dict[str, np.ndarray]:
-    """A model from the labelled documents that `use` admits (of doc_id; all by default), about max_docs of them at most."""
+    """A model from the labelled documents that `use` admits (of doc_id; all by default), about max_docs of them at most.
+
+    Null and empty texts teach nothing, repeated rows count again, long texts count whole; of several labels of an id
+    the larger counts. On empty tables or labels the model is as it was before fitting.
+    """
     ship(docs.sparkSession)
     return fit_in_task(training_rows(docs, labels, label, F.lit(True) if use is None else use, max_docs), _fit)
 
@@ -156,7 +160,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_passages, score, top_passage, top_weight).
 
     score is the chance of label 1; top_passage is the passage that attention weighs most (the first of equals),
-    top_weight its weight. Null texts and texts without words are one empty passage. Repeated rows score alike.
+    top_weight its weight. Null texts and texts without words are one empty passage. Repeated rows score alike; texts
+    of any length are read whole, an empty table gives an empty one, and columns other than doc_id and text are ignored.
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

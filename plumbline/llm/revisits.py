@@ -86,7 +86,8 @@ def captures(pages: DataFrame) -> DataFrame:
     """A crawl's records out of pages(page_id, url, html): each page's full response, and its later revisits.
 
     Every page is asked for again after a day; every third once more with another ETag; every fifth also before
-    its response; every seventh by another spelling of its url and without ETag.
+    its response; every seventh by another spelling of its url and without ETag. A null url is empty, a null html gives
+    records without headers; repeated rows give their records again, an empty table none.
     """
     base, tag = F.lit(1_700_000_000) + F.col("page_id") * 60, F.substring(F.md5("html"), 1, 12)
     url, day = F.coalesce("url", F.lit("")), 86_400

@@ -102,7 +102,8 @@ def _fit(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, label: str = "toxic", max_docs: int = MAX_TRAINING_DOCS) -> dict[str, np.ndarray]:
     """Weights from the labelled documents that `use` admits (of doc_id; all by default), about max_docs of them at most.
 
-    Without labels of both kinds the model scores every document low.
+    Without labels of both kinds, on empty tables too, the model scores every document low. Null and empty texts teach
+    nothing, repeated rows count again, long texts count whole; ids with several labels are toxic if one says so.
     """
     ship(docs.sparkSession)
     return fit_in_task(training_rows(docs, labels, label, F.lit(True) if use is None else use, max_docs), _fit)
@@ -138,7 +139,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], cut: float = 0.5) -> Da
 
     score is the chance that some sentence is toxic; offending lists every sentence of at least `cut` with its
     bytes' place in the text. Null texts and texts without words have no sentences and score 0. Repeated rows
-    score alike, each on its own row.
+    score alike, each on its own row; texts of any length are read whole, an empty table gives an empty one, and
+    columns other than doc_id and text are ignored.
     """
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

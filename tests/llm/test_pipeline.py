@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from plumbline.llm import runtime
 
 
 def words(rnd, n):
@@ -40,7 +41,8 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert {r.doc_id for r in left["packing"]} == set(left["decontamination"])
 
 
-def test_decisions_are_about_rows(spark, tmp_path):
+def test_decisions_are_about_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_IDS", 0)  # the shuffled joins
     rnd = random.Random(12)
     clean = [words(rnd, 40) for _ in range(120)]
     foul = lambda t: f"{t}. {words(rnd, 4)} zorgle."
