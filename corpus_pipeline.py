@@ -27,8 +27,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id (null last, then by text) of each group linked at 0.8 over five-word
-    shingles; of rows that repeat doc_id and text one. Texts without words are in no group."""
+    """Keep the document with the smallest doc_id (null last, ties by a hash of the text) of each group linked at 0.8 over
+    five-word shingles; of rows that repeat doc_id and text one. Texts without words are in no group."""
     single = once(docs, "single")
     groups = ngram_join.jaccard_components(keyed(single), 5, 80, 100).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
     member = groups.join(single.select(row_key(single).alias("_row"), F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).alias("place")), "_row")
