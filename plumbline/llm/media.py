@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import lean, ship
+from .runtime import lean, ship, schema_with
 
 #: Payloads are padded with PAD to a positive multiple of so many bytes; also the width of stored images.
 WIDTH, PAD = 576, 255
@@ -209,8 +209,7 @@ def sniff(media: DataFrame) -> DataFrame:
     ship(media.sparkSession)
     others = [c for c in media.columns if c not in ("media", "declared", *FOUND)]
     rows = media.select(F.struct(F.lit(True), *(F.col(f"`{c}`") for c in others)).alias("row"), "media", "declared")
-    kind = dict(rows.dtypes)["row"]
-    out = rows.mapInArrow(lean(_sniff), f"row {kind}, media binary, declared string, sniffed string, found array<struct<start:long,end:long,type:string,depth:long>>")
+    out = rows.mapInArrow(lean(_sniff), schema_with(rows, "row row, media binary, declared string, sniffed string, found array<struct<start:long,end:long,type:string,depth:long>>"))
     return out.select(*(F.col("row")[c].alias(c) for c in others), "media", "declared", "sniffed", F.coalesce("sniffed", F.lit("application/octet-stream")).alias("corrected"), "found")
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..scratch import shared_dir
 from ..shipping import ship  # noqa: F401  the operators take it from here
@@ -101,6 +102,12 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return f
 
 
+def schema_with(rows: DataFrame, ddl: str) -> StructType:
+    """The schema that ddl writes, its `row` of the type that it has in rows: names in it may be any."""
+    kind = DataType.fromDDL(ddl.replace("row row", "row int"))
+    return StructType([rows.schema["row"] if f.name == "row" else f for f in kind.fields])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import U64, fixed_hashes, words
-from .runtime import forget, keep, lean, partitions, ship, slices, utf8
+from .runtime import forget, keep, lean, partitions, schema_with, ship, slices, utf8
 
 GRAM = 32
 #: Windows in one travelling string.
@@ -387,8 +387,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     found = found.unionAll(_kinds(copies, F.col("size") >= length, F.lit(True), keep_first, passage is not None))
     by_doc = keep(found.groupBy("id", "text_id").agg(F.collect_set(F.struct("kind", "start", "end")).alias("found")), "spans")
     forget(hits, classes, cut)
-    columns = f"doc_id long, row {dict(rows.dtypes)['row']}, n_bytes long, spans {_SPANS}, " + (f"repeated {_SPANS}, later {_SPANS}, " if passage is not None else "") + "kept binary"
-    return rows.join(by_doc, ["id", "text_id"], "left").select("doc_id", "row", "text", "found").mapInArrow(lean(_remove(whole_chars, passage is not None, passage_words)), columns)
+    columns = f"doc_id long, row row, n_bytes long, spans {_SPANS}, " + (f"repeated {_SPANS}, later {_SPANS}, " if passage is not None else "") + "kept binary"
+    return rows.join(by_doc, ["id", "text_id"], "left").select("doc_id", "row", "text", "found").mapInArrow(lean(_remove(whole_chars, passage is not None, passage_words)), schema_with(rows, columns))
 
 
 def _kinds(found: DataFrame, is_long: Column, is_short: Column, keep_first: bool, passages: bool) -> DataFrame:

@@ -80,7 +80,8 @@ def test_language_is_the_smallest_compression(spark):
 
     rnd = random.Random(6)
     letters = {"aa": "abcdef", "bb": "cdefgh", "cc": "éàüxyz"}
-    docs = [(i, words(rnd, rnd.randrange(3, 400), letters[k]), k) for i in range(240) for k in [rnd.choice(sorted(letters))]] + [(900, None, "aa"), (901, "12 34", "bb"), (902, words(rnd, 3000, "abcdef"), None)]
+    vocabulary = {k: words(rnd, 80, x).split() for k, x in letters.items()}
+    docs = [(i, " ".join(rnd.choices(vocabulary[k], k=rnd.randrange(3, 400))), k) for i in range(240) for k in [rnd.choice(sorted(letters))]] + [(900, None, "aa"), (901, "12 34", "bb"), (902, words(rnd, 3000, "abcdef"), None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     model = language_id.train(df.where("doc_id % 4 <> 2"))
     assert set(model) == set(letters)
