@@ -121,31 +121,42 @@ class PrefixCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def _apart(self, before: str, piece: str) -> bool:
-        """Whether merging leaves these two pieces side by side; '' before the first."""
-        found = self.valid.get((before, piece))
-        if found is None:
-            if len(self.valid) > 4 * MEMORY:
-                self.valid.clear()
-            found = self.valid[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        """Whether merging leaves these two pieces side by side; '' before the first. Remembered in self.valid."""
+        if len(self.valid) > 4 * MEMORY:
+            self.valid.clear()
+        found = self.valid[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return found
 
     def word(self, text: str) -> tuple[int, float]:
         n = len(text)
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(text):
-            ends[end].append(piece)
+        valid, scores, apart = self.valid.get, self.scores.get, self._apart
         last, count, score = [""] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
-        for e in range(n):
-            for piece in (*ends[e], text[e]):  # a character may have no piece of its own: then its bytes count
-                at = e + 1 - len(piece)
-                if self._apart(last[at], piece):
-                    break
-            else:
+        done = 0  # prefixes up to here have their last piece
+
+        def single(e: int) -> None:
+            """The character at e, for which no longer piece stood: it may have none of its own, and then its bytes count."""
+            piece = text[e]
+            if not (valid((last[e], piece)) or apart(last[e], piece)):
                 raise ValueError(f"no encoding of {text!r}")
+            own = scores(piece)
             last[e + 1] = piece
-            own = self.scores.get(piece)
-            count[e + 1] = count[at] + (1 if own is not None else len(piece.encode()))
-            score[e + 1] = score[at] + (own if own is not None else sum(self.byte_score.get(b, 0.0) for b in piece.encode()))
+            count[e + 1] = count[e] + (1 if own is not None else len(piece.encode()))
+            score[e + 1] = score[e] + (own if own is not None else sum(self.byte_score.get(b, 0.0) for b in piece.encode()))
+
+        for end, piece in self.automaton.iter(text):  # by end, the longest first
+            if end < done:
+                continue
+            while done < end:
+                single(done)
+                done += 1
+            at = end + 1 - len(piece)
+            ok = valid((last[at], piece))
+            if ok or (ok is None and apart(last[at], piece)):
+                last[end + 1], count[end + 1], score[end + 1] = piece, count[at] + 1, score[at] + scores(piece)
+                done = end + 1
+        while done < n:
+            single(done)
+            done += 1
         return count[n], score[n]
 
     def __call__(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
