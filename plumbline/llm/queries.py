@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, media, ngram_join, packing, quality, revisits, suffix_dedup, token_counts, toxicity
+from . import decontaminate, exact_dedup, language_id, media, ngram_join, packing, quality, revisits, suffix_dedup, token_counts, toxicity
 
 
 #: Passages that op5 reports besides: repeated runs of so many bytes and words at least.
@@ -75,13 +75,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_ngram_join, op3_decontamination, op4_media, op5_suffix_dedup, op6_toxicity, op7_packing, op8_quality, op9_token_counts, op10_language, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_ngram_join, op3_decontamination, op4_media, op5_suffix_dedup, op6_toxicity, op7_packing, op8_quality, op9_token_counts, op10_language, op11_exact_dedup, pipeline)}
 
 _CANONICAL = """
 case when length(h0) > 0 then h0 || p0 || case when len(q0) > 0 then '?' || array_to_string(q0, '&') else '' end end
@@ -126,4 +130,15 @@ select record_id, page, to_timestamp(t)::timestamp as ts, outcome, rid as respon
 from judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_revisits": _OP1}
+_OP11 = r"""
+with squeezed as (
+  select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as s from documents
+), placed as (
+  select *, row_number() over (partition by s order by points desc, doc_id nulls last) as place, count(*) over (partition by s) as group_size,
+    first_value(doc_id) over (partition by s order by points desc, doc_id nulls last) as keep_id
+  from squeezed
+)
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(s) as text_sha256 from placed
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_revisits": _OP1, "op11_exact_dedup": _OP11}
