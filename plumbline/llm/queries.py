@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, media, ngram_join, packing, quality, revisits, suffix_dedup, token_counts, toxicity
+from . import conversations, decontaminate, exact_dedup, language_id, media, ngram_join, packing, quality, revisits, suffix_dedup, token_counts, toxicity
 
 
 #: Passages that op5 reports besides: repeated runs of so many bytes and words at least.
@@ -79,13 +79,17 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_ngram_join, op3_decontamination, op4_media, op5_suffix_dedup, op6_toxicity, op7_packing, op8_quality, op9_token_counts, op10_language, op11_exact_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_ngram_join, op3_decontamination, op4_media, op5_suffix_dedup, op6_toxicity, op7_packing, op8_quality, op9_token_counts, op10_language, op11_exact_dedup, op13_conversation_repair, pipeline)}
 
 _CANONICAL = """
 case when length(h0) > 0 then h0 || p0 || case when len(q0) > 0 then '?' || array_to_string(q0, '&') else '' end end
