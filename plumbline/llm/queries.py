@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact_dedup, language_id, media, ngram_join, packing, quality, revisits, suffix_dedup, token_counts, toxicity
+from . import conversations, decontaminate, exact_dedup, hard_negatives, language_id, media, ngram_join, packing, quality, revisits, suffix_dedup, token_counts, toxicity
 
 
 #: Passages that op5 reports besides: repeated runs of so many bytes and words at least.
@@ -79,6 +79,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
@@ -89,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_ngram_join, op3_decontamination, op4_media, op5_suffix_dedup, op6_toxicity, op7_packing, op8_quality, op9_token_counts, op10_language, op11_exact_dedup, op13_conversation_repair, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_ngram_join, op3_decontamination, op4_media, op5_suffix_dedup, op6_toxicity, op7_packing, op8_quality, op9_token_counts, op10_language, op11_exact_dedup, op12_hard_negatives, op13_conversation_repair, pipeline)}
 
 _CANONICAL = """
 case when length(h0) > 0 then h0 || p0 || case when len(q0) > 0 then '?' || array_to_string(q0, '&') else '' end end
@@ -145,4 +149,21 @@ with squeezed as (
 select doc_id, keep_id, group_size, place = 1 as kept, sha256(s) as text_sha256 from placed
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_revisits": _OP1, "op11_exact_dedup": _OP11}
+_OP12 = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from rows a join rows b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id, (row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id))::int as rank,
+  n.vec_id as negative_id, p.positive_score, n.score as negative_score
+from positives p join scored n on p.anchor_id = n.anchor_id and not n.same and 30 * p.positive_score <= 100 * n.score and 100 * n.score <= 90 * p.positive_score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_revisits": _OP1, "op11_exact_dedup": _OP11, "op12_hard_negatives": _OP12}
