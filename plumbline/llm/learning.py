@@ -6,19 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import lean
+from .runtime import forget, keep, lean
 
 
 def fold(parts: int) -> Column:
-    """crc32 of doc_id as text, modulo parts."""
-    return F.crc32(F.col("doc_id").cast("string")) % parts
+    """crc32 of doc_id as text, modulo parts; a null doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column, most: int) -> DataFrame:
-    """(text, y) of the labelled documents that `use` admits, about `most` of them at most, chosen by a hash of doc_id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column, most: int, most_bytes: int) -> DataFrame:
+    """(text, y) of the labelled documents that `use` admits, about `most` of them at most, chosen by a hash of doc_id, and no
+    more than most_bytes of text, chosen by a hash of it; texts over an eighth of most_bytes come last there.
 
     Labels other than 0 and 1 and documents without text are left out; a doc_id with several labels takes the
     larger.
@@ -28,7 +29,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column, m
     n = y.count()
     if n > most:
         y = y.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
-    return docs.select("doc_id", "text").join(y, "doc_id").where(F.octet_length("text") > 0).select("text", "y")
+    rows = keep(docs.select("doc_id", "text").join(y, "doc_id").where(F.octet_length("text") > 0).select("text", "y", F.octet_length("text").cast("long").alias("size")), "labelled")
+    if (rows.agg(F.sum("size")).first()[0] or 0) > most_bytes:  # the order is over sizes alone, of about `most` rows
+        order = Window.orderBy(F.col("size") > most_bytes // 8, F.xxhash64("text"), "y")
+        rows = rows.withColumn("used", F.sum("size").over(order)).where(F.col("used") <= most_bytes)
+    return rows.select("text", "y")
 
 
 def fit_in_task(sample: DataFrame, fit: Callable[[list[pa.RecordBatch]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -39,6 +44,8 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[pa.RecordBatch]], dict[st
             yield pa.RecordBatch.from_pylist([{"name": name, "kind": x.dtype.str, "shape": list(x.shape), "raw": x.tobytes()}], schema=pa.schema([("name", pa.string()), ("kind", pa.string()), ("shape", pa.list_(pa.int64())), ("raw", pa.binary())]))
 
     rows = sample.repartition(1).sortWithinPartitions(F.xxhash64("text"), "y").mapInArrow(lean(run), "name string, kind string, shape array<long>, raw binary").collect()
+    if not rows:  # Spark leaves out the task of a sample that it knows to be empty
+        return fit([])
     return {r["name"]: np.frombuffer(bytes(r["raw"]), r["kind"]).reshape(r["shape"]) for r in rows}
 
 

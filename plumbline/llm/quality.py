@@ -24,6 +24,8 @@ WORD_BUCKETS = 64
 HIDDEN, GATE = 24, 12
 #: Labelled documents that a model is fitted on, about, at most.
 MAX_TRAINING_DOCS = 5000
+#: Bytes of their texts at most.
+MAX_TRAINING_BYTES = 48 << 20
 
 #: Classes of bytes: each ASCII punctuation mark, upper, lower, digit, white space, newline, beyond ASCII, control.
 CLASS = np.full(256, 38)
@@ -133,14 +135,15 @@ def _fit(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return m | {"mean": mean, "scale": scale}
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, label: str = "quality", max_docs: int = MAX_TRAINING_DOCS) -> dict[str, np.ndarray]:
-    """A model from the labelled documents that `use` admits (of doc_id; all by default), about max_docs of them at most.
+def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, label: str = "quality", max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> dict[str, np.ndarray]:
+    """A model from the labelled documents that `use` admits (of doc_id; all by default), about max_docs of them and
+    max_bytes of text at most.
 
     Null and empty texts teach nothing, repeated rows count again, long texts count whole; of several labels of an id
     the larger counts. On empty tables or labels the model is as it was before fitting.
     """
     ship(docs.sparkSession)
-    return fit_in_task(training_rows(docs, labels, label, F.lit(True) if use is None else use, max_docs), _fit)
+    return fit_in_task(training_rows(docs, labels, label, F.lit(True) if use is None else use, max_docs, max_bytes), _fit)
 
 
 def _score(model: dict[str, np.ndarray]):

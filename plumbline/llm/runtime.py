@@ -37,9 +37,31 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_BATCH_CONF, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
+    if _KEPT:
+        _KEPT[-1].append(out)
     return out
 
 
+_KEPT: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def kept_tables() -> Iterator[list[DataFrame]]:
+    """Collects what keep() writes meanwhile, so that it can be forgotten when nothing reads it any more."""
+    _KEPT.append([])
+    try:
+        yield _KEPT[-1]
+    finally:
+        made = _KEPT.pop()
+        if _KEPT:
+            _KEPT[-1].extend(made)
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever is in their names."""
+    return [docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete what keep() wrote for these tables, which nothing that is still to run reads."""
     for df in tables:
@@ -73,12 +95,13 @@ def without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     own = free_name(docs)
     keys = keep(keys.select(F.col("doc_id").alias(own)).distinct(), name)
     rows = docs.withColumn(own, row_key(docs))
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, own, "left_anti").select(*docs.columns)
+    left = rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, own, "left_anti")
+    return left.drop(own)
 
 
 def once(docs: DataFrame, name: str) -> DataFrame:
-    """docs with one of the rows that repeat doc_id and text: the smallest by the other columns. Only such rows are shuffled;
-    without any it is docs itself, otherwise a kept table."""
+    """docs with one of the rows that repeat doc_id and text: the first by its JSON text, so that columns of any type may stand
+    beside. Only such rows are shuffled; without any it is docs itself, otherwise a kept table."""
     own = free_name(docs)
     rows = docs.withColumn(own, row_key(docs))
     twice = keep(rows.groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own), name)
@@ -86,8 +109,9 @@ def once(docs: DataFrame, name: str) -> DataFrame:
     if not n:
         return docs
     some = F.broadcast(twice) if n <= BROADCAST_IDS else twice
-    first = rows.join(some, own, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return keep(rows.join(some, own, "left_anti").select(*docs.columns).unionAll(first), name)
+    row = F.struct(*columns(docs))
+    first = docs.select(row_key(docs).alias(own), row.alias("r")).join(some, own, "left_semi").groupBy(own).agg(F.min_by("r", F.to_json("r")).alias("r")).select("r.*")
+    return keep(rows.join(some, own, "left_anti").drop(own).unionAll(first), name)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

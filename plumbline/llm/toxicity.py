@@ -23,6 +23,8 @@ BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6)
 #: Labelled documents that a model is fitted on, about, at most.
 MAX_TRAINING_DOCS = 8000
+#: Bytes of their texts at most.
+MAX_TRAINING_BYTES = 48 << 20
 
 STOP = np.zeros(256, bool)
 STOP[[10, 33, 46, 63]] = True  # newline ! . ?
@@ -99,14 +101,15 @@ def _fit(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return {"at": used, "w": w[used], "b": bias}
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, label: str = "toxic", max_docs: int = MAX_TRAINING_DOCS) -> dict[str, np.ndarray]:
-    """Weights from the labelled documents that `use` admits (of doc_id; all by default), about max_docs of them at most.
+def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, label: str = "toxic", max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> dict[str, np.ndarray]:
+    """Weights from the labelled documents that `use` admits (of doc_id; all by default), about max_docs of them and
+    max_bytes of text at most.
 
     Without labels of both kinds, on empty tables too, the model scores every document low. Null and empty texts teach
     nothing, repeated rows count again, long texts count whole; ids with several labels are toxic if one says so.
     """
     ship(docs.sparkSession)
-    return fit_in_task(training_rows(docs, labels, label, F.lit(True) if use is None else use, max_docs), _fit)
+    return fit_in_task(training_rows(docs, labels, label, F.lit(True) if use is None else use, max_docs, max_bytes), _fit)
 
 
 def _score(model: dict[str, np.ndarray], cut: float):

@@ -1,7 +1,13 @@
+import os
 import random
+import zlib
+
+import pytest
 
 import corpus_pipeline
 from plumbline.llm import runtime
+from plumbline.llm.queries import QUERIES
+from plumbline.scratch import shared_dir
 
 
 def words(rnd, n):
@@ -74,3 +80,41 @@ def test_decisions_are_about_rows(spark, tmp_path, monkeypatch):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+DOCS, LABELS, ITEMS = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int", "item_id long, text string"
+
+
+def tables(spark, at, docs=(), labels=(), items=(), extra=""):
+    for name, rows, kind in (("documents", docs, DOCS + extra), ("labels", labels, LABELS), ("benchmark", items, ITEMS)):
+        spark.createDataFrame(list(rows), kind).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("some", ["nothing", "documents", "labels", "held out"])
+def test_empty_parquet_tables(spark, tmp_path, some):
+    """Without documents, without labels, or with held-out labels alone, nothing fails and nothing is judged toxic."""
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 15 == 10)  # a fold that op6 and op8 both hold out
+    docs = [(i, f"some words here {i}. and more of them", "en", "s", 9) for i in (*range(12), held)] if some in ("documents", "held out") else []
+    labels = {"nothing": [], "documents": [], "labels": [(i, i % 2, i % 2) for i in range(12)], "held out": [(held, 1, 1)]}[some]
+    at = tables(spark, tmp_path, docs, labels)
+    for name in ("op6_toxicity", "op8_quality"):
+        rows = QUERIES[name](spark, at).collect()
+        assert len(rows) == len(docs) and all(0 <= r.score <= 1 for r in rows)
+    packed = corpus_pipeline.run(spark, at).select("doc_id").distinct().count()
+    assert packed == len({d[0] for d in docs})
+
+
+def test_odd_columns_go_through_and_tables_go_away(spark, tmp_path):
+    docs = [(i, f"{'one two three four five six seven '[i % 7 :] * 3} {i}", "en", "s", 9, 1, {"k": i}, 2) for i in range(9)]
+    docs += [docs[0], (*docs[0][:6], {"k": 99}, 3), (None, None, None, None, None, None, None, None)]
+    at = tables(spark, tmp_path, docs, [(1, 1, 0)], [(1, "nothing of this")], ", `a.b` int, m map<string,int>, `row` int")
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, at).where("doc_id is null").count() == 1
+    assert [n.split("-")[0] for n in set(os.listdir(folder)) - before] == ["packing"]
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, at)
+        assert docs.dtypes == spark.read.parquet(f"{at}/documents.parquet").dtypes
+    assert len({r.doc_id for r in docs.collect()}) == docs.count()
