@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, ngram_join, packing, suffix_dedup, toxicity
 from plumbline.llm.queries import table, tokenizer
-from plumbline.llm.runtime import keep, keyed, once, row_key, without
+from plumbline.llm.runtime import forget, keep, kept_tables, keyed, once, row_key, without
 
 #: Bytes of a repeated passage. Passages of over 50 words are longer unless their words are very short (see README).
 PASSAGE_BYTES = 200
@@ -40,8 +40,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of PASSAGE_BYTES or more that stand earlier in the corpus; whole characters only; n_chars follows. A text
     that is cut away whole stays as an empty one, a null text becomes one."""
     out = suffix_dedup.remove_repeats(docs, PASSAGE_BYTES, keep_first=True, whole_chars=True)
-    rows = out.select("doc_id", F.col("kept").cast("string").alias("text"), "row.*")
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept").cast("string"), "n_chars": F.length(F.col("kept").cast("string")).cast("long")}
+    return out.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents; each stage's rows are written to the shared folder and read again."""
+    """STAGES over documents; each stage's rows are written to the shared folder and read again. Once they are, what the
+    stage has read and kept is deleted, so that the last stage's rows alone are left."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        with kept_tables() as made:
+            done = keep(stage(spark, docs, sf_dir), name)
+        forget(docs, *(x for x in made if x is not done))
+        docs = done
     return docs
