@@ -146,10 +146,39 @@ def _object(a: str, b: str, name: str):
     return F.to_json(F.struct(F.col(a).alias("mean1"), F.col(b).alias("mean2"), F.col(name).alias("group1")))
 
 
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two numbers of a run, and both somewhat off."""
+    off = lambda c, n, step: F.col(c) + (F.col("event_id") % n) * step
+    r = runs(spark, sf_dir).select("event_id", "elapsed", "template", "dataset", off("elapsed", 4, 3.0).alias("other"))
+    return r.withColumns({"near": off("elapsed", 5, 0.04), "beside": off("other", 3, 0.08), "one": off("elapsed", 7, 0.06)})
+
+
 query(
     "rec_answer_objects_match",
-    lambda s, d: runs(s, d).select("event_id", "elapsed", (F.col("elapsed") + (F.col("event_id") % 4) * 0.05).alias("other"), "template", "dataset").select("event_id", answers.answers_match(_object("elapsed", "other", "template"), _object("other", "elapsed", "dataset")).alias("swapped"), answers.answers_match(_object("elapsed", "other", "template"), F.col("other").cast("string")).alias("inside"), answers.answers_match(F.col("elapsed").cast("string"), F.col("other").cast("string")).alias("scalar")),
-    "select event_id, true as swapped, true as inside, event_id % 4 < 2 or abs(elapsed - (elapsed + (event_id % 4) * 0.05::double)) <= 0.1 as scalar from runs",
+    lambda s, d: shifted(s, d).select("event_id", answers.answers_match(_object("elapsed", "other", "template"), _object("beside", "near", "dataset")).alias("swapped"), answers.answers_match(_object("elapsed", "other", "template"), F.col("one").cast("string")).alias("inside"), answers.answers_match(F.col("elapsed").cast("string"), F.col("near").cast("string")).alias("scalar")),
+    """select event_id, (abs(elapsed - beside) <= 0.1 and abs(other - near) <= 0.1) or (abs(elapsed - near) <= 0.1 and abs(other - beside) <= 0.1) as swapped,
+      abs(elapsed - one) <= 0.1 or abs(other - one) <= 0.1 as inside, abs(elapsed - near) <= 0.1 as scalar
+    from (select event_id, elapsed, other, elapsed + (event_id % 5) * 0.04::double as near, other + (event_id % 3) * 0.08::double as beside, elapsed + (event_id % 7) * 0.06::double as one
+      from (select event_id, elapsed, elapsed + (event_id % 4) * 3.0::double as other from runs))""",
+)
+
+
+def _renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected answers, and actual ones under other names of keys, some without a key or no object."""
+    r = shifted(spark, sf_dir).withColumn("text", F.concat(F.lit(" "), F.upper("template"), F.lit(" ")))
+    want = F.to_json(F.struct(F.col("elapsed").alias("association_score"), F.array("template", "dataset").alias("columns"), (F.col("event_id") % 3).alias("n_influential")))
+    named = lambda score, n: F.to_json(F.struct(F.col("near").alias(score), F.array("dataset", "template").alias("pair"), (F.col("event_id") % 3).alias(n), F.lit("x").alias("more")))
+    kind = F.col("event_id") % 5
+    given = F.when(kind == 0, named("Corr", "n-significant")).when(kind == 1, named("Association-Score", "N_Influential")).when(kind == 2, named("spearman_rho", "n")).when(kind == 3, F.col("near").cast("string")).otherwise(named("rho", "how_many"))
+    return r.select("event_id", want.alias("expected"), given.alias("actual"))
+
+
+query(
+    "rec_alias_match",
+    lambda s, d: answers.with_alias_match(_renamed(s, d), "expected", "actual").select("event_id", "matched", "reason"),
+    """select event_id, reason = 'match' as matched, reason from (
+      select event_id, case event_id % 5 when 2 then 'missing keys: n_influential' when 3 then 'actual answer is not an object' when 4 then 'missing keys: association_score, n_influential'
+        else case when abs(elapsed - (elapsed + (event_id % 5) * 0.04::double)) <= 0.1 then 'match' else 'value mismatch' end end as reason from runs)""",
 )
 query(
     "rec_result_as_answer",

@@ -1,17 +1,19 @@
 """Answers of runs as JSON text: canonical form, hashes, comparison within tolerances, votes and failure classes.
 
-Comparison is a small recursive helper on two parsed answers; Spark deals out the pairs and the votes. Votes look at
-the distinct answers of a question with their counts, so that a question's many equal answers never travel apart.
+An answer becomes a flat table of leaves in canonical form, and two such tables are laid over each other; Spark deals out
+the pairs and the votes. Other names of keys are resolved before, in the JVM. Votes look at the distinct answers of a
+question with their counts, so that a question's many equal answers never travel apart.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
@@ -55,82 +57,103 @@ def digest(text: str | None, digits: int = PRECISION) -> str | None:
     return hashlib.sha256(json.dumps(rounded(parsed(text), digits), sort_keys=True).encode()).hexdigest()[:16]
 
 
+#: A leaf of an answer: its kind (number, text, null, object, list), its content, and how it is compared.
+Leaf = tuple[str, Any, str]
+_MATES = {x: y for pair in PAIRED_KEYS for x, y in (pair, pair[::-1])}
+
+
+def _folded(text: str, named: bool) -> str:
+    """Text in one Unicode form with one dash; names of methods besides without case, remarks, marks and the word test."""
+    text = unicodedata.normalize("NFKC", text).translate(DASHES)
+    return "".join(re.findall("[a-z0-9]+", re.sub(r"\(.*?\)|\btest\Z", " ", text.lower().strip()))) if named else text
+
+
+def leaves(value: Any, strip: bool = False, unordered: frozenset[str] = frozenset()) -> dict[tuple, Leaf]:
+    """An answer as a flat table from path to leaf, in canonical form: text that holds an object or truth value stands for
+    it, text is folded, lists of text (and lists under `unordered` keys) are sorted. What is left to compare is one
+    leaf with another, by the way that the leaf itself names: number, signed, significance, exact, ignored or any."""
+    out: dict[tuple, Leaf] = {}
+    todo: list[tuple[tuple, str, str, Any]] = [((), "", "", value)]
+    while todo:
+        path, key, way, x = todo.pop()
+        if isinstance(x, str):
+            x = x.strip() if strip else x
+            held = parsed(x) if x[:1] == "{" and x[-1:] == "}" else None
+            x = held if isinstance(held, dict) else {"true": True, "false": False}.get(x.lower(), x)
+        if way == "significance" and not isinstance(x, dict | list):
+            with contextlib.suppress(TypeError, ValueError):
+                x = float(x)
+        if way == "verdict":
+            out[path] = ("text", str(x).lower().strip(), "exact")
+        elif isinstance(x, int | float):
+            signed = any(word in key.lower() for word in ("correlation", "association"))
+            out[path] = ("number", float(x), way or ("signed" if signed else "number"))
+        elif isinstance(x, str):
+            out[path] = ("text", _folded(x, key.lower() in METHOD_KEYS), way or "exact")
+        elif isinstance(x, list):
+            out[path] = ("list", None, way or "exact")
+            if key in unordered:
+                x = sorted(x, key=str)
+            elif all(isinstance(y, str) for y in x):
+                x = sorted(x, key=lambda y: _folded(y, key.lower() in METHOD_KEYS))
+            todo += [((*path, i), key, way, y) for i, y in enumerate(x)]
+        elif isinstance(x, dict):
+            result = not TEST_KEYS.isdisjoint(x)
+            out[path] = ("object", "result" if result else None, way or "exact")
+            known = next((k for k in SIGNIFICANCE_KEYS if k in x), None)
+            for k, y in x.items():
+                if result:
+                    todo.append(((*path, k), "", "verdict" if k == "answer" else "significance" if k == known else "any" if k in SIGNIFICANCE_KEYS else "", y))
+                else:
+                    todo.append(((*path, k), k, "ignored" if k in IGNORED_KEYS else "", y))
+        else:
+            out[path] = ("null", None, way or "exact")
+    return out
+
+
 class Comparison:
-    """Whether two parsed answers say the same."""
-
-    def __init__(self, tolerance: float = FLOAT_TOLERANCE, p_tolerance: float = P_TOLERANCE):
-        self.tolerance, self.p_tolerance = tolerance, p_tolerance
-
-    @staticmethod
-    def plain(value: Any) -> Any:
-        """Text that holds an object or a truth value stands for it."""
-        if isinstance(value, str):
-            if value.lower() in ("true", "false"):
-                return value.lower() == "true"
-            if value.startswith("{") and value.endswith("}") and isinstance(inner := parsed(value), dict):
-                return inner
-        return value
-
-    def __call__(self, a: Any, b: Any, key: str = "") -> bool:
-        a, b = self.plain(a), self.plain(b)
-        kinds = {type(x) for x in (a, b)}
-        if kinds <= {int, float, bool}:
-            if any(x in key.lower() for x in ("correlation", "association")):
-                a, b = abs(a), abs(b)
-            return abs(float(a) - float(b)) <= self.tolerance
-        if kinds == {str}:
-            fold = self._method if key.lower() in METHOD_KEYS else self._text
-            return fold(a) == fold(b)
-        if kinds == {dict}:
-            return self._results(a, b) if TEST_KEYS & (a.keys() | b.keys()) else self._objects(a, b)
-        if kinds == {list}:
-            return self._lists(a, b, key)
-        if dict in kinds:  # an object against a value: any of its numbers may be meant
-            inside, value = (a, b) if isinstance(a, dict) else (b, a)
-            if isinstance(value, int | float):
-                return any(isinstance(x, int | float) and abs(x - value) <= self.tolerance for x in inside.values())
-        return bool(a == b)
-
-    @staticmethod
-    def _text(s: str) -> str:
-        return unicodedata.normalize("NFKC", s).translate(DASHES)
-
-    @staticmethod
-    def _method(s: str) -> str:
-        s = re.sub(r"\s*test$", "", s.lower())
-        return re.sub(r"[^a-z0-9]", "", re.sub(r"\s*\([^)]*\)", "", s))
-
-    def _results(self, a: dict, b: dict) -> bool:
-        if a.keys() != b.keys():
-            return False
-        if "answer" in a and str(a["answer"]).lower().strip() != str(b["answer"]).lower().strip():
-            return False
-        for key in [k for k in SIGNIFICANCE_KEYS if k in a][:1]:
-            try:
-                close = abs(float(a[key]) - float(b[key])) <= self.p_tolerance
-            except (TypeError, ValueError):
-                close = str(a[key]) == str(b[key])
-            if not close:
-                return False
-        return all(self(a[k], b[k]) for k in a.keys() - TEST_KEYS)
+    """Whether two parsed answers say the same: their tables of leaves are laid over each other."""
 
-    def _objects(self, a: dict, b: dict) -> bool:
-        keys = a.keys() - IGNORED_KEYS
-        if keys != b.keys() - IGNORED_KEYS:
-            return False
-        orders = [b]
-        pairs = [(x, y) for x, y in PAIRED_KEYS if x in keys and y in keys]
-        if pairs:
-            orders.append(b | {x: b[y] for x, y in pairs} | {y: b[x] for x, y in pairs})
-        return any(all(self(a[k], other[k], k) for k in keys) for other in orders)
-
-    def _lists(self, a: list, b: list, key: str) -> bool:
-        if len(a) != len(b):
+    def __init__(self, tolerance: float = FLOAT_TOLERANCE, p_tolerance: float = P_TOLERANCE, strip: bool = False, unordered: frozenset[str] = frozenset()):
+        self.near = {"number": tolerance, "signed": tolerance, "significance": p_tolerance}
+        self.form = {"strip": strip, "unordered": unordered}
+
+    def __call__(self, a: Any, b: Any) -> bool:
+        return self.agree(leaves(a, **self.form), leaves(b, **self.form))
+
+    def _same(self, x: Leaf | None, y: Leaf | None) -> bool:
+        if x is None or y is None:
             return False
-        orders = [(a, b)]
-        if all(isinstance(x, str) for x in a + b):
-            orders.append((sorted(a), sorted(b)))
-        return any(all(self(x, y, key) for x, y in zip(p, q, strict=True)) for p, q in orders)
+        if "any" in (x[2], y[2]):
+            return True
+        if x[0] == y[0] == "number":
+            size = abs if "signed" in (x[2], y[2]) else float
+            return abs(size(x[1]) - size(y[1])) <= self.near.get(x[2], self.near["number"])
+        return x[:2] == y[:2]
+
+    def _inside(self, table: dict[tuple, Leaf], path: tuple, number: Leaf) -> bool:
+        """Whether the object at path holds the number as one of its values."""
+        own = (v for p, v in table.items() if len(p) == len(path) + 1 and p[:-1] == path and v[0] == "number")
+        return any(abs(v[1] - number[1]) <= self.near["number"] for v in own)
+
+    def agree(self, a: dict[tuple, Leaf], b: dict[tuple, Leaf]) -> bool:
+        """Leaves of a path must agree. Of an object with pairs of keys, all leaves below those may instead agree
+        crosswise; an object agrees with a number that it holds."""
+        met = {p for p in a.keys() & b.keys() if {a[p][0], b[p][0]} == {"object", "number"} and (self._inside(a, p, b[p]) if a[p][0] == "object" else self._inside(b, p, a[p]))}
+        ways: dict[tuple, list[bool]] = {}
+        for p in a.keys() | b.keys():
+            above = [p[:i] for i in range(len(p) + 1)]
+            if any(q in met or "ignored" in (a.get(q, b.get(q))[2], b.get(q, a.get(q))[2]) for q in above if q in a or q in b):
+                continue
+            straight = self._same(a.get(p), b.get(p))
+            turn = next((i for i in reversed(range(len(p))) if p[i] in _MATES and a.get(p[:i], ("",))[:2] == ("object", None) and all((*p[:i], _MATES[p[i]]) in t for t in (a, b))), None)
+            if turn is not None:
+                crossed = self._same(a.get(p), b.get((*p[:turn], _MATES[p[turn]], *p[turn + 1 :])))
+                so_far = ways.setdefault(p[:turn], [True, True])
+                ways[p[:turn]] = [so_far[0] and straight, so_far[1] and crossed]
+            elif not straight:
+                return False
+        return all(map(any, ways.values()))
 
 
 def answer_hash(answer: Column, digits: int = PRECISION) -> Column:
@@ -151,21 +174,98 @@ def number_hash(number: Column, digits: int = PRECISION) -> Column:
     return F.substring(F.sha2(F.round(number, digits).cast("string"), 256), 1, 16)
 
 
-def answers_match(a: Column, b: Column, tolerance: float = FLOAT_TOLERANCE, p_tolerance: float = P_TOLERANCE) -> Column:
+def answers_match(a: Column, b: Column, tolerance: float = FLOAT_TOLERANCE, p_tolerance: float = P_TOLERANCE, strip: bool = False, unordered: Iterable[str] = ()) -> Column:
     """Whether two answers in JSON agree: numbers within tolerance, significances within p_tolerance, text after
-    folding of Unicode forms and dashes, lists of texts in any order, groups in either order. False if either is null."""
+    folding of Unicode forms and dashes (and without white space around it if strip), lists of texts in any order and lists
+    under `unordered` keys too, groups in either order. False if either is null."""
 
     ship()
+    keys = frozenset(unordered)
 
     @F.pandas_udf("boolean")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        same = Comparison(tolerance, p_tolerance)
+        same = Comparison(tolerance, p_tolerance, strip, keys)
         for left, right in batches:
-            yield pd.Series([x is not None and y is not None and (x == y or same(parsed(x), parsed(y))) for x, y in zip(left, right, strict=True)])
+            yield pd.Series([x is not None and y is not None and (x == y or same(parsed(x), parsed(y))) for x, y in zip(left, right, strict=True)], dtype=bool)
 
     return of(a, b)
 
 
+# Other names under which answers give what a key of the expected answer asks for, the first that is there counts.
+KEY_ALIASES = {
+    "target": ["target_column", "target_col"],
+    "predictor": ["predictor_column", "best_predictor", "most_correlated_column"],
+    "association_score": ["correlation", "absolute_correlation", "abs_correlation", "corr", "spearman_rho"],
+    "columns": ["pair"],
+    "grouping_column": ["group_col", "group_column"],
+    "test_statistic": ["t_statistic", "t_stat", "t", "u_statistic", "f_statistic", "f_stat", "f", "chi_squared", "ks_statistic", "levene_statistic"],
+    "significance_score": ["p_value", "p"],
+    "fit_score": ["r_squared", "r2", "r2_score"],
+    "fit_score_adj": ["adj_r_squared", "adj_r2"],
+    "n_influential": ["n_significant"],
+    "method_choice": ["test_used"],
+    "effect_size_kind": ["effect_size_type"],
+    "effect_size": ["eta_squared"],
+    "df": ["degrees_of_freedom"],
+    "original_association": ["original_correlation"],
+    "clean_association": ["clean_correlation"],
+    "log_association": ["log_correlation"],
+    "mean1": ["group1_mean", "mean_low_group"],
+    "mean2": ["group2_mean", "mean_high_group"],
+    "significant": ["significant_at_0.05", "is_significant"],
+}
+# Keys whose lists have no order.
+UNORDERED_KEYS = ("columns", "predictors", "pair")
+_ENTRIES = "map<string,variant>"
+
+
+def _folded_key(key: Column) -> Column:
+    return F.translate(F.lower(key), "-‑", "__")
+
+
+def _entries(answer: Column) -> Column:
+    """The values of an answer's folded keys; of keys that fold alike the last counts. Null unless the answer is an object."""
+    held = F.try_parse_json(answer)
+    pairs = F.transform(F.map_entries(held.cast(_ENTRIES)), lambda e: F.struct(_folded_key(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.reverse(F.transform(pairs, lambda e: e["key"]))
+    last = F.filter(pairs, lambda e, i: F.array_position(names, e["key"]) == F.size(pairs) - i)
+    return F.when(F.schema_of_variant(held).startswith("OBJECT"), F.map_from_entries(last))
+
+
+def resolve_keys(df: DataFrame, expected: str, actual: str, aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """df with `wanted`, `given` and `missing` of two answers in JSON: both with folded keys, and of `actual` what stands
+    under the keys that `expected` has, or else under the first of their aliases that is there.
+
+    missing names, sorted, the expected keys without a value. Keys that are not expected go. An answer that is no object
+    gives null. All of it is expressions; the aliases are a map in the plan.
+    """
+    aliases = KEY_ALIASES if aliases is None else aliases
+    fold = lambda key: key.lower().translate(dict.fromkeys(map(ord, "-‑"), "_"))
+    table = F.create_map(*(x for k, names in aliases.items() for x in (F.lit(fold(k)), F.array(*(F.lit(fold(n)) for n in names))))) if aliases else F.create_map().cast("map<string,array<string>>")
+    read = df.withColumns({"_want": _entries(F.col(expected)), "_have": F.map_filter(_entries(F.col(actual)), lambda _, v: ~F.is_variant_null(v))})
+    names = lambda key: F.concat(F.array(key), F.coalesce(F.try_element_at(table, key), F.array().cast("array<string>")))
+    held = F.coalesce(F.map_keys("_have"), F.array().cast("array<string>"))
+    first = lambda key: F.try_element_at(F.array_intersect(names(key), held), F.lit(1))
+    read = read.withColumn("_found", F.transform(F.map_keys("_want"), lambda key: F.struct(key.alias("key"), first(key).alias("name"))))
+    there = F.filter("_found", lambda e: e["name"].isNotNull())
+    canonical = F.map_from_entries(F.transform(there, lambda e: F.struct(e["key"].alias("key"), F.element_at("_have", e["name"]).alias("value"))))
+    missing = F.array_sort(F.transform(F.filter("_found", lambda e: e["name"].isNull()), lambda e: e["key"]))
+    return read.withColumns({"wanted": F.to_json("_want"), "given": F.when(F.col("_have").isNotNull(), F.to_json(canonical)), "missing": missing}).drop("_want", "_have", "_found")
+
+
+def with_alias_match(df: DataFrame, expected: str, actual: str, aliases: Mapping[str, Sequence[str]] | None = None, unordered: Iterable[str] = UNORDERED_KEYS, tolerance: float = FLOAT_TOLERANCE, p_tolerance: float = P_TOLERANCE) -> DataFrame:
+    """df with `matched` and `reason`: whether the answer in column `actual` says what the one in `expected` does, if keys may
+    have other names. An expected object asks for an object with all its keys; more keys do not matter. Other answers
+    are compared as they are. No answer matches nothing."""
+    r = resolve_keys(df, expected, actual, aliases)
+    whole = lambda resolved, given: F.when(F.col("wanted").isNotNull(), F.col(resolved)).otherwise(F.col(given))
+    r = r.withColumn("_close", answers_match(whole("wanted", expected), whole("given", actual), tolerance, p_tolerance, True, unordered))
+    lacks = F.concat(F.lit("missing keys: "), F.array_join("missing", ", "))
+    asked = F.col("wanted").isNotNull()
+    reason = F.when(asked & F.col("given").isNull(), "actual answer is not an object").when(asked & (F.size("missing") > 0), lacks).when(F.col("_close"), "match").otherwise("value mismatch")
+    return r.withColumn("reason", reason).withColumn("matched", F.col("reason") == "match").drop("wanted", "given", "missing", "_close")
+
+
 def normalized(df: DataFrame) -> DataFrame:
     """A result table as one answer in JSON, by its shape: no rows {}, one value that value, one column a list, two
     columns an object from the first to the second, otherwise a list of records. For tables of an answer's size."""

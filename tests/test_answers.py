@@ -104,3 +104,63 @@ def test_valid_answers_keep_each_hash_once(spark):
 def test_scalar_hash_without_python(spark):
     df = spark.createDataFrame([(1.25,), (-2.0,), (None,)], "x double")
     assert [r[0] for r in df.select(answers.number_hash(F.col("x"))).collect()] == [digest("1.25"), digest("-2.0"), None]
+
+
+NESTED = [
+    ({"a": {"mean1": 1, "mean2": 9}, "b": 2}, {"a": {"mean1": 9, "mean2": 1}, "b": 2}, True),
+    ({"mean1": 1, "mean2": 9, "n1": 3, "n2": 4}, {"mean1": 9, "mean2": 1, "n1": 3, "n2": 4}, False),  # all pairs turn together
+    ({"mean1": 1, "mean2": 9, "x": 2}, {"mean1": 9, "mean2": 1, "x": 3}, False),
+    ({"mean1": 1}, {"mean1": 1.05}, True),
+    ({"p_value": 0.01, "mean1": 1, "mean2": 9}, {"p_value": 0.01, "mean1": 9, "mean2": 1}, False),
+    ({"p_value": "0.0100"}, {"p_value": 0.011}, True),
+    ({"p_value": "low"}, {"p_value": "low"}, True),
+    ({"p_value": 0.01, "significance_score": 1}, {"p_value": 0.01, "significance_score": 2}, True),
+    ({"p_value": 0.01, "significance_score": 1}, {"p_value": 0.01}, False),
+    ([["a", "b"], 1], [["b", "a"], 1.05], True),
+    ([], {}, False),
+    ({}, {}, True),
+    ([1], [1, 2], False),
+    ({"const": 5, "mean": 1}, 5, True),
+    ({"m": {"x": 3}}, {"m": 3.02}, True),
+    ({"group1": "a"}, {}, True),
+    (None, None, True),
+    ({"x": None}, {"x": None}, True),
+    (True, "TRUE", True),
+    (True, 1, True),
+    ("ﬁne – x", "fine - x", True),
+    ({"test_used": "Welch (unequal) t-test"}, {"test_used": "welch t"}, True),
+]
+
+
+@pytest.mark.parametrize("a,b,same", NESTED)
+def test_nested_answers(a, b, same):
+    assert Comparison()(a, b) == same == Comparison()(b, a)
+
+
+ALIASED = [
+    ({"target": "x", "fit_score": 0.5}, {"Target-Column": "x ", "r2": 0.55, "more": 1}, "match"),
+    ({"target": "x", "fit_score": 0.5}, {"target": "x"}, "missing keys: fit_score"),
+    ({"target": "x"}, {"target": None, "target_col": "y"}, "value mismatch"),
+    ({"target": "x"}, {"target": None}, "missing keys: target"),
+    ({"target": "x"}, [1], "actual answer is not an object"),
+    ({"target": "x"}, None, "actual answer is not an object"),
+    ({"significance_score": 0.01}, {"p": 0.0115}, "match"),
+    ({"significance_score": 0.01}, {"p": 0.1}, "value mismatch"),
+    ({"columns": ["a", 2]}, {"pair": [2, "a"]}, "match"),
+    ({"A-b": 1, "a_b": 2}, {"a_b": 2.0}, "match"),
+    (3, 3.05, "match"),
+    ("x", " x", "match"),
+    ("x", {"x": 1}, "value mismatch"),
+    ({"significant": "True"}, {"is_significant": True}, "match"),
+]
+
+
+def test_other_names_of_keys(spark):
+    rows = [(i, json.dumps(a), None if b is None else json.dumps(b)) for i, (a, b, _) in enumerate(ALIASED)]
+    df = spark.createDataFrame([*rows, (98, None, "1"), (99, "not json", "not json")], "i int, want string, have string")
+    got = {r.i: (r.matched, r.reason) for r in answers.with_alias_match(df, "want", "have").collect()}
+    for i, (a, b, reason) in enumerate(ALIASED):
+        assert got[i] == (reason == "match", reason), (a, b)
+    assert got[98] == (False, "value mismatch") and got[99] == (True, "match")
+    own = {r.i: r.matched for r in answers.with_alias_match(df, "want", "have", {"target": ["more"]}, ()).collect()}
+    assert not own[0] and not own[8]
