@@ -11,7 +11,6 @@ task holds one block of each. All anchors against all rows is the question that
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -35,59 +34,62 @@ _LAST = (1 << 63) - 1
 
 
 class Tree:
-    """A cover tree over integer vectors: node i has centre row, covering radius, label, and children or rows first..last."""
+    """A cover tree over integer vectors, with a branch for each label.
+
+    Node i has a centre row, a covering radius, a label, and either children first[i]..first[i] + n[i] or, as a leaf, rows in
+    that range: rows stand in the order of leaves.
+    """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray):
-        order = self.order = np.lexsort((ids, labels))
-        self.ids, self.labels, self.x = ids[order], labels[order], vectors[order]
-        norm = (self.x.astype(float) ** 2).sum(1)
+        norm = (vectors.astype(float) ** 2).sum(1)
         self.most = math.sqrt(norm.max(initial=0.0))
-        self.full = np.column_stack([self.x.astype(float), np.sqrt(np.maximum(self.most**2 - norm, 0))])
-        self.centre: list[int] = []
-        self.radius: list[float] = []
-        self.label: list[int] = []
-        self.below: list[tuple[int, ...]] = []
-        self.rows: list[np.ndarray] = []
-        cuts = np.flatnonzero(np.diff(self.labels)) + 1
-        self.roots = [self._cover(part, int(part[0])) for part in np.split(np.arange(len(order)), cuts) if len(part)]
-
-    def _cover(self, rows: np.ndarray, centre: int) -> int:
-        """The nodes over rows, level by level; returns the number of the top one."""
-        top = self._node(rows, centre)
-        todo = [top]
-        while todo:
-            node = todo.pop()
-            own, radius = self.rows[node], self.radius[node]
-            if len(own) <= LEAF or radius == 0:
-                continue
-            centres, near = [self.centre[node]], self._far(own, self.centre[node])
-            nearest = np.zeros(len(own), int)
-            while len(centres) < FANOUT and near.max() > radius / SHRINK:
-                c = int(own[near.argmax()])
-                d = self._far(own, c)
-                nearest[d < near] = len(centres)
-                near = np.minimum(near, d)
-                centres.append(c)
-            parts = [(c, own[nearest == i]) for i, c in enumerate(centres)]
-            children = [self._node(part, c) for c, part in parts if len(part)]
-            if len(children) > 1:
-                self.below[node], self.rows[node] = tuple(children), own[:0]
-                todo += children
-        return top
-
-    def _far(self, rows: np.ndarray, centre: int) -> np.ndarray:
-        return np.sqrt(((self.full[rows] - self.full[centre]) ** 2).sum(1))
-
-    def _node(self, rows: np.ndarray, centre: int) -> int:
-        self.centre.append(centre)
-        self.radius.append(float(self._far(rows, centre).max(initial=0.0)))
-        self.label.append(int(self.labels[rows[0]]))
-        self.below.append(())
-        self.rows.append(rows)
-        return len(self.centre) - 1
-
-    def ready(self) -> None:
-        self.centres, self.radii = self.x[self.centre].astype(float), np.array(self.radius)
+        full = np.column_stack([vectors.astype(float), np.sqrt(np.maximum(self.most**2 - norm, 0))])
+        nodes: list[tuple[int, float, int]] = []
+        rows: list[np.ndarray] = []
+        children: dict[int, tuple[int, int]] = {}
+
+        def far(own: np.ndarray, centre: int) -> np.ndarray:
+            return np.sqrt(((full[own] - full[centre]) ** 2).sum(1))
+
+        def add(own: np.ndarray, centre: int) -> None:
+            nodes.append((centre, float(far(own, centre).max(initial=0.0)), int(labels[own[0]])))
+            rows.append(own)
+
+        by_label = np.lexsort((ids, labels))
+        for part in np.split(by_label, np.flatnonzero(np.diff(labels[by_label])) + 1):
+            if len(part):
+                add(part, int(part[0]))
+        self.roots = np.arange(len(nodes))
+        at = 0
+        while at < len(nodes):  # level by level, since children are added behind
+            own, (centre, radius, _) = rows[at], nodes[at]
+            if len(own) > LEAF and radius > 0:
+                centres, near, nearest = [centre], far(own, centre), np.zeros(len(own), int)
+                while len(centres) < FANOUT and near.max() > radius / SHRINK:
+                    c = int(own[near.argmax()])
+                    d = far(own, c)
+                    nearest[d < near] = len(centres)
+                    near = np.minimum(near, d)
+                    centres.append(c)
+                parts = [(c, own[nearest == i]) for i, c in enumerate(centres)]
+                parts = [x for x in parts if len(x[1])]
+                if len(parts) > 1:
+                    children[at] = (len(nodes), len(parts))
+                    rows[at] = own[:0]
+                    for c, part in parts:
+                        add(part, c)
+            at += 1
+        self.order = np.concatenate(rows) if rows else np.zeros(0, int)
+        place = np.empty(len(self.order), int)
+        place[self.order] = np.arange(len(self.order))
+        starts = np.cumsum([0, *map(len, rows)])
+        self.ids, self.x = ids[self.order], vectors[self.order]
+        self.centre = place[[c for c, _, _ in nodes]] if nodes else np.zeros(0, int)
+        self.radius = np.array([r for _, r, _ in nodes], float)
+        self.label = np.array([y for _, _, y in nodes], np.int64)
+        self.leaf = np.array([i not in children for i in range(len(nodes))], bool)
+        self.first = np.array([children.get(i, (starts[i], 0))[0] for i in range(len(nodes))], np.int64)
+        self.n = np.array([children.get(i, (0, len(rows[i])))[1] for i in range(len(nodes))], np.int64)
 
     def bounds(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(least, most) inner product of each anchor with what each node covers, with room for rounding."""
@@ -95,39 +97,51 @@ class Tree:
         size = np.sqrt((q**2).sum(1))[:, None]
         scale = np.where(size > 0, self.most / np.where(size > 0, size, 1), 0)
         # |q' - c'|^2 = 2 M^2 - 2 q'.c for q' of norm M (a zero anchor has zero products)
-        d = np.sqrt(np.maximum(2 * self.most**2 - 2 * scale * (q @ self.centres.T), 0))
+        d = np.sqrt(np.maximum(2 * self.most**2 - 2 * scale * (q @ self.x[self.centre].astype(float).T), 0))
         back = np.where(scale > 0, 1 / np.where(scale > 0, scale, 1), 0)
         product = lambda far: back * (self.most**2 - far**2 / 2)
         room = 1e-9 * size * self.most + 1e-6
-        return product(np.minimum(d + self.radii, 2 * self.most)) - room, product(np.maximum(d - self.radii, 0)) + room
-
-    def descend(self, scores: dict, anchor: np.ndarray, own: int, low: np.ndarray, high: np.ndarray, roots: list[int], k: int, least: float, most: float) -> list[tuple]:
-        """The k best (score, row) with least <= score <= most below roots, without the row `own`; ties by smaller id. scores: those of leaves already looked at."""
-        heap = [(-high[r], r) for r in roots if low[r] <= most and high[r] >= least]
-        heapq.heapify(heap)
-        found: list[tuple] = []  # a heap of the best, worst on top
-        while heap:
-            bound, node = heapq.heappop(heap)
-            if len(found) == k and -bound < found[0][0]:
+        return product(np.minimum(d + self.radius, 2 * self.most)) - room, product(np.maximum(d - self.radius, 0)) + room
+
+    def descend(self, anchor: np.ndarray, own: int, low: np.ndarray, high: np.ndarray, roots: np.ndarray, windows: list[tuple], k: int) -> list[list[tuple]]:
+        """For each window (least, most) the k best (score, id, row) with least <= score <= most below roots, without the
+        row `own`; ties by smaller id. Levels leave out nodes outside all windows; leaves are looked at from the best bound
+        on, until no window can gain."""
+        least, most = min(w[0] for w in windows), max(w[1] for w in windows)
+        leaves, level = [], roots
+        while len(level):
+            level = level[(low[level] <= most) & (high[level] >= least)]
+            leaves.append(level[self.leaf[level]])
+            level = _ranges(self.first, self.n, level[~self.leaf[level]])
+        at = np.concatenate(leaves) if leaves else roots[:0]
+        at = at[np.argsort(-high[at], kind="stable")]
+        ends = np.cumsum(self.n[at])
+        rows, scores, done, look = [], [], 0, 8 * LEAF
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while done < len(at):
+            to = min(len(at), max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + look, side="right"))))
+            new = _ranges(self.first, self.n, at[done:to])
+            new = new[new != own]
+            rows.append(new)
+            scores.append(self.x[new] @ anchor)
+            done, look = to, 2 * look
+            r, s = np.concatenate(rows), np.concatenate(scores)
+            found = [(r[inside], s[inside]) for lo, hi in windows for inside in [((s >= lo) & (s <= hi)).astype(bool)]]
+            if done < len(at) and all(lo > high[at[done]] or len(s) >= k and np.sort(s)[-k] > high[at[done]] for (lo, _), (_, s) in zip(windows, found, strict=True)):
                 break
-            if self.below[node]:
-                for c in self.below[node]:
-                    if low[c] <= most and high[c] >= least and not (len(found) == k and high[c] < found[0][0]):
-                        heapq.heappush(heap, (-min(high[c], most + 1), c))
-                continue
-            rows = self.rows[node]
-            if node not in scores:
-                scores[node] = self.x[rows] @ anchor
-            s = scores[node]
-            good = ((s >= max(least, found[0][0]) if len(found) == k else s >= least) & (s <= most)).astype(bool)
-            for i in np.flatnonzero(good):
-                if rows[i] != own:
-                    item = (s[i], -int(self.ids[rows[i]]), int(rows[i]))
-                    if len(found) < k:
-                        heapq.heappush(found, item)
-                    elif item > found[0]:
-                        heapq.heapreplace(found, item)
-        return sorted(found, reverse=True)
+        out = []
+        for r, s in found:
+            if len(s) > k:
+                top = (s >= np.sort(s)[-k]).astype(bool)
+                r, s = r[top], s[top]
+            out.append(sorted(zip(s.tolist(), self.ids[r].tolist(), r.tolist(), strict=True), key=lambda x: (-x[0], x[1], x[2]))[:k])
+        return out or [[] for _ in windows]
+
+
+def _ranges(first: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... n[i] of them, for every i of at."""
+    size = n[at]
+    return np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def matrix(vectors: pa.ListArray) -> np.ndarray:
@@ -174,8 +188,8 @@ def _dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 _LONGS, _LISTS = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
-_TREE = pa.schema([("block", pa.int64()), ("ids", _LONGS), ("rids", _LONGS), ("labels", _LONGS), ("width", pa.int64()), ("vectors", pa.binary()), ("centre", _LONGS), ("radius", pa.list_(pa.float64())), ("below", _LISTS), ("leaf", _LISTS), ("roots", _LONGS)])
-_TREE_DDL = "block long, ids array<long>, rids array<long>, labels array<long>, width long, vectors binary, centre array<long>, radius array<double>, below array<array<long>>, leaf array<array<long>>, roots array<long>"
+_TREE = pa.schema([("block", pa.int64()), ("ids", _LONGS), ("rids", _LONGS), ("width", pa.int64()), ("vectors", pa.binary()), ("roots", _LONGS), ("centre", _LONGS), ("radius", pa.list_(pa.float64())), ("label", _LONGS), ("leaf", pa.list_(pa.bool_())), ("first", _LONGS), ("n", _LONGS)])
+_TREE_DDL = "block long, ids array<long>, rids array<long>, width long, vectors binary, roots array<long>, centre array<long>, radius array<double>, label array<long>, leaf array<boolean>, first array<long>, n array<long>"
 _ASKED_DDL = "group long, asked array<long>, kinds array<long>, asked_width long, asked_vectors binary, windows array<array<long>>"
 
 
@@ -187,21 +201,19 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, rids, labels = (np.asarray(rows.field(c).fill_null(_LAST)) for c in ("vec_id", "rid", "label"))
             given = matrix(rows.field("embedding"))
             t = Tree(ids, labels, whole_numbers(given))
-            order = t.order
-            row = {"block": b.column("block")[i].as_py(), "ids": ids[order], "rids": rids[order], "labels": labels[order], "width": given.shape[1], "vectors": given[order].tobytes(), "centre": t.centre, "radius": t.radius, "below": [list(x) for x in t.below], "leaf": t.rows, "roots": t.roots}
+            parts = {c: getattr(t, c) for c in ("ids", "roots", "centre", "radius", "label", "leaf", "first", "n")}
+            row = {"block": b.column("block")[i].as_py(), "rids": rids[t.order], "width": given.shape[1], "vectors": given[t.order].tobytes()} | parts
             yield pa.RecordBatch.from_pylist([row], schema=_TREE)
 
 
-def _grown(r: dict) -> Tree:
-    """The tree of a stored block."""
+def _grown(b: pa.RecordBatch, i: int) -> tuple[Tree, np.ndarray]:
+    """The tree of a stored block, and its rows' rids."""
     t = Tree.__new__(Tree)
-    t.ids, t.labels = np.array(r["ids"], np.int64), np.array(r["labels"], np.int64)
-    t.x = whole_numbers(np.frombuffer(r["vectors"], np.float32).reshape(len(t.ids), r["width"]))
+    for c in ("ids", "roots", "centre", "radius", "label", "leaf", "first", "n", "rids"):
+        setattr(t, c, b.column(c)[i].values.to_numpy(zero_copy_only=False))
+    t.x = whole_numbers(np.frombuffer(b.column("vectors")[i].as_py(), np.float32).reshape(len(t.ids), b.column("width")[i].as_py()))
     t.most = math.sqrt(float((t.x.astype(float) ** 2).sum(1).max(initial=0.0)))
-    t.centre, t.radius, t.below, t.roots = r["centre"], r["radius"], [tuple(x) for x in r["below"]], r["roots"]
-    t.rows = [np.array(x, np.int64) for x in r["leaf"]]
-    t.label = [int(t.labels[c]) for c in t.centre]
-    return t
+    return t, t.rids
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,21 +235,20 @@ def _search(k: int, same: bool, low_share: int, high_share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for j in range(b.num_rows):
-                r = {c: b.column(c)[j].as_py() for c in b.schema.names}
-                tree, rids = _grown(r), r["rids"]
+                r = {c: b.column(c)[j].as_py() for c in ("asked", "kinds", "asked_width", "asked_vectors", "windows")}
+                tree, rids = _grown(b, j)
                 tree.x, q = _same_width(tree.x, whole_numbers(np.frombuffer(r["asked_vectors"], np.float32).reshape(len(r["asked"]), r["asked_width"])))
-                tree.ready()
-                where, out = {x: i for i, x in enumerate(rids)}, []
-                for first in range(0, len(q), 256):  # bounds of so many anchors at once
-                    low, high = tree.bounds(q[first : first + 256])
-                    for i in range(first, min(first + 256, len(q))):
-                        roots = [n for n in tree.roots if (tree.label[n] == r["kinds"][i]) == same]
-                        scores: dict = {}
-                        for window in [None] if same else r["windows"][i]:
-                            # low_share * positive <= 100 * negative <= high_share * positive
-                            least, most = (-math.inf, math.inf) if window is None else (-(-low_share * window // 100), high_share * window // 100)
-                            found = tree.descend(scores, q[i], where.get(r["asked"][i], -1), low[i - first], high[i - first], roots, k, least, most) if least <= most else []
-                            out += [(r["asked"][i], window, rids[row], None if -minus_id == _LAST else -minus_id, int(s)) for s, minus_id, row in found]
+                where, out = {x: i for i, x in enumerate(rids.tolist())}, []
+                for start in range(0, len(q), 256):  # bounds of so many anchors at once
+                    low, high = tree.bounds(q[start : start + 256])
+                    for i in range(start, min(start + 256, len(q))):
+                        roots = tree.roots[(tree.label[tree.roots] == r["kinds"][i]) == same]
+                        # low_share * positive <= 100 * negative <= high_share * positive
+                        windows = [(None, -math.inf, math.inf)] if same else [(w, -(-low_share * w // 100), high_share * w // 100) for w in r["windows"][i]]
+                        windows = [w for w in windows if w[1] <= w[2]]
+                        found = tree.descend(q[i], where.get(r["asked"][i], -1), low[i - start], high[i - start], roots, [w[1:] for w in windows], k) if windows and len(roots) else []
+                        for (w, _, _), hits in zip(windows, found, strict=False):
+                            out += [(r["asked"][i], w, int(rids[row]), None if vec_id == _LAST else vec_id, int(score)) for score, vec_id, row in hits]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["anchor", "window", "rid", "vec_id", "score"])
 

@@ -68,12 +68,12 @@ def test_bounds_hold_for_every_row_below_a_node():
     rng = np.random.default_rng(1)
     x = H.whole_numbers(np.concatenate([rng.normal(0, 1, (300, 8)), rng.normal(2, 0.1, (300, 8))]).astype(np.float32))
     t = H.Tree(np.arange(600), np.repeat([1, 2], 300), x)
-    t.ready()
     anchors = np.concatenate([t.x[::97], np.zeros((1, 8))])
     low, high = t.bounds(anchors)
 
     def rows(node):
-        return np.concatenate([t.rows[node], *(rows(c) for c in t.below[node])])
+        own = np.arange(t.first[node], t.first[node] + t.n[node])
+        return own if t.leaf[node] else np.concatenate([rows(c) for c in own])
 
     assert sorted(np.concatenate([rows(r) for r in t.roots]).tolist()) == list(range(600))
     for node in range(len(t.centre)):
