@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+
 #: Rows of a bucket, about, and the most buckets.
 BUCKET_ROWS, BUCKETS = 200_000, 4096
 BLOCK = 1 << 16
@@ -83,6 +85,19 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return b.withColumn("_inner", inner).join(before, "_bucket").withColumn("_idx", F.col("_before") + F.col("_inner")).drop("_bucket", "_inner", "_before")
 
 
+def positioned(df: DataFrame, order: list[Column], name: str = "_idx") -> DataFrame:
+    """df with its 0-based place along order, of any types: rows are dealt by ranges, sorted there and counted on. Equal rows
+    stand in any order and are spread over partitions. The table is written once to the shared folder."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = df.withColumn("_spread", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = marked.repartitionByRange(n, *order, "_spread").sortWithinPartitions(*order, "_spread").drop("_spread")
+    rows = kept(ranged.withColumn("_at", F.monotonically_increasing_id()), "positioned").withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(before), "_part").withColumn(name, place).drop("_part", "_at", "_before")
+
+
 def running_sum(df: DataFrame, value: Column, name: str) -> DataFrame:
     """A sum over _idx up to each row; null values add nothing and stay null."""
     b = df.withColumn("_block", F.floor(F.col("_idx") / BLOCK)).withColumn("_x", value)

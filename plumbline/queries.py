@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import record_queries, statistic_queries
+from . import record_queries, statistic_queries, user_queries
 from .operators import catalog
 from .operators.profile import column_profile, head, index_columns, quality_issues, shape, strongest_correlations, time_ranges, top_values, value_summary
 from .plans.templates import TEMPLATES, applicable
@@ -214,5 +214,5 @@ QUERIES["strm_event_rates"] = event_rates
 ORACLE_SQL["strm_event_rates"] = """select d::timestamp as start, event_type as kind, count(*) as n, count(*) filter (where event_type = 'error') as errors, round(avg(value), 3) as mean
 from (select date_trunc('day', ts) as d, * from events) where d + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2"""
 
-QUERIES |= record_queries.QUERIES
-ORACLE_SQL |= record_queries.ORACLE_SQL
+QUERIES |= record_queries.QUERIES | user_queries.QUERIES
+ORACLE_SQL |= record_queries.ORACLE_SQL | user_queries.ORACLE_SQL

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.profile import column_profile
 from .plans import verbal
-from .records import answers, evaluation, filters, manifests, traces, training
+from .records import answers, evaluation, filters, manifests, tables, traces, training
 from .sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,6 +181,32 @@ query(
       select event_id, case event_id % 5 when 2 then 'missing keys: n_influential' when 3 then 'actual answer is not an object' when 4 then 'missing keys: association_score, n_influential'
         else case when abs(elapsed - (elapsed + (event_id % 5) * 0.04::double)) <= 0.1 then 'match' else 'value mismatch' end end as reason from runs)""",
 )
+def _prices(spark: SparkSession, sf_dir: str, off: float, less: str = "false") -> DataFrame:
+    """Results of two ways to one table: sums a customer, columns the other way about, off by a share."""
+    o = table(spark, sf_dir, "orders").where(f"not ({less})")
+    total = F.sum("o_totalprice").cast("double")
+    return o.groupBy("o_custkey").agg((total * (1 + off)).alias("total"), F.count("*").alias("n")).select("total", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), "n", "o_custkey")
+
+
+def _table_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _prices(spark, sf_dir, 0.0).select("o_custkey", "n", "name", "total")
+    cases = {"close": (_prices(spark, sf_dir, 0.01), 0.02), "far": (_prices(spark, sf_dir, 0.05), 0.02), "fewer": (_prices(spark, sf_dir, 0.0, "o_custkey % 7 = 0"), 0.02), "columns": (a.drop("n"), 0.02)}
+    return reduce(DataFrame.unionAll, (tables.tables_match(a, b, t).select(F.lit(name).alias("case_name"), "matched", "reason", "rows_a", "rows_b", "different_rows") for name, (b, t) in cases.items()))
+
+
+query(
+    "rec_tables_match",
+    _table_cases,
+    """select * from (with totals as (select o_custkey as k, sum(o_totalprice)::double as t, count(*) as n from orders group by 1)
+    select 'close' as case_name, n_far = 0 as matched, case when n_far = 0 then 'match' else 'other values' end as reason, n as rows_a, n as rows_b, n_far as different_rows
+      from (select count(*) as n, count(*) filter (where t - t * 1.01 < -0.02 - 0.02 * t * 1.01) as n_far from totals)
+    union all select 'far', n_far = 0, case when n_far = 0 then 'match' else 'other values' end, n, n, n_far
+      from (select count(*) as n, count(*) filter (where t - t * 1.05 < -0.02 - 0.02 * t * 1.05) as n_far from totals)
+    union all select 'fewer', false, 'other number of rows', count(a.k), count(b.k), count(*) filter (where a.name is distinct from b.name) from
+      (select *, row_number() over (order by n, name, k, t) as i from (select k, n, 'c' || k as name, t from totals)) a full join
+      (select *, row_number() over (order by n, name, k, t) as i from (select k, n, 'c' || k as name, t from totals where k % 7 <> 0)) b using (i)
+    union all select 'columns', false, 'other columns', null, null, null)""",
+)
 query(
     "rec_result_as_answer",
     lambda s, d: answers.normalized(runs(s, d).groupBy("template").agg(F.count("*").alias("n")).orderBy("template")).select(F.from_json("answer", "map<string,long>").alias("m")).select(F.explode("m").alias("template", "n")),

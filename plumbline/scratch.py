@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
         own = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext._plumbline_dir = own
     return own
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written into the shared folder and read again: computed once, in the same order for whatever reads it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
