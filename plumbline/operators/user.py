@@ -15,11 +15,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, StringType, StructField, StructType
 
+from ..functions.names import col
 from ..records.answers import digest
 from ..shipping import ship
 
@@ -55,14 +56,10 @@ def register_function(name: str, answer: str, run: Callable[[Iterator[pa.RecordB
     _FUNCTIONS[name] = (answer, run)
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _keyed(df: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
     """(_k, _keys, _row): the keys' text and values, and the other columns asked for."""
-    values = F.struct(*(_quoted(k).alias(k) for k in keys)) if keys else F.struct(F.lit(True).alias("all"))
-    row = F.struct(*(_quoted(c).alias(c) for c in rest)) if rest else F.struct(F.lit(True).alias("none"))
+    values = F.struct(*(col(k).alias(k) for k in keys)) if keys else F.struct(F.lit(True).alias("all"))
+    row = F.struct(*(col(c).alias(c) for c in rest)) if rest else F.struct(F.lit(True).alias("none"))
     return df.select(F.to_json(values, {"ignoreNullFields": "false"}).alias("_k"), values.alias("_keys"), row.alias("_row"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from .operators.profile import column_profile
 from .plans import verbal
 from .records import answers, evaluation, filters, manifests, tables, traces, training
+from .scratch import shared_dir
 from .sources import records
+from .sources.tables import read_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -595,6 +598,35 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIELDS = "conv_id long, turn long, role string, n long"
 query("src_json_lines", lambda s, d: records.parse_lines(_lines(s, d), _FIELDS), "select conv_id, turn, role, length(text) as n from conversations where (conv_id * 31 + turn) % 17 <> 0")
 query("src_json_lines_counted", lambda s, d: records.parse_lines(_lines(s, d), _FIELDS, "counted").groupBy(F.col("_malformed").alias("malformed")).agg(F.count("*").alias("n"), F.sum("n").alias("chars")), "select (conv_id * 31 + turn) % 17 = 0 as malformed, count(*) as n, sum(case when (conv_id * 31 + turn) % 17 <> 0 then length(text) end)::bigint as chars from conversations group by 1")
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as CSV with line breaks in quotes, read again."""
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "conversations").write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(folder)
+    return read_csv(spark, folder)
+
+
+query(
+    "src_csv_scan",
+    lambda s, d: _csv(s, d).select("conv_id", "turn", "role", F.md5("text").alias("text")),
+    "select conv_id, turn, role, md5(nullif(text, '')) as text from conversations",
+)
+
+
+def _array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions in one JSON array, some of them replaced by new ones, read again."""
+    at = f"{shared_dir(spark)}/questions-{uuid.uuid4().hex}.json"
+    kind = "id string, dataset string, elapsed double"
+    rows = runs(spark, sf_dir).where("idx = 0").select(F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("id"), "dataset", "elapsed")
+    records.write_json_array(rows, at, ["id"])
+    records.upsert_json_array(spark, at, rows.where("elapsed > 50").withColumn("dataset", F.lit("new")), kind)
+    return records.read_json_array(spark, at, kind)
+
+
+query(
+    "src_json_array_file",
+    lambda s, d: _array_file(s, d).select("place", "id", "dataset", "elapsed"),
+    "select (row_number() over (order by id) - 1)::int as place, id, dataset, elapsed from (select 'q' || question_id as id, case when elapsed > 50 then 'new' else dataset end as dataset, elapsed from gold)",
+)
 query(
     "src_json_array",
     lambda s, d: records.json_array(table(s, d, "events").groupBy(F.floor(F.col("event_id") / 50).alias("file")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("source"))))).alias("value")), "id long, source string").select("file", F.col("place").cast("long").alias("place"), "id", "source"),

@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, NumericType
 
+from ..functions.names import quoted
 from ..functions.ordered import positioned
 from .answers import FLOAT_TOLERANCE
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _is_number(kind: DataType) -> bool:
     return isinstance(kind, NumericType | BooleanType)
 
@@ -44,7 +41,7 @@ def tables_match(a: DataFrame, b: DataFrame, tolerance: float = FLOAT_TOLERANCE)
     def side(df: DataFrame, mark: str) -> DataFrame:
         values = []
         for i, (c, number) in enumerate(zip(names, numbers, strict=True)):
-            x = df[_quoted(c)]
+            x = df[quoted(c)]
             values.append((F.nanvl(x.cast("double"), F.lit(None).cast("double")) if number else x).alias(f"{mark}{i}"))
         rows = df.select(*values)
         return positioned(rows, [F.col(f"{mark}{i}") for i in range(len(names))], "_idx").withColumn(f"_{mark}", F.lit(1))

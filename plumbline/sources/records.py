@@ -5,9 +5,14 @@ Lines are read as text and parsed by Spark, so a malformed line is a row that ca
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import col
+from ..functions.ordered import positioned
 from ..records.manifests import latest, upsert
 
 
@@ -127,6 +132,48 @@ def upsert_jsonl(spark: SparkSession, source: str, new: DataFrame, target: str,
     write_jsonl(upsert(read_jsonl(spark, source, schema, "strict").drop("file"), new, key), target, "overwrite")
 
 
+def _replace(spark: SparkSession, source: str, target: str) -> None:
+    """The only part file of folder source in place of the file target, at once where the file system can."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    (part,) = [str(f.getPath()) for f in path(source).getFileSystem(conf).globStatus(path(f"{source}/part-*"))]
+    over = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(target).toUri(), conf).rename(path(part), path(target), over)
+    path(source).getFileSystem(conf).delete(path(source), True)
+
+
+def write_json_array(df: DataFrame, path: str, order: list[str], indent: bool = True, fields: dict[str, str] | None = None, key: str = "questions") -> None:
+    """Rows as one JSON document in the file `path`: an array of objects, sorted by `order`, or an object that holds `fields`
+    (JSON texts by name) and the array under `key`. read_json_array reads either back.
+
+    Rows are sorted by ranges on all tasks; one task then streams the lines of the file, since a document is one file. It
+    is written beside the target and takes its place when whole: until then, and if a task fails for good, the old file
+    stays. Null fields are written, an empty table gives an empty array.
+    """
+    spark = df.sparkSession
+    named = lambda names, prefix: F.struct(*(col(c).alias(prefix.format(i, c)) for i, c in enumerate(names)))
+    row = F.to_json(named(df.columns, "{1}"), {"ignoreNullFields": "false", "pretty": str(indent).lower()})
+    rows = positioned(df.select(named(order, "o{0}").alias("_order"), row.alias("_json")), [F.col("_order")])
+    last = rows.count() - 1
+    text = F.regexp_replace("_json", "(?m)^", "  ") if indent else F.col("_json")
+    opened, closed = ("[", "]") if fields is None else ("{" + "".join(f"{json.dumps(k)}: {v}, " for k, v in fields.items()) + f"{json.dumps(key)}: [", "]}")
+    ends = spark.createDataFrame([(-1, opened), (last + 1, closed)], "_idx long, value string")
+    lines = ends.unionByName(rows.select("_idx", F.concat(text, F.when(F.col("_idx") < last, ",").otherwise("")).alias("value")))
+    draft = f"{path}.draft-{uuid.uuid4().hex}"
+    lines.coalesce(1).sortWithinPartitions("_idx").select("value").write.text(draft)
+    _replace(spark, draft, path)
+
+
+def upsert_json_array(spark: SparkSession, path: str, new: DataFrame, schema: str, key: str = "id", order: list[str] | None = None) -> None:
+    """The records of the file `path`, if it is there, with those of new in place of the ones with their key, in one JSON array
+    again; records without a key stay. The old file is read whole before the new one takes its place."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        new = upsert(read_json_array(spark, path, schema).drop("file", "place"), new, key)
+    write_json_array(new, path, order or [key])
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A report (see records.evaluation.report) as one text file."""
     spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
