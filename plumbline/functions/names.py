@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,3 +15,29 @@ def quoted(name: str) -> str:
 
 def col(name: str) -> Column:
     return F.col(quoted(name))
+
+
+# Characters of Unicode's private use that stand for those that column functions read as syntax.
+_MARKS = {".": "\ue000", "`": "\ue001"}
+_PLAIN, _SHOWN = str.maketrans(_MARKS), str.maketrans({v: k for k, v in _MARKS.items()})
+
+
+def plain(name: str) -> str:
+    """name without characters that column functions read as syntax."""
+    return name.translate(_PLAIN)
+
+
+def entered(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df as analyses read it, and how to show their results: NaN is missing, that is null, and column names are plain(); in
+    results, names and texts have the original characters again. A table without either is returned as it is."""
+    floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")]
+    odd = any(plain(c) != c for c in df.columns)
+    rows = df.select(*(F.nanvl(col(c), F.lit(None).cast(df.schema[c].dataType)).alias(plain(c)) if c in floats else col(c).alias(plain(c)) for c in df.columns)) if floats or odd else df
+
+    def shown(out: DataFrame) -> DataFrame:
+        if not odd:
+            return out
+        back = lambda c: F.translate(F.col(c), "".join(_MARKS.values()), "".join(_MARKS))
+        return out.select(*((back(c) if t == "string" else F.col(c)).alias(c.translate(_SHOWN)) for c, t in out.dtypes))
+
+    return rows, shown

@@ -20,13 +20,25 @@ def _number(df: DataFrame, column: str) -> Column:
     return F.unix_micros(column) if dict(df.dtypes)[column] == "timestamp" else F.col(column).cast("double")
 
 
+def _buckets(n: int) -> int:
+    return min(BUCKETS, -(-n // BUCKET_ROWS))
+
+
 def _cuts(df: DataFrame, value: Column, keys: list[str] | None = None) -> list[tuple[list, list]]:
-    """(key values, cut points) of the rows, or of each key's: as many quantiles as the rows need, repeated where a value is frequent."""
-    rows = (df.groupBy(*keys) if keys else df).agg(F.count(value).alias("n"), F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("q")).collect()
+    """(key values, cut points) of the rows, or of each key's: as many quantiles as the rows need, repeated where a value is
+    frequent. Rows are counted first; only if they fill more than one bucket are quantiles asked for."""
+    keys = keys or []
+    grouped = lambda rows: rows.groupBy(*keys)
+    counts = {tuple(r[k] for k in keys): r["n"] for r in grouped(df).agg(F.count(value).alias("n")).collect()}  # one row, or one for each of a few keys
+    n = max((_buckets(x) for x in counts.values()), default=0)
+    if n <= 1:
+        return [(list(k), []) for k in counts]
+    points = [i / n for i in range(1, n)]
     out = []
-    for r in rows:  # one row, or one for each of a few keys
-        n = min(BUCKETS, -(-r["n"] // BUCKET_ROWS))
-        out.append(([r[k] for k in keys or ()], [r["q"][i * BUCKETS // n - 1] for i in range(1, n)] if r["q"] else []))
+    for r in grouped(df).agg(F.percentile_approx(value, points, 4 * n).alias("q")).collect():
+        key = tuple(r[k] for k in keys)
+        own = _buckets(counts[key])
+        out.append((list(key), [r["q"][i * n // own - 1] for i in range(1, own)] if r["q"] else []))
     return out
 
 
@@ -42,17 +54,6 @@ def _place(value: Column, cuts: list) -> Column:
     return F.when(value.isNotNull(), part * step + count(F.element_at(parts, part + 1)))
 
 
-def cut_points(df: DataFrame, columns: list[str]) -> dict[str, list]:
-    """Cut points for bucketed, of several columns by one aggregate."""
-    q = [F.percentile_approx(_number(df, c), [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias(f"q{i}") for i, c in enumerate(columns)]
-    row = df.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(columns)), *q).first()
-    out = {}
-    for i, c in enumerate(columns):
-        n = min(BUCKETS, -(-row[f"n{i}"] // BUCKET_ROWS))
-        out[c] = [row[f"q{i}"][k * BUCKETS // n - 1] for k in range(1, n)] if row[f"q{i}"] else []
-    return out
-
-
 def bucketed(df: DataFrame, column: str, cuts: list | None = None) -> DataFrame:
     """df with _bucket, ascending in column (nulls first, -1): about one for BUCKET_ROWS rows, and one for equal values; or
     between given cut points."""
@@ -73,9 +74,10 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     b = df.withColumn("_v", value).withColumn("_bucket", F.coalesce(_place(F.col("_v"), cuts), F.lit(-1)).cast("long") * (BUCKETS + 1))
     if frequent and len(order) > 1:
         tied = b.where(F.col("_v").isin(*frequent))
-        inner = F.lit(0)
-        for (v,), own in _cuts(tied, _number(df, order[1]), ["_v"]):
-            inner = F.when(F.col("_v") == v, F.coalesce(_place(_number(df, order[1]), own), F.lit(-1)) + 1).otherwise(inner)
+        cells = [(F.lit(v), F.array(*map(F.lit, sorted(set(own)))).cast("array<double>")) for (v,), own in _cuts(tied, _number(df, order[1]), ["_v"])]  # BUCKETS cut points in all
+        own = F.element_at(F.create_map(*(x for cell in cells for x in cell)), F.col("_v"))
+        second = _number(df, order[1])
+        inner = F.when(second.isNull(), 0).otherwise(F.size(F.filter(own, lambda c: c < second)) + 1)
         # rows below a frequent value share its bucket: they come before it
         b = b.withColumn("_bucket", F.col("_bucket") + F.when(F.col("_v").isin(*frequent), inner + 1).otherwise(0))
     b = b.drop("_v")
@@ -117,32 +119,40 @@ def trailing(df: DataFrame, width: int, make, name: str) -> DataFrame:
     return rows.withColumn(name, make(w)).where("_block = _own").drop("_block", "_own")
 
 
-def average_ranks(df: DataFrame, column: str, by: str | None = None, cuts: list | None = None) -> DataFrame:
-    """(by, column, n, below) a distinct value: how often it stands, how many values are smaller. Nulls are left out."""
+def average_ranks(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """(by, column, n, below, total) a distinct value: how often it stands, how many values are smaller, how many the group has.
+    Nulls are left out. Values that fit one bucket are ranked by one window a group; more are cut into buckets first."""
     keys = [by] if by else []
-    counts = bucketed(df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n")), column, cuts)
-    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_t"))
-    carry = totals.select(*keys, "_bucket", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_t")).alias("_c"))
+    rows = df.where(F.col(column).isNotNull())
+    ((_, cuts),) = _cuts(rows, _number(rows, column))
+    counts = bucketed(rows.groupBy(*keys, column).agg(F.count("*").alias("n")), column, cuts)
     w = Window.partitionBy(*keys, "_bucket").orderBy(column)
-    return counts.join(carry, [*keys, "_bucket"]).withColumn("below", F.col("_c") + F.sum("n").over(w) - F.col("n")).select(*keys, column, "n", "below")
+    if not cuts:  # one bucket: BUCKET_ROWS rows in all
+        whole = Window.partitionBy(*keys, "_bucket")
+        return counts.select(*keys, column, "n", (F.sum("n").over(w) - F.col("n")).alias("below"), F.sum("n").over(whole).alias("total"))
+    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_t"))
+    group = Window.partitionBy(*keys)  # a row a bucket
+    carry = totals.select(*keys, "_bucket", (F.sum("_t").over(group.orderBy("_bucket")) - F.col("_t")).alias("_c"), F.sum("_t").over(group).alias("total"))
+    return counts.join(carry, [*keys, "_bucket"]).withColumn("below", F.col("_c") + F.sum("n").over(w) - F.col("n")).select(*keys, column, "n", "below", "total")
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float], by: str | None = None) -> DataFrame:
     """(by, q array<double>) of a group's exact quantiles, interpolated between neighbours; nulls are left out. Works on distinct
     values with counts and ranks, so no task holds a column. Without `by` always one row (q null if there are no values)."""
     x = df.select(*([by] if by else []), F.col(column).cast("double").alias("_x")).where(~F.isnan("_x"))
-    ranks = average_ranks(x, "_x", by)
-    keys = [by] if by else []
-    total = ranks.groupBy(*keys).agg(F.sum("n").alias("_n")) if by else ranks.agg(F.sum("n").alias("_n"))
-    rows = ranks.join(total, by) if by else ranks.crossJoin(F.broadcast(total))
+    return quantiles_of(average_ranks(x, "_x", by), "_x", shares, by)
+
+
+def quantiles_of(ranks: DataFrame, column: str, shares: list[float], by: str | None = None, *more: Column) -> DataFrame:
+    """quantiles out of average_ranks, and more aggregates over its rows."""
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), F.col("_x")))
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), F.col(column)))
 
     cells = []
     for p in shares:
-        place = (F.col("_n") - 1) * F.lit(float(p))
+        place = (F.col("total") - 1) * F.lit(float(p))
         low, high = at(F.floor(place)), at(F.ceil(place))
         cells.append((low + (high - low) * F.max(place - F.floor(place))))
     found = F.array(*cells)
-    return rows.groupBy(*keys).agg(found.alias("q")) if by else rows.agg(F.when(F.count("*") > 0, found).alias("q"))
+    return ranks.groupBy(*[by] if by else []).agg(F.when(F.count("*") > 0, found).alias("q"), *more)

@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
-from statistics import NormalDist
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered, tails
+from ..functions.names import entered, plain
 from ..shipping import ship
 
 # Column names that identify rows rather than measure them.
@@ -246,14 +247,21 @@ RANKS = 1 << 16
 
 
 def _quantile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    quantile = NormalDist().inv_cdf
+    """Rows of ranks first..last of n -> the sums of their normal scores and of the squares, all ranks of a slice at once."""
     for b in batches:
-        total, squares = [], []
-        for first, last, n in zip(*(b.column(c).to_pylist() for c in ("first", "last", "n")), strict=True):
-            m = [quantile((i - 0.375) / (n + 0.25)) for i in range(first, last + 1)]
-            total.append(sum(m))
-            squares.append(sum(v * v for v in m))
-        yield pa.RecordBatch.from_arrays([b.column("x"), pa.array(total, pa.float64()), pa.array(squares, pa.float64())], names=["x", "m", "mm"])
+        first, last, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("first", "last", "n"))
+        size = last - first + 1
+        total, squares = np.zeros(len(size)), np.zeros(len(size))
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")))
+            k, own = size[at:to], np.cumsum(size[at:to]) - size[at:to]
+            rank = np.repeat(first[at:to] - own, k) + np.arange(k.sum())
+            m = tails.normal_quantiles((rank - 0.375) / np.repeat(n[at:to] + 0.25, k))
+            total[at:to], squares[at:to] = np.add.reduceat(m, own), np.add.reduceat(m * m, own)
+            at = to
+        yield pa.RecordBatch.from_arrays([b.column("x"), pa.array(total), pa.array(squares)], names=["x", "m", "mm"])
 
 
 def shapiro_frame(values: DataFrame, column: str) -> DataFrame:
@@ -408,8 +416,7 @@ def diff(s: State) -> State:
 def percentile_rank(s: State) -> State:
     name = f"{s.num}_percentile"
     ranks = ordered.average_ranks(s.df, s.num)
-    total = s.df.agg(F.count(s.num).alias("_all"))
-    share = ranks.crossJoin(F.broadcast(total)).select(F.col(s.num).alias("_k"), ((F.col("below") + (F.col("n") + 1) / 2) / F.col("_all")).alias(name))
+    share = ranks.select(F.col(s.num).alias("_k"), ((F.col("below") + (F.col("n") + 1) / 2) / F.col("total")).alias(name))
     df = s.df.join(share, F.col(s.num) == F.col("_k"), "left").drop("_k")
     return replace(s, df=df, result=df.select(*s.order, F.round(name, 6).alias(name)))
 
@@ -424,9 +431,10 @@ def quartiles(s: State) -> State:
 
 
 def run(df: DataFrame, chain: list[tuple[str, dict]], order: tuple[str, ...] = ()) -> DataFrame:
-    """Fold a chain of (operator, parameters) over df; the last operator's result."""
+    """Fold a chain of (operator, parameters) over df; the last operator's result. NaN is missing; columns may have any names."""
     ship(df.sparkSession)
-    s = State(df, order)
+    rows, shown = entered(df)
+    s = State(rows, tuple(map(plain, order)))
     for name, params in chain:
-        s = CATALOG[name].run(s, **params)
-    return s.result if s.result is not None else s.df
+        s = CATALOG[name].run(s, **{k: plain(v) if k == "column" else v for k, v in params.items()})
+    return shown(s.result if s.result is not None else s.df)

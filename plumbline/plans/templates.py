@@ -3,14 +3,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce, wraps
+from collections.abc import Callable, Iterator
+from functools import cached_property, reduce, wraps
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered, tails
+from ..functions.names import entered
 from ..operators.catalog import ID_NAME, NUMERIC, adjusted_skew, anova_frame, group_medians, levene_frame, mwu_frame, r3, sampled, shapiro_frame, ttest_frame
 from ..shipping import ship
 
@@ -22,13 +25,14 @@ class NotApplicable(ValueError):
 
 
 def template(f):
-    """Register f. On a table without the columns it needs, an empty one too, the result is one row with why in `error`."""
+    """Register f. NaN is missing, columns may have any names. On a table without the columns it needs, an empty one too, the result is one row with why in `error`."""
 
     @wraps(f)
     def run(df: DataFrame, **params) -> DataFrame:
         ship(df.sparkSession)
+        rows, shown = entered(df)
         try:
-            return f(df, **params)
+            return shown(f(rows, **params))
         except NotApplicable as e:
             return df.sparkSession.createDataFrame([(str(e),)], "error string")
 
@@ -36,24 +40,78 @@ def template(f):
     return run
 
 
-def facts(df: DataFrame) -> dict:
-    """n, and of every numeric and text column what choices look at (kind, count, distinct; of numbers mean, std, var, min,
-    max, skew), from one aggregate. A DataFrame remembers its facts, so that one analysis asks once."""
-    if (known := getattr(df, "_plumbline_facts", None)) is not None:
-        return known
-    kinds = {c: t for c, t in df.dtypes if (t in NUMERIC or t == "string") and not ID_NAME.match(c)}
-    cells, wanted = [F.count("*").alias("n")], []
-    for i, (c, t) in enumerate(kinds.items()):
-        stats = {"count": F.count(c), "distinct": F.count_distinct(c)}
-        if t in NUMERIC:
-            x = F.col(c).cast("double")
-            stats |= {"mean": F.avg(x), "std": F.stddev_samp(x), "var": F.var_samp(x), "min": F.min(x), "max": F.max(x), "skew": adjusted_skew(c)}
-        cells += [v.alias(f"{k}_{i}") for k, v in stats.items()]
-        wanted.append((i, c, t, list(stats)))
-    row = df.agg(*cells).first()
-    out = {"n": row["n"], "columns": {c: {"kind": t} | {k: row[f"{k}_{i}"] for k in keys} for i, c, t, keys in wanted}}
-    df._plumbline_facts = out
-    return out
+class Facts:
+    """What choices of columns look at, asked for when a choice needs it and once a table: n and the statistics of numeric
+    columns (count, mean, std, var, min, max, skew) from one aggregate, how many values columns have from sketches, and exact
+    numbers of values only for columns whose sketch leaves the choice open."""
+
+    #: Up to so many values (by the sketch) an exact number comes from the set of them.
+    FEW = 200
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        kinds = {c: t for c, t in df.dtypes if not ID_NAME.match(c)}
+        self.kinds = {c: t for c, t in kinds.items() if t in NUMERIC or t == "string"}
+        self.exact: dict[str, int] = {}
+
+    def _row(self, cells: dict[str, dict[str, Column]], more: tuple[Column, ...] = ()) -> tuple[dict, dict[str, dict]]:
+        place = {c: i for i, c in enumerate(cells)}
+        row = self.df.agg(*more, *(v.alias(f"{k}_{place[c]}") for c, stats in cells.items() for k, v in stats.items())).first() if cells or more else {}
+        return row, {c: {k: row[f"{k}_{place[c]}"] for k in stats} for c, stats in cells.items()}
+
+    @cached_property
+    def _numbers(self) -> tuple[int, dict[str, dict]]:
+        cells = {}
+        for c, t in self.kinds.items():
+            if t in NUMERIC:
+                x = F.col(c).cast("double")
+                cells[c] = {"count": F.count(c), "mean": F.avg(x), "std": F.stddev_samp(x), "var": F.var_samp(x), "min": F.min(x), "max": F.max(x), "skew": adjusted_skew(c)}
+                if t not in ("float", "double"):
+                    cells[c]["sketch"] = F.approx_count_distinct(c)
+        row, out = self._row(cells, (F.count("*").alias("n"),))
+        return row["n"], {c: f | {"kind": self.kinds[c]} for c, f in out.items()}
+
+    @property
+    def n(self) -> int:
+        return self._numbers[0]
+
+    @property
+    def numbers(self) -> dict[str, dict]:
+        return self._numbers[1]
+
+    @cached_property
+    def texts(self) -> dict[str, int]:
+        """Text columns with their numbers of values by sketch."""
+        return {c: f["sketch"] for c, f in self._row({c: {"sketch": F.approx_count_distinct(c)} for c, t in self.kinds.items() if t == "string"})[1].items()}
+
+    @cached_property
+    def sketches(self) -> dict[str, int]:
+        """The same of all columns; those of floating numbers are asked for here alone."""
+        floats = self._row({c: {"sketch": F.approx_count_distinct(c)} for c, t in self.kinds.items() if t in ("float", "double")})[1]
+        return self.texts | {c: f["sketch"] for c, f in self.numbers.items() if "sketch" in f} | {c: f["sketch"] for c, f in floats.items()}
+
+    def distinct(self, c: str) -> int:
+        """The exact number of values of c; columns of few values are counted together, in one aggregate."""
+        if c not in self.exact:
+            known = self.texts if self.kinds[c] == "string" else self.sketches
+            few = [x for x, sketch in known.items() if sketch <= self.FEW]
+            if c in few:
+                self.exact |= {x: f["d"] for x, f in self._row({x: {"d": F.size(F.collect_set(x)).cast("long")} for x in few})[1].items()}
+            else:
+                self.exact[c] = self.df.select(c).where(F.col(c).isNotNull()).distinct().count()
+        return self.exact[c]
+
+    def between(self, c: str, low: int, high: int) -> bool:
+        """Whether c has from low to high values, high being small: a sketch far above settles it."""
+        known = self.texts if self.kinds[c] == "string" else self.sketches
+        return known[c] <= 2 * high + 20 and low <= self.distinct(c) <= high
+
+
+def facts(df: DataFrame) -> Facts:
+    """The facts of a table, which it remembers."""
+    if not hasattr(df, "_plumbline_facts"):
+        df._plumbline_facts = Facts(df)
+    return df._plumbline_facts
 
 
 def analysis_columns(df: DataFrame) -> list[str]:
@@ -61,15 +119,20 @@ def analysis_columns(df: DataFrame) -> list[str]:
 
     Nearly unique whole numbers identify rows; nearly unique measurements do not.
     """
-    all_ = facts(df)
-    n = all_["n"]
-    ok = lambda f: f["kind"] in NUMERIC and f["distinct"] > 1 and (f["kind"] in ("float", "double") or f["distinct"] < max(2, int(0.98 * n))) and f["count"] > 0.05 * n
-    return [c for c, f in all_["columns"].items() if ok(f)]
+    f = facts(df)
+    limit = max(2, int(0.98 * f.n))
+
+    def ok(c: str, x: dict) -> bool:
+        if not x["count"] > 0.05 * f.n or x["min"] == x["max"]:
+            return False
+        return "sketch" not in x or x["sketch"] < 0.8 * limit or f.distinct(c) < limit
+
+    return [c for c, x in f.numbers.items() if ok(c, x)]
 
 
 def text_columns_between(df: DataFrame, low: int, high: int) -> list[str]:
     """Text columns with so many values, in the table's order."""
-    return [c for c, f in facts(df)["columns"].items() if f["kind"] == "string" and low <= f["distinct"] <= high]
+    return [c for c in facts(df).texts if facts(df).between(c, low, high)]
 
 
 def text_column(df: DataFrame, low: int, high: int, skip: int = 0) -> str:
@@ -89,7 +152,7 @@ RANGE = lambda f: f["max"] - f["min"] if f["max"] is not None else None  # noqa:
 
 def ranked(df: DataFrame, stat: Callable[[dict], float | None], largest: bool = True, columns: list[str] | None = None, without: tuple[str, ...] = ()) -> list[str]:
     """Columns by a statistic, best first, ties in the order of the table; columns without it are left out."""
-    of = facts(df)["columns"]
+    of = facts(df).numbers
     known = [(stat(of[c]), c) for c in (columns if columns is not None else analysis_columns(df)) if c not in without]
     known = [(v, c) for v, c in known if v is not None]
     if not known:
@@ -99,7 +162,7 @@ def ranked(df: DataFrame, stat: Callable[[dict], float | None], largest: bool =
 
 def pick(df: DataFrame, strategy: str = "max_variance", without: tuple[str, ...] = ()) -> str:
     """The numeric column of a strategy: max_variance, max_std, max_cv, max_skew, min_skew, max_missing or min_missing."""
-    n = facts(df)["n"]
+    n = facts(df).n
     missing = lambda f: n - f["count"]
     stat = {"variance": VARIANCE, "std": DEVIATION, "cv": CV, "skew": SKEW, "missing": missing}
     way, _, name = strategy.partition("_")
@@ -111,8 +174,9 @@ def pick(df: DataFrame, strategy: str = "max_variance", without: tuple[str, ...]
 def pick_category(df: DataFrame, strategy: str = "moderate", target: int = 10) -> str:
     """The text column with most values ('high'), fewest ('low') or about `target` ('moderate'), of two values or more and
     under 0.8 of the rows; ties in the order of the table."""
-    all_ = facts(df)
-    sizes = {c: f["distinct"] for c, f in all_["columns"].items() if f["kind"] == "string" and 2 <= f["distinct"] < 0.8 * all_["n"]}
+    f = facts(df)
+    sizes = {c: f.distinct(c) for c, sketch in f.texts.items() if sketch < f.n}
+    sizes = {c: d for c, d in sizes.items() if 2 <= d < 0.8 * f.n}
     if not sizes:
         raise NotApplicable("no text column with few values")
     score = {"moderate": lambda c: abs(sizes[c] - target), "high": lambda c: -sizes[c], "low": lambda c: sizes[c]}[strategy]
@@ -187,9 +251,9 @@ _correlation("weakest_correlation", False)
 @template
 def conditional_normality(df: DataFrame) -> DataFrame:
     """A row for each column of the largest variance: mean and std if normal, else median and iqr; the other two are null."""
-    best = facts(df)["columns"][top_variance(df)]["var"]
+    best = facts(df).numbers[top_variance(df)]["var"]
     out = []
-    for c in (c for c in analysis_columns(df) if facts(df)["columns"][c]["var"] == best):
+    for c in (c for c in analysis_columns(df) if facts(df).numbers[c]["var"] == best):
         whole = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).crossJoin(ordered.quantiles(df, c, [0.25, 0.5, 0.75])).crossJoin(shapiro_frame(sampled(df, c), c))  # one row each
         normal = F.coalesce(F.col("p") > 0.05, F.lit(False))
         when = lambda ok, x: F.when(ok, r3(x))
@@ -268,10 +332,10 @@ def regression_most_predictive(df: DataFrame, strategy: str = "max_variance") ->
 def with_two_groups(df: DataFrame, target: str, alphabetical: bool = True) -> tuple[DataFrame, str]:
     """df and a column of two values in it: a text column (the first by name, or in the table's order), else a numeric one
     other than target, else `_binary_group`, low or high by the target's median."""
-    of = facts(df)["columns"]
-    names = [c for c, f in of.items() if f["kind"] == "string" and f["distinct"] == 2]
+    f = facts(df)
+    names = text_columns_between(df, 2, 2)
     names = sorted(names) if alphabetical else names
-    numbers = [c for c, f in of.items() if f["kind"] in NUMERIC and f["distinct"] == 2 and c != target]
+    numbers = [] if names else [c for c, x in f.numbers.items() if c != target and x["min"] != x["max"] and f.between(c, 2, 2)]
     if names or numbers:
         return df, (names or numbers)[0]
     middle = ordered.quantiles(df, target, [0.5]).select(F.col("q")[0].alias("_middle"))
@@ -292,15 +356,30 @@ def ttest_discovered_groups(df: DataFrame, strategy: str = "max_variance", alpha
     return t.crossJoin(two_groups(g.groupBy("group").agg(F.avg("value").alias("v")), "mean")).select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), "group1", "group2", "mean1", "mean2", r3(F.col("t")).alias("test_statistic"), F.round("p", 4).alias("significance_score"), (F.col("p") < 0.05).alias("significant"))
 
 
+def _resampled(resamples: int):
+    """Different values with their frequency and a seed -> a task's weighted sum and weight of each resample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weights = np.zeros(resamples), np.zeros(resamples)
+        for b in batches:
+            x, k, seed = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "k", "seed"))
+            for i in range(len(x)):
+                w = np.random.Generator(np.random.Philox(key=int(seed[i]) & (1 << 64) - 1)).poisson(k[i], resamples)
+                sums += w * x[i]
+                weights += w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(sums), pa.array(weights)], names=["b", "sum", "weight"])
+
+    return run
+
+
 @template
 def bootstrap_ci_discovered(df: DataFrame, resamples: int = 1000) -> DataFrame:
-    """Poisson bootstrap: every row gets a Poisson(1) weight a resample, out of a hash, so it runs in one pass."""
+    """Poisson bootstrap: every row gets a Poisson(1) weight a resample, so the k rows of a value get a Poisson(k) one, drawn
+    out of the value's hash. A task adds up its weighted sums, one a resample, and only these are shuffled; how rows are
+    partitioned does not matter."""
     c = ranked(df, SKEW)[0]
-    x = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"), F.monotonically_increasing_id().alias("i"))
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]  # Poisson(1) up to 5
-    u = (F.pmod(F.xxhash64("x", "i", "b"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    w = reduce(lambda a, b: a + b, [(u > k).cast("int") for k in cuts])
-    each = x.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", w).groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+    values = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("x")).agg(F.count("*").alias("k"), F.xxhash64(F.col(c).cast("double")).alias("seed"))
+    each = values.mapInArrow(_resampled(resamples), "b int, sum double, weight double").groupBy("b").agg((F.sum("sum") / F.sum("weight")).alias("m"))
     whole = df.agg(F.round(F.abs(adjusted_skew(c)), 2).alias("skewness"), F.round(F.avg(c), 2).alias("mean"))
     ends = each.agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"), F.stddev_pop("m").alias("std_error"), F.count("*").alias("n_iterations"))
     return whole.crossJoin(ends).select(F.lit(c).alias("column"), "skewness", "mean", "ci_lower", "ci_upper", "std_error", "n_iterations")  # one row each
@@ -319,8 +398,6 @@ def anova_discovered_groups(df: DataFrame) -> DataFrame:
 @template
 def multiple_regression_top_predictors(df: DataFrame) -> DataFrame:
     """Least squares on the three most correlated predictors, from the sums of products of one pass."""
-    import numpy as np
-
     y = top_variance(df)
     xs = predictors(df, y)[:3]
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in (*xs, y)]).dropna()
@@ -361,25 +438,36 @@ def mann_whitney_u_test(df: DataFrame) -> DataFrame:
     return t.crossJoin(two_groups(group_medians(g).withColumnRenamed("med", "v"), "median")).select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), "group1", "group2", "median1", "median2", r3(F.col("u")).alias("test_statistic"), F.round("p", 4).alias("significance_score"))
 
 
-def spearman(df: DataFrame, a: str, b: str, cuts: dict[str, list]) -> DataFrame:
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("w"))
-    ra = ordered.average_ranks(df.where(F.col(b).isNotNull()), a, None, cuts[a]).select(a, (F.col("below") + (F.col("n") + 1) / 2).alias("x"))
-    rb = ordered.average_ranks(df.where(F.col(a).isNotNull()), b, None, cuts[b]).select(b, (F.col("below") + (F.col("n") + 1) / 2).alias("y"))
-    s = lambda e: F.sum(F.col("w") * e)
-    x, y = F.col("x"), F.col("y")
-    t = rows.join(ra, a).join(rb, b).agg(F.sum("w").alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * y).alias("xy"), s(x * x).alias("xx"), s(y * y).alias("yy"))
-    n = F.col("n")
-    rho = (F.col("xy") / n - F.col("sx") / n * F.col("sy") / n) / F.sqrt((F.col("xx") / n - (F.col("sx") / n) ** 2) * (F.col("yy") / n - (F.col("sy") / n) ** 2))
-    return t.select(F.lit(a).alias("a"), F.lit(b).alias("b"), n.alias("n"), rho.alias("rho"))
+def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, n, rho) of every pair of columns over the rows where both are present, in as many shuffles for many pairs as for
+    one: each (column, value) is ranked once, with a rank among the rows that have the partner for every partner, the
+    ranks go back to the rows, and one aggregate correlates them."""
+    have = F.array(*(F.col(c).isNotNull().cast("long") for c in columns))
+    cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))
+    long = df.select(F.monotonically_increasing_id().alias("row"), have.alias("have"), cells.alias("cells")).select("row", "have", F.inline("cells")).where("v is not null")
+    m = range(len(columns))
+    counts = ordered.bucketed(long.groupBy("c", "v").agg(*(F.sum(F.col("have")[j]).alias(f"n{j}") for j in m)), "v", [cut for _, own in ordered._cuts(long, F.col("v")) for cut in own])
+    totals = counts.groupBy("c", "_bucket").agg(*(F.sum(f"n{j}").alias(f"t{j}") for j in m))
+    before = Window.partitionBy("c").orderBy("_bucket")  # a row a bucket
+    carry = totals.select("c", "_bucket", *((F.sum(f"t{j}").over(before) - F.col(f"t{j}")).alias(f"b{j}") for j in m))
+    inside = Window.partitionBy("c", "_bucket").orderBy("v")
+    rank = lambda j: F.col(f"b{j}") + F.sum(f"n{j}").over(inside) - F.col(f"n{j}") + (F.col(f"n{j}") + 1) / 2
+    ranks = counts.join(carry, ["c", "_bucket"]).select("c", "v", F.array(*map(rank, m)).alias("ranks"))
+    rows = long.select("row", "c", "v").join(ranks, ["c", "v"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("c", "ranks"))).alias("of"))
+    at = lambda i, j: F.try_element_at(F.col("of"), F.lit(i))[j]
+    pairs = list(combinations(m, 2))
+    each = rows.select(F.inline(F.array(*(F.struct(F.lit(k).alias("pair"), at(i, j).alias("x"), at(j, i).alias("y")) for k, (i, j) in enumerate(pairs)))))
+    both = each.where("x is not null and y is not null").groupBy("pair").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"))
+    name = lambda side: F.element_at(F.array(*(F.lit(columns[p[side]]) for p in pairs)), F.col("pair") + 1)
+    return both.select(name(0).alias("a"), name(1).alias("b"), "n", "rho")
 
 
 @template
 def spearman_rank_correlation(df: DataFrame) -> DataFrame:
-    pairs = list(combinations(analysis_columns(df), 2))
-    if not pairs:
+    columns = analysis_columns(df)
+    if len(columns) < 2:
         raise NotApplicable("fewer than two numeric columns")
-    cuts = ordered.cut_points(df, analysis_columns(df))
-    every = reduce(DataFrame.unionAll, [spearman(df, a, b, cuts) for a, b in pairs])
+    every = spearman_pairs(df, columns)
     best = every.orderBy(F.abs("rho").desc(), "a", "b").limit(1)
     p = F.udf(tails.t_two_sided, "double")(F.try_divide(F.col("rho") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("rho") ** 2)), F.col("n") - 2)
     size = F.abs("rho")
@@ -454,7 +542,7 @@ def ks_normality_test(df: DataFrame) -> DataFrame:
 
 @template
 def correlation_change_analysis(df: DataFrame) -> DataFrame:
-    of, n = facts(df)["columns"], facts(df)["n"]
+    of, n = facts(df).numbers, facts(df).n
     cols = [c for c in analysis_columns(df) if of[c]["min"] > 0 and of[c]["count"] == n]
     if len(cols) < 2:
         raise NotApplicable("fewer than two complete positive columns")
@@ -499,7 +587,7 @@ def adaptive_two_sample_test(df: DataFrame) -> DataFrame:
 def quantile_bin_best_mean(df: DataFrame, n_bins: int = 4) -> DataFrame:
     """The bin of the most skewed column with the best mean of another one. Bins are (a, b] between exact quantiles, edges to
     three digits; the first begins a thousandth lower, so that it holds the minimum. bin_means is 'bin: mean' in order."""
-    of = facts(df)["columns"]
+    of = facts(df).numbers
     top = max((SKEW(of[c]) or -1.0 for c in analysis_columns(df)), default=-1.0)
     b = min((c for c in analysis_columns(df) if (SKEW(of[c]) or -1.0) == top), default=None)
     if b is None:
@@ -519,8 +607,8 @@ def quantile_bin_best_mean(df: DataFrame, n_bins: int = 4) -> DataFrame:
 def iterative_outlier_removal(df: DataFrame, z: float = 3.0, rounds: int = 10, eps: float = 0.001) -> DataFrame:
     """Each round keeps an interval, so rounds add up to one filter and no lineage grows; the round that removes nothing counts."""
     columns = analysis_columns(df)
-    best = max((CV(facts(df)["columns"][c]) or -1.0 for c in columns), default=-1.0)
-    c = min((c for c in columns if (CV(facts(df)["columns"][c]) or -1.0) == best), default=None)
+    best = max((CV(facts(df).numbers[c]) or -1.0 for c in columns), default=-1.0)
+    c = min((c for c in columns if (CV(facts(df).numbers[c]) or -1.0) == best), default=None)
     if c is None or best < 0:
         raise NotApplicable("no numeric column with the statistic")
     low, high, used = float("-inf"), float("inf"), 0
@@ -585,17 +673,19 @@ NEEDS: dict[str, tuple[int, tuple[tuple[int, int], ...], int]] = {
 
 def applicable(df: DataFrame) -> DataFrame:
     """(place, template, n_steps) of the analyses that the table has the columns for, the longest first; from its facts alone."""
-    numbers = len(analysis_columns(df))
+    df, _ = entered(df)
+    numbers, f = len(analysis_columns(df)), facts(df)
+    sizes = [f.distinct(c) if sketch <= f.FEW else sketch for c, sketch in f.texts.items()]
 
     def fits(name: str) -> bool:
         least, texts, _ = NEEDS[name]
-        free = [f["distinct"] for f in facts(df)["columns"].values() if f["kind"] == "string"]
+        free = list(sizes)
         for low, high in texts:
             hit = next((d for d in free if low <= d <= high), None)
             if hit is None:
                 return False
             free.remove(hit)
-        return numbers >= least and facts(df)["n"] > 0
+        return numbers >= least and f.n > 0
 
     order = sorted((n for n in TEMPLATES if fits(n)), key=lambda n: (-NEEDS[n][2], n))
     return df.sparkSession.createDataFrame([(i, n, NEEDS[n][2]) for i, n in enumerate(order)], "place long, template string, n_steps long")

@@ -27,13 +27,11 @@ def timings(df: DataFrame, by: str, value: str) -> DataFrame:
     """
     rows = df.select(F.coalesce(F.col(by).cast("string"), F.lit("(null)")).alias("grp"), F.col(value).cast("double").alias("v"))
     ranks = average_ranks(rows, "v", "grp")
-    total = ranks.groupBy("grp").agg(F.sum("n").alias("total"), F.sum(F.col("v") * F.col("n")).alias("s"), F.max("v").alias("top"))
-
     def element(place: Column) -> Column:
         return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col("v")))
 
     middle, high = F.floor(F.col("total") / 2), F.when(F.col("total") > 20, F.floor(F.col("total") * 0.95)).otherwise(F.col("total") - 1)
-    marks = ranks.join(total, "grp").groupBy("grp", "total", "s", "top").agg(element(middle).alias("p50"), element(high).alias("p95"))
+    marks = ranks.groupBy("grp", "total").agg(element(middle).alias("p50"), element(high).alias("p95"), F.sum(F.col("v") * F.col("n")).alias("s"), F.max("v").alias("top"))
     beyond = ranks.join(marks.select("grp", "p50"), "grp").where("v > 3 * p50").groupBy("grp").agg(F.sum("n").alias("n_outliers"))
     return marks.join(beyond, "grp", "left").select(
         "grp", F.col("total").alias("n"), F.round(F.col("s") / F.col("total"), 3).alias("mean"), F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95"), F.round("top", 3).alias("max"), F.coalesce("n_outliers", F.lit(0)).alias("n_outliers")
