@@ -5,7 +5,8 @@ few words they hold), numbers, names and units as typed placeholders, and the sa
 sentence as names too. A placeholder stands for a whole number (1,295.50 or twenty-five) or name (Alice Miller), so
 that another one of more or fewer tokens fits. Along each alignment of document and item, placeholders that stand for
 one value in the item must stand for one value in the document; windows across placeholders that break this do not
-count. Items that differ in their values alone are one class with one representative, so that a document never meets
+count, and if it is a name that changes within one alignment, nothing that was changed there does. Items that are mostly
+placeholders are matched as a whole besides. Items that differ in their values alone are one class with one representative, so that a document never meets
 every item made from a template.
 """
 
@@ -23,6 +24,8 @@ from .runtime import keep, lean, ship, slices, utf8
 
 #: Tokens of a window, and how many of them must be words rather than placeholders.
 WINDOW, LITERALS = 8, 4
+#: Literals of an item that is mostly placeholders and matched as a whole.
+DENSE_LITERALS = 2
 #: Share of an item's tokens that consistent windows must cover.
 COVERAGE = 0.6
 #: Stands for a null doc_id.
@@ -115,24 +118,50 @@ class Tokens:
         ends = np.append(at[1:], n)
         slot = role[at] > _LITERAL
         value = self.own[at].copy()
-        value[slot] = span_hashes(self.low, self.ws[at[slot]], self.we[ends[slot] - 1])
+        value[slot] = span_hashes(self.low, self.ws[at[slot]], self.we[ends[slot] - 1]) & ~U64(1) | (role[at[slot]] == _NAME).astype(U64)  # odd: a name
         out = value.copy()
         out[slot] = _SLOT[role[at[slot]]]
         return out, slot, value, np.append(at, n), np.searchsorted(at, self.first)
 
 
+def _dense(slot: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which texts have, in TYPED, fewer literals than windows ask for on average, but DENSE_LITERALS of them."""
+    used = np.concatenate(([0], np.cumsum(~slot)))
+    literals = used[first[1:]] - used[first[:-1]]
+    return (literals * WINDOW < LITERALS * np.diff(first)) & (literals >= DENSE_LITERALS)
+
+
 _WINDOWS = "size int, window long, {key} long, at long, kind int, slots array<long>, low long, high long"
 
 
-def _windows(sizes: list[tuple[int, int, np.ndarray | None]], key: str, own_size: int | None):
+def _window_hashes(t: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` of t, by one polynomial over all of t."""
+    n = len(t) - size + 1
+    if size <= 2 * WINDOW:
+        h = t[:n].copy()
+        for j in range(1, size):
+            h *= U64(0xC2B2AE3D27D4EB4F)
+            h += t[j : n + j]
+        return h
+    power = np.full(len(t) + 1, U64(0xC2B2AE3D27D4EB4F))
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    inverse = U64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+    back = np.multiply.accumulate(np.concatenate((np.ones(1, U64), np.full(len(t), inverse))))
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(t * back[:-1])))  # of t[i] k^-i
+    return (sums[size:] - sums[:-size]) * power[size - 1 : size - 1 + n]
+
+
+def _windows(sizes: list[tuple[int, int, np.ndarray | None]], key: str, own_size: int | None, dense: frozenset[int] = frozenset()):
     """Windows of all sizes (size, literals, wanted hashes). With own_size, a text has windows of one size for each template:
-    own_size, or all its tokens if it has fewer. low and high are the places that a window covers in TYPED."""
+    own_size, or all its tokens if it has fewer; and one of all its tokens if it is dense and has so many as `dense` says. low
+    and high are the places that a window covers in TYPED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             tokens = Tokens(*utf8(b.column("text")))
             typed = tokens.template(TYPED)
-            typed_of = np.searchsorted(typed[3], np.arange(len(tokens.ws)), side="right") - 1  # of each raw token
+            thin = _dense(typed[1], typed[4])
             for kind in (RAW, TYPED, OPENED):
                 t, slot, own, raw, first = typed if kind == TYPED else tokens.template(kind)
                 per = np.diff(first)
@@ -141,17 +170,18 @@ def _windows(sizes: list[tuple[int, int, np.ndarray | None]], key: str, own_size
                     n = len(t) - size + 1
                     if n <= 0:
                         continue
-                    h = t[:n].copy()
-                    for j in range(1, size):
-                        h *= U64(0xC2B2AE3D27D4EB4F)
-                        h += t[j : n + j]
-                    h = mix(h + U64(kind))
+                    h = mix(_window_hashes(t, size) + U64(kind))
                     ok = doc_of[:n] == doc_of[size - 1 :]
+                    whole = np.zeros(n, bool)
                     if kind != RAW:
                         used = np.concatenate(([0], np.cumsum(~slot)))
-                        ok &= used[size:] - used[:-size] >= literals
+                        used = used[size:] - used[:-size]
+                        if size in dense:
+                            whole = ok & (used >= DENSE_LITERALS - (kind == OPENED)) & (thin & (per == size) if own_size is not None else np.ones(b.num_rows, bool))[doc_of[:n]]
+                        ok &= used >= literals
                     if own_size is not None:
                         ok &= (np.minimum(per, own_size) == size)[doc_of[:n]]
+                    ok |= whole
                     if wanted is not None:
                         ok &= _among(h, wanted)
                     at = np.flatnonzero(ok)
@@ -193,17 +223,23 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shape.append(span_hashes(body, np.array([0]), np.array([len(body)]))[0])
         sizes = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * b.num_rows + 1, 3, dtype=np.int32)), pa.array(np.column_stack(lengths).ravel().astype(np.int64)))
         weights = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(np.diff(raw)))
-        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(np.diff(tokens.first)), sizes, weights, pa.array(np.array(shape, U64).view(np.int64))], names=["item_id", "n_tokens", "lengths", "weights", "shape"])
+        dense = pa.array(np.where(_dense(slot, first), np.diff(first), 0))
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(np.diff(tokens.first)), sizes, weights, pa.array(np.array(shape, U64).view(np.int64)), dense], names=["item_id", "n_tokens", "lengths", "weights", "shape", "dense"])
 
 
 def consistent(windows: list[dict]) -> tuple[list[int], int]:
-    """Item places that an alignment of one template covers by windows without a conflicting slot, and how many values it
-    changed. Slots conflict if they stand for one value in the item and for several in the document."""
+    """Item places that an alignment covers by windows without a conflicting slot, and how many values it changed.
+
+    Slots conflict if they stand for one value in the item and for several in the document, in TYPED and OPENED
+    together, whose places are the same. If a name does that which stands inside a sentence of the item too, the document asks
+    about something else: then no window counts that holds a changed value."""
     pairs = {w["at"] + j: (x, y) for w in windows for j, (x, y) in enumerate(zip(w["slots"], w["doc_slots"], strict=True)) if x}
     values: dict[int, set[int]] = {}
     for x, y in pairs.values():
         values.setdefault(x, set()).add(y)
     wrong = {p for p, (x, _) in pairs.items() if len(values[x]) > 1}
+    if any(x & 1 and len(values[x]) > 1 for w in windows if w["kind"] == TYPED for x in w["slots"] if x):
+        wrong |= {p for p, (x, y) in pairs.items() if x != y}
     places: set[int] = set()
     changed: set[int] = set()
     for w in windows:
@@ -217,7 +253,7 @@ def consistent(windows: list[dict]) -> tuple[list[int], int]:
 def _consistent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [consistent(w.as_py()) for w in b.column("windows")]
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "item_id", "kind")] + [pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.int64())], names=["doc_id", "item_id", "kind", "places", "changed"])
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "item_id", "verbatim")] + [pa.array([p for p, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.int64())], names=["doc_id", "item_id", "verbatim", "places", "changed"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
@@ -235,14 +271,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    told = items.mapInArrow(lean(_shapes), "item_id long, n_tokens long, lengths array<long>, weights array<long>, shape long").where("n_tokens > 0")
+    told = items.mapInArrow(lean(_shapes), "item_id long, n_tokens long, lengths array<long>, weights array<long>, shape long, dense long").where("n_tokens > 0")
     shapes = keep(told, "items")
     classes = shapes.groupBy("shape").agg(F.min("item_id").alias("rep"), F.count_distinct("item_id").alias("n_items"), F.min_by(F.struct("n_tokens", "weights"), F.struct("item_id", "n_tokens")).alias("w")).select("shape", "rep", "n_items", "w.*")
     sizes = [r[0] for r in shapes.select(F.explode("lengths").alias("n")).where("n > 0").select(F.least("n", F.lit(window)).alias("s")).distinct().orderBy("s").collect()]  # `window` rows at most
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, n_items long, n_tokens long, n_covered long, coverage double, n_changed long")
+    dense = frozenset(r[0] for r in shapes.select("dense").where("dense > 0").distinct().collect())  # lengths, not items
+    sizes = sorted({*sizes, *dense})
     need = {s: max(1, literals * s // window) for s in sizes}
-    theirs = items.mapInArrow(lean(_windows([(s, need[s], None) for s in sizes], "item_id", window)), _WINDOWS.format(key="item_id"))
+    theirs = items.mapInArrow(lean(_windows([(s, need[s], None) for s in sizes], "item_id", window, dense)), _WINDOWS.format(key="item_id"))
     of_class = theirs.join(shapes.select("item_id", "shape").distinct(), "item_id").join(classes.select("shape", "rep"), "shape")
     # of other items than the representative only verbatim windows, each once
     mine = of_class.where((F.col("kind") == RAW) | (F.col("item_id") == F.col("rep")))
@@ -254,14 +292,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
             lists[r["size"]].append(r["window"])
         held = {s: np.unique(np.array(v, np.int64).view(U64)) for s, v in lists.items() if v}
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").where(F.col("text").isNotNull())
-    ours = texts.mapInArrow(lean(_windows([(s, need[s], w) for s, w in held.items()], "doc_id", None)), _WINDOWS.format(key="doc_id"))
+    ours = texts.mapInArrow(lean(_windows([(s, need[s], w) for s, w in held.items()], "doc_id", None, dense)), _WINDOWS.format(key="doc_id"))
     met = ours.select("size", "window", "kind", "doc_id", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots")).join(theirs, ["size", "window", "kind"])
-    line = ["doc_id", "item_id", "kind", "shift"]
-    met = met.withColumn("shift", F.col("doc_at") - F.col("at")).groupBy(*line, "at", "size", "low", "high").agg(F.max(F.struct("slots", "doc_slots")).alias("s")).select(*line, "at", "size", "low", "high", "s.*")
-    lines = met.groupBy(*line).agg(F.collect_list(F.struct("at", "size", "low", "high", "slots", "doc_slots")).alias("windows"))
-    good = lines.select("doc_id", "item_id", "kind", "windows").mapInArrow(lean(_consistent), "doc_id long, item_id long, kind int, places array<long>, changed long")
+    line = ["doc_id", "item_id", "verbatim", "shift"]
+    one = ["at", "size", "kind", "low", "high"]
+    met = met.withColumns({"shift": F.col("doc_at") - F.col("at"), "verbatim": F.col("kind") == RAW}).groupBy(*line, *one).agg(F.max(F.struct("slots", "doc_slots")).alias("s")).select(*line, *one, "s.*")
+    lines = met.groupBy(*line).agg(F.collect_list(F.struct(*one, "slots", "doc_slots")).alias("windows"))
+    good = lines.select("doc_id", "item_id", "verbatim", "windows").mapInArrow(lean(_consistent), "doc_id long, item_id long, verbatim boolean, places array<long>, changed long")
     places = lambda kinds: F.array_distinct(F.flatten(F.collect_list(F.when(kinds, F.col("places")))))
-    pairs = good.groupBy("doc_id", "item_id").agg(places(F.lit(True)).alias("every"), places(F.col("kind") == RAW).alias("raw"), F.max("changed").alias("changed"))
+    pairs = good.groupBy("doc_id", "item_id").agg(places(F.lit(True)).alias("every"), places(F.col("verbatim")).alias("raw"), F.max("changed").alias("changed"))
     sized = classes.groupBy("rep").agg(F.max(F.struct("n_items", "n_tokens", "weights")).alias("w")).select("rep", "w.*")
     tokens = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, p: n + F.get("weights", p))
     out = pairs.join(sized, pairs["item_id"] == sized["rep"]).withColumns({"n_covered": tokens("every"), "raw": tokens("raw")})

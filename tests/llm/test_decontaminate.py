@@ -92,3 +92,42 @@ def test_dense_opened_and_conflicting_items(spark):
     got = run(spark, [(d, t, None) for d, t in docs], [(1, dense), (2, apples), (3, pears)])
     assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 3)}
     assert got[1, 1].coverage == 1 and got[1, 1].n_changed == 0
+
+
+def test_names_keep_their_part_in_an_alignment(spark):
+    rnd = random.Random(8)
+    item = "Tom has 5 red apples in 8 baskets. How many of them are left on the 4 tables after Tom eats 2 apples?"
+    swap = lambda a, b: item.replace("Tom has 5", f"{a} has 7").replace("after Tom eats 2", f"after {b} eats 3").replace("8 b", "9 b").replace("4 t", "6 t")
+    docs = [(1, f"{words(rnd, 9)}. {swap('Anna', 'Carl')} {words(rnd, 9)}"), (2, f"{words(rnd, 9)}. {swap('Anna', 'Anna')} {words(rnd, 9)}"), (3, swap("Tom", "Tom")), (4, f"{swap('Anna', 'Carl')} {words(rnd, 5)}. {swap('Eve', 'Eve')}")]
+    got = run(spark, [(d, t, None) for d, t in docs], [(1, item)])
+    assert set(got) == {(2, 1), (3, 1), (4, 1)} and got[2, 1].n_changed == 5
+
+
+def test_items_of_numbers_are_matched_as_a_whole(spark):
+    rnd = random.Random(9)
+    short, long = "Compute 12 + 45 - 7 * 3 + 88 - 16 exactly.", "Add up " + ", ".join(map(str, rnd.sample(range(100, 1000), 40))) + " now."
+    other = lambda t: "".join(str(rnd.randrange(10)) if c.isdigit() else c for c in t)
+    docs = [(1, f"{words(rnd, 9)}. {other(short)} {words(rnd, 9)}"), (2, f"{words(rnd, 9)}. {other(long)}"), (3, other(long).replace(" now", " 7 now")), (4, "Numbers " + other(short)[8:]), (5, " ".join(str(i) for i in range(90))), (6, short)]
+    got = run(spark, [(d, t, None) for d, t in docs], [(1, short), (2, long)])
+    assert set(got) - {(4, 1)} == {(1, 1), (2, 2), (6, 1)}  # "Numbers", too, opens its sentence
+    assert got[1, 1].coverage == 1 and got[1, 1].n_changed >= 5 and got[6, 1].n_changed == 0
+
+
+def test_recall_on_generated_copies(spark):
+    """200 copies with all values changed consistently, 200 documents of the same words without the items."""
+    rnd = random.Random(10)
+    nouns, verbs, people = ["apples", "books", "stones", "tickets", "lamps"], ["buys", "sells", "loses", "finds", "paints"], ["Tom", "Anna", "Carl", "Eve", "Jim Stone", "Rosa Diaz", "Ivan", "Mary Ann"]
+
+    def sentence(a, b, x, y, z, n, v, w):
+        return f"In the morning {a} {v[0]} {x} {n[0]} for {y} dollars each. Later {b} {v[1]} {z} {n[1]} and gives half of them to {a} before {w}. How many {n[0]} does {a} have in the end?"
+
+    items, docs = [], []
+    for i in range(200):
+        n, v, w = rnd.sample(nouns, 2), rnd.sample(verbs, 2), words(rnd, 3)
+        value = lambda: rnd.choice([str(rnd.randrange(2, 99)), f"{rnd.randrange(2, 99)}.5", "twenty-five", "seven", f"1,{rnd.randrange(100, 999)}"])
+        items.append((i, sentence(*rnd.sample(people, 2), *rnd.sample(range(2, 40), 3), n, v, w)))
+        docs.append((i, f"{words(rnd, 30)}. {sentence(*rnd.sample(people, 2), value(), value(), value(), n, v, w)} {words(rnd, 30)}.", None))
+    docs += [(1000 + i, " ".join(rnd.sample(items[i][1].split(), len(items[i][1].split()))), None) for i in range(200)]
+    got = run(spark, docs, items)
+    assert sum((i, i) in got for i in range(200)) >= 190
+    assert not [k for k in got if k[0] >= 1000]
