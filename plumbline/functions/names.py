@@ -27,12 +27,17 @@ def plain(name: str) -> str:
     return name.translate(_PLAIN)
 
 
+def missing_nan(df: DataFrame) -> DataFrame:
+    """df with null for NaN; a table without floating numbers is returned as it is."""
+    floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")]
+    return df.select(*(F.nanvl(col(c), F.lit(None).cast(df.schema[c].dataType)).alias(c) if c in floats else col(c) for c in df.columns)) if floats else df
+
+
 def entered(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df as analyses read it, and how to show their results: NaN is missing, that is null, and column names are plain(); in
-    results, names and texts have the original characters again. A table without either is returned as it is."""
-    floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")]
+    results, names and texts have the original characters again."""
     odd = any(plain(c) != c for c in df.columns)
-    rows = df.select(*(F.nanvl(col(c), F.lit(None).cast(df.schema[c].dataType)).alias(plain(c)) if c in floats else col(c).alias(plain(c)) for c in df.columns)) if floats or odd else df
+    rows = missing_nan(df)
 
     def shown(out: DataFrame) -> DataFrame:
         if not odd:
@@ -40,4 +45,4 @@ def entered(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]
         back = lambda c: F.translate(F.col(c), "".join(_MARKS.values()), "".join(_MARKS))
         return out.select(*((back(c) if t == "string" else F.col(c)).alias(c.translate(_SHOWN)) for c, t in out.dtypes))
 
-    return rows, shown
+    return rows.toDF(*map(plain, df.columns)) if odd else rows, shown

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered, tails
 from ..functions.names import entered, plain
+from ..functions.stats import corr
 from ..shipping import ship
 
 # Column names that identify rows rather than measure them.
@@ -358,7 +359,7 @@ def two_sample(s: State) -> State:
 @operator("correlation", "NumCol1 NumCol2", "Answer")
 def correlation(s: State) -> State:
     rows = s.df.where(F.col(s.num1).isNotNull() & F.col(s.num2).isNotNull())
-    return replace(s, result=rows.agg(F.lit(s.num1).alias("col1"), F.lit(s.num2).alias("col2"), r3(F.corr(s.num1, s.num2)).alias("correlation")))
+    return replace(s, result=rows.agg(F.lit(s.num1).alias("col1"), F.lit(s.num2).alias("col2"), r3(corr(s.num1, s.num2)).alias("correlation")))
 
 
 @operator("ratio", "NumCol1 NumCol2", "Answer")

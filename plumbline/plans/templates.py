@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered, tails
 from ..functions.names import entered
+from ..functions.stats import corr
 from ..operators.catalog import ID_NAME, NUMERIC, adjusted_skew, anova_frame, group_medians, levene_frame, mwu_frame, r3, sampled, shapiro_frame, ttest_frame
 from ..shipping import ship
 
@@ -191,8 +192,7 @@ def pairs_by_correlation(df: DataFrame, largest: bool = True, columns: list[str]
     pairs = list(combinations(analysis_columns(df) if columns is None else columns, 2))
     if not pairs:
         raise NotApplicable("fewer than two numeric columns")
-    both = lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
-    row = df.agg(*[F.abs(both(a, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[F.abs(corr(a, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
     known = [i for i in range(len(pairs)) if row[i] is not None and row[i] == row[i]]
     if not known:
         raise NotApplicable("no defined correlation")
@@ -238,7 +238,7 @@ def _correlation(name: str, largest: bool):
     def f(df: DataFrame, without_top: bool = False) -> DataFrame:
         columns = [c for c in analysis_columns(df) if not (without_top and c == top_variance(df))]
         a, b = pairs_by_correlation(df, largest, columns)[0]
-        return df.agg(named(a, b), F.round(F.abs(F.corr(a, b)), 2).alias("association_score"))
+        return df.agg(named(a, b), F.round(F.abs(corr(a, b)), 2).alias("association_score"))
 
     f.__name__ = name
     return template(f)
@@ -317,14 +317,14 @@ def correlation_after_outlier_removal(df: DataFrame) -> DataFrame:
     a, b = pairs_by_correlation(df)[0]
     stats = df.agg(F.avg(a).alias("ma"), F.stddev_samp(a).alias("sa"), F.avg(b).alias("mb"), F.stddev_samp(b).alias("sb"))
     near = F.coalesce((F.abs(F.col(a) - F.col("ma")) <= 3 * F.col("sa")) & (F.abs(F.col(b) - F.col("mb")) <= 3 * F.col("sb")), F.lit(False))
-    return df.crossJoin(F.broadcast(stats)).agg(named(a, b), r3(F.corr(a, b)).alias("original_association"), F.count_if(~near).alias("outliers_removed"), r3(F.corr(F.when(near, F.col(a)), F.when(near, F.col(b)))).alias("clean_association"))
+    return df.crossJoin(F.broadcast(stats)).agg(named(a, b), r3(corr(a, b)).alias("original_association"), F.count_if(~near).alias("outliers_removed"), r3(corr(F.when(near, F.col(a)), F.when(near, F.col(b)))).alias("clean_association"))
 
 
 @template
 def regression_most_predictive(df: DataFrame, strategy: str = "max_variance") -> DataFrame:
     y = pick(df, strategy)
     x = predictors(df, y)[0]
-    t = df.agg(F.abs(F.corr(x, y)).alias("r"), F.regr_r2(F.col(y), F.col(x)).alias("r2"), F.regr_slope(F.col(y), F.col(x)).alias("b"), F.regr_count(F.col(y), F.col(x)).alias("n"))
+    t = df.agg(F.abs(corr(x, y)).alias("r"), F.regr_r2(F.col(y), F.col(x)).alias("r2"), F.regr_slope(F.col(y), F.col(x)).alias("b"), F.regr_count(F.col(y), F.col(x)).alias("n"))
     p = F.udf(tails.t_two_sided, "double")(F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r2"))), F.col("n") - 2)
     return t.select(F.lit(y).alias("target"), F.lit(x).alias("best_predictor"), r3(F.col("r")).alias("association_score"), r3(F.col("r2")).alias("fit_score"), r3(F.col("b")).alias("coefficient"), F.round(p, 4).alias("significance_score"))
 
@@ -457,7 +457,7 @@ def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     at = lambda i, j: F.try_element_at(F.col("of"), F.lit(i))[j]
     pairs = list(combinations(m, 2))
     each = rows.select(F.inline(F.array(*(F.struct(F.lit(k).alias("pair"), at(i, j).alias("x"), at(j, i).alias("y")) for k, (i, j) in enumerate(pairs)))))
-    both = each.where("x is not null and y is not null").groupBy("pair").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"))
+    both = each.where("x is not null and y is not null").groupBy("pair").agg(F.count("*").alias("n"), corr("x", "y").alias("rho"))
     name = lambda side: F.element_at(F.array(*(F.lit(columns[p[side]]) for p in pairs)), F.col("pair") + 1)
     return both.select(name(0).alias("a"), name(1).alias("b"), "n", "rho")
 
@@ -548,7 +548,7 @@ def correlation_change_analysis(df: DataFrame) -> DataFrame:
         raise NotApplicable("fewer than two complete positive columns")
     a, b = ranked(df, SKEW, True, cols)[:2]
     low = df.agg(F.min(a).alias("la"), F.min(b).alias("lb"))
-    t = df.crossJoin(F.broadcast(low)).agg(F.corr(a, b).alias("o"), F.corr(F.log1p(F.col(a) - F.col("la") + 1), F.log1p(F.col(b) - F.col("lb") + 1)).alias("l"))
+    t = df.crossJoin(F.broadcast(low)).agg(corr(a, b).alias("o"), corr(F.log1p(F.col(a) - F.col("la") + 1), F.log1p(F.col(b) - F.col("lb") + 1)).alias("l"))
     return t.select(named(a, b), r3(F.col("o")).alias("original_association"), r3(F.col("l")).alias("log_association"), r3(F.abs("l") - F.abs("o")).alias("improvement"), (F.abs("l") > F.abs("o")).alias("transformation_helpful"))
 
 
