@@ -100,6 +100,15 @@ def positioned(df: DataFrame, order: list[Column], name: str = "_idx") -> DataFr
     return rows.join(F.broadcast(before), "_part").withColumn(name, place).drop("_part", "_at", "_before")
 
 
+def top_with_ties(df: DataFrame, column: str, n: int, largest: bool = True) -> DataFrame:
+    """The rows of the n largest (or smallest) values of a column, and every row that ties with the last of them; nulls are left
+    out. Only n values are gathered."""
+    sort = F.desc(column) if largest else F.asc(column)
+    edge = df.select(column).where(F.col(column).isNotNull()).orderBy(sort).limit(n).agg((F.min if largest else F.max)(column).alias("_edge"))
+    inside = F.col(column) >= F.col("_edge") if largest else F.col(column) <= F.col("_edge")
+    return df.join(F.broadcast(edge), inside).drop("_edge")  # one row
+
+
 def running_sum(df: DataFrame, value: Column, name: str) -> DataFrame:
     """A sum over _idx up to each row; null values add nothing and stay null."""
     b = df.withColumn("_block", F.floor(F.col("_idx") / BLOCK)).withColumn("_x", value)

@@ -671,6 +671,22 @@ NEEDS: dict[str, tuple[int, tuple[tuple[int, int], ...], int]] = {
 }
 
 
+def traits(df: DataFrame) -> DataFrame:
+    """(has_missing_numeric, missing_numeric, moderate_category, many_values, few_values), one row: the numeric columns fit for
+    analysis that lack values, by name, and the text columns of pick_category's three strategies (null if there are none)."""
+    rows, shown = entered(df)
+    lacking = sorted(c for c in analysis_columns(rows) if facts(rows).numbers[c]["count"] < facts(rows).n)
+
+    def category(strategy: str) -> str | None:
+        try:
+            return pick_category(rows, strategy)
+        except NotApplicable:
+            return None
+
+    row = (bool(lacking), ",".join(lacking), *map(category, ("moderate", "high", "low")))
+    return shown(df.sparkSession.createDataFrame([row], "has_missing_numeric boolean, missing_numeric string, moderate_category string, many_values string, few_values string"))
+
+
 def applicable(df: DataFrame) -> DataFrame:
     """(place, template, n_steps) of the analyses that the table has the columns for, the longest first; from its facts alone."""
     df, _ = entered(df)

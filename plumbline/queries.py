@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import record_queries, statistic_queries, user_queries
 from .operators import catalog
 from .operators.profile import column_profile, head, index_columns, quality_issues, shape, strongest_correlations, time_ranges, top_values, value_summary
-from .plans.templates import TEMPLATES, applicable
+from .plans.templates import TEMPLATES, applicable, traits
 from .records.context import prune_context
 from .records.splits import stratified_split
 from .records.summaries import pass_rates, timings
@@ -183,6 +183,8 @@ for _n, _s in statistic_queries.SQL.items():
     QUERIES[f"stat_{_n}"] = statistic_queries.without_tails(QUERIES[f"tpl_{_n}"])
     ORACLE_SQL[f"stat_{_n}"] = WITH + _s
 QUERIES["stat_bootstrap_ci_discovered"] = lambda spark, d: QUERIES["tpl_bootstrap_ci_discovered"](spark, d).drop("ci_lower", "ci_upper", "std_error")
+for _n, _s in statistic_queries.TAILED_SQL.items():
+    ORACLE_SQL[_n] = WITH + _s
 for _n, _s in statistic_queries.WHOLE_SQL.items():
     ORACLE_SQL[f"tpl_{_n}"] = WITH + _s
 
@@ -193,6 +195,11 @@ QUERIES["profile_index_sequence"] = lambda spark, d: index_columns(table(spark,
 ORACLE_SQL["profile_index_sequence"] = """select unnest(['c', 'n', 'c_name']) as "column", unnest([q, false, false]) as index_like, unnest([case when q then 'sequence' end, null, null]) as why from (select min(c_custkey) in (0, 1) and max(c_custkey) - min(c_custkey) + 1 = count(*) and count(distinct c_custkey) = count(*) as q from customer)"""
 QUERIES["profile_time_ranges"] = lambda spark, d: time_ranges(table(spark, d, "orders"))
 ORACLE_SQL["profile_time_ranges"] = """select 'o_orderdate' as "column", min(o_orderdate)::timestamp as first, max(o_orderdate)::timestamp as last, date_diff('microsecond', min(o_orderdate), max(o_orderdate)) // 86400000000 as range_days from orders"""
+QUERIES["tpl_traits"] = lambda spark, d: traits(line(spark, d))
+ORACLE_SQL["tpl_traits"] = """select n_null > 0 as has_missing_numeric, case when n_null > 0 then 'l_quantity' else '' end as missing_numeric,
+  case when abs(flags - 10) <= abs(states - 10) then 'l_returnflag' else 'l_linestatus' end as moderate_category, case when flags >= states then 'l_returnflag' else 'l_linestatus' end as many_values,
+  case when flags <= states then 'l_returnflag' else 'l_linestatus' end as few_values
+from (select count(*) filter (where l_quantity = 13) as n_null, count(distinct l_returnflag) as flags, count(distinct l_linestatus) as states from lineitem)"""
 QUERIES["profile_shape"] = lambda spark, d: shape(table(spark, d, "lineitem"))
 ORACLE_SQL["profile_shape"] = "select count(*) as n_rows, 11::bigint as n_columns from lineitem"
 QUERIES["profile_head"] = lambda spark, d: head(table(spark, d, "nation"), ["n_nationkey"])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .operators.profile import column_profile
 from .plans import verbal
-from .records import answers, evaluation, filters, manifests, tables, traces, training
+from .functions import ordered
+from .records import answers, episodes, evaluation, filters, manifests, tables, traces, training
 from .scratch import shared_dir
 from .sources import records
 from .sources.tables import read_csv
@@ -177,6 +178,38 @@ def _renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("event_id", want.alias("expected"), given.alias("actual"))
 
 
+def _episode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir)
+    sources = F.element_at(F.array(*map(F.lit, (*episodes.SOURCES, "other"))), (F.col("question_id") % 4 + 1).cast("int"))
+    questions = r.select("question_id", "difficulty").distinct().withColumn("source", sources)
+    return episodes.assemble(questions, r)
+
+
+query(
+    "rec_episodes",
+    lambda s, d: _episode_records(s, d).select("question_id", "source", "verified", "triangulation.n_runs", "triangulation.n_succeeded", "triangulation.majority_count", F.size("timing.elapsed").cast("long").alias("n_times"), F.round("timing.gold_elapsed", 3).alias("gold_elapsed"), F.round("timing.total_elapsed", 3).alias("total_elapsed"), F.round("timing.avg_elapsed", 6).alias("avg_elapsed"), "error"),
+    """select q.question_id, q.source, coalesce(abs(g.number - v.majority) <= 0.1, false) as verified, coalesce(v.total, 0)::bigint as n_runs, coalesce(v.succeeded, 0)::bigint as n_succeeded, coalesce(v.majority_votes, 0)::bigint as majority_count,
+      t.n_times, round(t.gold, 3) as gold_elapsed, round(t.total, 3) as total_elapsed, round(t.total / (1 + t.n_times), 6) as avg_elapsed, case when q.source = 'other' then 'unknown source: other' end as error
+    from (select question_id, (['llm_gen', 'template', 'procedural', 'other'])[question_id % 4 + 1] as source from runs group by 1) q
+    left join gold g on g.question_id = q.question_id left join votes v on v.question_id = q.question_id
+    left join (select question_id, count(*) filter (where idx > 0) as n_times, coalesce(max(elapsed) filter (where idx = 0), 0) as gold, sum(elapsed) as total from runs group by 1) t on t.question_id = q.question_id""",
+)
+query(
+    "rec_runs_wanted",
+    lambda s, d: runs(s, d).groupBy("question_id", "difficulty").agg(F.count("*").alias("n")).select("question_id", episodes.runs_wanted(F.lower("difficulty"), 3, {"EASY": 2, "HARD": 7, "VERY_HARD": 0}).cast("long").alias("wanted"), (F.col("n") - 1).alias("have")),
+    "select question_id, case any_value(difficulty) when 'EASY' then 2 when 'HARD' then 7 when 'VERY_HARD' then 1 else 3 end::bigint as wanted, count(*) - 1 as have from runs group by 1",
+)
+query(
+    "rec_top_with_ties",
+    lambda s, d: ordered.top_with_ties(runs(s, d).where("number is not null").groupBy("number").agg(F.count("*").alias("n")), "n", 7).unionAll(ordered.top_with_ties(runs(s, d).groupBy("number").agg((F.count("*") % 5).alias("n")), "n", 3, False)),
+    """select number, n from (select number, count(*) as n, rank() over (order by count(*) desc) as r from runs where number is not null group by 1) where r <= 7
+    union all select number, n from (select number, count(*) % 5 as n, rank() over (order by count(*) % 5) as r from runs group by 1) where r <= 3""",
+)
+query(
+    "rec_report_json",
+    lambda s, d: evaluation.report_json({"kinds": runs(s, d).groupBy("template").agg(F.count("*").alias("n"), F.round(F.avg("elapsed"), 3).alias("mean")), "sets": evaluation.counts_by(runs(s, d), ["dataset"])}, {"kinds": ["template"], "sets": ["grp"]}, "Runs").select(F.from_json("value", "title string, kinds array<struct<template:string,n:long,mean:double>>, sets array<struct<dimension:string,grp:string,n:long>>").alias("r")).select("r.title", F.posexplode("r.kinds").alias("place", "k"), F.size("r.sets").cast("long").alias("n_sets")).select("title", F.col("place").cast("long").alias("place"), "k.*", "n_sets"),
+    "select 'Runs' as title, row_number() over (order by template) - 1 as place, template, count(*) as n, round(avg(elapsed), 3) as mean, (select count(distinct dataset) from runs) as n_sets from runs group by template",
+)
 query(
     "rec_alias_match",
     lambda s, d: answers.with_alias_match(_renamed(s, d), "expected", "actual").select("event_id", "matched", "reason"),

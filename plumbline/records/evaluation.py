@@ -123,6 +123,19 @@ def counts_by(records: DataFrame, columns: list[str], top: int | None = None) ->
     return sums.withColumn("_p", place).where(F.col("_p") <= top).drop("_p")
 
 
+def report_json(sections: dict[str, DataFrame], order: dict[str, list[str]], title: str = "") -> DataFrame:
+    """(value): one row with a report as a JSON object: its title, and each section's rows as an array of objects, sorted by
+    `order`. For summaries: a section comes together in one row. write_text and any JSON reader take it from there."""
+    out = None
+    for name, rows in sections.items():
+        keys = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order[name])))
+        each = F.collect_list(F.struct(keys.alias("k"), F.struct(*rows.columns).alias("r")))
+        one = rows.agg(F.transform(F.sort_array(each), lambda x: x["r"]).alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    assert out is not None, "a report has a section"
+    return out.select(F.to_json(F.struct(F.lit(title).alias("title"), *sections), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def report(summary: DataFrame, title: str, most: int = 200) -> str:
     """A small summary table as Markdown; of a larger one the first `most` rows, which is said."""
     rows = summary.limit(most + 1).collect()

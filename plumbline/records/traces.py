@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-# Marks of hook and submission lines in output, and the keys that make them valid.
+# Marks of hook and submission lines in output.
 HOOK_MARK, SUBMIT_MARK = "📍 Hook:", "✓ Submitted:"
-HOOK_KEY, ANSWER_KEY = "__csv_agent_hook__", "__csv_agent_answer__"
+#: The keys that make such lines valid, unless others are given.
+HOOK_KEY, ANSWER_KEY = "__hook__", "__answer__"
 # What shows that a run raised.
 ERROR_SIGNS = ("Traceback (most recent call last):", "Error:", "Exception:")
 
@@ -61,14 +62,14 @@ def code_diff(before: Column, after: Column) -> Column:
     return F.struct(F.sort_array(F.array_except(_lines(before), _lines(after))).alias("removed"), F.sort_array(F.array_except(_lines(after), _lines(before))).alias("added"))
 
 
-def output_records(outputs: DataFrame) -> DataFrame:
+def output_records(outputs: DataFrame, hook_key: str = HOOK_KEY, answer_key: str = ANSWER_KEY) -> DataFrame:
     """outputs(run_id, stdout, ...) -> (run_id, line, kind, payload): the hook and submission lines whose JSON is valid and has
-    its marker key. kind is hook or submit, payload the JSON text. Other lines, malformed JSON and null outputs give no rows."""
+    its marker key, hook_key being true or answer_key being there. kind is hook or submit, payload the JSON text. Other lines, malformed JSON and null outputs give no rows."""
     each = outputs.select("run_id", F.posexplode(F.split("stdout", "\n")).alias("line", "text"))
     kind = F.when(F.contains("text", F.lit(HOOK_MARK)), "hook").when(F.contains("text", F.lit(SUBMIT_MARK)), "submit")
     rows = each.withColumns({"kind": kind, "payload": F.regexp_extract("text", r"(\{.*)$", 1)}).where("kind is not null")
     whole = F.try_parse_json("payload")
-    marked = F.when(F.col("kind") == "hook", F.coalesce(F.try_variant_get(whole, f"$.{HOOK_KEY}", "boolean"), F.lit(False))).otherwise(F.get_json_object("payload", f"$.{ANSWER_KEY}").isNotNull())
+    marked = F.when(F.col("kind") == "hook", F.coalesce(F.try_variant_get(whole, f"$.{hook_key}", "boolean"), F.lit(False))).otherwise(F.get_json_object("payload", f"$.{answer_key}").isNotNull())
     return rows.where(whole.isNotNull() & marked).select("run_id", "line", "kind", "payload")
 
 
@@ -78,10 +79,10 @@ def hooks(records: DataFrame) -> DataFrame:
     return records.where("kind = 'hook'").select("run_id", "line", get("variable_name").alias("variable_name"), F.coalesce(get("code_line"), F.lit("")).alias("code_line"), get("value").alias("value"), F.coalesce(get("value_hash"), F.lit("")).alias("value_hash"))
 
 
-def submissions(records: DataFrame) -> DataFrame:
+def submissions(records: DataFrame, answer_key: str = ANSWER_KEY) -> DataFrame:
     """output_records -> (run_id, answer, n_submissions): each run's first submission."""
     rows = records.where("kind = 'submit'").groupBy("run_id").agg(F.min_by("payload", "line").alias("payload"), F.count("*").alias("n_submissions"))
-    return rows.select("run_id", F.get_json_object("payload", f"$.{ANSWER_KEY}").alias("answer"), "n_submissions")
+    return rows.select("run_id", F.get_json_object("payload", f"$.{answer_key}").alias("answer"), "n_submissions")
 
 
 def self_corrections(turns: DataFrame) -> DataFrame:

@@ -98,6 +98,75 @@ for _n, _k in (("strongest_correlation_without_top", "desc"), ("weakest_correlat
     WHOLE_SQL[_n] = "select columns, round(r, 2) as association_score from (" + " union all ".join(f"select {i} as i, '{_NAMES(a, b)}' as columns, abs(corr({a}, {b})) as r from line" for i, (a, b) in enumerate(_left)) + f") order by r {_k}, i limit 1"
 
 
+_STEPS = 2000
+
+
+def _simpson(f: str, x: str) -> str:
+    """The integral of f(q) from 0 to |x|, by Simpson's rule."""
+    weight = f"case when i in (0, {_STEPS}) then 1 when i % 2 = 1 then 4 else 2 end"
+    return f"(abs({x}) / {3 * _STEPS} * list_sum(list_transform(range(0, {_STEPS + 1}), lambda i: ({weight}) * {f.replace('q', f'(i * abs({x}) / {_STEPS})')})))"
+
+
+def t_tail(t: str, d: str) -> str:
+    """The two-sided tail of Student's distribution, by integration."""
+    return f"greatest(0, 1 - 2 * exp(lgamma(({d} + 1) / 2.0) - lgamma({d} / 2.0)) / sqrt({d} * pi()) * {_simpson(f'pow(1 + q * q / {d}, -({d} + 1) / 2.0)', t)})"
+
+
+def normal_tail(z: str) -> str:
+    return f"greatest(0, 1 - sqrt(2 / pi()) * {_simpson('exp(-q * q / 2)', z)})"
+
+
+_CV = f"(select name from {_WIDE} group by 1 order by stddev_samp(v) / abs(avg(v)) desc limit 1)"
+_NQ, _NP = "(select count(l_quantity) from line)", "(select count(*) from line)"
+_F3 = lambda f, n: f"pow(1 + 2 * {f} / ({n} - 3), -({n} - 3) / 2.0)"  # noqa: E731  three groups: two degrees of freedom
+
+
+def _ttest(target: str) -> str:
+    tested = f"(select *, {_T} as t, (n1 + n2 - 2)::double as d from {_two(target, 'avg(v)')})"
+    p = f"(select *, {t_tail('t', 'd')} as p from {tested})"
+    return f"select {target} as target_column, 'l_linestatus' as grouping_column, g1 as group1, g2 as group2, round(m1, 3) as mean1, round(m2, 3) as mean2, round(t, 3) as test_statistic, round(p, 4) as significance_score, p < 0.05 as significant from {p}"
+
+
+def _regression(y: str) -> str:
+    fits = " union all ".join(f"select {i} as i, '{b}' as target, '{a}' as best_predictor, abs(corr({a}, {b})) as r, regr_r2({b}, {a}) as r2, regr_slope({b}, {a}) as b, regr_count({b}, {a})::double as n from line" for b in COLUMNS for i, a in enumerate(c for c in COLUMNS if c != b))
+    best = f"(select *, r * sqrt(n - 2) / sqrt(1 - r2) as t, n - 2 as d from ({fits}) where target = {y} order by r desc, i limit 1)"
+    return f"select target, best_predictor, round(r, 3) as association_score, round(r2, 3) as fit_score, round(b, 3) as coefficient, round({t_tail('t', 'd')}, 4) as significance_score from {best}"
+
+
+def _mwu(target: str) -> str:
+    """One row of _two with u, and the two-sided p of its normal approximation with ties and continuity."""
+    ties = f"(select sum(c * c * c - c) from (select count(*)::double as c from {_WIDE} where name = {target} and v is not null group by v))"
+    spread = f"sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - {ties} / ((n1 + n2) * (n1 + n2 - 1.0))))"
+    scored = f"(select *, greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / {spread} as z from {_two(target, 'median(v)')}, {_u(target)})"
+    return f"(select *, {normal_tail('z')} as p from {scored})"
+
+
+_SPEARMAN = " union all ".join(f"select '{_NAMES(a, b)}' as columns, '{a}' as a, '{b}' as b, corr(x, y) as rho, count(*)::double as n from (select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1) / 2.0 as x, rank() over (order by {b}) + (count(*) over (partition by {b}) - 1) / 2.0 as y from line where {a} is not null and {b} is not null)" for a, b in PAIRS)
+_QTY_U = _u("'l_quantity'")
+
+#: Analyses with their tails, whole in SQL.
+TAILED_SQL: dict[str, str] = {
+    "tpl_ttest_discovered_groups": _ttest("'l_extendedprice'"),
+    "tpl_ttest_in_table_order": _ttest("'l_extendedprice'"),
+    "tpl_ttest_by_cv": _ttest(_CV),
+    "tpl_regression_most_predictive": _regression("'l_extendedprice'"),
+    "tpl_regression_by_cv": _regression(_CV),
+    "tpl_anova_discovered_groups": f"select a.* exclude (f), round(p, 4) as significance_score, p < 0.05 as significant from (select *, {_F3('f', _NP)} as p from ({SQL['anova_discovered_groups'].replace('round(f, 3) as test_statistic', 'round(f, 3) as test_statistic, f')})) b, lateral (select b.* exclude (p)) a",
+    "tpl_chi_squared_independence": f"select column1, column2, round(x, 3) as test_statistic, round(exp(-x / 2), 4) as significance_score, df, expected_min, exp(-x / 2) >= 0.05 as independent from ({SQL['chi_squared_independence'].replace('round(sum((o - e) * (o - e) / e), 3) as test_statistic', 'sum((o - e) * (o - e) / e) as x')})",
+    "tpl_levene_variance_test": f"select target_column, grouping_column, n_groups, round(f, 3) as test_statistic, round(p, 4) as significance_score, p > 0.05 as variances_equal, group_variances from (select *, {_F3('f', _NP)} as p from ({SQL['levene_variance_test'].replace('round(f, 3) as test_statistic', 'f')}))",
+    "tpl_mann_whitney_u_test": f"select {_SKEWED} as target_column, 'l_linestatus' as grouping_column, g1 as group1, g2 as group2, round(x1, 3) as median1, round(x2, 3) as median2, round(u, 3) as test_statistic, round(p, 4) as significance_score from {_mwu(_SKEWED)}",
+    "tpl_spearman_rank_correlation": f"select columns, round(rho, 3) + 0.0 as association_score, round({t_tail('t', 'd')}, 4) as significance_score, case when abs(rho) >= 0.7 then 'strong' when abs(rho) >= 0.4 then 'moderate' when abs(rho) >= 0.2 then 'weak' else 'negligible' end as interpretation from (select *, rho * sqrt(n - 2) / sqrt(1 - rho * rho) as t, n - 2 as d from ({_SPEARMAN}) order by abs(rho) desc, a, b limit 1)",
+    "tpl_correlation_after_outlier_removal": SQL["correlation_after_outlier_removal"],
+    "tpl_adaptive_two_sample_test": f"select {_EVEN} as target_column, 'l_linestatus' as grouping_column, g1 as group1, g2 as group2, 'rank_based' as method_choice, round(p, 4) as significance_score, 'rank_based' as effect_size_kind, round(1 - 2 * u / (n1 * n2), 2) + 0.0 as effect_size, p < 0.05 as significant, false as assumptions_passed from {_mwu(_EVEN)}",
+    "tpl_ks_normality_test": f"select \"column\", round(d, 2) as test_statistic, round(p, 4) as significance_score, p >= 0.05 as is_normal, sample_mean, sample_std from (select *, least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 1 else -1 end) * exp(-2.0 * k * k * d * d * n))))) as p from ({SQL['ks_normality_test'].replace('round(max(greatest((below + n) / total - f, f - below / total)), 2) as test_statistic', 'max(greatest((below + n) / total - f, f - below / total)) as d, any_value(total) as n')}))",
+    "tpl_iqr_outliers_by_cv": f"""select name as "column", round(q1, 3) as q1, round(q3, 3) as q3, round(q3 - q1, 3) as iqr, round(q1 - 1.5 * (q3 - q1), 3) as lower_fence, round(q3 + 1.5 * (q3 - q1), 3) as upper_fence, count(*) filter (where v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1)) as n_outliers
+      from (select *, quantile_cont(v, 0.25) over () as q1, quantile_cont(v, 0.75) over () as q3 from {_WIDE} where name = {_CV}) group by name, q1, q3""",
+    "tpl_summary_by_cv": f"""select any_value(name) as "column", count(v) as count, round(avg(v), 3) as mean, round(stddev_samp(v), 3) as std, round(min(v), 3) as min, round(max(v), 3) as max, round(skewness(v), 3) + 0.0 as skewness, round(kurtosis(v), 3) as kurtosis, round(median(v), 3) as median from {_WIDE} where name = {_CV}""",
+    "proc_levene_p": f"select round(f, 3) as statistic, round({_F3('f', _NQ)}, 3) as p_value from {_levene('l_returnflag', 'l_quantity')}",
+    "proc_ttest_ind": f"select 'mwu' as test, round(u, 3) as stat, round(p, 3) as p_value from {_mwu(chr(39) + 'l_quantity' + chr(39))}",
+}
+
+
 def without_tails(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = run(spark, sf_dir)

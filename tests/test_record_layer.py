@@ -64,8 +64,10 @@ def test_discovery_and_description(spark, tmp_path):
 
 
 def test_output_lines(spark):
-    hook = '📍 Hook: {"__csv_agent_hook__": true, "variable_name": "x", "value": [1, 2], "value_hash": "h"}'
-    out = "\n".join(["noise", hook, '📍 Hook: {"value": 1}', "📍 Hook: {broken", '✓ Submitted: {"__csv_agent_answer__": {"a": 1}}', '✓ Submitted: {"other": 1}', '✓ Submitted: {"__csv_agent_answer__": 2}'])
+    hook = '📍 Hook: {"__hook__": true, "variable_name": "x", "value": [1, 2], "value_hash": "h"}'
+    out = "\n".join(["noise", hook, '📍 Hook: {"value": 1}', "📍 Hook: {broken", '✓ Submitted: {"__answer__": {"a": 1}}', '✓ Submitted: {"other": 1}', '✓ Submitted: {"__answer__": 2}'])
+    other = out.replace("__hook__", "h_1").replace("__answer__", "a_1")
+    assert traces.output_records(spark.createDataFrame([(1, other)], "run_id long, stdout string"), "h_1", "a_1").count() == 3
     found = traces.output_records(spark.createDataFrame([(1, out), (2, None), (3, "")], "run_id long, stdout string"))
     (h,) = traces.hooks(found).collect()
     assert (h.run_id, h.variable_name, h.value, h.value_hash, h.code_line) == (1, "x", "[1,2]", "h", "")
