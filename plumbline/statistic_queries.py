@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions import tails
+
 #: Columns that come from tail probabilities.
 TAILS = ("significance_score", "significant", "independent", "variances_equal", "is_normal", "p_value", "interpretation")
 
@@ -102,7 +105,7 @@ _STEPS = 2000
 
 
 def _simpson(f: str, x: str) -> str:
-    """The integral of f(q) from 0 to |x|, by Simpson's rule."""
+    """The integral of f(q) from 0 to |x|, by Simpson's rule; no other name in f may hold a q."""
     weight = f"case when i in (0, {_STEPS}) then 1 when i % 2 = 1 then 4 else 2 end"
     return f"(abs({x}) / {3 * _STEPS} * list_sum(list_transform(range(0, {_STEPS + 1}), lambda i: ({weight}) * {f.replace('q', f'(i * abs({x}) / {_STEPS})')})))"
 
@@ -167,6 +170,40 @@ TAILED_SQL: dict[str, str] = {
 }
 
 
+def _ratio(parts: tuple, x: str) -> str:
+    top, below = (reduce(lambda acc, k: f"({acc} * ({x}) + {k!r})", c[1:], repr(c[0])) for c in parts)
+    return f"({top} / {below})"
+
+
+def normal_score(p: str) -> str:
+    """The standard normal's quantile of p, by the same rational functions as tails.normal_quantiles."""
+    far = f"sqrt(-ln(least({p}, 1 - {p})))"
+    outer = f"case when {far} <= 5 then {_ratio(tails._TAILS, f'{far} - 1.6')} else {_ratio(tails._FAR, f'{far} - 5')} end"
+    return f"(case when abs({p} - 0.5) <= 0.425 then ({p} - 0.5) * {_ratio(tails._MIDDLE, f'0.180625 - ({p} - 0.5) * ({p} - 0.5)')} else sign({p} - 0.5) * ({outer}) end)"
+
+
+def _poly(coefficients: tuple[float, ...], x: str) -> str:
+    return "(" + " + ".join(f"{k!r} * pow({x}, {i})" for i, k in enumerate(coefficients)) + ")"
+
+
+def _shapiro(target: str) -> str:
+    """One row (w, p) of Shapiro-Wilk over more than eleven values that are not all the same."""
+    ranked = f"(select {target} as v, row_number() over (order by {target}) as i, count(*) over ()::double as n, avg({target}) over () as mean from line where {target} is not null)"
+    scored = f"(select *, {normal_score('c')} as m from (select *, (i - 0.375) / (n + 0.25) as c from {ranked}))"
+    sums = f"(select any_value(n) as n, sum(m * m) as mm, sum(m * (v - mean)) as mx, sum((v - mean) * (v - mean)) as xx, max(m) as m1, max(m) filter (where i = n - 1) as m2, max(v) - min(v) as ends, max(v) filter (where i = n - 1) - max(v) filter (where i = 2) as inner_ends, 1 / sqrt(any_value(n)) as u from {scored})"
+    weights = f"(select *, m1 / sqrt(mm) + {_poly((0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), 'u')} as a1, m2 / sqrt(mm) + {_poly((0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), 'u')} as a2 from {sums})"
+    w = f"(select n, least(1, pow((mx - m1 * ends - m2 * inner_ends) / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) + a1 * ends + a2 * inner_ends, 2) / xx) as w from {weights})"
+    z = f"(select w, (ln(greatest(1e-300, 1 - w)) - {_poly((-1.5861, -0.31082, -0.083751, 0.0038915), 'ln(n)')}) / exp({_poly((-0.4803, -0.082676, 0.0030302), 'ln(n)')}) as z from {w})"
+    return f"(select w, case when z > 0 then {normal_tail('z')} / 2 else 1 - {normal_tail('z')} / 2 end as p from {z})"
+
+
+_LEVENE_TWO = f"(select {t_tail('t', 'd')} as pl from (select sqrt(f) as t, ({_NQ} - 2)::double as d from {_levene('l_linestatus', 'l_quantity')}))"
+TAILED_SQL |= {
+    "proc_shapiro_p": f"select round(w, 3) as statistic, round(p, 3) as p_value from {_shapiro('l_quantity')}",
+    "proc_choose_test": f"select case when p > 0.05 and pl > 0.05 then 'ttest' else 'mwu' end as chosen_test from {_shapiro('l_quantity')}, {_LEVENE_TWO}",
+}
+
+
 def without_tails(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = run(spark, sf_dir)
