@@ -483,7 +483,15 @@ def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_profile(line).select("column", "kind", "missing_pct", "unique_count", F.col("column").rlike("(?i)(^id$|_id$|orderkey$)").alias("index_like")).crossJoin(F.broadcast(n))
 
 
-query("rec_eligible_columns", lambda s, d: filters.eligible_columns(_profile(s, d)), "select unnest(['l_orderkey', 'l_linenumber', 'l_quantity', 'l_returnflag', 'one', 'gone']) as \"column\", unnest(['numeric', 'numeric', 'numeric', 'categorical', 'numeric', 'numeric']) as kind, unnest(['id_like_column', null, null, null, 'zero_variance', 'heavy_missingness']) as reason")
+_COLUMN = lambda c, kind: f"select '{c}' as \"column\", '{kind}' as kind, avg(({c} is null)::int) * 100 as missing, count(distinct {c}) as d, regexp_matches('{c}', '(?i)(^id$|_id$|orderkey$)') as index_like, count(*) as n from wide"
+query(
+    "rec_eligible_columns",
+    lambda s, d: filters.eligible_columns(_profile(s, d)),
+    """select "column", kind, case when missing >= 95 then 'heavy_missingness' when d <= 1 then 'zero_variance' when index_like or (n > 0 and d >= greatest(2, floor(n * 0.98))) then 'id_like_column' end as reason
+    from (with wide as (select *, 1 as one, nullif(l_linenumber, l_linenumber) as gone from lineitem) """
+    + " union all ".join(_COLUMN(c, k) for c, k in (("l_orderkey", "numeric"), ("l_linenumber", "numeric"), ("l_quantity", "numeric"), ("l_returnflag", "categorical"), ("one", "numeric"), ("gone", "numeric")))
+    + ")",
+)
 query("rec_table_fitness", lambda s, d: filters.table_reason(_profile(s, d)), "select count(*) as n_rows, 6::bigint as n_columns, 3::bigint as n_eligible, case when count(*) < 50 then 'too_few_rows' end as reason from lineitem")
 _TERMS = " or ".join(f"contains(low, '{t}')" for t in filters.METHOD_TERMS)
 _NAMES = ["haus", "casa", "the", "that", "dans", "lein"]
@@ -605,10 +613,14 @@ query(
     lambda s, d: training.verification_records(_episodes(s, d)).select("episode_id", F.md5("prompt").alias("prompt"), "expected_hash", F.col("n_hooks").cast("long").alias("n_hooks")),
     f"select conv_id as episode_id, md5({_ASKED}) as prompt, 'abcd' as expected_hash, case when conv_id % 2 = 0 then (select count(*) from turns t where t.conv_id = q.conv_id) else 0 end as n_hooks from questions q where verified",
 )
+_STDOUT = f"""'some text' || chr(10) || '{traces.HOOK_MARK} ' || '{{"{traces.HOOK_KEY}":true,"variable_name":"v' || idx || '","code_line":"v = df.x.mean()"' || coalesce(',"value":' || k || ',"value_hash":"h' || (k % 5) || '"', '') || '}}'
+  || case when event_id % 3 = 0 then chr(10) || '{traces.HOOK_MARK} {{"broken' else '' end || case when event_id % 4 = 0 then chr(10) || '{traces.HOOK_MARK} {{"value": 1}}' else '' end
+  || case when success then chr(10) || '{traces.SUBMIT_MARK} {{"{traces.ANSWER_KEY}": ' || number || '}}' else '' end"""
 query(
     "rec_truncated_outputs",
-    lambda s, d: outputs(s, d).select("run_id", traces.truncated_output(F.col("stdout"), 60).alias("t")).select("run_id", F.contains("t", F.lit(traces.SUBMIT_MARK)).alias("kept"), F.substring("t", 1, 9).alias("head")),
-    "select event_id as run_id, success as kept, 'some text' as head from runs",
+    lambda s, d: outputs(s, d).select("run_id", F.length("stdout").cast("long").alias("n"), F.md5(traces.truncated_output(F.col("stdout"), 60)).alias("text")),
+    f"""select event_id as run_id, length(o) as n, md5(case when length(o) <= 60 then o else substr(o, 1, 60) || chr(10) || '... [' || (length(o) - 60) || ' characters left out]'
+      || case when success then chr(10) || '{traces.SUBMIT_MARK} {{"{traces.ANSWER_KEY}": ' || number || '}}' else '' end end) as text from (select *, {_STDOUT} as o from runs)""",
 )
 query(
     "rec_chain_descriptions",
