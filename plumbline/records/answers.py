@@ -64,7 +64,7 @@ _MATES = {x: y for pair in PAIRED_KEYS for x, y in (pair, pair[::-1])}
 
 def _folded(text: str, named: bool) -> str:
     """Text in one Unicode form with one dash; names of methods besides without case, remarks, marks and the word test."""
-    text = unicodedata.normalize("NFKC", text).translate(DASHES)
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text).translate(DASHES)
     return "".join(re.findall("[a-z0-9]+", re.sub(r"\(.*?\)|\btest\Z", " ", text.lower().strip()))) if named else text
 
 
@@ -142,10 +142,12 @@ class Comparison:
         met = {p for p in a.keys() & b.keys() if {a[p][0], b[p][0]} == {"object", "number"} and (self._inside(a, p, b[p]) if a[p][0] == "object" else self._inside(b, p, a[p]))}
         ways: dict[tuple, list[bool]] = {}
         for p in a.keys() | b.keys():
+            straight = self._same(a.get(p), b.get(p))
+            if straight and _MATES.keys().isdisjoint(p):  # nothing above may change this
+                continue
             above = [p[:i] for i in range(len(p) + 1)]
             if any(q in met or "ignored" in (a.get(q, b.get(q))[2], b.get(q, a.get(q))[2]) for q in above if q in a or q in b):
                 continue
-            straight = self._same(a.get(p), b.get(p))
             turn = next((i for i in reversed(range(len(p))) if p[i] in _MATES and a.get(p[:i], ("",))[:2] == ("object", None) and all((*p[:i], _MATES[p[i]]) in t for t in (a, b))), None)
             if turn is not None:
                 crossed = self._same(a.get(p), b.get((*p[:turn], _MATES[p[turn]], *p[turn + 1 :])))
@@ -223,13 +225,21 @@ def _folded_key(key: Column) -> Column:
     return F.translate(F.lower(key), "-‑", "__")
 
 
-def _entries(answer: Column) -> Column:
-    """The values of an answer's folded keys; of keys that fold alike the last counts. Null unless the answer is an object."""
-    held = F.try_parse_json(answer)
-    pairs = F.transform(F.map_entries(held.cast(_ENTRIES)), lambda e: F.struct(_folded_key(e["key"]).alias("key"), e["value"].alias("value")))
-    names = F.reverse(F.transform(pairs, lambda e: e["key"]))
-    last = F.filter(pairs, lambda e, i: F.array_position(names, e["key"]) == F.size(pairs) - i)
-    return F.when(F.schema_of_variant(held).startswith("OBJECT"), F.map_from_entries(last))
+def _with_entries(df: DataFrame, answers: Mapping[str, str]) -> DataFrame:
+    """df with, under each name, the values of the folded keys of an answer; of keys that fold alike the last counts. Null unless
+    the answer is an object. Each step is a column of its own, so that a text is read once and not once a use."""
+    df = df.withColumns({f"{name}_held": F.try_parse_json(F.col(answer)) for name, answer in answers.items()})
+    objects = {f"{name}_object": F.when(F.col(answer).rlike(r"^[ \t\r\n]*\{"), F.col(f"{name}_held").cast(_ENTRIES)) for name, answer in answers.items()}
+    df = df.withColumns(objects)
+    df = df.withColumns({f"{name}_names": F.transform(F.map_keys(f"{name}_object"), _folded_key) for name in answers})
+
+    def entries(name: str) -> Column:
+        names, values = F.col(f"{name}_names"), F.map_values(f"{name}_object")
+        last = F.filter(F.sequence(F.lit(1), F.size(names)), lambda i: ~F.array_contains(F.slice(names, i + 1, F.size(names)), F.element_at(names, i)))
+        alike = F.map_from_arrays(F.transform(last, lambda i: F.element_at(names, i)), F.transform(last, lambda i: F.element_at(values, i)))
+        return F.when(F.size(F.array_distinct(names)) < F.size(names), alike).when(names.isNotNull(), F.map_from_arrays(names, values))
+
+    return df.withColumns({name: entries(name) for name in answers}).drop(*(f"{name}_{step}" for name in answers for step in ("held", "object", "names")))
 
 
 def resolve_keys(df: DataFrame, expected: str, actual: str, aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -242,15 +252,15 @@ def resolve_keys(df: DataFrame, expected: str, actual: str, aliases: Mapping[str
     aliases = KEY_ALIASES if aliases is None else aliases
     fold = lambda key: key.lower().translate(dict.fromkeys(map(ord, "-‑"), "_"))
     table = F.create_map(*(x for k, names in aliases.items() for x in (F.lit(fold(k)), F.array(*(F.lit(fold(n)) for n in names))))) if aliases else F.create_map().cast("map<string,array<string>>")
-    read = df.withColumns({"_want": _entries(F.col(expected)), "_have": F.map_filter(_entries(F.col(actual)), lambda _, v: ~F.is_variant_null(v))})
+    read = _with_entries(df, {"_want": expected, "_have": actual}).withColumn("_have", F.map_filter("_have", lambda _, v: ~F.is_variant_null(v)))
+    read = read.withColumn("_held", F.coalesce(F.map_keys("_have"), F.array().cast("array<string>")))
     names = lambda key: F.concat(F.array(key), F.coalesce(F.try_element_at(table, key), F.array().cast("array<string>")))
-    held = F.coalesce(F.map_keys("_have"), F.array().cast("array<string>"))
-    first = lambda key: F.try_element_at(F.array_intersect(names(key), held), F.lit(1))
+    first = lambda key: F.try_element_at(F.array_intersect(names(key), F.col("_held")), F.lit(1))
     read = read.withColumn("_found", F.transform(F.map_keys("_want"), lambda key: F.struct(key.alias("key"), first(key).alias("name"))))
     there = F.filter("_found", lambda e: e["name"].isNotNull())
     canonical = F.map_from_entries(F.transform(there, lambda e: F.struct(e["key"].alias("key"), F.element_at("_have", e["name"]).alias("value"))))
     missing = F.array_sort(F.transform(F.filter("_found", lambda e: e["name"].isNull()), lambda e: e["key"]))
-    return read.withColumns({"wanted": F.to_json("_want"), "given": F.when(F.col("_have").isNotNull(), F.to_json(canonical)), "missing": missing}).drop("_want", "_have", "_found")
+    return read.withColumns({"wanted": F.to_json("_want"), "given": F.when(F.col("_have").isNotNull(), F.to_json(canonical)), "missing": missing}).drop("_want", "_have", "_held", "_found")
 
 
 def with_alias_match(df: DataFrame, expected: str, actual: str, aliases: Mapping[str, Sequence[str]] | None = None, unordered: Iterable[str] = UNORDERED_KEYS, tolerance: float = FLOAT_TOLERANCE, p_tolerance: float = P_TOLERANCE) -> DataFrame:
@@ -258,7 +268,8 @@ def with_alias_match(df: DataFrame, expected: str, actual: str, aliases: Mapping
     have other names. An expected object asks for an object with all its keys; more keys do not matter. Other answers
     are compared as they are. No answer matches nothing."""
     r = resolve_keys(df, expected, actual, aliases)
-    whole = lambda resolved, given: F.when(F.col("wanted").isNotNull(), F.col(resolved)).otherwise(F.col(given))
+    # where a reason stands already, nothing is compared
+    whole = lambda resolved, given: F.when(F.col("wanted").isNull(), F.col(given)).when(F.size("missing") == 0, F.col(resolved))
     r = r.withColumn("_close", answers_match(whole("wanted", expected), whole("given", actual), tolerance, p_tolerance, True, unordered))
     lacks = F.concat(F.lit("missing keys: "), F.array_join("missing", ", "))
     asked = F.col("wanted").isNotNull()

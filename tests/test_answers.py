@@ -164,3 +164,13 @@ def test_other_names_of_keys(spark):
     assert got[98] == (False, "value mismatch") and got[99] == (True, "match")
     own = {r.i: r.matched for r in answers.with_alias_match(df, "want", "have", {"target": ["more"]}, ()).collect()}
     assert not own[0] and not own[8]
+
+
+def test_a_text_is_read_once_and_compared_only_where_that_decides(spark):
+    rows = [(0, '{"target": 1}', '{"Target": 5, "target": 1}'), (1, '{"target": 1}', '{"other": 1}'), (2, ' {"a-b": 2, "a_b": 1}', '\n{"A_B": 1.05}'), (3, '{"target": 1', '{"target": 1'), (4, "{}", '{"x": 1}')]
+    got = answers.with_alias_match(spark.createDataFrame(rows, "i int, want string, have string"), "want", "have")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 2
+    asked = plan[plan.index("of(CASE") :].split("\n")[0]
+    assert "size(missing" in asked
+    assert [(r.i, r.reason) for r in got.orderBy("i").collect()] == [(0, "match"), (1, "missing keys: target"), (2, "match"), (3, "match"), (4, "match")]
