@@ -130,13 +130,16 @@ def trailing(df: DataFrame, width: int, make, name: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """(by, column, n, below, total) a distinct value: how often it stands, how many values are smaller, how many the group has.
-    Nulls are left out. Values that fit one bucket are ranked by one window a group; more are cut into buckets first."""
+    Nulls are left out. Values that fit one bucket, however many rows have them, are ranked by one window a group; more are cut
+    into buckets first."""
     keys = [by] if by else []
     rows = df.where(F.col(column).isNotNull())
-    ((_, cuts),) = _cuts(rows, _number(rows, column))
+    value = _number(rows, column)
+    few = rows.agg(F.approx_count_distinct(value)).first()[0] <= BUCKET_ROWS
+    cuts = [] if few else _cuts(rows, value)[0][1]
     counts = bucketed(rows.groupBy(*keys, column).agg(F.count("*").alias("n")), column, cuts)
     w = Window.partitionBy(*keys, "_bucket").orderBy(column)
-    if not cuts:  # one bucket: BUCKET_ROWS rows in all
+    if not cuts:  # one bucket: about BUCKET_ROWS values in all
         whole = Window.partitionBy(*keys, "_bucket")
         return counts.select(*keys, column, "n", (F.sum("n").over(w) - F.col("n")).alias("below"), F.sum("n").over(whole).alias("total"))
     totals = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_t"))

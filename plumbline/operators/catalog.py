@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import ordered, tails
 from ..functions.names import entered, plain
 from ..functions.stats import corr
+from ..scratch import kept
 from ..shipping import ship
 
 # Column names that identify rows rather than measure them.
@@ -265,13 +266,18 @@ def _quantile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("x"), pa.array(total), pa.array(squares)], names=["x", "m", "mm"])
 
 
+def dealt(blocks: DataFrame, *keys: str) -> DataFrame:
+    """blocks over all tasks, by a hash: few values stand for many rows, and their small shuffles end in one task."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shapiro_frame(values: DataFrame, column: str) -> DataFrame:
     """(w, p) of Shapiro-Wilk over all values that are not null, from distinct values and their ranks."""
     x = values.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     stats = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("v"))
     ranks = ordered.average_ranks(x, "x").withColumnRenamed("n", "k").crossJoin(F.broadcast(stats.select("n")))
     first, last = F.col("below") + 1, F.col("below") + F.col("k")
-    blocks = ranks.select("x", "n", last.alias("end"), F.explode(F.sequence(first, last, F.lit(RANKS).cast("long"))).alias("first"))
+    blocks = dealt(ranks.select("x", "n", last.alias("end"), F.explode(F.sequence(first, last, F.lit(RANKS).cast("long"))).alias("first")), "x", "first")
     sums = blocks.select("x", "n", "first", F.least(F.col("first") + RANKS - 1, "end").alias("last")).mapInArrow(_quantile_sums, "x double, m double, mm double")
     sums = sums.crossJoin(F.broadcast(stats.select("mean"))).agg(F.sum("mm").alias("mm"), F.sum(F.col("m") * (F.col("x") - F.col("mean"))).alias("mx"))
     low = [F.max(F.when(F.col("below") < i, F.col("x"))) for i in (1, 2)]
@@ -287,11 +293,12 @@ SHAPIRO_ROWS = 5000
 
 def sampled(values: DataFrame, column: str, rows: int = SHAPIRO_ROWS) -> DataFrame:
     """(column) of all non-null values, or of a sample of so many rows: the smallest by a hash of the value and the
-    number of the row among those with the value, so that every row has the same chance."""
+    number of the row among those with the value, so that every row has the same chance. The sample is written once to
+    the shared folder."""
     counts = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("k"))
-    blocks = counts.select(column, "k", F.explode(F.sequence(F.lit(1).cast("long"), "k", F.lit(RANKS).cast("long"))).alias("i"))
+    blocks = dealt(counts.select(column, "k", F.explode(F.sequence(F.lit(1).cast("long"), "k", F.lit(RANKS).cast("long"))).alias("i")), column, "i")
     each = blocks.select(column, F.explode(F.sequence("i", F.least(F.col("i") + RANKS - 1, "k"))).alias("i"))
-    return each.orderBy(F.xxhash64(column, "i"), column, "i").limit(rows).select(column)
+    return kept(each.orderBy(F.xxhash64(column, "i"), column, "i").limit(rows).select(column), "sample")
 
 
 @operator("shapiro_p", "NumCol", "NormalityP")
@@ -300,9 +307,17 @@ def shapiro_p(s: State) -> State:
     return replace(s, p=s.p | {"normality": f.select(F.col("p").alias("normality_p"))}, result=f.select(r3(F.col("w")).alias("statistic"), r3(F.col("p")).alias("p_value")))
 
 
+#: Groups whose medians are broadcast to the rows; of more, both sides are shuffled.
+BROADCAST_GROUPS = 500_000
+
+
 def levene_frame(groups: DataFrame) -> DataFrame:
-    """(w, d1, d2) of the median-centred Levene test of groups(group, value)."""
-    return anova_frame(groups.join(group_medians(groups), "group").select("group", F.abs(F.col("value") - F.col("med")).alias("value"))).select(F.col("f").alias("w"), "d1", "d2")
+    """(w, d1, d2) of the median-centred Levene test of groups(group, value). The medians of few groups go to the rows, so that no
+    task holds a group."""
+    medians = group_medians(groups)
+    if groups.agg(F.approx_count_distinct("group")).first()[0] <= BROADCAST_GROUPS:
+        medians = F.broadcast(medians)
+    return anova_frame(groups.join(medians, "group").select("group", F.abs(F.col("value") - F.col("med")).alias("value"))).select(F.col("f").alias("w"), "d1", "d2")
 
 
 def anova_frame(groups: DataFrame) -> DataFrame:

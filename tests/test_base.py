@@ -155,3 +155,28 @@ def test_binding_rejects_unknown_columns(spark):
     df = spark.createDataFrame([(1.0, "a")], "x double, g string")
     with pytest.raises(ValueError):
         catalog.run(df, [("select_numeric_cols", {}), ("bind_numeric_col", {"column": "nope"})])
+
+
+def test_few_groups_and_few_values_of_many_rows_end_in_no_single_task(spark, monkeypatch):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("group"), (F.col("id") % 7).cast("double").alias("value"))
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(ordered, "_cuts", lambda *_: pytest.fail("quantiles of seven values"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        levene = catalog.levene_frame(df)
+        plan = levene._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        values = {g: [r.value for r in df.where(F.col("group") == g).collect()] for g in "ab"}
+        far = {g: np.abs(np.array(v) - np.median(v)) for g, v in values.items()}
+        whole = np.concatenate(list(far.values()))
+        between = sum(len(x) * (x.mean() - whole.mean()) ** 2 for x in far.values())
+        within = sum(((x - x.mean()) ** 2).sum() for x in far.values())
+        assert levene.first().w == pytest.approx(between / (within / (len(whole) - 2)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    monkeypatch.setattr(catalog, "RANKS", 10)
+    blocks = catalog.dealt(df.groupBy("value").agg(F.count("*").alias("k")).select("value", F.explode(F.sequence(F.lit(1).cast("long"), "k", F.lit(10).cast("long"))).alias("i")), "value", "i")
+    parts = [r["count"] for r in blocks.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) < 250
+    assert len(catalog.sampled(df, "value", 100).inputFiles()) > 0
