@@ -16,6 +16,7 @@ from ..functions import ordered, tails
 from ..functions.names import entered
 from ..functions.stats import corr
 from ..operators.catalog import ID_NAME, NUMERIC, adjusted_skew, anova_frame, group_medians, levene_frame, mwu_frame, r3, sampled, shapiro_frame, ttest_frame
+from ..scratch import kept
 from ..shipping import ship
 
 TEMPLATES: dict[str, Callable[..., DataFrame]] = {}
@@ -438,28 +439,76 @@ def mann_whitney_u_test(df: DataFrame) -> DataFrame:
     return t.crossJoin(two_groups(group_medians(g).withColumnRenamed("med", "v"), "median")).select(F.lit(c).alias("target_column"), F.lit(by).alias("grouping_column"), "group1", "group2", "median1", "median2", r3(F.col("u")).alias("test_statistic"), F.round("p", 4).alias("significance_score"))
 
 
-def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, n, rho) of every pair of columns over the rows where both are present, in as many shuffles for many pairs as for
-    one: each (column, value) is ranked once, with a rank among the rows that have the partner for every partner, the
-    ranks go back to the rows, and one aggregate correlates them."""
-    have = F.array(*(F.col(c).isNotNull().cast("long") for c in columns))
-    cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))
-    long = df.select(F.monotonically_increasing_id().alias("row"), have.alias("have"), cells.alias("cells")).select("row", "have", F.inline("cells")).where("v is not null")
+#: Values of a column whose ranks are broadcast to the rows.
+BROADCAST_VALUES = 20_000
+
+
+def _partner_ranks(counts: DataFrame, columns: list[str], cuts: list) -> DataFrame:
+    """counts(c, v, n0, n1, ...) -> also off, an array: the value's rank among the rows that have the partner, less their mean rank."""
     m = range(len(columns))
-    counts = ordered.bucketed(long.groupBy("c", "v").agg(*(F.sum(F.col("have")[j]).alias(f"n{j}") for j in m)), "v", [cut for _, own in ordered._cuts(long, F.col("v")) for cut in own])
+    counts = ordered.bucketed(counts, "v", cuts)
     totals = counts.groupBy("c", "_bucket").agg(*(F.sum(f"n{j}").alias(f"t{j}") for j in m))
-    before = Window.partitionBy("c").orderBy("_bucket")  # a row a bucket
-    carry = totals.select("c", "_bucket", *((F.sum(f"t{j}").over(before) - F.col(f"t{j}")).alias(f"b{j}") for j in m))
+    before, whole = Window.partitionBy("c").orderBy("_bucket"), Window.partitionBy("c")  # a row a bucket
+    carry = totals.select("c", "_bucket", *((F.sum(f"t{j}").over(before) - F.col(f"t{j}")).alias(f"b{j}") for j in m), *(F.sum(f"t{j}").over(whole).alias(f"a{j}") for j in m))
     inside = Window.partitionBy("c", "_bucket").orderBy("v")
-    rank = lambda j: F.col(f"b{j}") + F.sum(f"n{j}").over(inside) - F.col(f"n{j}") + (F.col(f"n{j}") + 1) / 2
-    ranks = counts.join(carry, ["c", "_bucket"]).select("c", "v", F.array(*map(rank, m)).alias("ranks"))
-    rows = long.select("row", "c", "v").join(ranks, ["c", "v"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("c", "ranks"))).alias("of"))
-    at = lambda i, j: F.try_element_at(F.col("of"), F.lit(i))[j]
-    pairs = list(combinations(m, 2))
-    each = rows.select(F.inline(F.array(*(F.struct(F.lit(k).alias("pair"), at(i, j).alias("x"), at(j, i).alias("y")) for k, (i, j) in enumerate(pairs)))))
-    both = each.where("x is not null and y is not null").groupBy("pair").agg(F.count("*").alias("n"), corr("x", "y").alias("rho"))
-    name = lambda side: F.element_at(F.array(*(F.lit(columns[p[side]]) for p in pairs)), F.col("pair") + 1)
-    return both.select(name(0).alias("a"), name(1).alias("b"), "n", "rho")
+    off = lambda j: F.col(f"b{j}") + F.sum(f"n{j}").over(inside) - F.col(f"n{j}") + (F.col(f"n{j}") - F.col(f"a{j}")) / 2
+    return counts.join(F.broadcast(carry), ["c", "_bucket"]).withColumn("off", F.array(*map(off, m))).drop("_bucket", *(f"{x}{j}" for x in "ab" for j in m))
+
+
+def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, n, rho) of every pair of columns over the rows where both are present. Each (column, value) is ranked once, with a
+    rank among the rows that have the partner for every partner. Ranks of columns with few values are broadcast to the rows;
+    a value of the others gathers the sums of its partners' ranks as it is counted, so that rows with those do not travel
+    back. Only if several columns have many values, these go back to the rows by their number, in one more shuffle each way.
+    Both tables of ranks are written once to the shared folder."""
+    m = range(len(columns))
+    sizes = df.agg(*(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns))).first()
+    few = [i for i in m if sizes[f"d{i}"] <= BROADCAST_VALUES]
+    many = [i for i in m if i not in few]
+    have = F.array(*(F.col(c).isNotNull().cast("long") for c in columns))
+    values = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    rows = df.select(*([F.monotonically_increasing_id().alias("row")] if len(many) > 1 else []), have.alias("have"), *values)
+
+    def long(rows: DataFrame, which: list[int], *more: str) -> DataFrame:
+        cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in which))
+        return rows.select(*more, F.inline(cells)).where("v is not null")
+
+    present = [F.sum(F.col("have")[j]).alias(f"n{j}") for j in m]
+    small = kept(_partner_ranks(long(rows, few, "have").groupBy("c", "v").agg(*present), columns, []), "ranks") if few else None
+    for i in few:
+        rows = rows.join(F.broadcast(small.where(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("off").alias(f"r{i}"))), f"v{i}", "left")
+    # a pair's sums: rows, products and squares of both sides' ranks less the mean
+    at = lambda i, j: F.col(f"r{i}")[j]
+    sums = []
+    near = list(combinations(few, 2))
+    if near:
+        cell = lambda i, j: [F.count(at(i, j) * at(j, i)), F.sum(at(i, j) * at(j, i))]
+        one = rows.agg(*(x.alias(f"{k}_{i}_{j}") for i, j in near for k, x in zip(("n", "xy"), cell(i, j), strict=True)))
+        sums.append(one.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"n_{i}_{j}").alias("n"), F.col(f"xy_{i}_{j}").alias("xy")) for i, j in near)))))
+    squares = lambda ranks: ranks.groupBy("c").agg(*(F.sum(F.col(f"n{j}") * F.col("off")[j] * F.col("off")[j]).alias(f"q{j}") for j in m))
+    spreads = [squares(small)] if few else []
+    if many:
+        # rank of column j among the rows that have column c, summed over a value of c
+        partner = lambda j: F.sum(F.element_at(F.col(f"r{j}"), F.col("c") + 1)).alias(f"s{j}")
+        cells = long(rows, many, "have", *(f"r{j}" for j in few))
+        counts = cells.groupBy("c", "v").agg(*present, *map(partner, few))
+        large = kept(_partner_ranks(counts, columns, [cut for _, own in ordered._cuts(long(df.select(*values), many), F.col("v")) for cut in own]), "ranks")
+        spreads.append(squares(large))
+        if few:
+            mixed = large.groupBy("c").agg(*(x for j in few for x in (F.sum(f"n{j}").alias(f"k{j}"), F.sum(F.col("off")[j] * F.col(f"s{j}")).alias(f"p{j}"))))
+            sums.append(mixed.select(F.inline(F.array(*(F.struct(F.least("c", F.lit(j)).alias("i"), F.greatest("c", F.lit(j)).alias("j"), F.col(f"k{j}").alias("n"), F.col(f"p{j}").alias("xy")) for j in few)))))
+        if len(many) > 1:
+            back = long(rows, many, "row").join(large.select("c", "v", "off"), ["c", "v"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("c", "off"))).alias("of"))
+            of = lambda i, j: F.try_element_at(F.col("of"), F.lit(i))[j]
+            each = back.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (of(i, j) * of(j, i)).alias("xy")) for i, j in combinations(many, 2)))))
+            sums.append(each.where("xy is not null").groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("xy").alias("xy")))
+    spread = reduce(DataFrame.unionAll, spreads).select("c", F.array(*(f"q{j}" for j in m)).alias("q"))  # a row a column
+    pairs = reduce(DataFrame.unionAll, sums).where("n > 0")  # a row a pair
+    side = lambda c: F.broadcast(spread.select(F.col("c").alias(c), F.col("q").alias(f"q_{c}")))
+    both = pairs.join(side("i"), "i").join(side("j"), "j")
+    rho = F.try_divide(F.col("xy"), F.sqrt(F.get("q_i", F.col("j"))) * F.sqrt(F.get("q_j", F.col("i"))))
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), F.col(c) + 1)
+    return both.select(name("i").alias("a"), name("j").alias("b"), F.col("n"), F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias("rho"))
 
 
 @template

@@ -6,9 +6,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import catalog
 from plumbline.operators.profile import column_profile, index_columns, quality_issues, shape, strongest_correlations, top_values, value_summary
+from plumbline.plans import templates
 from plumbline.plans.templates import TEMPLATES, facts
 
 ODD = {"k": "k.1", "x": "a.b", "y": "y`z", "z": "z.`.z", "g": "g.", "h": "`h`", "two": "t.w.o", "f": "f.x"}
@@ -109,3 +111,24 @@ def test_facts_ask_only_what_is_read(tables, spark):
     assert {c: f.distinct(c) for c in ("g", "h", "two", "z", "x")} == {c: pdf[c].nunique() for c in ("g", "h", "two", "z", "x")}
     big = facts(spark.range(5000).selectExpr("id", "cast(id as string) as s", "id * 2 as w", "id % 4900 as v"))
     assert big.distinct("s") == 5000 and big.distinct("v") == 4900 and not big.between("s", 2, 20)
+
+
+@pytest.mark.parametrize("limit", [0, 35, 420, 10**6])
+def test_ranks_of_few_and_of_many_values_correlate_alike(spark, monkeypatch, limit):
+    monkeypatch.setattr(templates, "BROADCAST_VALUES", limit)
+    rnd = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": rnd.integers(0, 6, 500), "b": rnd.integers(0, 30, 500), "c": rnd.normal(0, 1, 500), "d": rnd.exponential(3, 500)}).astype(float)
+    pdf["c"] += pdf["b"] / 9
+    for i, c in enumerate("abc"):
+        pdf.loc[rnd.random(500) < 0.1 * (i + 1), c] = None
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double")
+    pairs = templates.spearman_pairs(df, list("abcd"))
+    got = {(r.a, r.b): (r.n, r.rho) for r in pairs.collect()}
+    assert len(got) == 6
+    for (a, b), (n, rho) in got.items():
+        both = pdf[[a, b]].dropna()
+        assert n == len(both) and rho == pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-9)
+    # with one column of many values at most, nothing goes back to the rows
+    assert ("monotonically_increasing_id" in pairs._jdf.queryExecution().optimizedPlan().toString()) == (limit < 420)
+    still = templates.spearman_pairs(df.withColumn("d", F.when(F.col("a").isNotNull(), 1.0)), list("ad")).first()
+    assert (still.n, still.rho) == (int(pdf.a.notna().sum()), None)
