@@ -8,10 +8,13 @@ own costs the least score less 10, and its bytes then count one by one.
 A BPE model's scores are merge ranks and no log probabilities, so there (bpe_counts) the merges decide: the encoding
 of every prefix is unique, and it is that of a shorter prefix followed by the one piece that merging leaves alone next
 to that prefix's last piece. The programme finds that piece among the matches and adds one to the shorter count.
+Texts are cut where no piece goes across, so that what is left repeats; what two pieces make of each other is read off
+the merges that make each of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,26 +110,56 @@ class PrefixCounter:
                 raise ValueError("a piece goes on into the next word")
             self.automaton.add_word(text, text)
         self.automaton.make_automaton()
+        self.parting = np.ones((256, 256), bool)  # bytes, the second beginning a character, that stand side by side in no piece
+        self.parting[:, 0x80:0xC0] = False
+        for text in self.scores:
+            b = np.frombuffer(text.encode(), np.uint8)
+            self.parting[b[:-1], b[1:]] = False
+        self.made: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
         self.valid: dict[tuple[str, str], bool] = {}
         self.known: dict[int, tuple[int, float]] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """text by merging, best score first, the leftmost of equals: for the few characters of two pieces."""
-        parts = list(text)
-        while True:
-            best = max(((self.scores[p + q], -i) for i, (p, q) in enumerate(zip(parts, parts[1:])) if p + q in self.scores), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        self.older: dict[int, tuple[int, float]] = {}
+
+    def _merges(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
+        """How merging, best score first, the leftmost of equals, makes piece out of its characters: the score of each merge with
+        the first and the last part before it, and those after all. None if it ends with more than one part."""
+        if piece not in self.made:
+            parts, steps, firsts, lasts = list(piece), [], [], []
+            while True:
+                best = max(((self.scores[p + q], -i) for i, (p, q) in enumerate(zip(parts, parts[1:])) if p + q in self.scores), default=None)
+                steps.append(best[0] if best else -math.inf)
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+                if best is None:
+                    break
+                i = -best[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.made[piece] = (steps, firsts, lasts) if len(parts) == 1 else None
+        return self.made[piece]
 
     def _apart(self, before: str, piece: str) -> bool:
         """Whether merging leaves these two pieces side by side; '' before the first. Remembered in self.valid."""
         if len(self.valid) > 4 * MEMORY:
             self.valid.clear()
-        found = self.valid[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        found = self.valid[before, piece] = self._merges(piece) is not None and (not before or self._merges(before) is not None and self._meet(before, piece))
         return found
 
+    def _meet(self, before: str, piece: str) -> bool:
+        """Until something goes across them, each of two pieces is made by its own merges, the better of both next ones first:
+        whether none goes across before all are done."""
+        (left, _, lasts), (right, firsts, _) = self._merges(before), self._merges(piece)
+        scores, i, j = self.scores.get, 0, 0
+        while True:
+            a, b, across = left[i], right[j], scores(lasts[i] + firsts[j])
+            if across is not None and across > a and across >= b:
+                return False
+            if a == b == -math.inf:
+                return True
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+
     def word(self, text: str) -> tuple[int, float]:
         n = len(text)
         valid, scores, apart = self.valid.get, self.scores.get, self._apart
@@ -168,22 +201,23 @@ class PrefixCounter:
         n_words = np.diff(words(data, starts)[2])
         if not len(norm):
             return n_words, np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        # a unit begins with a text, or with a word mark that follows something else: no piece goes across
+        # a unit begins with a text, with a word mark that follows something else, or between parting bytes: no piece goes across
         mark = np.zeros(len(norm), bool)
         mark[: max(0, len(norm) - 2)] = (norm[:-2] == 0xE2) & (norm[1:-1] == 0x96) & (norm[2:] == 0x81)
         begins = mark.copy()
         begins[3:] &= ~mark[:-3]
+        begins[1:] |= self.parting[norm[:-1], norm[1:]]
         begins[first[:-1][first[:-1] < len(norm)]] = True
         us = np.flatnonzero(begins)
         ue = np.append(us[1:], len(norm))
         values, where, which = np.unique(span_hashes(norm, us, ue), return_index=True, return_inverse=True)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        listed = values.tolist()
+        if len(self.known) > MEMORY:  # those that come again are taken over
+            self.older, self.known = self.known, {}
+        known, listed = self.known, values.tolist()
         for h, j in zip(listed, where.tolist(), strict=True):
-            if h not in self.known:
-                self.known[h] = self.word(joined[us[j] : ue[j]].decode())
-        found = np.array([self.known[h] for h in listed])[which]
+            if h not in known:
+                known[h] = self.older.pop(h, None) or self.word(joined[us[j] : ue[j]].decode())
+        found = np.array([known[h] for h in listed])[which]
         total = np.concatenate((np.zeros((1, 2)), np.cumsum(found, axis=0)))
         bound = np.searchsorted(us, first)
         per = total[bound[1:]] - total[bound[:-1]]

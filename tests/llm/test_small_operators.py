@@ -53,6 +53,42 @@ def _counter():
     return PrefixCounter(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def test_texts_are_cut_where_no_piece_goes_across():
+    c = PrefixCounter(public_tokenizers.path("piece_bpe_32k.model"))
+    text = " ".join(w + e for w in ("und", "the", "née", "xqz") for e in ("", ".", "!!", "?\n", ";\t", ".\nund", "\r\n-the", "###", "%%é", ","))
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert c(data, np.array([0, len(data)]))[1].tolist() == [len(c.model.encode(text))]
+    assert len(c.known) <= 24  # of 40 words
+
+
+def test_two_pieces_stay_apart_as_merging_has_it():
+    c = _counter()
+
+    def merged(text):
+        parts = list(text)
+        while found := [(c.scores[p + q], -i) for i, (p, q) in enumerate(zip(parts, parts[1:])) if p + q in c.scores]:
+            i = -max(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    pieces, rng = sorted(c.scores), np.random.default_rng(9)
+    cuts = [(p[:i], p[i:]) for p in rng.choice(pieces, 1500).tolist() for i in range(1, len(p)) if p[:i] in c.scores and p[i:] in c.scores]
+    pairs = [*cuts, *zip(rng.choice(pieces, 5000).tolist(), rng.choice(pieces, 5000).tolist()), ("é", "🙂"), ("🙂", "the"), *(("", p) for p in pieces[::50])]
+    apart = [c._apart(p, q) for p, q in pairs]
+    assert apart == [merged(p + q) == ([p, q] if p else [q]) for p, q in pairs]
+    assert 1000 < sum(apart) < len(pairs) - 1000
+
+
+def test_words_that_come_again_are_counted_once(monkeypatch):
+    monkeypatch.setattr("plumbline.llm.token_counts.MEMORY", 3)
+    c, made = PrefixCounter(public_tokenizers.path("piece_bpe_32k.model")), []
+    monkeypatch.setattr(c, "word", lambda text, word=c.word: made.append(text) or word(text))
+    for text in ("the one two three", "the four five six", "the seven eight nine", "the ten one"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert c(data, np.array([0, len(data)]))[1].tolist() == [len(c.model.encode(text))]
+    assert made.count("▁the") == 1 and made.count("▁one") == 2 and len(c.known) + len(c.older) <= 12
+
+
 def test_ties_keep_the_earlier_beginning():
     c = Counter([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("bc", -1.0), ("c", -1.0), ("abc", -3.0)])
     assert c.word("abc") == (2, -2.0)
