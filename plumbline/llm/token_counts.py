@@ -14,7 +14,9 @@ the merges that make each of them.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,11 +106,13 @@ class PrefixCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.scores = dict(vocabulary(path))
         self.byte_score = {b: self.model.get_score(i) for i in range(self.model.vocab_size()) if self.model.is_byte(i) for b in [int(self.model.id_to_piece(i)[3:5], 16)]}
+        self.valid: defaultdict[str, dict[str, bool]] = defaultdict(dict)
+        self.pairs = 0
         self.automaton = ahocorasick.Automaton()
         for text in self.scores:
             if META in text.lstrip(META):
                 raise ValueError("a piece goes on into the next word")
-            self.automaton.add_word(text, text)
+            self.automaton.add_word(text, (text, len(text), self.scores[text], self.valid[text].get))
         self.automaton.make_automaton()
         self.parting = np.ones((256, 256), bool)  # bytes, the second beginning a character, that stand side by side in no piece
         self.parting[:, 0x80:0xC0] = False
@@ -116,7 +120,6 @@ class PrefixCounter:
             b = np.frombuffer(text.encode(), np.uint8)
             self.parting[b[:-1], b[1:]] = False
         self.made: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
-        self.valid: dict[tuple[str, str], bool] = {}
         self.known: dict[int, tuple[int, float]] = {}
         self.older: dict[int, tuple[int, float]] = {}
 
@@ -138,10 +141,13 @@ class PrefixCounter:
         return self.made[piece]
 
     def _apart(self, before: str, piece: str) -> bool:
-        """Whether merging leaves these two pieces side by side; '' before the first. Remembered in self.valid."""
-        if len(self.valid) > 4 * MEMORY:
-            self.valid.clear()
-        found = self.valid[before, piece] = self._merges(piece) is not None and (not before or self._merges(before) is not None and self._meet(before, piece))
+        """Whether merging leaves these two pieces side by side; '' before the first. Remembered by piece in self.valid."""
+        if self.pairs > 4 * MEMORY:  # the automaton holds on to the tables
+            for known in self.valid.values():
+                known.clear()
+            self.pairs = 0
+        self.pairs += 1
+        found = self.valid[piece][before] = self._merges(piece) is not None and (not before or self._merges(before) is not None and self._meet(before, piece))
         return found
 
     def _meet(self, before: str, piece: str) -> bool:
@@ -162,31 +168,31 @@ class PrefixCounter:
 
     def word(self, text: str) -> tuple[int, float]:
         n = len(text)
-        valid, scores, apart = self.valid.get, self.scores.get, self._apart
+        scores, apart = self.scores.get, self._apart
         last, count, score = [""] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
         done = 0  # prefixes up to here have their last piece
 
         def single(e: int) -> None:
             """The character at e, for which no longer piece stood: it may have none of its own, and then its bytes count."""
             piece = text[e]
-            if not (valid((last[e], piece)) or apart(last[e], piece)):
+            if not (self.valid[piece].get(last[e]) or apart(last[e], piece)):
                 raise ValueError(f"no encoding of {text!r}")
             own = scores(piece)
             last[e + 1] = piece
             count[e + 1] = count[e] + (1 if own is not None else len(piece.encode()))
             score[e + 1] = score[e] + (own if own is not None else sum(self.byte_score.get(b, 0.0) for b in piece.encode()))
 
-        for end, piece in self.automaton.iter(text):  # by end, the longest first
+        for end, (piece, size, own, valid) in self.automaton.iter(text):  # by end, the longest first
             if end < done:
                 continue
             while done < end:
                 single(done)
                 done += 1
-            at = end + 1 - len(piece)
-            ok = valid((last[at], piece))
+            at = end + 1 - size
+            ok = valid(last[at])
             if ok or (ok is None and apart(last[at], piece)):
-                last[end + 1], count[end + 1], score[end + 1] = piece, count[at] + 1, score[at] + scores(piece)
                 done = end + 1
+                last[done], count[done], score[done] = piece, count[at] + 1, score[at] + own
         while done < n:
             single(done)
             done += 1
@@ -217,7 +223,7 @@ class PrefixCounter:
         for h, j in zip(listed, where.tolist(), strict=True):
             if h not in known:
                 known[h] = self.older.pop(h, None) or self.word(joined[us[j] : ue[j]].decode())
-        found = np.array([known[h] for h in listed])[which]
+        found = np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, listed)), float, 2 * len(listed)).reshape(-1, 2)[which]
         total = np.concatenate((np.zeros((1, 2)), np.cumsum(found, axis=0)))
         bound = np.searchsorted(us, first)
         per = total[bound[1:]] - total[bound[:-1]]
