@@ -5,8 +5,9 @@ candidates then lie on one sphere with the query, and the distance to a node's c
 radius, bounds the inner products of what the node covers. A descent takes the node with the best bound first, leaves out nodes that
 lie outside the window of wanted scores or cannot improve the result, and looks at the rows of leaves exactly.
 
-Candidates are cut into blocks of nearby rows, one tree a block with a branch for each label; anchors come in blocks too, so a
-task holds one block of each. All anchors against all rows is the question that is asked.
+Candidates are cut into blocks of nearby rows, one tree a block with a branch for each label; anchors come in groups. A task holds
+one tree and one group at a time, and what it has found for a group bounds its descents into later trees. All anchors against all
+rows is the question that is asked. The driver holds the reference points and numbers of rows, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .runtime import keep, lean, partitions
+from .runtime import forget, keep, lean, partitions
 
 #: Rows of a block at least and at most; between, so many that each task slot gets about two blocks.
 BLOCK_ROWS = (1024, 65_536)
@@ -28,6 +29,12 @@ BLOCK_ROWS = (1024, 65_536)
 BLOCK_BYTES = 64 << 20
 #: Reference points that deal rows to blocks, at most; a point with too many rows is cut into several blocks.
 PIVOTS = 1024
+#: Bytes of the reference points' vectors at most: the driver holds them, and tasks get them.
+PIVOT_BYTES = 4 << 20
+#: Anchors of a group at most.
+ASKED = 2048
+#: Bytes of an Arrow batch about: a row here is a tree, or a tree and a group.
+BATCH_BYTES = 16 << 20
 #: Rows that a leaf holds unless they are equal, children of a node at most, and how much smaller a child's radius should be.
 LEAF, FANOUT, SHRINK = 32, 16, 1.3
 _LAST = (1 << 63) - 1
@@ -168,6 +175,17 @@ def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wide(a), wide(b)
 
 
+def _keep(df: DataFrame, name: str) -> DataFrame:
+    """keep(df, name) with batches of BATCH_BYTES."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return keep(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """(rid, vec_id, label, embedding) of the rows that have a label and a vector of finite numbers."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -175,6 +193,16 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
 
 
+def _pivots(embeddings: DataFrame, n: int, total: int) -> np.ndarray:
+    """Vectors of at most n rows of total: of about 8 n rows that their hashes choose, the first of each class of hashes. Tasks
+    send rows to each other, and at most n come to the driver."""
+    own = F.xxhash64("vec_id", "embedding")
+    some = embeddings.where(F.pmod(own, F.lit(max(1, total // (8 * n)))) == 0)
+    first = some.groupBy(F.pmod(F.xxhash64(own), F.lit(n))).agg(F.min_by("embedding", own).alias("embedding"))
+    found = first.select("embedding").collect() or embeddings.select("embedding").limit(1).collect()  # many equal rows: perhaps none
+    return matrix(pa.array([r["embedding"] for r in found], pa.list_(pa.float32())))
+
+
 def _dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """rows with the number of the nearest pivot."""
 
@@ -229,28 +257,58 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _HITS = "anchor long, window long, rid long, vec_id long, score long"
 
 
+class _Asked:
+    """A group of anchors, and the k best rows for each anchor and window in the trees so far."""
+
+    def __init__(self, b: pa.RecordBatch, j: int):
+        self.rids, self.kinds = (b.column(c)[j].values.to_numpy() for c in ("asked", "kinds"))
+        self.x = whole_numbers(np.frombuffer(b.column("asked_vectors")[j].as_py(), np.float32).reshape(len(self.rids), b.column("asked_width")[j].as_py()))
+        self.windows = b.column("windows")[j].as_py()
+        self.best: dict[tuple[int, int | None], list[tuple]] = {}  # (anchor's place, window) -> (-score, vec_id, rid), in order
+
+    def meet(self, tree: Tree, rids: np.ndarray, k: int, same: bool, low_share: int, high_share: int) -> None:
+        tree.x, q = _same_width(tree.x, self.x)
+        by_rid = np.argsort(rids)
+        at = by_rid[np.minimum(np.searchsorted(rids, self.rids, sorter=by_rid), len(rids) - 1)]
+        own = np.where(rids[at] == self.rids, at, -1)
+        for start in range(0, len(q), 256):  # bounds of so many anchors at once
+            low, high = tree.bounds(q[start : start + 256])
+            for i in range(start, min(start + 256, len(q))):
+                roots = tree.roots[(tree.label[tree.roots] == self.kinds[i]) == same]
+                # low_share * positive <= 100 * negative <= high_share * positive
+                windows = [(None, -math.inf, math.inf)] if same else [(w, -(-low_share * w // 100), high_share * w // 100) for w in self.windows[i]]
+                held = [self.best.get((i, w), []) for w, _, _ in windows]
+                # nothing below the k-th of what is held counts any more
+                windows = [(w, max(lo, -h[k - 1][0]) if len(h) >= k else lo, hi) for (w, lo, hi), h in zip(windows, held, strict=True)]
+                windows = [w for w in windows if w[1] <= w[2]]
+                found = tree.descend(q[i], int(own[i]), low[i - start], high[i - start], roots, [w[1:] for w in windows], k) if windows and len(roots) else []
+                for (w, _, _), hits in zip(windows, found, strict=False):
+                    if hits:
+                        new = [(-int(score), vec_id, int(rids[row])) for score, vec_id, row in hits]
+                        self.best[i, w] = sorted(self.best.get((i, w), []) + new)[:k]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        anchors = [(int(self.rids[i]), w, rid, None if vec_id == _LAST else vec_id, -score) for (i, w), hits in self.best.items() for score, vec_id, rid in hits]
+        if anchors:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*anchors, strict=True)], names=["anchor", "window", "rid", "vec_id", "score"])
+
+
 def _search(k: int, same: bool, low_share: int, high_share: int):
-    """Pairs of a block's tree and a block of anchors -> the k best rows of the block for each anchor and window."""
+    """Pairs of a block's tree and a group of anchors -> the k best rows of this task's trees for each anchor and window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, _Asked] = {}
+        block, tree, rids = None, None, None
         for b in batches:
             for j in range(b.num_rows):
-                r = {c: b.column(c)[j].as_py() for c in ("asked", "kinds", "asked_width", "asked_vectors", "windows")}
-                tree, rids = _grown(b, j)
-                tree.x, q = _same_width(tree.x, whole_numbers(np.frombuffer(r["asked_vectors"], np.float32).reshape(len(r["asked"]), r["asked_width"])))
-                where, out = {x: i for i, x in enumerate(rids.tolist())}, []
-                for start in range(0, len(q), 256):  # bounds of so many anchors at once
-                    low, high = tree.bounds(q[start : start + 256])
-                    for i in range(start, min(start + 256, len(q))):
-                        roots = tree.roots[(tree.label[tree.roots] == r["kinds"][i]) == same]
-                        # low_share * positive <= 100 * negative <= high_share * positive
-                        windows = [(None, -math.inf, math.inf)] if same else [(w, -(-low_share * w // 100), high_share * w // 100) for w in r["windows"][i]]
-                        windows = [w for w in windows if w[1] <= w[2]]
-                        found = tree.descend(q[i], where.get(r["asked"][i], -1), low[i - start], high[i - start], roots, [w[1:] for w in windows], k) if windows and len(roots) else []
-                        for (w, _, _), hits in zip(windows, found, strict=False):
-                            out += [(r["asked"][i], w, int(rids[row]), None if vec_id == _LAST else vec_id, int(score)) for score, vec_id, row in hits]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["anchor", "window", "rid", "vec_id", "score"])
+                if tree is None or block != b.column("block")[j].as_py():
+                    block, (tree, rids) = b.column("block")[j].as_py(), _grown(b, j)
+                group = b.column("group")[j].as_py()
+                if group not in asked:
+                    asked[group] = _Asked(b, j)
+                asked[group].meet(tree, rids, k, same, low_share, high_share)
+        for group in asked.values():
+            yield from group.found()
 
     return run
 
@@ -270,32 +328,33 @@ def mine(embeddings: DataFrame, anchors: DataFrame, positives: int = 5, negative
     ship(spark)
     n, width = embeddings.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     each = block_rows or max(1, min(max(BLOCK_ROWS[0], min(BLOCK_ROWS[1], n // (2 * partitions(spark)))), BLOCK_BYTES // (8 * max(1, width))))
-    some = embeddings.orderBy(F.xxhash64("vec_id", "embedding")).limit(min(PIVOTS, max(1, -(-n // each))))
-    pivots = matrix(pa.array([r["embedding"] for r in some.select("embedding").collect()], pa.list_(pa.float32())))  # PIVOTS vectors at most
+    pivots = _pivots(embeddings, max(1, min(PIVOTS, -(-n // each), PIVOT_BYTES // (4 * max(1, width)))), n)
     rows = keep(_dealt(embeddings, pivots).select("*", F.monotonically_increasing_id().alias("rid")), "vectors")
     parts = rows.groupBy("pivot").agg(F.ceil(F.count("*") / each).alias("parts"))  # a row a pivot
     dealt = rows.join(F.broadcast(parts), "pivot").withColumn("block", F.col("pivot") * (1 << 32) + F.pmod(F.xxhash64("rid"), "parts"))
     blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("rid", "vec_id", "label", "embedding")).alias("rows"))
-    trees = keep(blocks.mapInArrow(lean(_plant), _TREE_DDL), "trees")
-    every = [r["block"] for r in trees.select("block").collect()]  # n / each, and PIVOTS more at most
+    trees = _keep(blocks.mapInArrow(lean(_plant), _TREE_DDL), "trees")
     chosen = rows.where(anchors).select("rid", "vec_id", "label", "embedding")
-    groups = max(1, -(-chosen.count() // each))
+    groups = max(1, -(-chosen.count() // min(each, ASKED)))
+    streams = max(1, -(-max(partitions(spark), spark.sparkContext.defaultParallelism) // groups))
 
     def against(asked: DataFrame, k: int, same: bool) -> DataFrame:
-        """asked(rid, label, embedding, windows) in blocks, each sent to every tree; the best k over all trees."""
+        """asked(rid, label, embedding, windows) in groups, each against every tree; the best k over all trees. The trees are cut into
+        `streams`: each of them goes by every partition of groups, so trees and groups meet without copies of either."""
         met = asked.groupBy(F.pmod(F.xxhash64("rid"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("rid", "label", "embedding", "windows")).alias("rows"))
-        sent = met.mapInArrow(lean(_packed), _ASKED_DDL).withColumn("block", F.explode(F.lit(every).cast("array<long>")))
-        hits = sent.join(trees, "block").mapInArrow(lean(_search(k, same, low_share, high_share)), _HITS)
+        sent = met.mapInArrow(lean(_packed), _ASKED_DDL).repartition(groups)
+        hits = trees.coalesce(streams).hint("shuffle_replicate_nl").crossJoin(sent).mapInArrow(lean(_search(k, same, low_share, high_share)), _HITS)
         place = F.row_number().over(Window.partitionBy("anchor", "window").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "rid"))
         return hits.withColumn("place", place).where(F.col("place") <= k)
 
-    near = keep(against(chosen.withColumn("windows", F.array().cast("array<long>")), positives, True).drop("window"), "positives")
+    near = _keep(against(chosen.withColumn("windows", F.array().cast("array<long>")), positives, True).drop("window"), "positives")
     windows = near.groupBy(F.col("anchor").alias("rid")).agg(F.collect_set("score").alias("windows"))
-    far = against(chosen.join(windows, "rid"), negatives, False)
+    far = _keep(against(chosen.join(windows.hint("merge"), "rid"), negatives, False), "negatives")
+    forget(trees)
     ids = chosen.select(F.col("rid").alias("anchor"), F.col("vec_id").alias("anchor_id"))
     pos = near.select("anchor", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     neg = far.select("anchor", F.col("window").alias("positive_score"), F.col("place").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
-    return pos.join(neg, ["anchor", "positive_score"]).join(ids, "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return pos.join(neg.hint("merge"), ["anchor", "positive_score"]).join(ids.hint("merge"), "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 def digest(embeddings: DataFrame) -> DataFrame:

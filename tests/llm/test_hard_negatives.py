@@ -83,3 +83,52 @@ def test_bounds_hold_for_every_row_below_a_node():
 
 def test_ragged_vectors_become_a_matrix():
     assert H.matrix(pa.array([[1.0, 2.0], [], [3.0]], pa.list_(pa.float32()))).tolist() == [[1, 2], [0, 0], [3, 0]]
+
+
+def sent_to_driver(spark):
+    """Bytes of the tasks' results so far, by stage, without 20,000 of metrics a task."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {x.stageId(): max(0, x.resultSize() - 20_000 * x.numTasks()) for x in map(stages.apply, range(stages.size()))}
+
+
+def test_driver_gets_neither_the_table_nor_copies_of_the_anchors(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(0, 0.2, (4000, 64))
+    df = H.usable(table(spark, [(i, v[i].tolist(), i % 5) for i in range(4000)])).repartition(16).localCheckpoint()
+    before = sent_to_driver(spark)
+    got = H.mine(df, F.col("vec_id") % 50 == 0, block_rows=20)
+    got.write.format("noop").mode("overwrite").save()
+    after = sent_to_driver(spark)
+    # 200 reference points are 51 KB; the table is 1 MB, and 80 anchors once for each of 200 blocks 4 MB
+    assert sum(after[k] - before.get(k, 0) for k in after) < 150_000
+
+
+@pytest.mark.parametrize("rows", [[(7, [1.0, 2.0], 1)] * 900, [(i, [float(i % 3), 1.0], 1) for i in range(900)]])
+def test_few_reference_points_come_from_any_table(spark, rows):
+    points = H._pivots(H.usable(table(spark, rows)), 4, len(rows))
+    assert 1 <= len(points) <= 4 and {tuple(p) for p in points.tolist()} <= {tuple(v) for _, v, _ in rows}
+
+
+def test_what_was_found_bounds_later_trees():
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (900, 6)).astype(np.float32)
+    ids, labels = rng.permutation(900), rng.integers(0, 3, 900)
+    whole = H.whole_numbers(x)
+    asked = ids[:40]
+    group = pa.RecordBatch.from_pylist([{"asked": asked.tolist(), "kinds": labels[:40].tolist(), "asked_width": 6, "asked_vectors": x[:40].tobytes(), "windows": [[int(w) for w in (whole[i] @ whole.T)[:2]] for i in range(40)]}])
+    for same, k in ((True, 5), (False, 10)):
+        state = H._Asked(group, 0)
+        for part in np.array_split(np.arange(900), 7):
+            t = H.Tree(ids[part], labels[part], whole[part])
+            state.meet(t, t.ids, k, same, 30, 90)
+        for i in range(40):
+            scores = whole[i] @ whole.T
+            for w in [None] if same else set(group.column("windows")[0].as_py()[i]):
+                fit = (labels == labels[i]) == same
+                fit[i] = False
+                if not same:
+                    fit &= (30 * w <= 100 * scores) & (100 * scores <= 90 * w)
+                want = sorted((-int(s), int(y), int(y)) for s, y in zip(scores[fit], ids[fit]))[:k]
+                assert state.best.get((i, w), []) == want
